@@ -1,9 +1,13 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from quire.llm import mixing, packing
+from quire.llm import language, mixing, packing, pii, quality, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1,
+    "op4_language_id": language.op4,
     "op6_mix_sources": mixing.op6,
+    "op7_personal_data": pii.op7,
+    "op8_quality_classifier": quality.op8,
     "op10_pack_sequences": packing.op10,
 }
 
