@@ -64,3 +64,17 @@ def worker_state(key, build):
     if key not in kept:
         kept[key] = build()
     return kept[key]
+
+
+#: Slots of the bitmap that thins out rows before a join: 1 MB, whatever the data.
+SLOTS = 1 << 23
+
+
+def only_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id may be among ids (one column): a bitmap of hashed ids, of fixed size, is broadcast and drops most of the others before df is shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    maps = ids.select(slot(F.col(ids.columns[0]).cast("long")).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("_map"))
+    out = df.withColumn("_slot", slot(F.col(id_col).cast("long")))
+    out = out.join(F.broadcast(maps), F.expr("bitmap_bucket_number(_slot)") == F.col("_bucket"))
+    bit = F.expr("(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(_slot) % 8 as int))) != 0")
+    return out.where(bit).drop("_slot", "_bucket", "_map")
