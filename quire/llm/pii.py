@@ -15,7 +15,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A number cannot start inside a run of digits: whatever matches there matches from the run's start too.
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -32,7 +32,9 @@ SPELLED = re.compile(rf"\b(?:(?:{'|'.join(PLUS)})[\s-])?{_word}(?:[\s-]{{1,2}}{_
 AT = r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?"
 DOT = r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?"
 DISGUISE = re.compile(rf"(?P<at>{AT}|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?: dot |{DOT}))|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9]))|(?P<dot>{DOT}|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9]))", re.I)
-MAY_DISGUISE = re.compile(r"[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]| (?:at|dot|@) ", re.I)
+BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]", re.I)
+#: A text without any of these words has no spelled number worth reading (the others are common words too).
+TELLING = frozenset(DIGITS) - {"un", "oh", "null"}
 
 
 def _odd_characters() -> dict[int, str | None]:
@@ -46,7 +48,8 @@ def _odd_characters() -> dict[int, str | None]:
 
 
 ODD = _odd_characters()
-ODD_CLASS = re.compile("[" + "".join(map(re.escape, map(chr, sorted(ODD)))) + "]")
+#: The ranges that all of these lie in.
+ODD_CLASS = re.compile("[\u00ad\u0370-\u052f\u2000-\u24ff\ufeff-\uff5f\U0001d400-\U0001d7ff]")
 
 
 def luhn(digits: str) -> bool:
@@ -106,14 +109,15 @@ def spelled(m: re.Match) -> str:
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in the source of what detect() finds once look-alikes, spelled digits and at/dot are normalised."""
     steps = []
-    odd = ODD_CLASS.search(text)
-    if odd:
-        steps.append(Transduced(text, [(m.start(), m.end(), ODD[ord(m[0])] or "") for m in ODD_CLASS.finditer(text)]))
-        text = steps[-1].text
-    if edits := [(m.start(), m.end(), spelled(m)) for m in SPELLED.finditer(text)]:
+    if not text.isascii() and ODD_CLASS.search(text):
+        if edits := [(m.start(), m.end(), ODD[ord(m[0])] or "") for m in ODD_CLASS.finditer(text) if ord(m[0]) in ODD]:
+            steps.append(Transduced(text, edits))
+            text = steps[-1].text
+    low = text.lower()
+    if not TELLING.isdisjoint(low.replace("-", " ").split()) and (edits := [(m.start(), m.end(), spelled(m)) for m in SPELLED.finditer(text)]):
         steps.append(Transduced(text, edits))
         text = steps[-1].text
-    if MAY_DISGUISE.search(text) and (edits := [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]):
+    if (" dot " in low or " @ " in text or ((("(" in text) or ("[" in text) or ("<" in text) or ("{" in text)) and BRACKETED.search(text))) and (edits := [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]):
         steps.append(Transduced(text, edits))
         text = steps[-1].text
     if not steps:
