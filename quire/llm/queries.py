@@ -1,12 +1,13 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from quire.llm import embeddings, fingerprints, jaccard, language, mixing, packing, pii, quality, secrets
+from quire.llm import embeddings, fingerprints, jaccard, language, mixing, packing, pii, quality, secrets, suffixes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_embedding_near_dedup": embeddings.op2,
     "op3_spot_fingerprints": fingerprints.op3,
     "op4_language_id": language.op4,
+    "op5_suffix_dedup": suffixes.op5,
     "op6_mix_sources": mixing.op6,
     "op7_personal_data": pii.op7,
     "op8_quality_classifier": quality.op8,
