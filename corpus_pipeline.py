@@ -1,26 +1,60 @@
-"""Corpus pipeline: stages over documents, in the order of STAGES."""
+"""Corpus pipeline: language ID, near copies, secrets, mixing and packing, in the order of STAGES.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import common, jaccard, language, mixing, packing, secrets
+
+#: Words of a shingle and least similarity in percent, for near copies.
+SHINGLE, PERCENT = 5, 80
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: null or empty ones and ones without letters. Others stay as they are."""
+    predict = language.learned(spark, docs)
+    return docs.withColumn("_p", predict("text")).where(F.col("_p.lang") != "und").drop("_p")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near copies: that of the smallest id. Rows that repeat an id are one document, of which one row stays; rows without an id stay."""
+    classes = jaccard.near_classes(docs, k=SHINGLE, percent=PERCENT)
+    copies = common.saved(classes.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(copies, "doc_id", "anti").select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in texts by a mark, and counts n_chars anew where a text changed."""
+    model = secrets.train(secrets.labelled_samples(spark, docs))
+    clean = secrets.redacted(docs.withColumn("_before", F.col("text")), model)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(docs.columns)
+
 
-def mixed(spark, docs, sf_dir):
-    return docs
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it, which may be not at all."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
-def packed(spark, docs, sf_dir):
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the mix into sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("mix", mixed), ("pack", packed)]
-#: Tokens and trained models are beyond SQL; the stages are tested against brute-force versions.
+STAGES = [("language ID", identified), ("near copies", one_of_each), ("secrets", without_secrets), ("mixing", mixed), ("packing", packed)]
+#: Models and tokens are beyond SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
