@@ -21,7 +21,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies: that of the smallest id. Rows that repeat an id are one document, of which one row stays; rows without an id stay."""
+    """Keeps one row of each group of near copies: that of the smallest id. Rows that repeat an id stay or go together; rows without an id stay."""
     classes = jaccard.near_classes(docs, k=SHINGLE, percent=PERCENT)
     copies = common.saved(classes.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "anti").select(docs.columns)
