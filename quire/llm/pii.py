@@ -29,10 +29,14 @@ PLUS = ("plus", "mas", "más")
 
 _word = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 SPELLED = re.compile(rf"\b(?:(?:{'|'.join(PLUS)})[\s-])?{_word}(?:[\s-]{{1,2}}{_word}\b){{2,}}", re.I)
-AT = r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?"
-DOT = r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?"
-DISGUISE = re.compile(rf"(?P<at>{AT}|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?: dot |{DOT}))|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9]))|(?P<dot>{DOT}|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9]))", re.I)
-BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]", re.I)
+#: Endings that a spelled-out address may have. Fixed values.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|dev|app|me|tv|eu|us|uk|de|fr|es|it|nl|ch|at|be|pt|pl|ru|jp|cn|in|br|ca|au|mx"
+AT = r"\s?[\[({<_]\s?(?:at|@)\s?[\])}>_]\s?"
+DOT = r"\s?[\[({<_]\s?(?:dot|\.)\s?[\])}>_]\s?"
+# A bare " at " counts only before a spelled-out host.
+HOST = rf"[A-Za-z0-9-]+(?:{DOT}|(?: dot [A-Za-z0-9-]+)*? dot (?:{ENDINGS})\b)"
+DISGUISE = re.compile(rf"(?P<at>{AT}|(?<=[A-Za-z0-9]) at (?={HOST})|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9]))|(?P<dot>{DOT}|(?<=[A-Za-z0-9]) (?:dot|\.) (?=[A-Za-z0-9]))", re.I)
+BRACKETED = re.compile(r"[\[({<_]\s?(?:at|@|dot|\.)\s?[\])}>_]", re.I)
 #: A text without any of these words has no spelled number worth reading (the others are common words too).
 TELLING = frozenset(DIGITS) - {"un", "oh", "null"}
 
@@ -117,7 +121,7 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     if not TELLING.isdisjoint(low.replace("-", " ").split()) and (edits := [(m.start(), m.end(), spelled(m)) for m in SPELLED.finditer(text)]):
         steps.append(Transduced(text, edits))
         text = steps[-1].text
-    if (" dot " in low or " @ " in text or ((("(" in text) or ("[" in text) or ("<" in text) or ("{" in text)) and BRACKETED.search(text))) and (edits := [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]):
+    if (" dot " in low or " @ " in text or ((("(" in text) or ("[" in text) or ("<" in text) or ("{" in text) or ("_" in text)) and BRACKETED.search(text))) and (edits := [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]):
         steps.append(Transduced(text, edits))
         text = steps[-1].text
     if not steps:

@@ -1,0 +1,194 @@
+"""Operators that take rows one by one, mixing and packing."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quire.llm import language, mixing, packing, pii, quality, secrets
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+SECRETS = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+
+
+def passes(kind, text):
+    digits = re.sub(r"\D", "", text)
+    return {"email": True, "ip": kind == "ip" and all(int(p) < 256 for p in text.split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+
+
+NASTY = ["", None, " ", "a@b.c_d@e.fg", "x@y", "@@a@b.c.", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.255", "4111 1111-1111 1111 4111111111111111", "+1 (415) 555-2671, +12 +1234567890123456", "ａ　b@c.de é 😀 f@g.hi", "1" * 3000 + ".1.1.1", "a" * 5000 + "@b.cd"]
+
+
+def test_personal_data_base(documents, spark):
+    got = {r["doc_id"]: r for r in pii.personal_data(documents(list(enumerate(NASTY)))).collect()}
+    for i, t in enumerate(NASTY):
+        t = t or ""
+        spans = sorted((m.start(), k, m.end()) for k, (n, p) in enumerate(PII.items()) for m in re.finditer(p, t) if passes(n, m[0]))
+        assert got[i]["base_sha256"] == hashlib.sha256(pii.told(spans).encode()).hexdigest(), t[:50]
+        assert [got[i][f"n_{n}"] for n in PII] == [sum(k == x for _, k, _ in spans) for x in range(4)]
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("mail jоhn.doe@exаmple.com now", "email", "jоhn.doe@exаmple.com"),
+    ("😀 write john (at) example [dot] com please", "email", "john (at) example [dot] com"),
+    ("write to john at example dot com.", "email", "john at example dot com"),
+    ("call plus four one five five five five zero one two three", "phone", "plus four one five five five five zero one two three"),
+    ("ip 192[.]168[.]1[.]20 x", "ip", "192[.]168[.]1[.]20"),
+    ("card four" + " one" * 15 + " ok", "card", "four" + " one" * 15),
+    ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+    ("to jo_at_ex.org or Jo AT mail DOT ex DOT com!", "email", "Jo AT mail DOT ex DOT com"),
+    ("at jo @ ex . com", "email", "jo @ ex . com"),
+    ("jo​hn@example.com", "email", "jo​hn@example.com"),
+])
+def test_disguises(text, kind, found):
+    base, added = pii.scan(text)
+    assert (text.index(found), pii.KINDS.index(kind), text.index(found) + len(found)) in added
+    assert base == pii.detect(text)
+
+
+def test_no_disguise_in_plain_text():
+    for t in ("look at the dot on one or two maps (at noon) dot", "un et deux et trois", "see example.com at 10.30"):
+        assert pii.scan(t)[1] == []
+
+
+def test_secrets(documents, spark):
+    random = hashlib.sha256(b"k").digest()
+    import base64
+
+    key = base64.b64encode(random).decode().rstrip("=")
+    texts = ["", None, 'password = "hunter22x"', "Token:abc token=token:abcdefgh", "AKIA" + "A1" * 9 + " AKIASHORT", "é😀 " + "0a" * 13 + " deadbeef", f"key is {key} here", "ordinaryIdentifierWithALongName some_other_identifier_of_length_30", "x" * 3000, "=" * 50, "API_KEY='" + "q" * 40]
+    docs = documents(list(enumerate(texts)))
+    model = secrets.train(secrets.labelled_samples(spark, documents([(i, "the words of and ordinary prose here") for i in range(30)])))
+    got = {r["doc_id"]: r for r in secrets.secret_spans(docs, model).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = sorted((m.start(), k, m.end()) for k, (n, p) in enumerate(SECRETS.items()) for m in re.finditer(p, t) if (len(m[2]) >= 6 if n == "assign" else len(m[0]) >= (20 if n == "access" else 24)))
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest(), t[:50]
+    assert got[6]["spans"] == f"random:7:{7 + len(key)}" and got[7]["n_random"] == 0
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, model).collect()}
+    assert clean[2] == "[secret]" and clean[1] is None and clean[6] == "key is [secret] here" and clean[5] == "é😀 [secret] deadbeef"
+
+
+def test_secret_ratio_is_the_models(spark, documents):
+    model = secrets.train(secrets.labelled_samples(spark, documents([(1, "plain words")])))
+    token, size = "aB3_zQ", len(secrets.ALPHABET) + 1
+    codes = [secrets.ALPHABET.index(c) + 1 for c in token]
+    got = spark.createDataFrame([(token,)], "t string").select(secrets.ratio(__import__("pyspark").sql.functions.col("t"), model).alias("r")).first()["r"]
+    assert got == pytest.approx(sum(model[a * size + b] for a, b in zip(codes, codes[1:])))
+
+
+def test_mixing(documents):
+    rows = [(i, "w " * (i % 9), None, f"s{i % 3}") for i in range(300)] + [(None, "a b", None, None), (5, None, None, "s9"), (5, None, None, "s9")]
+    got = mixing.mix(documents(rows)).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    size, target, taken = Counter(), {}, Counter()
+    for r in got:
+        size[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+        taken[r["source"]] += r["taken"]
+    assert all(r["source_size"] == size[r["source"]] for r in got)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+    weights, level, capped = dict(zip(sorted(size, key=lambda s: (s is None, s)), (5, 2, 1, 5, 2))), 0, set()
+    while True:  # shares again and again until none is above
+        level = (1.5 * sum(size.values()) - sum(2 * size[s] for s in capped)) / sum(w for s, w in weights.items() if s not in capped)
+        more = {s for s, w in weights.items() if s not in capped and level * w > 2 * size[s]}
+        if not more:
+            break
+        capped |= more
+    assert all(target[s] == pytest.approx(2 * size[s] if s in capped else level * w) for s, w in weights.items())
+    assert all(abs(taken[s] - target[s]) <= 18 for s in size)
+    assert sorted(map(tuple, mixing.mix(documents(rows, 5)).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert mixing.mix(documents(rows).limit(0)).count() == 0
+
+
+def test_packing(documents, prose):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["", None, " ", "\n", "a  b\n\nc ", "it's 'x'.s we'll,don't \t é😀", "<|endoftext|> x <|endoftext|>", "x" * 5000, "1.5,2;3|##" * 300, "\x1c \x85 a"]
+    rows = [(i, prose(i, 40 * i)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(odd)]
+    got = packing.pack(documents(rows, 3)).collect()
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, t in rows}
+    pieces, sequences = {}, {}
+    for r in got:
+        assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        assert r["doc_tokens"] == len(ids[r["doc_id"]])
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, x in ids.items():
+        at = 0
+        for start, n in sorted(pieces[i]):
+            assert start == at
+            at += n
+        assert at == len(x)
+    for x in sequences.values():
+        at = 0
+        for offset, n in sorted(x):
+            assert offset == at
+            at += n
+        assert at <= 1024 and at & (at - 1) == 0  # nothing is padded
+    assert packing.pack(documents(rows).limit(0)).count() == 0
+
+
+LANGS = {"en": "the of and to in is that it was for on are as with his they at be this from".split(), "fr": "le la les de des et un une que est pour dans par avec sur pas plus au ce il".split(), "ru": "и в не на я быть он с что это весь по но они к у ты из мы за".split()}
+
+
+def test_language(documents, spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(LANGS[lang]) for _ in range(30)), lang) for i, lang in enumerate(["en", "fr", "ru"] * 30)]
+    model = language.train(documents(rows).select("doc_id", "text", "lang"), 60)
+    mixed = " ".join(LANGS["en"] * 2) + ". " + " ".join(LANGS["fr"]) + "!"
+    odd = [(1, None), (2, ""), (3, "123 … 456"), (4, mixed), (None, "the and of"), (6, "что это быть"), (6, "le la les des"), (7, "the of and " * 5000)]
+    got = language.languages(documents(odd), language.predictor(spark, model)).collect()
+    by = {(r["doc_id"], r["lang_pred"]): r for r in got}
+    assert len(got) == len(odd) and all(0 <= r["score"] <= 1 for r in got)
+    assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "en"), (6, "ru"), (6, "fr"), (7, "en")} == set(by)
+    spans = [x.split(":") for x in by[4, "en"]["spans"].split(",")]
+    assert [s[0] for s in spans] == ["en", "fr"] and abs(int(spans[1][1]) - mixed.index("le la")) < 12
+    none = language.languages(documents(odd), language.predictor(spark, language.train(documents([]).select("doc_id", "text", "lang"))))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    model = language.Model([], [("a", "\n\n", "x", 5), ("a", "\nx", "\n", 5), ("b", "\n\n", "y", 5), ("b", "\ny", "\n", 5)])
+    scores = {"x": [0.0, -4.0], "y": [-5.0, 0.0], "z": [-1.0, 0.0]}
+    model.score = lambda w: scores[w]
+    label = language.labeller(model)
+    for words in itertools.product("xyz", repeat=7):
+        best = max(sum(scores[w][i] for w, i in zip(words, p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:])) for p in itertools.product((0, 1), repeat=7))
+        spans = label(" ".join(words))[2]
+        path = [next(i for i, n in enumerate("ab") if any(s == n and a <= 2 * k < b for s, a, b in spans)) for k in range(7)]
+        assert sum(scores[w][i] for w, i in zip(words, path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:])) == pytest.approx(best)
+
+
+def test_quality(documents, spark):
+    import random
+
+    r = random.Random(5)
+    good = lambda: " ".join(r.choice(LANGS["en"]) for _ in range(25)).capitalize() + "."
+    bad = lambda: " ".join(r.choice(LANGS["en"]).upper() + r.choice(["!!", "###"]) for _ in range(25))
+    rows = [(i, good() if i % 4 else bad()) for i in range(160)]
+    labelled = documents(rows).selectExpr("doc_id", "text", "if(doc_id % 4 = 0, 0, 1) AS label")
+    model = quality.train(labelled.where("doc_id < 120"), 100)
+    got = {x["doc_id"]: x for x in quality.quality(documents(rows + [(900, None), (901, ""), (902, "x" * 100_000)]), model).collect()}
+    assert all(got[i]["predicted"] == (1 if i % 4 else 0) for i in range(160)) and all(0 <= x["score"] <= 1 for x in got.values())
+    one = quality.train(labelled.where("label = 1"), 100)
+    assert {x["score"] for x in quality.quality(documents(rows), one).collect()} == {1.0}
+    assert quality.quality(documents(rows).limit(0), model).count() == 0
+
+
+def test_descent_satisfies_the_optimality_conditions():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(40, 5))
+    y = np.where(x @ np.ones(5) + r.normal(size=40) > 0, 1.0, -1.0)
+    w = quality.descend([(np.arange(5), v) for v in x], y, [0.5] * 40, 5, rounds=2000)
+    loss = lambda w: 0.5 * w @ w + 0.5 * np.maximum(0, 1 - y * (x @ w)).sum()
+    assert all(loss(w) <= loss(w + 0.01 * d) + 1e-4 for d in r.normal(size=(200, 5)))
