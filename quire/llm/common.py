@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,15 +59,23 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
 
 
-def worker_state(key, build):
-    """build()'s value, kept in this Python worker from one task to the next."""
+def worker_state(key, build, most: int = 8):
+    """build()'s value, kept in this Python worker from one task to the next; the worker keeps the last `most` of them."""
     state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state"))
     kept = state.__dict__.setdefault("kept", {})
     if key not in kept:
+        while len(kept) >= most:
+            kept.pop(next(iter(kept)))
         kept[key] = build()
     return kept[key]
 
 
+def shipped(spark: SparkSession, value):
+    """A function that gives `value` (bounded) on any worker: it is broadcast with its classes, so executors need no copy of this package."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: worker_state(key, lambda: pickle.loads(sent.value))
+
+
 #: Slots of the bitmap that thins out rows before a join: 1 MB, whatever the data.
 SLOTS = 1 << 23
 

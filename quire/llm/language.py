@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, remainder, table, worker_state
+from quire.llm.common import bounded_sample, remainder, shipped, table, worker_state
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled documents the model is fitted on, about; words it keeps, the most frequent ones of each language; the least count of one.
@@ -169,11 +169,11 @@ RESULT = "struct<lang:string,score:double,spans:string>"
 
 def predictor(spark, model: Model | None):
     """A column function: text to (lang, score, spans). The model is bounded, so it is broadcast."""
-    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, key = shipped(spark, model), uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        label = worker_state(("language", key), lambda: labeller(sent.value)) if sent.value else lambda t: ("und", 0.0, [])
+        label = worker_state(("language", key), lambda: labeller(sent())) if sent() else lambda t: ("und", 0.0, [])
         found = [label(t or "") for t in texts]
         return pd.DataFrame({"lang": [x[0] for x in found], "score": [x[1] for x in found], "spans": [",".join(f"{a}:{s}:{e}" for a, s, e in x[2]) for x in found]})
 

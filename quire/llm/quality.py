@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, remainder, table, worker_state
+from quire.llm.common import bounded_sample, remainder, shipped, table, worker_state
 
 TOKENS = re.compile(r"[^\W\d_]+|[\d_]+|\n|[^\w\s]{1,3}")
 #: Labelled documents the model is fitted on, about; hashed features; frequent words that stay words (others become their shape).
@@ -81,13 +81,11 @@ class Model:
         import numpy as np
 
         self.common, y = common, np.where(np.array(labels) == 1, 1.0, -1.0)
-        self.margin = lambda f: 0.0
         if len(set(labels)) < 2:  # nothing to tell apart
             self.weights, self.slope, self.middle = np.zeros(FEATURES), 0.0, 0.0
             self.only = float(labels[0]) if labels else 0.5
             return
         self.only = None
-        del self.margin
         folds, margins = np.arange(len(samples)) % 3, np.zeros(len(samples))
         for k in range(3):
             w = self.fit([s for s, f in zip(samples, folds) if f != k], y[folds != k])
@@ -157,12 +155,12 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     like others; an empty table gives an empty result; with one label only, all get that label. Other columns are not read. The
     model is bounded, so it is broadcast; rows are taken one by one and nothing is shuffled.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, common = shipped(docs.sparkSession, model), tuple(model.common)
 
     def run(batches):
-        features = worker_state(("quality", tuple(sent.value.common)), lambda: extractor(sent.value.common))
+        features, model = worker_state(("quality", common), lambda: extractor(list(common))), sent()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sent.value.score(features(t.as_py() or "")) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(features(t.as_py() or "")) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return got.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
