@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 ROMAN = r"^(?i)(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def normalized(c):
@@ -77,7 +78,7 @@ def created_at(c):
     return F.coalesce(F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), c)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters (longest matching blocks); batches come by Arrow."""
     from difflib import SequenceMatcher
@@ -85,7 +86,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(c: pd.Series) -> pd.Series:
     """A text without diacritics; there is no built-in for it."""
     import unicodedata
@@ -94,7 +95,7 @@ def without_marks(c: pd.Series) -> pd.Series:
     return c.map(strip, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(c: pd.Series) -> pd.Series:
     """Compatibility composition (NFKC)."""
     import unicodedata

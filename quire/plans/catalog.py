@@ -45,7 +45,7 @@ def normalized_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END END::INT AS n FROM (SELECT doc_id, text, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]') AS l FROM documents)")
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END END::INT AS n FROM (SELECT doc_id, text, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]') AS l FROM documents)")
 def split_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.split_lines(F.col("text"))).alias("n"))
 
