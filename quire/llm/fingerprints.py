@@ -25,16 +25,24 @@ def signatures(text):
     FEWEST chains each word is an anchor; one that has none even so has one signature, of its words (or, without words, of itself);
     an empty text has none. So equal texts have equal signatures.
     """
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    common, anchors = "|".join(COMMON), "|".join(ANCHORS)
-    skipped = f"(?:(?:{common}) )*+"
-    after = lambda anchor: F.regexp_extract_all(words, F.lit(rf"(?<= )(?=({anchor} {(skipped + '[^ ]++ ') * CHAIN}))"), F.lit(1))
-    chains = after(f"(?:{anchors})")
-    chains = F.when(F.size(chains) < FEWEST, after("[^ ]++")).otherwise(chains)
-    chains = F.transform(chains, lambda c: F.regexp_replace(c, rf"(?<= )(?:(?:{common}) )++", ""))
-    whole = F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("="), F.when(F.trim(words) == "", text).otherwise(words))))
-    chains = F.when(F.size(chains) > 0, chains).otherwise(whole)
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c), 1, 8))))
+    anchors, others = "|".join(ANCHORS), "|".join(w for w in COMMON if w not in ANCHORS)
+    chain = lambda anchor: F.lit(rf"(?<= )(?=({anchor} {'(?:\x01[^ ]++ )*+[^ ]++ ' * CHAIN}))")
+    none = F.expr("cast(array() as array<string>)")
+
+    def of(words):
+        whole = F.when(text == "", none).otherwise(F.array(F.concat(F.lit("="), F.when(F.trim(words) == "", text).otherwise(words))))
+        # Other common words go, and anchors get a mark, so that chains are found and cleared of anchors by plain patterns.
+        marked = F.regexp_replace(F.regexp_replace(words, rf"(?<= )(?:(?:{others}) )++", ""), rf"(?<= )(?=(?:{anchors}) )", "\x01")
+        return let(marked, lambda m: let(F.regexp_extract_all(m, chain(r"\x01[^ ]++"), F.lit(1)), lambda c: F.when(F.size(c) >= FEWEST, c).otherwise(let(F.regexp_extract_all(m, chain("[^ ]++"), F.lit(1)), lambda e: F.when(F.size(e) > 0, e).otherwise(whole)))))
+
+    # Characters beyond ASCII count as letters.
+    chains = let(F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9\x{80}-\x{10ffff}]+", " "), F.lit(" ")), of)
+    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(F.regexp_replace(c, r"(?<= )\x01[^ ]++ ", "")), 1, 8))))
+
+
+def let(value, body):
+    """body of the value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def likeness(a, b, least: float = 0.0):

@@ -91,12 +91,13 @@ def test_fingerprints(documents, prose):
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(documents(rows)).collect()}
 
     def signatures(t):
-        w = re.findall(r"[^\W_]+", t.lower())
-        chains = lambda anchor: {" ".join([x, *c]) + " " for i, x in enumerate(w) if anchor(x) for c in [[y for y in w[i + 1 :] if y not in fingerprints.COMMON][:2]] if len(c) == 2}
-        every = [1 for i, x in enumerate(w) if x in fingerprints.ANCHORS and len([y for y in w[i + 1 :] if y not in fingerprints.COMMON]) >= 2]
-        out = chains(lambda x: x in fingerprints.ANCHORS) if len(every) >= fingerprints.FEWEST else chains(lambda x: True)
-        words = " " + re.sub(r"[\W_]+", " ", t.lower()) + " "
-        return {hashlib.md5(c.encode()).hexdigest()[:8] for c in out or ({"=" + (words if w else t)} if t else ())}
+        w = [x for x in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower()) if x in fingerprints.ANCHORS or x not in fingerprints.COMMON]
+        mark = lambda x: ("\x01" if x in fingerprints.ANCHORS else "") + x
+        chains = [(x, c) for i, x in enumerate(w) for c in [[y for y in w[i + 1 :] if y not in fingerprints.ANCHORS][:2]] if len(c) == 2]
+        some = [(x, c) for x, c in chains if x in fingerprints.ANCHORS]
+        out = {" ".join([mark(x), *c]) + " " for x, c in (some if len(some) >= fingerprints.FEWEST else chains)}
+        words = " " + re.sub(r"[^a-z0-9\u0080-\U0010ffff]+", " ", t.lower()) + " "
+        return {hashlib.md5(c.encode()).hexdigest()[:8] for c in out or ({"=" + (words if words.strip() else t)} if t else ())}
 
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, t) in enumerate(rows):
