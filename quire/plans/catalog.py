@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import pages as P
 from quire.functions import rects as R
 from quire.functions import text as T
-from quire.operators import classify, evaluate, lines, outline, stats, store, trees, triage
+from quire.operators import blocks, bookmarks, classify, evaluate, lines, outline, stats, store, summaries, trees, triage
 from quire.plans import inputs
 from quire.plans.inputs import sql, table
 
@@ -201,9 +201,62 @@ def doc_stats(spark, d):
     return stats.doc_stats(stats.page_stats(inputs.spans(spark, d))).select("doc_id", "n_pages", "n_chars", F.round("mean_size", 6).alias("mean_size"))
 
 
+ROWS = """, y AS (SELECT *, ("top" + bottom) / 2 AS cy, "top" - bottom AS h FROM spans),
+  z AS (SELECT *, CASE WHEN lag(cy) OVER w - cy <= 0.5 * greatest(lag(h) OVER w, h) THEN 0 ELSE 1 END AS new FROM y WINDOW w AS (PARTITION BY doc_id, page ORDER BY cy DESC, "left", ix)),
+  rowed AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY cy DESC, "left", ix)::BIGINT AS row FROM z)"""
+
+
+@query(sql(ROWS + " SELECT doc_id, page, ix, row FROM rowed", "spans"))
+def page_rows(spark, d):
+    return blocks.rows(inputs.spans(spark, d)).select("doc_id", "page", "ix", "row")
+
+
+@query(sql(ROWS + """, p AS (SELECT *, CASE WHEN "left" - max("right") OVER (PARTITION BY doc_id, page, row ORDER BY "left", ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 2.0 * ("right" - "left") / greatest(length(text), 1) THEN 0 ELSE 1 END AS n2 FROM rowed),
+  q AS (SELECT *, sum(n2) OVER (PARTITION BY doc_id, page, row ORDER BY "left", ix)::BIGINT AS part FROM p)
+  SELECT doc_id, page, row, part, min("left") AS "left", max("right") AS "right", max("top") AS "top", min(bottom) AS bottom, count(*) AS n, string_agg(text, ' ' ORDER BY "left", ix) AS text FROM q GROUP BY doc_id, page, row, part""", "spans"))
+def merged_rows(spark, d):
+    return blocks.merged_rows(blocks.rows(inputs.spans(spark, d)))
+
+
+BLOCKS = """, c AS (SELECT *, floor("left" / 200)::INT AS "column" FROM spans), k AS (SELECT *, CASE WHEN lag(bottom) OVER w - "top" <= 1.5 * ("top" - bottom) AND abs(lag(size) OVER w - size) <= 0.5 AND lag(bold) OVER w = bold THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY doc_id, page, "column" ORDER BY "top" DESC, "left", ix)),
+  blocked AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, "column" ORDER BY "top" DESC, "left", ix)::BIGINT AS block FROM k)"""
+
+
+def blocked(spark, d):
+    return blocks.blocks(inputs.spans(spark, d).withColumn("column", F.floor(F.col("left") / 200).cast("int")))
+
+
+@query(sql(BLOCKS + ' SELECT doc_id, page, ix, "column", block FROM blocked', "spans"))
+def page_blocks(spark, d):
+    return blocked(spark, d).select("doc_id", "page", "ix", "column", "block")
+
+
+@query(sql(BLOCKS + r""", b AS (SELECT doc_id, page, "column", block, min("left") AS "left", max("right") AS "right", max("top") AS "top", min(bottom) AS bottom, count(*) AS n_boxes, sum(length(text))::BIGINT AS n_chars, sum(size * length(text)) / sum(length(text)) AS size, sum(CASE WHEN bold THEN length(text) ELSE 0 END) / sum(length(text)) AS bold_share,
+  sum(len(regexp_extract_all(text, '\p{Lu}'))) > 2 * sum(len(regexp_extract_all(text, '\p{Ll}'))) AS caps, max("left") - min("left") AS l, max("right") - min("right") AS r FROM blocked GROUP BY doc_id, page, "column", block)
+  SELECT doc_id, page, "column", block, n_boxes, n_chars, caps, CASE WHEN l <= greatest(1.0, ("right" - "left") / 20) AND r <= greatest(1.0, ("right" - "left") / 20) THEN 1 WHEN l <= greatest(1.0, ("right" - "left") / 20) THEN 2 WHEN r <= greatest(1.0, ("right" - "left") / 20) THEN 4 ELSE 5 END AS alignment,
+  round(size + CASE WHEN caps THEN 2 ELSE 0 END + CASE WHEN bold_share > 0.5 THEN 1 ELSE 0 END, 6) AS heading_score FROM b""", "spans"))
+def block_stats(spark, d):
+    return blocks.block_stats(blocked(spark, d)).select("doc_id", "page", "column", "block", "n_boxes", "n_chars", "caps", "alignment", F.round("heading_score", 6).alias("heading_score"))
+
+
+@query()
+def page_columns(spark, d):
+    """Cuts that depend on the cuts before; tested on made pages."""
+    return blocks.columns(inputs.spans(spark, d))
+
+
 # Classification and headings
 
 
+@query(sql(""", e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln) AS u, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln DESC) AS v FROM lines WHERE length(text) > 0),
+  n AS (SELECT *, CASE WHEN u <= 2 THEN 1 ELSE 2 END AS kind, regexp_replace(text, '[0-9]+', '#', 'g') AS key FROM e WHERE u <= 2 OR v <= 2), pg AS (SELECT doc_id, count(DISTINCT page) AS pages FROM lines GROUP BY doc_id),
+  o AS (SELECT doc_id, kind, key FROM n JOIN pg USING (doc_id) GROUP BY doc_id, kind, key, pages HAVING count(DISTINCT page) >= greatest(3, ceil(pages * 0.25)))
+  SELECT doc_id, page, ln, kind FROM (SELECT *, lag(page) OVER w AS p, lead(page) OVER w AS q FROM n WINDOW w AS (PARTITION BY doc_id, kind, text ORDER BY page, ln)) x
+  WHERE page - p BETWEEN 1 AND 3 OR q - page BETWEEN 1 AND 3 OR EXISTS (SELECT 1 FROM o WHERE o.doc_id = x.doc_id AND o.kind = x.kind AND o.key = x.key)""", "lines"))
+def heads_and_feet(spark, d):
+    return blocks.heads_and_feet(inputs.lines(spark, d))
+
+
 @query(sql(""", f AS (SELECT doc_id, page, arg_min(text, ln) AS text FROM lines GROUP BY ALL), n AS (SELECT *, lag(page) OVER w AS p, lead(page) OVER w AS q FROM f WINDOW w AS (PARTITION BY doc_id, text ORDER BY page))
   SELECT doc_id, page, text FROM n WHERE page - p <= 3 OR q - page <= 3""", "lines"))
 def running_heads(spark, d):
@@ -479,3 +532,41 @@ def union_boxes(spark, d):
     box = R.rect(F.col("left"), F.col("right"), F.col("top"), F.col("bottom"))
     b = s.withColumn("b", box).withColumn("n", F.lead("b").over(w)).withColumn("nix", F.lead("ix").over(w)).where("nix = ix + 1").withColumn("u", R.union(F.col("b"), F.col("n")))
     return b.select("doc_id", "page", "ix", (F.col("u.right") - F.col("u.left")).alias("width"))
+
+
+@query(sql("SELECT doc_id, ord, title, level, page FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, title) AS c FROM bookmarks) WHERE c < 3 AND length(title) <= 100", "bookmarks"))
+def pruned_bookmarks(spark, d):
+    return bookmarks.pruned(inputs.bookmarks(spark, d))
+
+
+@query(sql(", k AS (SELECT doc_id, ord, page, lower(replace(title, ' ', '')) AS k FROM bookmarks), n AS (SELECT doc_id, ord, start_page AS p, lower(replace(title, ' ', '')) AS k FROM nodes) SELECT DISTINCT n.doc_id, n.ord, k.ord AS b_ord FROM n JOIN k ON n.doc_id = k.doc_id AND abs(n.p - k.page) <= 1 AND (n.k = k.k OR ends_with(n.k, k.k) OR ends_with(k.k, n.k) OR n.p = k.page)", *TREE))
+def same_headings(spark, d):
+    """All titles here are alike ("Part n"), so a shared page alone makes them the same."""
+    return bookmarks.same_headings(nodes_of(spark, d), inputs.bookmarks(spark, d))
+
+
+@query(sql(UP + " SELECT doc_id, anc AS ord, max(dist) AS height FROM up GROUP BY ALL", *TREE))
+def summary_levels(spark, d):
+    return summaries.summary_levels(nodes_of(spark, d), 3)
+
+
+@query(sql("SELECT doc_id, page - 1 AS ord, 'Page ' || page AS title, page AS start_page, page AS end_page FROM page_text", "lines", "page_text"))
+def page_nodes(spark, d):
+    return summaries.page_nodes(inputs.page_text(spark, d))
+
+
+@query(sql(", f AS (SELECT doc_id, min(start_page) AS s FROM nodes GROUP BY doc_id HAVING min(start_page) > 1) SELECT doc_id, ord, title, start_page, end_page FROM nodes UNION ALL SELECT doc_id, -1, 'Preface', 1, s - 1 FROM f", *TREE))
+def prefaced_trees(spark, d):
+    return summaries.prefaced(nodes_of(spark, d))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{L}\p{N}]+'), lambda w: ceil(length(w) / 4))), 0)::INT AS tokens FROM conversations""")
+def token_estimates(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", summaries.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(sql(", t AS (SELECT doc_id, count(*) AS n, count(DISTINCT title) AS titles, max(level) AS depth FROM bookmarks GROUP BY doc_id), tier AS (SELECT doc_id, CASE WHEN n < 3 OR 4 * titles <= n THEN 'ignore' WHEN depth >= 2 AND n >= greatest(6, n_pages // 20) THEN 'full' ELSE 'skeleton' END AS tier FROM t JOIN doc_pages USING (doc_id)), g AS (SELECT doc_id, count(*) AS tops FROM nodes WHERE parent_ord IS NULL GROUP BY doc_id) SELECT coalesce(tier.doc_id, g.doc_id) AS doc_id, CASE WHEN tier = 'full' THEN 'bookmarks' WHEN tier = 'skeleton' AND coalesce(tops, 0) > 0 THEN 'hybrid' WHEN tier = 'skeleton' THEN 'bookmarks' WHEN coalesce(tops, 0) > 0 THEN 'detected' ELSE 'pages' END AS source FROM tier FULL JOIN g ON tier.doc_id = g.doc_id", *TREE))
+def toc_sources(spark, d):
+    n = inputs.doc_pages(spark, d)
+    tiers = outline.bookmark_tiers(inputs.bookmarks(spark, d), n)
+    return bookmarks.toc_source(tiers, outline.outline_gate(nodes_of(spark, d), n))
