@@ -4,7 +4,7 @@ Index level: each distinct set puts its prefix (rarest n-grams first) into index
 of set size, entries too small are skipped as a block, and an entry is skipped where the positions leave too little to share.
 Answer level: in a list, a set is compared with a leader first. Sets found similar to a leader share its class, so their links among
 one another need no comparison; what a set has in common with its leader bounds what it can share with the leader's other sets, and
-only pairs that this bound leaves open are compared.
+only pairs that this bound leaves open, and what their prefixes share, are compared by their texts.
 """
 
 from __future__ import annotations
@@ -229,6 +229,20 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return cols.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by what their prefixes share.
+
+    Of two sets in one order of rarity, what they share is in both prefixes, or lies beyond the prefix that ends first; so it is at
+    most what the prefixes share and the larger of the parts beyond them.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = only_ids(reps, "doc_id", ids).select("doc_id", "n", "prefix")
+    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.size(F.array_intersect("ap", "bp")) + F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
+    return both.where((100 + percent) * most >= percent * (F.col("an") + F.col("bn"))).select("a", "b")
+
+
 def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b, shared, linked for pairs (a, b) of ids; docs has doc_id and text, one row for each id. Texts travel, as they are shorter than their sets."""
 
@@ -272,15 +286,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = saved(sets(texts, k, percent), "sets").where("digest is not null")
     first = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
     reps = known.join(first.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
+    reps = saved(reps, "reps")
     lists = saved(index_lists(reps, percent), "lists")
-    to_leaders = saved(compared(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), texts, k, percent), "compared")
+    first_pairs = saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    to_leaders = saved(compared(saved(plausible(first_pairs, reps, percent), "plausible"), texts, k, percent), "compared")
     linked = to_leaders.where("linked").select("a", "b")
     comp = components(linked)
     more = lists.join(comp, lists["doc"] == comp["id"], "left").select("token", "n", "doc", "pos", "leader", F.coalesce("component", "doc").alias("component"))
     split = more.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     more = more.join(split, "token").join(to_leaders.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "shared"), ["doc", "leader"], "left")
     more = more.withColumn("shared", F.when(F.col("doc") == F.col("leader"), F.col("n")).otherwise(F.col("shared")))
-    rest = saved(compared(saved(open_pairs(more, percent), "open"), texts, k, percent), "compared")
+    rest = saved(compared(saved(plausible(saved(open_pairs(more, percent), "open"), reps, percent), "plausible"), texts, k, percent), "compared")
     comp = components(comp.where("id <> component").select("id", "component").union(rest.where("linked").select("a", "b")))
     out = known.join(first, "digest").select("doc_id", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = every.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(out.dropDuplicates(["doc_id"]), "doc_id", "left")
