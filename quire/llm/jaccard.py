@@ -20,6 +20,8 @@ from quire.llm.graph import components
 
 #: N-grams known as frequent, at most; they go last in the order of rarity. The order decides speed only, never what links.
 MOST_FREQUENT = 200_000
+#: Bits of a set's bitmap, at least.
+FEWEST_BITS = 256
 #: Documents counted together; an n-gram counts as frequent among them from so many documents on, or so large a share.
 BATCH_DOCS, LEAST_DOCS, LEAST_SHARE = 1000, 4, 0.004
 
@@ -81,7 +83,7 @@ def frequent(docs: DataFrame, k: int) -> list[tuple[int, int]]:
 
 
 def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), prefix (hashes in order of rarity) for each row of doc_id and text."""
+    """doc_id, n (set size), digest and bits (a bitmap) of the set, prefix (hashes in order of rarity) for each row of doc_id and text."""
     import numpy as np
 
     often = sorted(frequent(docs, k))
@@ -97,18 +99,30 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for text in b.column(1):
                 s = shingles(text.as_py() or "")
                 n = len(s)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None
+                digest, bits = (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), parity(s, n)) if n else (None, None)
                 if n and len(known):
                     at = np.minimum(known.searchsorted(s), len(known) - 1)
                     hit = known[at] == s
                     if hit.any():
                         s = np.concatenate([s[~hit], s[hit][np.argsort(counts[at[hit]], kind="stable")]])
-                rows.append((n, digest, s[: n - -(-percent * n // 100) + 1].view(np.int64) if n else s.view(np.int64)))
-            offsets = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(offsets, np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), prefix], names=["doc_id", "n", "digest", "prefix"])
+                rows.append((n, digest, bits, s[: n - -(-percent * n // 100) + 1].view(np.int64) if n else s.view(np.int64)))
+            offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(offsets, np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), prefix], names=["doc_id", "n", "digest", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, prefix array<long>")
+
+
+def parity(s, n: int):
+    """A bitmap of the set s: the parity of the hashes that fall on each bit. Its bits are the power of two from n on, FEWEST_BITS at least.
+
+    Sets differ in at least as many elements as their bitmaps in bits, and a bitmap folds to half its bits by exclusive or.
+    """
+    import numpy as np
+
+    size = max(FEWEST_BITS, 1 << (n - 1).bit_length())
+    odd = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def by_list(batches, row):
@@ -180,9 +194,10 @@ def index_lists(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of sets of different classes that share a list and whose sizes, positions and common leader leave open whether they link.
+    """a, b: pairs of sets of different classes that share a list and whose sizes, positions, common leader and bitmaps leave open whether they link.
 
-    lists: token, n, doc, pos, leader, shared (with the leader; null if not known), component.
+    lists: token, n, doc, pos, leader, shared (with the leader; null if not known), component, bits. Sizes of linked sets are less
+    than a factor of two apart, so one bitmap is folded once at most.
     """
 
     def run(batches):
@@ -191,10 +206,25 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         out, size = [], 0
 
         def pairs(cols):
-            _, n, doc, pos, leader, shared, comp = cols
+            _, n, doc, pos, leader, shared, comp, bits = cols
             if (comp == comp[0]).all():
                 return None
             a, b = [], []
+            size = np.array([len(x) for x in bits])
+            words = [np.frombuffer(x, np.uint64) for x in bits]
+            own, half = {}, {}
+            for w in np.unique(size):
+                at = np.flatnonzero(size == w)  # consecutive, as sizes rise
+                own[w] = at[0], np.stack([words[i] for i in at])
+                half[w // 2] = at[0], own[w][1][:, : w // 16] ^ own[w][1][:, w // 16 :]
+
+            def differing(i, j):
+                out = np.zeros(len(j), dtype=np.int64)
+                for same, (first, rows) in ((size[j] == size[i], own[size[i]]), (size[j] == 2 * size[i], half.get(size[i], (0, None)))):
+                    if same.any():
+                        out[same] = np.bitwise_count(rows[j[same] - first] ^ words[i]).sum(1)
+                return out
+
             ends = np.searchsorted(n, 100 * n // percent, side="right")
             for i in range(len(n)):
                 j = np.arange(i + 1, ends[i])
@@ -206,6 +236,8 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
                 same = (leader[j] == leader[i]) & (shared[i] >= 0) & (shared[j] >= 0)
                 ok &= ~same | (np.minimum(shared[j] + n[i] - shared[i], shared[i] + n[j] - shared[j]) >= wanted)
                 ok &= (leader[j] != doc[i]) & (leader[i] != doc[j])  # compared before
+                j, wanted = j[ok], wanted[ok]
+                ok = n[i] + n[j] - differing(i, j) >= 2 * wanted
                 a.append(np.full(int(ok.sum()), doc[i]))
                 b.append(doc[j[ok]])
             return (np.concatenate(a), np.concatenate(b)) if a else None
@@ -225,7 +257,7 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         if out:
             yield batch()
 
-    cols = lists.select("token", "n", "doc", "pos", "leader", F.coalesce("shared", F.lit(-1).cast("long")).alias("shared"), "component")
+    cols = lists.select("token", "n", "doc", "pos", "leader", F.coalesce("shared", F.lit(-1).cast("long")).alias("shared"), "component", "bits")
     return cols.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -285,7 +317,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = texts.join(several, "doc_id", "anti").union(texts.join(several, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
         known = saved(sets(texts, k, percent), "sets").where("digest is not null")
     first = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
-    reps = known.join(first.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
+    reps = known.join(first.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("doc_id", "n", "bits", "prefix").dropDuplicates(["doc_id"])
     reps = saved(reps, "reps")
     lists = saved(index_lists(reps, percent), "lists")
     first_pairs = saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
@@ -296,6 +328,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split = more.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     more = more.join(split, "token").join(to_leaders.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "shared"), ["doc", "leader"], "left")
     more = more.withColumn("shared", F.when(F.col("doc") == F.col("leader"), F.col("n")).otherwise(F.col("shared")))
+    more = more.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
     rest = saved(compared(saved(plausible(saved(open_pairs(more, percent), "open"), reps, percent), "plausible"), texts, k, percent), "compared")
     comp = components(comp.where("id <> component").select("id", "component").union(rest.where("linked").select("a", "b")))
     out = known.join(first, "digest").select("doc_id", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
