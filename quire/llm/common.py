@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import tempfile
+import time
 import types
 import uuid
 
@@ -46,6 +48,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver has collected what refers to them."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+
+
 def remainder(id_col, n: int):
     """crc32(id as text) mod n, the fold of a document."""
     return F.crc32(F.col(id_col).cast("string")) % n

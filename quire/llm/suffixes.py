@@ -7,14 +7,13 @@ which of them are repeated is decided inside a bucket, by its transform alone. K
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import saved
+from quire.llm.common import freed, saved
 
 #: Bytes of the pieces whose hashes deal out passages; bytes of text for a bucket of passages, and for a group of documents, about.
 GRAM, BUCKET_BYTES, GROUP_BYTES = 20, 1 << 20, 8 << 20
@@ -66,22 +65,35 @@ def passages(data, length: int):
     return (np.concatenate(starts), np.concatenate(ends), np.concatenate(keys)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def suffix_order(text, least: int):
-    """Positions of the suffixes of the integers `text`, ordered by their first `least` symbols at least, by doubling."""
+def suffix_order(text, separators: int, least: int):
+    """Positions of the suffixes of the symbols `text`, ordered by their first `least` symbols at least, by doubling from seven.
+
+    Symbols below `separators` occur once each; the others are at most 256 more.
+    """
     import numpy as np
 
-    rank, h = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while h < least:
-        more = np.zeros_like(rank)
-        more[:-h] = rank[h:] + 1
-        key = rank * (len(rank) + 1) + more
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+    n, h = len(text), 7
+    symbol = np.maximum(text - separators + 1, 0)
+    key, alive = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for d in range(h):
+        at = np.zeros(n, dtype=np.int64)
+        at[: n - d] = symbol[d:]
+        key = key << 9 | at * alive
+        alive &= at > 0
+    # A key that ends at a separator stands alone: equal ones keep the order of their separators.
+    order = np.argsort(key, kind="stable")
+    rank, cuts = np.empty(n, dtype=np.int64), (key[order][1:] != key[order][:-1]) | ~alive[order][1:]
+    while True:
+        new = np.concatenate([[0], np.cumsum(cuts)])
         rank[order] = new
+        if h >= least or new[-1] == n - 1:
+            return order
+        more = np.zeros(n, dtype=np.int64)
+        more[: n - h] = rank[h:] + 1
+        key = rank * (n + 1) + more
+        order = np.argsort(key)
+        cuts = key[order][1:] != key[order][:-1]
         h *= 2
-        if new[-1] == len(rank) - 1:
-            break
-    return np.argsort(rank, kind="stable")
 
 
 def shared_prefixes(text, order, separators: int, least: int):
@@ -139,7 +151,7 @@ def repeated(chunks: list[bytes], smallest, length: int):
     letter[ends] = False
     text[letter] = np.frombuffer(b"".join(chunks), dtype=np.uint8).astype(np.int64) + m
     text[ends] = np.arange(m)
-    order = suffix_order(text, length)
+    order = suffix_order(text, m, length)
     group = np.cumsum(shared_prefixes(text, order, m, length)) - 1
     owner = np.repeat(np.arange(m), sizes + 1)[order]
     whole = order + length <= ends[owner]
@@ -314,19 +326,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     by_bucket = docs.mapInArrow(keys, "bucket long, keys binary, docs binary").groupBy("bucket")
     wanted = saved(by_bucket.applyInArrow(shared, "grp long, bucket long, keys binary"), "keys")
+    del by_bucket
     freed(spark)
     texts = docs.withColumn("grp", F.coalesce(F.pmod(F.pmod("doc_id", F.lit(PRIME)), F.lit(groups)), F.pmod(F.octet_length("text"), F.lit(groups))).cast("long"))
     found = texts.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(cut_out, "bucket long, sizes binary, chunks binary, ix binary, docs binary, numbers binary, starts binary")
     spans = saved(found.groupBy("bucket").applyInArrow(judged, "grp long, docs binary, numbers binary, starts binary, ends binary"), "spans")
+    del found
     freed(spark)
     return texts.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
