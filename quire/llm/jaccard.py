@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import only_ids, saved, worker_state
+from quire.llm.common import freed, only_ids, saved, worker_state
 from quire.llm.graph import components
 
 #: N-grams known as frequent, at most; they go last in the order of rarity. The order decides speed only, never what links.
@@ -322,6 +322,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = saved(index_lists(reps, percent), "lists")
     first_pairs = saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     to_leaders = saved(compared(saved(plausible(first_pairs, reps, percent), "plausible"), texts, k, percent), "compared")
+    freed(docs.sparkSession)
     linked = to_leaders.where("linked").select("a", "b")
     comp = components(linked)
     more = lists.join(comp, lists["doc"] == comp["id"], "left").select("token", "n", "doc", "pos", "leader", F.coalesce("component", "doc").alias("component"))
@@ -330,6 +331,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = more.withColumn("shared", F.when(F.col("doc") == F.col("leader"), F.col("n")).otherwise(F.col("shared")))
     more = more.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
     rest = saved(compared(saved(plausible(saved(open_pairs(more, percent), "open"), reps, percent), "plausible"), texts, k, percent), "compared")
+    freed(docs.sparkSession)
     comp = components(comp.where("id <> component").select("id", "component").union(rest.where("linked").select("a", "b")))
     out = known.join(first, "digest").select("doc_id", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = every.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(out.dropDuplicates(["doc_id"]), "doc_id", "left")
