@@ -21,7 +21,7 @@ from quire.llm.graph import components
 #: N-grams known as frequent, at most; they go last in the order of rarity. The order decides speed only, never what links.
 MOST_FREQUENT = 200_000
 #: Bits of a set's bitmap, at least.
-FEWEST_BITS = 256
+FEWEST_BITS = 1024
 #: Documents counted together; an n-gram counts as frequent among them from so many documents on, or so large a share.
 BATCH_DOCS, LEAST_DOCS, LEAST_SHARE = 1000, 4, 0.004
 
@@ -267,7 +267,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     Of two sets in one order of rarity, what they share is in both prefixes, or lies beyond the prefix that ends first; so it is at
     most what the prefixes share and the larger of the parts beyond them.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct())
     known = only_ids(reps, "doc_id", ids).select("doc_id", "n", "prefix")
     side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -293,7 +293,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 rows.append((a, c, both, 100 * both >= percent * (len(mine) + len(theirs) - both)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "shared", "linked"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct())
     texts = only_ids(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
     left = pairs.join(texts.withColumnRenamed("text", "x"), pairs["a"] == texts["id"]).select("a", "b", "x")
     both = left.join(texts.withColumnRenamed("text", "y"), left["b"] == texts["id"]).select("a", "b", "x", "y")
