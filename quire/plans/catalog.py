@@ -88,6 +88,12 @@ def without_marks(spark, d):
     return table(spark, d, "documents").where("lang in ('fr', 'es')").select("doc_id", F.md5(T.without_marks(F.lower("text"))).alias("digest"))
 
 
+@query("SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents")
+def texts_without_marks(spark, d):
+    """As without_marks, over the whole table: every language, and documents without one."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.without_marks(F.lower("text"))).alias("digest"))
+
+
 @query(r"SELECT l_orderkey, l_linenumber, regexp_replace(lower(trim('Chapter ' || l_linenumber || ' of ' || (l_partkey % 7))), '[0-9]+', '#', 'g') AS template FROM lineitem")
 def title_templates(spark, d):
     title = F.concat(F.lit("Chapter "), F.col("l_linenumber").cast("string"), F.lit(" of "), (F.col("l_partkey") % 7).cast("string"))

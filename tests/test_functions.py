@@ -7,6 +7,7 @@ from quire.functions import pages as P
 from quire.functions import rects as R
 from quire.functions import text as T
 from quire.operators import store, trees, triage
+from quire.plans import catalog
 
 
 def one(spark, column, **values):
@@ -104,3 +105,13 @@ def test_merging_follows_the_recursion(spark):
             todo += [] if o in dead else kids(o)
     got = trees.merged(spark.createDataFrame(rows, "doc_id long, ord int, parent_ord int, title string, start_page int, end_page int"))
     assert {(x["doc_id"], x["ord"]) for x in got.collect()} == want
+
+
+def test_marks_go_in_every_language(spark, tmp_path):
+    import hashlib
+
+    rows = [(1, "Überfluß", "de"), (2, "naïve", "en"), (3, "Élève", "fr"), (4, "señor", "es"), (5, "Žluťoučký", None), (6, None, "de"), (None, "ä", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["texts_without_marks"](spark, str(tmp_path)).collect()
+    plain = {1: "uberfluß", 2: "naive", 3: "eleve", 4: "senor", 5: "zlutoucky", 6: None, None: "a"}
+    assert {r["doc_id"]: r["digest"] for r in got} == {i: t and hashlib.md5(t.encode()).hexdigest() for i, t in plain.items()} and len(got) == len(rows)
