@@ -143,7 +143,9 @@ def labeller(model: Model, most: int = 300_000):
         sums = scores.sum(0)
         best = int(sums.argmax())
         gains = np.concatenate([np.zeros((1, len(langs))), (scores - scores[:, best : best + 1]).cumsum(0)])
-        if (gains - np.minimum.accumulate(gains, 0)).max() <= SWITCH:  # no stretch gains what one change costs, so no path that changes is better
+        # A path that uses the best label has as many changes as stretches of others, at least. One that never uses it has one change
+        # less than stretches, the first of which starts the text and the last of which ends it.
+        if (gains - np.minimum.accumulate(gains, 0)).max() <= SWITCH and gains.max() + (gains[-1] - gains).max() <= SWITCH:
             share, spans = 1.0, [(langs[best], 0, len(text))]
         else:
             labels, letters, spans = path(scores), [0] * len(langs), []

@@ -169,6 +169,22 @@ def test_viterbi_is_the_best_path():
         assert sum(scores[w][i] for w, i in zip(words, path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:])) == pytest.approx(best)
 
 
+def test_viterbi_is_the_best_path_of_three_labels():
+    import itertools
+
+    letters = [(lang, two, c, 5) for lang, w in zip("abc", "xyz") for two, c in (("\n\n", w), (f"\n{w}", "\n"))]
+    model, names = language.Model([], letters), "abc"
+    scores = {"x": [-5.0, 0.0, -30.0], "y": [-5.0, -30.0, 0.0], "z": [0.0, -4.0, -9.0]}
+    model.score = lambda w: scores[w]
+    label = language.labeller(model)
+    cost = lambda words, p: sum(scores[w][i] for w, i in zip(words, p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+    for n in (4, 5):
+        for words in itertools.product("xyz", repeat=n):
+            spans = label(" ".join(words))[2]
+            path = [next(i for i, name in enumerate(names) if any(s == name and a <= 2 * k < b for s, a, b in spans)) for k in range(n)]
+            assert cost(words, path) == pytest.approx(max(cost(words, p) for p in itertools.product(range(3), repeat=n))), words
+
+
 def test_quality(documents, spark):
     import random
 
