@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_sample, remainder, shipped, table, worker_state
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: A run of letters is a word; a longer one than this is cut into successive pieces, each of which is a word.
+LONGEST = 40
+WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 #: Labelled documents the model is fitted on, about; words it keeps, the most frequent ones of each language; the least count of one.
 SAMPLE_ROWS, MOST_WORDS, LEAST = 8000, 30_000, 3
 #: What a change of language costs in a text, in nats; weight of the word table against the character model; what a word in a script that a language does not use costs it.
@@ -36,14 +38,14 @@ def lower(text: str) -> str:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, n of columns lang and text."""
+    """lang, word, n of columns lang and text; long runs of letters count by their pieces."""
 
     def run(batches):
         for b in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 found.setdefault(lang, Counter()).update(WORDS.findall(lower(text.as_py() or "")))
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items() if len(w) <= 40]
+            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     return docs.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -80,14 +82,14 @@ class Model:
         import math
 
         sums = [math.log(1 - TABLE_WEIGHT)] * len(self.langs)
-        marked = f"\n\n{word[:40]}\n"
+        marked = f"\n\n{word}\n"
         for i in range(len(marked) - 2):
             gram = marked[i : i + 3]
             sums = [a + b for a, b in zip(sums, self.trigram.get(gram) or self.unseen.get(gram[:2]) or self.nothing)]
         if seen := self.words.get(word):
             sums = [math.log(math.exp(s) + TABLE_WEIGHT * p) for s, p in zip(sums, seen)]
-        best, used = max(sums), script(word[0])
-        return [max(s - best, -FOREIGN) - (FOREIGN if used not in ok else 0.0) for s, ok in zip(sums, self.allowed)]
+        best, used = max(sums), {script(c) for c in word}
+        return [max(s - best, -FOREIGN) - (0.0 if used <= ok else FOREIGN) for s, ok in zip(sums, self.allowed)]
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -190,8 +192,9 @@ def learned(spark, docs: DataFrame):
 def languages(docs: DataFrame, predict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, spans for each row of docs.
 
-    Word scores are log-likelihoods of a frequent-word table mixed with character trigrams. A word's script rules out the languages
-    that do not use it. lang_pred is the language with most letters on the Viterbi path; score is its share of letters times its
+    Word scores are log-likelihoods of a frequent-word table mixed with character trigrams. The scripts of a word's letters rule
+    out the languages that do not use them. A run of more than LONGEST letters is judged piece by piece, in fitting too, so all of its
+    letters count and the language may change inside it; trigrams do not reach across the cut. lang_pred is the language with most letters on the Viterbi path; score is its share of letters times its
     posterior over the words of its spans. A null text or one without letters is `und` with score 0, and so is all if nothing was learned.
     Ties go to the language that is first by code point. Null and repeated ids are rows like others; an empty table gives an empty
     result; other columns are not read. Rows are taken one by one and nothing is shuffled.

@@ -185,6 +185,17 @@ def test_viterbi_is_the_best_path_of_three_labels():
             assert cost(words, path) == pytest.approx(max(cost(words, p) for p in itertools.product(range(3), repeat=n))), words
 
 
+def test_long_runs_count_whole(documents, spark):
+    join = lambda lang, n: "".join(LANGS[lang] * 9)[:n]
+    rows = [(i, join(lang, 200), lang) for i, lang in enumerate(["en", "fr", "ru"] * 20)]
+    model = language.train(documents(rows).select("doc_id", "text", "lang"), 60)
+    assert model.langs == ["en", "fr", "ru"]
+    label = language.labeller(model)
+    assert [s[0] for s in label(join("en", 120) + join("fr", 160))[2]] == ["en", "fr"]
+    assert label("по" + join("ru", 78) + join("en", 160))[0] == "en"
+    assert model.score("a" + "я" * 5)[0] <= -language.FOREIGN  # letters after the first count for the script
+
+
 def test_quality(documents, spark):
     import random
 
