@@ -15,8 +15,11 @@ SHINGLE, PERCENT = 5, 80
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null or empty ones and ones without letters. Others stay as they are."""
-    predict = language.learned(spark, docs)
+    """Drops documents in no language: null or empty ones and ones without letters. Others stay as they are, also if no language can be learned."""
+    model = language.fitted(docs)
+    if model is None:
+        return docs.where(language.has_letters("text"))
+    predict = language.predictor(spark, model)
     return docs.withColumn("_p", predict("text")).where(F.col("_p.lang") != "und").drop("_p")
 
 

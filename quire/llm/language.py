@@ -184,9 +184,25 @@ def predictor(spark, model: Model | None):
     return predict
 
 
+def fitted(docs: DataFrame) -> Model | None:
+    """The model fitted as the query asks: on documents whose crc32(doc_id) mod 4 is not 2. None if nothing can be learned."""
+    return train(docs.where("lang is not null and text is not null").where(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+
+
 def learned(spark, docs: DataFrame):
-    """The predictor fitted as the query asks: on documents whose crc32(doc_id) mod 4 is not 2."""
-    return predictor(spark, train(docs.where("lang is not null and text is not null").where(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang")))
+    """The predictor of the fitted model."""
+    return predictor(spark, fitted(docs))
+
+
+def has_letters(c):
+    """Whether a text has a letter; this needs no model."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        letter = re.compile(r"[^\W\d_]")
+        return pd.Series([bool(letter.search(t or "")) for t in texts], dtype=bool)
+
+    return found(c)
 
 
 def languages(docs: DataFrame, predict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,3 +64,9 @@ def test_empty_table(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, D)
     assert docs.count() == 0
+
+
+def test_nothing_learned_drops_no_text_with_letters(spark, documents):
+    rows = [(1, "the words of a text"), (2, None), (3, ""), (4, "123 … 4_5"), (5, "ж"), (None, "no id")]
+    got = corpus_pipeline.identified(spark, documents(rows), D)
+    assert {r["doc_id"] for r in got.collect()} == {1, 5, None} and got.columns == documents(rows).columns
