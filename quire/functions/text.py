@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 ROMAN = r"^(?i)(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+#: The characters that break lines, and what must be matched of roman numerals, generic titles and content units.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def let(value, body):
+    """body of the value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalized(c):
     """Lower case, everything but letters a-z and digits as single blanks, trimmed."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -30,7 +36,8 @@ def char_stats(c):
 def bounded_edit_distance(a, b, limit):
     """Edit distance, or ceil(limit) where it is larger; with a limit of 0 or less, the longer length."""
     most = F.ceil(limit).cast("int")
-    return F.when(limit <= 0, F.greatest(F.length(a), F.length(b))).otherwise(F.least(F.levenshtein(a, b), most))
+    apart = F.call_function("levenshtein", a, b, most)  # stops at the limit, with -1 above it
+    return F.when(limit <= 0, F.greatest(F.length(a), F.length(b))).otherwise(F.when(apart < 0, most).otherwise(apart))
 
 
 def is_page_number_only(c):
@@ -40,7 +47,8 @@ def is_page_number_only(c):
 
 def is_dot_leader_row(c):
     """A row of a table of contents: text, a run of dots (blanks between them allowed), a number."""
-    return c.rlike(r"\S.*?(?:\.\s?){3,}\s*[0-9ivxlcIVXLC]+\s*$")
+    # Starts where a run of dots starts and gives nothing back, so a long line of dots or words is read once.
+    return c.rlike(r"(?:[^\s.]\s*+|^\s*+\.\s*+|\.\s\s++)(?:\.\s?){3,}+\s*+[0-9ivxlcIVXLC]++\s*+$")
 
 
 def numbering(c):
@@ -58,13 +66,45 @@ def roman_value(c):
     return F.when(c.rlike(ROMAN), total - less)
 
 
+#: Fixed values. Roman numerals up to 3999, and words that look like one but are not.
+ROMAN_WORD = r"^(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"
+NOT_ROMAN = ("di", "div", "li", "liv", "mi", "mix", "xi")
+
+
+def title_words(c):
+    """Runs of letters and digits of a title in lower case, formulas between dollar signs left out."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(c), r"\$[^$\n]*\$", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def is_roman(word):
+    return word.rlike(ROMAN_WORD) & ~word.isin(*NOT_ROMAN)
+
+
+def roman_number(word):
+    """Value of a word that is_roman(): a letter counts negative where a larger one stands anywhere behind it."""
+    worth = F.create_map(*[F.lit(x) for kv in {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.items() for x in kv])
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top"))
+    add = lambda acc, k: F.struct(F.when(F.element_at(worth, k) < acc["top"], acc["sum"] - F.element_at(worth, k)).otherwise(acc["sum"] + F.element_at(worth, k)).alias("sum"), F.greatest(acc["top"], F.element_at(worth, k)).alias("top"))
+    return F.aggregate(F.split(F.reverse(word), ""), zero, add, lambda acc: acc["sum"])
+
+
 def title_template(c):
-    """A title with its counters (digits, or a roman numeral or letter at an end) as #."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[0-9]+", "#"), r"(?<=\s|^)(?:[ivx]+|[a-z])(?=[.):]|$)", "#")
+    """A title as its words run together, with a # for each counter: a roman numeral, or a run of digits inside a word."""
+    return F.array_join(F.transform(title_words(c), lambda w: F.when(is_roman(w), "#").otherwise(F.regexp_replace(w, "[0-9]+", "#"))), "")
+
+
+def title_key(c):
+    """A title as its words run together, roman numerals as digits."""
+    return F.array_join(F.transform(title_words(c), lambda w: F.when(is_roman(w), roman_number(w).cast("string")).otherwise(w)), "")
+
+
+def is_generic_title(c):
+    """A title that only numbers a page, slide or sheet."""
+    return c.rlike(r"(?iu)^(?:(?:page|slide|folie|document\s+page)\s*)?\p{Nd}+\n?\z")
 
 
 def page_label(start, end):
-    return F.when(start == end, F.format_string("page %d", start)).otherwise(F.format_string("pages %d-%d", start, end))
+    return F.when(start == end, F.format_string("p.%d", start)).otherwise(F.format_string("p.%d-%d", start, end))
 
 
 def file_name(c, most: int = 180):

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
-def title_key(c):
-    """Letters and digits of a title in lower case, roman numerals as numbers, without formulas."""
-    plain = F.regexp_replace(c, r"\$[^$]*\$", " ")
-    words = F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(T.roman_value(w).cast("string"), w)), "")
-
-
 def pruned(entries: DataFrame, repeats: int = 3, longest: int = 100) -> DataFrame:
     """Entries without those whose title the document repeats so often, or that are too long."""
     w = Window.partitionBy("doc_id", "title")
@@ -22,15 +15,18 @@ def pruned(entries: DataFrame, repeats: int = 3, longest: int = 100) -> DataFram
 
 
 def same_headings(nodes: DataFrame, entries: DataFrame, least: float = 0.7) -> DataFrame:
-    """doc_id, ord, b_ord: nodes and bookmarks that name the same heading: equal keys or one the end of the other within a page, or alike titles on the same page.
+    """doc_id, ord, b_ord: nodes and bookmarks that name the same heading: within a page, equal keys, or one the end of the other, or alike by `least`.
 
-    Joined by document and page band; the costly likeness is only computed on a page's pairs.
+    Joined by document and page band. Likeness, the costly part, is only computed where the lengths allow it: it is at most twice the
+    shorter of both lengths.
     """
-    n = nodes.select("doc_id", "ord", title_key(F.col("title")).alias("k"), F.col("title").alias("t"), F.col("start_page").alias("p")).withColumn("_p", F.explode(F.array(F.col("p") - 1, "p", F.col("p") + 1)))
-    b = entries.select("doc_id", F.col("ord").alias("b_ord"), title_key(F.col("title")).alias("bk"), F.col("title").alias("bt"), F.col("page").alias("_p"))
-    both = n.join(b, ["doc_id", "_p"])
-    near = (F.col("k") == F.col("bk")) | (F.col("k") != "") & (F.col("bk") != "") & (F.endswith("k", "bk") | F.endswith("bk", "k"))
-    return both.where(near | ((F.col("p") == F.col("_p")) & (T.similarity("t", "bt") >= least))).select("doc_id", "ord", "b_ord").distinct()
+    n = nodes.select("doc_id", "ord", T.title_key(F.col("title")).alias("k"), F.col("start_page").alias("p")).withColumn("_p", F.explode(F.array(F.col("p") - 1, "p", F.col("p") + 1)))
+    b = entries.select("doc_id", F.col("ord").alias("b_ord"), T.title_key(F.col("title")).alias("bk"), F.col("page").alias("_p"))
+    both = n.join(b, ["doc_id", "_p"]).where((F.col("k") != "") & (F.col("bk") != ""))
+    both = both.withColumn("ends", F.endswith("k", "bk") | F.endswith("bk", "k"))
+    can = 2 * F.least(F.length("k"), F.length("bk")) >= least * (F.length("k") + F.length("bk"))
+    rest = both.where(~F.col("ends") & can).where(T.similarity("k", "bk") >= least)
+    return both.where("ends").select("doc_id", "ord", "b_ord").union(rest.select("doc_id", "ord", "b_ord")).distinct()
 
 
 def backfilled(entries: DataFrame, nodes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,21 +8,43 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
-def valid_bookmarks(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Entries in range whose page is not below the last kept one: those that equal the running maximum of the pages in range. pages: doc_id, n_pages."""
+#: Words that number a content unit, so one counter after them is no sign of a generated list.
+CONTENT_UNITS = ("chapter", "chap", "ch", "part", "pt", "section", "sec", "book", "appendix", "unit", "lesson", "章", "部", "节", "篇", "卷", "第章", "第部", "第节", "第篇", "第卷")
+
+
+def valid_bookmarks(entries: DataFrame, pages: DataFrame, deepest: int = 15) -> DataFrame:
+    """Entries in range whose page is not below the last kept one, with their level as the depth in the tree that the levels make.
+
+    What is kept equals the running maximum of the pages in range. An entry of level k is open at a later one if no entry since has
+    level k or less, that is, if its position is beyond the last positions of all smaller levels; the depth is one more than the
+    levels open below the entry's own. Levels are 1 to `deepest`. pages: doc_id, n_pages.
+    """
     inside = entries.join(pages, "doc_id").where("page between 1 and n_pages")
     w = Window.partitionBy("doc_id").orderBy("ord")
-    return inside.withColumn("_max", F.max("page").over(w)).where("page = _max").drop("_max")
+    kept = inside.withColumn("_max", F.max("page").over(w)).where("page = _max").drop("_max")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("ord"))).over(before), F.lit(-1)) for k in range(1, deepest)]
+    kept = kept.withColumn("_last", F.array(*last))
+    opened = [F.when((F.col("level") > k + 1) & (F.col("_last")[k] > F.greatest(F.lit(-1), *[F.col("_last")[j] for j in range(k)], F.lit(-1))), 1).otherwise(0) for k in range(deepest - 1)]
+    return kept.withColumn("level", (F.lit(1) + sum(opened)).cast("int")).drop("_last")
 
 
 def bookmark_tiers(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, n, tier: ignore (few, generic, one counting template, or hardly distinct), full (deep and many) or skeleton."""
-    e = entries.withColumn("generic", F.lower("title").rlike(r"^(?:page|slide|sheet|untitled|blank)\b")).withColumn("template", T.title_template(F.col("title")))
-    top = e.groupBy("doc_id", "template").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max(F.when(F.col("template").contains("#"), F.col("n")).otherwise(0)).alias("counting"))
-    sums = e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("generic").cast("int")).alias("generic"), F.count_distinct("title").alias("titles"), F.max("level").alias("depth"))
+    """doc_id, n, counting, tier of valid entries: ignore, full or skeleton.
+
+    ignore: fewer than three; half of the titles generic; half of one template with a counter (the most frequent, the first of equally
+    frequent ones), unless it is a content unit with a single counter; or four entries to a distinct title. full: two levels, and six
+    entries or one to 20 pages. counting: entries of that template, 0 if it has no counter.
+    """
+    e = entries.withColumn("generic", T.is_generic_title(F.col("title"))).withColumn("template", T.title_template(F.col("title")))
+    by = e.groupBy("doc_id", "template").agg(F.count(F.lit(1)).alias("c"), F.min("ord").alias("o"))
+    top = by.groupBy("doc_id").agg(F.max_by(F.struct("template", "c"), F.struct("c", -F.col("o"))).alias("top"))
+    sums = e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("generic").cast("int")).alias("generic"), F.count_distinct(T.title_key(F.col("title"))).alias("titles"), F.max("level").alias("depth"))
     out = sums.join(top, "doc_id").join(pages, "doc_id")
-    tier = F.when((F.col("n") < 3) | (2 * F.col("generic") >= F.col("n")) | (4 * F.col("titles") <= F.col("n")), "ignore").when((F.col("depth") >= 2) & (F.col("n") >= F.greatest(F.lit(6), F.floor(F.col("n_pages") / 20))), "full").otherwise("skeleton")
-    return out.select("doc_id", "n", "counting", tier.alias("tier"))
+    marks, unit = F.regexp_count("top.template", F.lit("#")), F.replace(F.col("top.template"), F.lit("#"), F.lit(""))
+    listed = (marks > 0) & (2 * F.col("top.c") >= F.col("n")) & ((marks >= 2) | ~unit.isin(*CONTENT_UNITS))
+    tier = F.when((F.col("n") < 3) | (2 * F.col("generic") >= F.col("n")) | listed | (4 * F.col("titles") <= F.col("n")), "ignore").when((F.col("depth") >= 2) & (F.col("n") >= F.greatest(F.lit(6), F.floor(F.col("n_pages") / 20))), "full").otherwise("skeleton")
+    return out.select("doc_id", "n", F.when(marks > 0, F.col("top.c")).otherwise(0).cast("long").alias("counting"), tier.alias("tier"))
 
 
 def tree(entries: DataFrame, pages: DataFrame, deepest: int = 10) -> DataFrame:
@@ -34,7 +56,8 @@ def tree(entries: DataFrame, pages: DataFrame, deepest: int = 10) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # A running frame over the order turned round: each row is added once.
+    after = Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     e = entries.join(pages, "doc_id")
     last = [F.max(F.when(F.col("level") == k, F.col("ord"))).over(before) for k in range(1, deepest)]
     nxt = [F.min(F.when(F.col("level") == k, F.struct("ord", "page"))).over(after) for k in range(1, deepest + 1)]
@@ -53,8 +76,12 @@ def placed_pages(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def smallest_containing(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Interval join: for each (doc_id, page) wanted, the node that holds it with the fewest pages, then the deepest, then the first."""
-    inside = wanted.join(nodes, "doc_id").where("page between start_page and end_page")
+    """For each (doc_id, page) wanted, the node that holds it with the fewest pages, then the deepest, then the first.
+
+    Nodes are told by page, so the join is by document and page: a document of many pages is many keys, not one.
+    """
+    by_page = nodes.select("doc_id", "ord", "level", "start_page", "end_page", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    inside = wanted.join(by_page, ["doc_id", "page"])
     key = F.struct((F.col("end_page") - F.col("start_page")).alias("a"), (-F.col("level")).alias("b"), F.col("ord").alias("c"))
     return inside.groupBy("doc_id", "page").agg(F.min_by("ord", key).alias("ord"), F.min(F.col("end_page") - F.col("start_page") + 1).alias("n_pages"))
 

@@ -1,11 +1,12 @@
-"""Costs of a section tree, and its rewriting by document."""
+"""Section trees as rows: ancestors, uncovered pages, leaves over the same pages, fresh ids. Costs and rewriting are in optimizer."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 
 def ancestors(nodes: DataFrame, deepest: int = 10) -> DataFrame:
     """doc_id, ord, anc, dist: each node with itself and its ancestors, one join a level up to the deepest, by document and parent."""
@@ -17,12 +18,6 @@ def ancestors(nodes: DataFrame, deepest: int = 10) -> DataFrame:
     return out
 
 
-def subtree_ends(nodes: DataFrame, deepest: int = 10) -> DataFrame:
-    """doc_id, ord, subtree_end, pages: the largest end page below a node, and S = subtree_end - start + 1."""
-    ends = ancestors(nodes, deepest).join(nodes.select("doc_id", "ord", "end_page"), ["doc_id", "ord"]).groupBy("doc_id", "anc").agg(F.max("end_page").alias("subtree_end")).withColumnRenamed("anc", "ord")
-    return nodes.select("doc_id", "ord", "start_page").join(ends, ["doc_id", "ord"]).select("doc_id", "ord", "subtree_end", (F.col("subtree_end") - F.col("start_page") + 1).alias("pages"))
-
-
 def uncovered(lo, hi, ranges):
     """Pages of [lo, hi] in none of the ranges (arrays of structs start, end): the ranges in order, with the furthest page reached so far."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), (lo - 1).cast("long").alias("at"))
@@ -31,80 +26,13 @@ def uncovered(lo, hi, ranges):
     return F.greatest(F.aggregate(cut, zero, step, lambda acc: acc["n"] + F.greatest(hi - acc["at"], F.lit(0))), F.lit(0).cast("long"))
 
 
-def residuals(nodes: DataFrame) -> DataFrame:
-    """doc_id, ord, residual: pages of a node that no child of it covers; 0 for leaves."""
-    kids = nodes.where("parent_ord is not null").groupBy("doc_id", F.col("parent_ord").alias("ord")).agg(F.collect_list(F.struct(F.col("start_page").cast("long").alias("start"), F.col("end_page").cast("long").alias("end"))).alias("kids"))
-    return nodes.join(kids, ["doc_id", "ord"], "left").select("doc_id", "ord", F.when(F.col("kids").isNull(), F.lit(0).cast("long")).otherwise(uncovered(F.col("start_page").cast("long"), F.col("end_page").cast("long"), F.coalesce("kids", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))).alias("residual"))
-
-
-def tree_costs(nodes: DataFrame, routing: int = 2, deepest: int = 10) -> DataFrame:
-    """doc_id, ord, cost: the dearest branch below a node: distance times routing, and the pages at its end (a leaf's, or a residual one level down)."""
-    s, r = subtree_ends(nodes, deepest), residuals(nodes)
-    leaf = nodes.join(nodes.where("parent_ord is not null").select("doc_id", F.col("parent_ord").alias("ord")).distinct().withColumn("inner", F.lit(True)), ["doc_id", "ord"], "left")
-    ends = leaf.join(s, ["doc_id", "ord"]).join(r, ["doc_id", "ord"]).select("doc_id", "ord", F.when(F.col("inner"), F.when(F.col("residual") > 0, F.lit(routing) + F.col("residual"))).otherwise(F.col("pages")).alias("own"))
-    return ancestors(nodes, deepest).join(ends.where("own is not null"), ["doc_id", "ord"]).groupBy("doc_id", F.col("anc").alias("o")).agg(F.max(F.col("dist") * routing + F.col("own")).alias("cost")).withColumnRenamed("o", "ord")
-
-
-def complexity(nodes: DataFrame, routing: int = 2, deepest: int = 10) -> DataFrame:
-    """doc_id, nodes, leaves, depth, worst, leaf_pages: size, deepest level, the dearest search and the mean pages of leaves."""
-    costs = tree_costs(nodes, routing, deepest)
-    roots = nodes.where("parent_ord is null").join(costs, ["doc_id", "ord"]).groupBy("doc_id").agg((F.max("cost") + routing).alias("worst"))
-    depth = ancestors(nodes, deepest).groupBy("doc_id", "ord").agg((F.max("dist") + 1).alias("d"))
-    inner = nodes.where("parent_ord is not null").select("doc_id", F.col("parent_ord").alias("ord")).distinct()
-    leaves = nodes.join(inner, ["doc_id", "ord"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaves"), F.avg(F.col("end_page") - F.col("start_page") + 1).alias("leaf_pages"))
-    return depth.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("d").alias("depth")).join(leaves, "doc_id").join(roots, "doc_id")
-
-
 def same_page_merged(nodes: DataFrame) -> DataFrame:
     """Leaf siblings over the same pages collapse into the first: doc_id, ord, title (joined, or the page label beyond 200 characters), items, start_page, end_page."""
     inner = nodes.where("parent_ord is not null").select("doc_id", F.col("parent_ord").alias("ord")).distinct()
     leaves = nodes.join(inner, ["doc_id", "ord"], "left_anti")
     out = leaves.groupBy("doc_id", "parent_ord", "start_page", "end_page").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("t"))
-    joined = F.array_join(F.transform("t", lambda x: x["title"]), "; ")
-    return out.select("doc_id", F.element_at("t", 1)["ord"].alias("ord"), F.when(F.length(joined) > 200, F.format_string("pages %d-%d", "start_page", "end_page")).otherwise(joined).alias("title"), F.size("t").alias("items"), "start_page", "end_page")
-
-
-def merged(nodes: DataFrame, routing: int = 2) -> DataFrame:
-    """doc_id, ord, parent_ord, title, start_page, end_page, key_items of the nodes that bottom-up merging keeps.
-
-    A node takes in its children when reading its pages costs no more than searching them (ties merge). The rule depends on what
-    merged below, so each document is rewritten by one grouped function; its input is one document's nodes.
-    """
-
-    def rewrite(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.ord: r for r in pdf.sort_values("ord").itertuples()}
-        kids: dict = {}
-        for r in rows.values():
-            kids.setdefault(None if pd.isna(r.parent_ord) else int(r.parent_ord), []).append(r.ord)
-        end, cost, items = {}, {}, {}
-
-        def residual(o):
-            gaps, at = 0, rows[o].start_page - 1
-            for s, e in sorted((rows[k].start_page, rows[k].end_page) for k in kids[o]):
-                gaps += max(0, min(s, rows[o].end_page + 1) - at - 1)
-                at = max(at, min(e, rows[o].end_page))
-            return gaps + max(0, rows[o].end_page - at)
-
-        for o in sorted(rows, reverse=True):  # children come after their parent in pre-order
-            below = kids.get(o, [])
-            end[o] = max([rows[o].end_page, *(end[k] for k in below)])
-            pages = end[o] - rows[o].start_page + 1
-            cost[o], items[o] = pages, []
-            if below:
-                searched = routing + max([residual(o), *(cost[k] for k in below)])
-                if pages <= searched:
-                    items[o] = [x for k in below for x in (rows[k].title, *items[k])]
-                    kids[o] = []
-                else:
-                    cost[o] = searched
-        kept, todo = [], list(reversed(kids.get(None, [])))
-        while todo:
-            o = todo.pop()
-            kept.append(o)
-            todo += reversed(kids.get(o, []))
-        return pd.DataFrame([(rows[o].doc_id, o, None if pd.isna(rows[o].parent_ord) else int(rows[o].parent_ord), rows[o].title, rows[o].start_page, end[o], items[o]) for o in kept], columns=["doc_id", "ord", "parent_ord", "title", "start_page", "end_page", "key_items"])
-
-    return nodes.select("doc_id", "ord", "parent_ord", "title", "start_page", "end_page").groupBy("doc_id").applyInPandas(rewrite, "doc_id long, ord int, parent_ord int, title string, start_page int, end_page int, key_items array<string>")
+    joined = F.array_join(F.filter(F.transform("t", lambda x: x["title"]), lambda x: x != ""), "; ")
+    return out.select("doc_id", F.element_at("t", 1)["ord"].alias("ord"), F.when((F.length(joined) > 200) | (joined == ""), T.page_label(F.col("start_page"), F.col("end_page"))).otherwise(joined).alias("title"), F.size("t").alias("items"), "start_page", "end_page")
 
 
 def relabelled(nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import pages as P
 from quire.functions import rects as R
 from quire.functions import text as T
-from quire.operators import blocks, bookmarks, classify, evaluate, lines, outline, stats, store, summaries, trees, triage
+from quire.operators import blocks, bookmarks, classify, evaluate, lines, optimizer, outline, stats, store, summaries, trees, triage
 from quire.plans import inputs
 from quire.plans.inputs import sql, table
 
@@ -28,7 +28,7 @@ def query(oracle=None):
 def nodes_of(spark, d):
     """The tree of valid bookmarks."""
     n = inputs.doc_pages(spark, d)
-    return outline.tree(outline.valid_bookmarks(inputs.bookmarks(spark, d), n).drop("n_pages"), n, deepest=3)
+    return outline.tree(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3).drop("n_pages"), n, deepest=3)
 
 
 def wanted_of(spark, d):
@@ -94,12 +94,25 @@ def texts_without_marks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.without_marks(F.lower("text"))).alias("digest"))
 
 
-@query(r"SELECT l_orderkey, l_linenumber, regexp_replace(lower(trim('Chapter ' || l_linenumber || ' of ' || (l_partkey % 7))), '[0-9]+', '#', 'g') AS template FROM lineitem")
+@query(r"SELECT l_orderkey, l_linenumber, 'chapter#of#' AS template FROM lineitem")
 def title_templates(spark, d):
     title = F.concat(F.lit("Chapter "), F.col("l_linenumber").cast("string"), F.lit(" of "), (F.col("l_partkey") % 7).cast("string"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.title_template(title).alias("template"))
 
 
+ROMAN = r"regexp_full_match(w, 'm{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})') AND w NOT IN ('di', 'div', 'li', 'liv', 'mi', 'mix', 'xi')"
+WORTH = " + ".join(f"{v} * (length(w) - length(replace(w, '{k}', '')))" for k, v in {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.items()) + "".join(f" - CASE WHEN contains(w, '{a}') OR contains(w, '{b}') THEN {v} ELSE 0 END" for a, b, v in (("iv", "ix", 2), ("xl", "xc", 20), ("cd", "cm", 200)))
+TITLED = rf""", titled AS (SELECT *, array_to_string(list_transform(w0, lambda w: CASE WHEN {ROMAN} THEN '#' ELSE regexp_replace(w, '[0-9]+', '#', 'g') END), '') AS template, array_to_string(list_transform(w0, lambda w: CASE WHEN {ROMAN} THEN ({WORTH})::VARCHAR ELSE w END), '') AS key,
+  regexp_full_match(title, '(?i)((page|slide|folie|document\s+page)\s*)?[0-9]+') AS generic FROM (SELECT *, regexp_extract_all(regexp_replace(lower(title), '\$[^$]*\$', '', 'g'), '[\p{{L}}\p{{N}}]+') AS w0 FROM made_bookmarks))"""
+
+
+@query(sql(TITLED + " SELECT doc_id, ord, template, key, generic FROM titled", "bookmarks", "made_bookmarks"))
+def made_title_templates(spark, d):
+    """Titles of every kind: counters, roman numerals and words like them, formulas, generic titles."""
+    t = F.col("title")
+    return inputs.made_bookmarks(spark, d).select("doc_id", "ord", T.title_template(t).alias("template"), T.title_key(t).alias("key"), T.is_generic_title(t).alias("generic"))
+
+
 @query("""SELECT o_orderkey, list_aggregate(list_sort(list_distinct(list_concat(range(o_custkey % 90 + 1, o_custkey % 90 + 4), [o_orderkey % 50 + 1]))), 'string_agg', ' ') AS pages FROM orders""")
 def expanded_page_specs(spark, d):
     o = table(spark, d, "orders")
@@ -287,6 +300,19 @@ def contents_pages(spark, d):
     return classify.contents_pages(inputs.lines(spark, d))
 
 
+LEADERS = """, leaders AS (SELECT l_orderkey AS doc_id, (l_orderkey % 3 + 1)::INT AS page, CASE l_partkey % 6 WHEN 0 THEN 'Introduction ' || repeat('.', (l_suppkey % 5)::INT) || ' ' || l_linenumber WHEN 1 THEN 'Results' || repeat(' .', (l_suppkey % 7)::INT) || ' xiv' WHEN 2 THEN repeat('.', (l_suppkey % 6)::INT) || l_linenumber WHEN 3 THEN 'A.  ' || repeat('. ', (l_suppkey % 6)::INT) || '12  ' WHEN 4 THEN 'Text ... and then no number' ELSE CASE WHEN l_suppkey % 4 = 0 THEN 'Table of Contents' ELSE 'Plain 12' END END AS text FROM lineitem)"""
+
+
+@query("WITH " + LEADERS[2:] + r""" SELECT doc_id, page, sum(CASE WHEN regexp_matches(text, '\S.*?(?:\.\s?){3,}\s*[0-9ivxlcIVXLC]+\s*$') THEN 1 ELSE 0 END)::BIGINT AS leaders, bool_or(text = 'Table of Contents') AS titled FROM leaders GROUP BY ALL HAVING leaders >= 2 OR titled""")
+def made_contents_pages(spark, d):
+    """Pages with rows of dot leaders of every form, and contents titles, which the documents have not."""
+    n, s = F.col("l_linenumber").cast("string"), F.col("l_suppkey")
+    rep = lambda t, k: F.repeat(F.lit(t), (s % k).cast("int"))
+    kinds = [F.concat(F.lit("Introduction "), rep(".", 5), F.lit(" "), n), F.concat(F.lit("Results"), rep(" .", 7), F.lit(" xiv")), F.concat(rep(".", 6), n), F.concat(F.lit("A.  "), rep(". ", 6), F.lit("12  ")), F.lit("Text ... and then no number"), F.when(s % 4 == 0, "Table of Contents").otherwise("Plain 12")]
+    made = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 3 + 1).cast("int").alias("page"), F.element_at(F.array(*kinds), (F.col("l_partkey") % 6 + 1).cast("int")).alias("text"))
+    return classify.contents_pages(made, 2)
+
+
 @query(sql(r"""SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE length(text) >= 40 AND len(string_split_regex(trim(text), '\s+')) >= 6 AND len(regexp_extract_all(text, '\p{L}')) >= 0.6 * length(text)
   AND len(regexp_extract_all(text, '\p{Lu}')) < 0.5 * len(regexp_extract_all(text, '\p{L}')) AND NOT contains(text, '|')) AS body FROM lines GROUP BY doc_id""", "lines"))
 def body_lines(spark, d):
@@ -352,13 +378,25 @@ def sibling_counts(spark, d):
 
 @query(sql("SELECT doc_id, ord, title, level, page FROM valid", "bookmarks", "doc_pages", "valid"))
 def valid_bookmarks(spark, d):
-    return outline.valid_bookmarks(inputs.bookmarks(spark, d), inputs.doc_pages(spark, d)).drop("n_pages")
+    return outline.valid_bookmarks(inputs.bookmarks(spark, d), inputs.doc_pages(spark, d), 3).drop("n_pages")
+
 
+TIER = "CASE WHEN n < 3 OR 4 * titles <= n THEN 'ignore' WHEN depth >= 2 AND n >= greatest(6, n_pages // 20) THEN 'full' ELSE 'skeleton' END AS tier"
 
-@query(sql(""", s AS (SELECT doc_id, count(*) AS n, count(DISTINCT title) AS titles, max(level) AS depth FROM bookmarks GROUP BY doc_id)
-  SELECT doc_id, n, n AS counting, CASE WHEN n < 3 OR 4 * titles <= n THEN 'ignore' WHEN depth >= 2 AND n >= greatest(6, n_pages // 20) THEN 'full' ELSE 'skeleton' END AS tier FROM s JOIN doc_pages USING (doc_id)""", "bookmarks", "doc_pages"))
+
+@query(sql(", s AS (SELECT doc_id, count(*) AS n, count(DISTINCT title) AS titles, max(level) AS depth FROM valid GROUP BY doc_id) SELECT doc_id, n, n AS counting, " + TIER + " FROM s JOIN doc_pages USING (doc_id)", "bookmarks", "doc_pages", "valid"))
 def bookmark_tiers(spark, d):
-    return outline.bookmark_tiers(inputs.bookmarks(spark, d), inputs.doc_pages(spark, d))
+    """All titles are "Part n", a content unit with one counter."""
+    n = inputs.doc_pages(spark, d)
+    return outline.bookmark_tiers(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3).drop("n_pages"), n)
+
+
+@query(sql(TITLED + """, s AS (SELECT doc_id, count(*) AS n, sum(generic::INT) AS generic, count(DISTINCT key) AS titles, max(level) AS depth FROM titled GROUP BY doc_id),
+  c AS (SELECT doc_id, template, count(*) AS c, min(ord) AS o FROM titled GROUP BY ALL), t AS (SELECT doc_id, template, c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, o) AS k FROM c) WHERE k = 1)
+  SELECT doc_id, n, CASE WHEN contains(template, '#') THEN c ELSE 0 END AS counting, CASE WHEN n < 3 OR 2 * generic >= n OR (contains(template, '#') AND 2 * c >= n AND (length(template) - length(replace(template, '#', '')) >= 2 OR replace(template, '#', '') NOT IN ('chapter', 'part', 'section'))) OR 4 * titles <= n THEN 'ignore'
+  WHEN depth >= 2 AND n >= greatest(6, n_pages // 20) THEN 'full' ELSE 'skeleton' END AS tier FROM s JOIN t USING (doc_id) JOIN doc_pages USING (doc_id)""", "bookmarks", "doc_pages", "made_bookmarks"))
+def made_bookmark_tiers(spark, d):
+    return outline.bookmark_tiers(inputs.made_bookmarks(spark, d), inputs.doc_pages(spark, d))
 
 
 TREE = ("bookmarks", "doc_pages", "valid", "nodes")
@@ -397,7 +435,7 @@ UP = ", up AS (SELECT doc_id, ord, ord AS anc, 0 AS dist FROM nodes UNION ALL SE
 
 @query(sql(UP + " SELECT doc_id, ord, subtree_end, pages FROM sub", *TREE))
 def subtree_ends(spark, d):
-    return trees.subtree_ends(nodes_of(spark, d), 3)
+    return optimizer.node_costs(nodes_of(spark, d)).select("doc_id", "ord", "subtree_end", "pages")
 
 
 RES = ", res AS (SELECT p.doc_id, p.ord, CASE WHEN count(k.ord) = 0 THEN 0 ELSE (SELECT count(*) FROM unnest(range(p.start_page, p.end_page + 1)) AS r(g) WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = p.doc_id AND c.parent_ord = p.ord AND r.g BETWEEN c.start_page AND c.end_page)) END AS residual, count(k.ord) AS kids FROM nodes p LEFT JOIN nodes k ON k.doc_id = p.doc_id AND k.parent_ord = p.ord GROUP BY p.doc_id, p.ord, p.start_page, p.end_page)"
@@ -405,7 +443,7 @@ RES = ", res AS (SELECT p.doc_id, p.ord, CASE WHEN count(k.ord) = 0 THEN 0 ELSE
 
 @query(sql(RES + " SELECT doc_id, ord, residual FROM res", *TREE))
 def residual_pages(spark, d):
-    return trees.residuals(nodes_of(spark, d))
+    return optimizer.node_costs(nodes_of(spark, d)).select("doc_id", "ord", "residual")
 
 
 COST = UP + RES + ", own AS (SELECT doc_id, ord, CASE WHEN kids = 0 THEN pages WHEN residual > 0 THEN 2 + residual END AS own FROM res JOIN sub USING (doc_id, ord)), cost AS (SELECT u.doc_id, u.anc AS ord, max(dist * 2 + own)::BIGINT AS cost FROM up u JOIN own USING (doc_id, ord) WHERE own IS NOT NULL GROUP BY ALL)"
@@ -413,12 +451,45 @@ COST = UP + RES + ", own AS (SELECT doc_id, ord, CASE WHEN kids = 0 THEN pages W
 
 @query(sql(COST + " SELECT doc_id, ord, cost FROM cost", *TREE))
 def tree_costs(spark, d):
-    return trees.tree_costs(nodes_of(spark, d), 2, 3)
+    return optimizer.node_costs(nodes_of(spark, d), 2).select("doc_id", "ord", "cost")
 
 
 @query(sql(COST + ", w AS (SELECT doc_id, max(cost) + 2 AS worst FROM cost JOIN nodes USING (doc_id, ord) WHERE parent_ord IS NULL GROUP BY doc_id), dd AS (SELECT doc_id, count(*) AS nodes, max(d) AS depth FROM (SELECT doc_id, ord, max(dist) + 1 AS d FROM up GROUP BY ALL) GROUP BY doc_id), lv AS (SELECT doc_id, count(*) AS leaves, avg(end_page - start_page + 1) AS leaf_pages FROM nodes JOIN res USING (doc_id, ord) WHERE kids = 0 GROUP BY doc_id) SELECT dd.doc_id, dd.nodes, depth, leaves, round(leaf_pages, 6) AS leaf_pages, worst FROM dd JOIN w USING (doc_id) JOIN lv USING (doc_id)", *TREE))
 def tree_complexity(spark, d):
-    return trees.complexity(nodes_of(spark, d), 2, 3).withColumn("leaf_pages", F.round("leaf_pages", 6))
+    c = optimizer.node_costs(nodes_of(spark, d), 2)
+    leaf = F.when(F.col("leaf"), F.col("pages"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count(leaf).alias("leaves"), F.round(F.avg(leaf), 6).alias("leaf_pages"), (F.max(F.when(F.col("depth") == 1, F.col("cost"))) + 2).alias("worst"))
+
+
+FRONTIER = ", fr AS (SELECT doc_id, ord, CASE WHEN kids = 0 THEN level ELSE level + 1 END AS depth, CASE WHEN kids = 0 THEN pages ELSE residual END AS pages FROM nodes JOIN res USING (doc_id, ord) JOIN sub USING (doc_id, ord) WHERE kids = 0 OR residual > 0)"
+
+
+@query(sql(UP + RES + FRONTIER + " SELECT doc_id, ord, depth::BIGINT AS depth, pages::BIGINT AS pages, (depth + pages)::BIGINT AS cost FROM fr", *TREE))
+def frontier_nodes(spark, d):
+    return optimizer.frontier(nodes_of(spark, d))
+
+
+@query(sql(UP + RES + FRONTIER + " SELECT doc_id, n_pages, count(*) AS frontier, max(depth + pages)::BIGINT AS worst, round(sum(pages / n_pages * (depth + (pages + 1) / 2)), 9) AS average, round(max(depth + pages) / n_pages, 9) AS normalised, max(depth)::BIGINT AS max_depth, round(avg(depth), 9) AS mean_depth, round(sum(pages / n_pages), 9) AS mass FROM fr JOIN doc_pages USING (doc_id) GROUP BY doc_id, n_pages", *TREE))
+def search_complexity(spark, d):
+    out = optimizer.search_complexity(nodes_of(spark, d), inputs.doc_pages(spark, d))
+    return out.select("doc_id", "n_pages", "frontier", "worst", *[F.round(c, 9).alias(c) for c in ("average", "normalised")], "max_depth", *[F.round(c, 9).alias(c) for c in ("mean_depth", "mass")])
+
+
+@query(sql(""", leaves AS (SELECT * FROM nodes n WHERE end_page - start_page + 1 > 5 AND NOT EXISTS (SELECT 1 FROM nodes k WHERE k.doc_id = n.doc_id AND k.parent_ord = n.ord)), kids AS (SELECT doc_id, ord, start_page AS a, start_page + (end_page - start_page) // 3 AS b, start_page + (end_page - start_page) // 3 + 1 + ord % 3 AS c, end_page - ord % 2 AS d FROM leaves)
+  SELECT doc_id, ord, pages::BIGINT AS pages, cost::BIGINT AS cost, cost < pages AS gained FROM (SELECT doc_id, ord, d - a + 1 + ord % 2 AS pages, 1 + greatest(b - a + 1, d - c + 1, greatest(0, least(c, d + ord % 2 + 1) - b - 1) + CASE WHEN c <= d THEN ord % 2 ELSE 0 END) AS cost FROM kids WHERE c <= d)""", *TREE))
+def expand_gains(spark, d):
+    """Two children proposed for each leaf of more than five pages, which leave some pages between and behind them."""
+    n = nodes_of(spark, d)
+    third = F.floor((F.col("end_page") - F.col("start_page")) / 3).cast("int")
+    a = n.withColumn("second", F.col("start_page") + third + 1 + F.col("ord") % 3).withColumn("last", F.col("end_page") - F.col("ord") % 2).where("second <= last")
+    made = a.select("doc_id", "ord", F.col("start_page"), (F.col("start_page") + third).alias("end_page")).union(a.select("doc_id", "ord", "second", "last"))
+    return optimizer.expand_gain(n, made)
+
+
+@query()
+def optimised_trees(spark, d):
+    """Rounds of rewriting, which feed one another; tested against a recursive version and by their invariants."""
+    return optimizer.optimised(nodes_of(spark, d)).select("doc_id", "ord", "parent_ord", "depth", "node_id", "title", "start_page", "end_page", F.size("key_items").alias("items"), "same_page", "settled")
 
 
 @query(sql(", leaves AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes k WHERE k.doc_id = n.doc_id AND k.parent_ord = n.ord)) SELECT doc_id, min(ord) AS ord, string_agg(title, '; ' ORDER BY ord) AS title, count(*)::INT AS items, start_page, end_page FROM leaves GROUP BY doc_id, parent_ord, start_page, end_page", *TREE))
@@ -429,29 +500,32 @@ def same_page_merges(spark, d):
 @query()
 def merged_trees(spark, d):
     """A bottom-up rewriting, whose choices feed one another; tested against a recursive version."""
-    return trees.relabelled(trees.merged(nodes_of(spark, d))).select("doc_id", "ord", "parent_ord", "node_id", "start_page", "end_page", F.size("key_items").alias("items"))
+    return trees.relabelled(optimizer.merged(nodes_of(spark, d), 2)).select("doc_id", "ord", "parent_ord", "node_id", "start_page", "end_page", F.size("key_items").alias("items"))
 
 
 # Triage, OCR and tables
 
 
-SIGNALS = r""", tok AS (SELECT doc_id, page, markdown, list_filter(list_transform(string_split_regex(trim(markdown), '\s+'), lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: t <> '') AS t FROM page_text),
-  sig AS (SELECT doc_id, page, length(markdown) AS chars, CASE WHEN len(t) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(t, lambda x: (regexp_full_match(x, '\p{L}[\p{L}''’-]*') AND length(x) <= 24) OR regexp_full_match(x, '[0-9][0-9.,]*')))::DOUBLE / len(t) END AS ratio, len(regexp_extract_all(markdown, '\p{L}')) AS letters FROM tok),
-  lab AS (SELECT *, CASE WHEN chars < 20 THEN 'scanned' WHEN ratio < 0.25 THEN 'garbled' WHEN ratio < 0.45 THEN 'mixed' ELSE 'text' END AS label FROM sig)"""
+TRIAGE = r""", tok AS (SELECT *, list_filter(regexp_extract_all(markdown, '[\p{L}\p{N}](?:[^\x09-\x0D\x{85}\p{Z}]*[\p{L}\p{N}])?'), lambda t: regexp_matches(t, '\p{L}')) AS t, length(regexp_replace(markdown, '[\x09-\x0D\x{85}\p{Z}]+', '', 'g')) AS chars, len(regexp_extract_all(markdown, '\p{L}')) AS letters, len(regexp_extract_all(markdown, '\x{FFFD}')) AS nb FROM PAGES),
+  sig AS (SELECT doc_id, page, chars, letters, image_coverage, path_objects, CASE WHEN chars = 0 THEN 0 ELSE nb / chars END AS bad, CASE WHEN len(t) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(t, lambda x: length(x) <= 4 OR (regexp_matches(x, '[0-9]') AND len(regexp_extract_all(x, '\p{L}')) <= 3) OR (length(x) <= 30 AND 10 * len(regexp_extract_all(x, '\p{L}')) >= 7 * length(x) AND regexp_matches(x, '[aeiouyAEIOUY]|[^\x00-\x7F]'))))::DOUBLE / len(t) END AS ratio FROM tok),
+  lab AS (SELECT *, CASE WHEN chars < 20 THEN CASE WHEN image_coverage >= 0.3 THEN 'scanned' WHEN path_objects >= 150 THEN 'graphic' ELSE 'text' END WHEN bad > 0.1 OR (letters >= 80 AND ratio < 0.45) THEN 'garbled' WHEN image_coverage >= 0.25 THEN 'mixed' ELSE 'text' END AS label FROM sig)"""
+DRAWN = TRIAGE.replace("PAGES", "drawn")
 
 
-@query(sql(SIGNALS + " SELECT doc_id, page, chars, round(ratio, 9) AS ratio, letters, label FROM lab", "lines", "page_text"))
+@query(sql(DRAWN + " SELECT doc_id, page, chars, round(ratio, 9) AS ratio, letters, round(bad, 9) AS bad, label FROM lab", "lines", "page_text", "drawn"))
 def page_triage(spark, d):
-    return triage.labelled(triage.signals(inputs.page_text(spark, d))).select("doc_id", "page", F.col("chars").cast("long").alias("chars"), F.round("ratio", 9).alias("ratio"), F.col("letters").cast("long").alias("letters"), "label")
+    """Pages of every label: text, scanned, graphic, garbled by bad characters and by words, mixed."""
+    return triage.labelled(triage.signals(inputs.drawn_pages(spark, d))).select("doc_id", "page", F.col("chars").cast("long").alias("chars"), F.round("ratio", 9).alias("ratio"), F.col("letters").cast("long").alias("letters"), F.round("bad", 9).alias("bad"), "label")
 
 
-@query(sql(SIGNALS + " SELECT label, CASE WHEN label IN ('scanned', 'garbled') THEN 'ocr' WHEN label = 'mixed' THEN 'merge' ELSE 'text_layer' END AS route, count(*) AS n_pages FROM lab GROUP BY ALL", "lines", "page_text"))
+@query(sql(DRAWN + " SELECT label, CASE label WHEN 'scanned' THEN 'ocr' WHEN 'garbled' THEN 'best' WHEN 'mixed' THEN 'merge' ELSE 'text_layer' END AS route, count(*) AS n_pages FROM lab GROUP BY ALL", "lines", "page_text", "drawn"))
 def page_routes(spark, d):
-    return triage.routed(triage.labelled(triage.signals(inputs.page_text(spark, d))))
+    return triage.routed(triage.labelled(triage.signals(inputs.drawn_pages(spark, d))))
 
 
-@query(sql(""", c AS (SELECT DISTINCT doc_id, page, x, unnest(range(greatest(0, least(39, floor(bottom * 40 / 800)))::INT, greatest(0, least(39, floor("top" * 40 / 800)))::INT + 1)) AS y FROM (SELECT *, unnest(range(greatest(0, least(39, floor("left" * 40 / 700)))::INT, greatest(0, least(39, floor("right" * 40 / 700)))::INT + 1)) AS x FROM spans))
-  SELECT doc_id, page, count(*) / 1600.0::DOUBLE AS share FROM c GROUP BY doc_id, page""", "spans"))
+@query(sql(""", b AS (SELECT DISTINCT doc_id, page, greatest(0, least(200, floor("left" / 700 * 200)))::INT AS x0, greatest(0, least(200, ceil("right" / 700 * 200)))::INT AS x1, greatest(0, least(200, floor(bottom / 800 * 200)))::INT AS y0, greatest(0, least(200, ceil("top" / 800 * 200)))::INT AS y1 FROM spans),
+  c AS (SELECT DISTINCT doc_id, page, x, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM b)), n AS (SELECT doc_id, page, count(*) AS n FROM c GROUP BY ALL)
+  SELECT doc_id, page, coalesce(n, 0) / 40000.0::DOUBLE AS share FROM (SELECT DISTINCT doc_id, page FROM spans) LEFT JOIN n USING (doc_id, page)""", "spans"))
 def page_coverage(spark, d):
     return triage.coverage(inputs.spans(spark, d), 700.0, 800.0)
 
@@ -546,9 +620,9 @@ def pruned_bookmarks(spark, d):
     return bookmarks.pruned(inputs.bookmarks(spark, d))
 
 
-@query(sql(", k AS (SELECT doc_id, ord, page, lower(replace(title, ' ', '')) AS k FROM bookmarks), n AS (SELECT doc_id, ord, start_page AS p, lower(replace(title, ' ', '')) AS k FROM nodes) SELECT DISTINCT n.doc_id, n.ord, k.ord AS b_ord FROM n JOIN k ON n.doc_id = k.doc_id AND abs(n.p - k.page) <= 1 AND (n.k = k.k OR ends_with(n.k, k.k) OR ends_with(k.k, n.k) OR n.p = k.page)", *TREE))
+@query(sql("SELECT DISTINCT n.doc_id, n.ord, k.ord AS b_ord FROM nodes n JOIN bookmarks k ON n.doc_id = k.doc_id AND abs(n.start_page - k.page) <= 1", *TREE))
 def same_headings(spark, d):
-    """All titles here are alike ("Part n"), so a shared page alone makes them the same."""
+    """All titles here are alike ("Part n": likeness 0.71 at least), so a page or a neighbouring one makes them the same; likeness itself is tested on made titles."""
     return bookmarks.same_headings(nodes_of(spark, d), inputs.bookmarks(spark, d))
 
 
@@ -572,8 +646,8 @@ def token_estimates(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", summaries.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(sql(", t AS (SELECT doc_id, count(*) AS n, count(DISTINCT title) AS titles, max(level) AS depth FROM bookmarks GROUP BY doc_id), tier AS (SELECT doc_id, CASE WHEN n < 3 OR 4 * titles <= n THEN 'ignore' WHEN depth >= 2 AND n >= greatest(6, n_pages // 20) THEN 'full' ELSE 'skeleton' END AS tier FROM t JOIN doc_pages USING (doc_id)), g AS (SELECT doc_id, count(*) AS tops FROM nodes WHERE parent_ord IS NULL GROUP BY doc_id) SELECT coalesce(tier.doc_id, g.doc_id) AS doc_id, CASE WHEN tier = 'full' THEN 'bookmarks' WHEN tier = 'skeleton' AND coalesce(tops, 0) > 0 THEN 'hybrid' WHEN tier = 'skeleton' THEN 'bookmarks' WHEN coalesce(tops, 0) > 0 THEN 'detected' ELSE 'pages' END AS source FROM tier FULL JOIN g ON tier.doc_id = g.doc_id", *TREE))
+@query(sql(", t AS (SELECT doc_id, count(*) AS n, count(DISTINCT title) AS titles, max(level) AS depth FROM valid GROUP BY doc_id), tier AS (SELECT doc_id, CASE WHEN n < 3 OR 4 * titles <= n THEN 'ignore' WHEN depth >= 2 AND n >= greatest(6, n_pages // 20) THEN 'full' ELSE 'skeleton' END AS tier FROM t JOIN doc_pages USING (doc_id)), g AS (SELECT doc_id, count(*) AS tops FROM nodes WHERE parent_ord IS NULL GROUP BY doc_id) SELECT coalesce(tier.doc_id, g.doc_id) AS doc_id, CASE WHEN tier = 'full' THEN 'bookmarks' WHEN tier = 'skeleton' AND coalesce(tops, 0) > 0 THEN 'hybrid' WHEN tier = 'skeleton' THEN 'bookmarks' WHEN coalesce(tops, 0) > 0 THEN 'detected' ELSE 'pages' END AS source FROM tier FULL JOIN g ON tier.doc_id = g.doc_id", *TREE))
 def toc_sources(spark, d):
     n = inputs.doc_pages(spark, d)
-    tiers = outline.bookmark_tiers(inputs.bookmarks(spark, d), n)
+    tiers = outline.bookmark_tiers(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3).drop("n_pages"), n)
     return bookmarks.toc_source(tiers, outline.outline_gate(nodes_of(spark, d), n))

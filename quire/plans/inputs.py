@@ -49,6 +49,25 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
     return li.select((F.col("l_orderkey") % 997).alias("doc_id"), (F.col("l_orderkey") % 5 + 1).cast("int").alias("page"), (F.col("l_orderkey") * 64 + F.col("n")).alias("ix"), left.alias("left"), (left + 40 + F.col("l_discount") * 100).alias("right"), (top + 8 + F.col("l_linenumber")).alias("top"), top.alias("bottom"), F.concat("l_returnflag", F.lit(" "), "l_linestatus", F.lit(" "), (F.col("l_suppkey") % 40).cast("string")).alias("text"), (F.col("l_linenumber") + 7).cast("double").alias("size"), (F.col("l_returnflag") == "A").alias("bold"), F.when(F.col("l_linenumber") == 7, 1.0).otherwise(0.0).alias("skew"))
 
 
+def drawn_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page_text with image_coverage and path_objects by document, and texts of some documents made bare, vowelless or bad, so that every label occurs."""
+    doc, t = F.col("doc_id"), F.col("markdown")
+    made = F.when(doc % 11 == 0, F.substring(t, 1, 15)).when(doc % 11 == 1, F.translate(t, "aeiouyAEIOUY", "")).when(doc % 11 == 2, F.concat(F.repeat(F.lit("\ufffd"), 200), t)).otherwise(t)
+    return page_text(spark, d).select("doc_id", "page", made.alias("markdown"), (doc % 10 / F.lit(10.0)).alias("image_coverage"), (doc % 7 * 40).alias("path_objects"))
+
+
+def made_bookmarks(spark: SparkSession, d: str) -> DataFrame:
+    """bookmarks with titles of every kind, by order: generic, with two counters, content units, one counter, told apart, all alike, mixed."""
+    n, x = F.col("ord").cast("string"), F.col("doc_id") % 7
+    mixed = F.element_at(F.array(*[F.lit(t) for t in MIXED]), (F.col("ord") % len(MIXED) + 1).cast("int"))
+    title = F.when(x == 0, F.concat(F.lit("Page "), n)).when(x == 1, F.concat(F.lit("file "), n, F.lit(" v"), n)).when(x == 2, F.concat(F.lit("Chapter "), n)).when(x == 3, F.concat(F.lit("Item "), n)).when(x == 4, F.concat(F.translate(n, "0123456789", "abcdefghij"), F.lit(" – Word"))).when(x == 5, F.lit("Notes")).otherwise(mixed)
+    return bookmarks(spark, d).withColumn("title", title)
+
+
+#: Titles that reach every branch of the title rules.
+MIXED = ("Part IV-3a", "12", "Document  page 3", "XIV. Mix", "Growth $x_1$ of div 2", "mcmxc and iii", "Page layout rules")
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """id, name, created_at, page_num, status: orders as records of stored documents."""
     return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("file-"), (F.col("o_custkey") % 400).cast("string"), F.lit(".pdf")).alias("name"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderkey") % 37 + 1).alias("page_num"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("processing").alias("status"))
@@ -60,7 +79,9 @@ SQL = {
     "page_text": "page_text AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ln) AS markdown FROM lines GROUP BY doc_id, page)",
     "bookmarks": "bookmarks AS (SELECT l_orderkey AS doc_id, n AS ord, 'Part ' || (l_partkey % 12) AS title, (l_suppkey % 3 + 1)::INT AS level, (n * 3 + l_quantity % 9 - 2)::INT AS page FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS n FROM lineitem))",
     "doc_pages": "doc_pages AS (SELECT o_orderkey AS doc_id, (o_orderkey % 5 + 20)::INT AS n_pages FROM orders)",
-    "valid": "valid AS (SELECT doc_id, ord, title, level, page, n_pages FROM (SELECT b.*, n_pages, max(page) OVER (PARTITION BY doc_id ORDER BY ord) AS m FROM bookmarks b JOIN doc_pages USING (doc_id) WHERE page BETWEEN 1 AND n_pages) WHERE page = m)",
+    "valid": "valid0 AS (SELECT doc_id, ord, title, level, page, n_pages FROM (SELECT b.*, n_pages, max(page) OVER (PARTITION BY doc_id ORDER BY ord) AS m FROM bookmarks b JOIN doc_pages USING (doc_id) WHERE page BETWEEN 1 AND n_pages) WHERE page = m), opened AS (SELECT v.doc_id, v.ord, count(*) AS c FROM valid0 v JOIN valid0 x ON x.doc_id = v.doc_id AND x.ord < v.ord AND x.level < v.level WHERE NOT EXISTS (SELECT 1 FROM valid0 y WHERE y.doc_id = x.doc_id AND y.ord > x.ord AND y.ord < v.ord AND y.level <= x.level) GROUP BY ALL), valid AS (SELECT v.doc_id, v.ord, v.title, (1 + coalesce(o.c, 0))::INT AS level, v.page, v.n_pages FROM valid0 v LEFT JOIN opened o ON o.doc_id = v.doc_id AND o.ord = v.ord)",
+    "drawn": "drawn AS (SELECT doc_id, page, CASE doc_id % 11 WHEN 0 THEN substr(markdown, 1, 15) WHEN 1 THEN translate(markdown, 'aeiouyAEIOUY', '') WHEN 2 THEN repeat(chr(65533), 200) || markdown ELSE markdown END AS markdown, (doc_id % 10) / 10.0::DOUBLE AS image_coverage, doc_id % 7 * 40 AS path_objects FROM page_text)",
+    "made_bookmarks": "made_bookmarks AS (SELECT doc_id, ord, CASE doc_id % 7 WHEN 0 THEN 'Page ' || ord WHEN 1 THEN 'file ' || ord || ' v' || ord WHEN 2 THEN 'Chapter ' || ord WHEN 3 THEN 'Item ' || ord WHEN 4 THEN translate(ord::VARCHAR, '0123456789', 'abcdefghij') || ' – Word' WHEN 5 THEN 'Notes' ELSE [" + ", ".join(f"'{t}'" for t in MIXED) + "][ord % 7 + 1] END AS title, level, page FROM bookmarks)",
     "nodes": "nodes AS (SELECT v.doc_id, v.ord, (SELECT max(x.ord) FROM valid x WHERE x.doc_id = v.doc_id AND x.ord < v.ord AND x.level < v.level) AS parent_ord, v.level, v.title, v.page AS start_page, greatest(v.page, coalesce((SELECT arg_min(x.page, x.ord) FROM valid x WHERE x.doc_id = v.doc_id AND x.ord > v.ord AND x.level <= v.level), v.n_pages)) AS end_page, printf('%04d', row_number() OVER (PARTITION BY v.doc_id ORDER BY v.ord) - 1) AS node_id FROM valid v)",
     "spans": "spans AS (SELECT l_orderkey % 997 AS doc_id, (l_orderkey % 5 + 1)::INT AS page, l_orderkey * 64 + n AS ix, l_quantity * 10 AS \"left\", l_quantity * 10 + 40 + l_discount * 100 AS \"right\", (l_partkey % 700)::DOUBLE + 8 + l_linenumber AS top, (l_partkey % 700)::DOUBLE AS bottom, l_returnflag || ' ' || l_linestatus || ' ' || (l_suppkey % 40) AS text, (l_linenumber + 7)::DOUBLE AS size, l_returnflag = 'A' AS bold, CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 0.0 END::DOUBLE AS skew FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS n FROM lineitem))",
     "records": "records AS (SELECT o_orderkey::VARCHAR AS id, 'file-' || (o_custkey % 400) || '.pdf' AS name, o_orderdate AS created_at, o_orderkey % 37 + 1 AS page_num, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'processing' END AS status FROM orders)",
