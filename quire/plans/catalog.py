@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import pages as P
 from quire.functions import rects as R
+from quire.functions import scalars as S
 from quire.functions import text as T
-from quire.operators import blocks, bookmarks, classify, evaluate, lines, optimizer, outline, stats, store, summaries, trees, triage
+from quire.operators import assembly, blocks, bookmarks, classify, evaluate, lines, merging, optimizer, outline, retrieval, stats, store, summaries, trees, triage
 from quire.plans import inputs
 from quire.plans.inputs import sql, table
 
@@ -651,3 +652,107 @@ def toc_sources(spark, d):
     n = inputs.doc_pages(spark, d)
     tiers = outline.bookmark_tiers(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3).drop("n_pages"), n)
     return bookmarks.toc_source(tiers, outline.outline_gate(nodes_of(spark, d), n))
+
+
+# Outline assembly
+
+
+SIGNED = ", signed AS (SELECT *, kind || '|' || CASE WHEN len(numbering) > 0 THEN array_to_string(numbering, ',') ELSE replace(lower(title), ' ', '') END AS sig FROM candidates)"
+
+
+@query(sql(SIGNED + " SELECT doc_id, ord FROM (SELECT *, page - lag(page) OVER (PARTITION BY doc_id, sig ORDER BY ord) AS gap FROM signed) WHERE gap < 20", "candidates"))
+def nearby_duplicates(spark, d):
+    return assembly.nearby_duplicates(inputs.candidates(spark, d))
+
+
+@query(sql(SIGNED + " SELECT doc_id, ord, sig, kind || '|' || array_to_string(numbering[:len(numbering) - 1], ',') AS parent FROM signed", "candidates"))
+def heading_signatures(spark, d):
+    k, n = F.col("kind"), F.col("numbering")
+    return inputs.candidates(spark, d).select("doc_id", "ord", S.heading_signature(k, n, F.col("title")).alias("sig"), S.parent_signature(k, n).alias("parent"))
+
+
+@query(sql("SELECT doc_id, style, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS k FROM (SELECT doc_id, style, count(*) AS n, min(ord) AS o FROM candidates WHERE kind IN (5, 6, 7, 11) GROUP BY ALL)) WHERE k = 1 AND n > 1", "candidates"))
+def keyword_cliques(spark, d):
+    return assembly.keyword_clique(inputs.candidates(spark, d))
+
+
+@query(sql("SELECT c.doc_id, c.ord, max(x.ord) AS anchor FROM candidates c LEFT JOIN (SELECT doc_id, ord FROM candidates WHERE kind = 8) x ON x.doc_id = c.doc_id AND x.ord <= c.ord GROUP BY ALL", "candidates"))
+def partitioned_candidates(spark, d):
+    c = inputs.candidates(spark, d)
+    return assembly.partitioned(c, c.where("kind = 8")).select("doc_id", "ord", "anchor")
+
+
+@query(sql("SELECT doc_id, style, count(*) AS n, count(DISTINCT page) AS pages FROM candidates WHERE len(numbering) = 0 GROUP BY ALL HAVING count(*) >= 3", "candidates"))
+def recurring_styles(spark, d):
+    return assembly.recurring_styles(inputs.candidates(spark, d))
+
+
+@query()
+def detected_outline(spark, d):
+    """Each choice depends on those before it; tested on made outlines."""
+    return assembly.sections(assembly.assembled(inputs.candidates(spark, d)), inputs.doc_pages(spark, d))
+
+
+@query()
+def detected_gates(spark, d):
+    return assembly.gates(assembly.assembled(inputs.candidates(spark, d)), inputs.doc_pages(spark, d))
+
+
+@query()
+def bookmarked_trees(spark, d):
+    """Bookmarks merged into detected outlines, both made; placement depends on what was placed before; tested on made trees."""
+    n = inputs.doc_pages(spark, d)
+    return merging.applied(assembly.sections(assembly.assembled(inputs.candidates(spark, d)), n), inputs.made_bookmarks(spark, d), n)
+
+
+# Structure retrieval
+
+
+@query(sql("SELECT doc_id, string_agg(markdown, chr(10) || chr(10) ORDER BY page) AS text FROM page_text GROUP BY doc_id", "lines", "page_text"))
+def raw_texts(spark, d):
+    return retrieval.page_texts(inputs.page_text(spark, d), "raw")
+
+
+@query(sql(", t AS (SELECT n.doc_id, n.ord, string_agg(p.markdown, chr(10) ORDER BY p.page) AS t FROM nodes n JOIN page_text p ON p.doc_id = n.doc_id AND p.page BETWEEN start_page AND end_page GROUP BY ALL) SELECT n.doc_id, n.ord, n.title, n.level, n.start_page AS page_index, md5(coalesce(t, '')) AS digest FROM nodes n LEFT JOIN t ON t.doc_id = n.doc_id AND t.ord = n.ord", *TREE, "lines", "page_text"))
+def flattened_nodes(spark, d):
+    return retrieval.flattened(nodes_of(spark, d), inputs.page_text(spark, d)).select("doc_id", "ord", "title", "level", "page_index", F.md5("text").alias("digest"))
+
+
+@query()
+def structure_chunks(spark, d):
+    """Parts of 300 characters; a node too large is split inside; tested against a version by definition."""
+    return retrieval.structure_parts(nodes_of(spark, d), 300)
+
+
+@query()
+def reader_trees(spark, d):
+    return retrieval.reader_trees(nodes_of(spark, d))
+
+
+@query(sql("SELECT doc_id, length('[' || string_agg('{\"title\": \"' || title || '\", \"page\": ' || start_page || '}', ', ' ORDER BY ord) || ']') AS n FROM nodes GROUP BY doc_id", *TREE))
+def serialized_lengths(spark, d):
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "start_page"))), lambda x: F.struct(x["title"].alias("title"), x["start_page"].alias("page")))
+    return nodes_of(spark, d).groupBy("doc_id").agg(F.to_json(rows).alias("j")).select("doc_id", S.serialized_length("j").alias("n"))
+
+
+# Scalars
+
+
+NUMBERS = ("", "  42 ", "-7.5e2", "+.5", "5.", "0x1F", "0o17", "0b101", "Infinity", "-Infinity", "１２", "1_000", "abc", "0x", "1e", "--1")
+PREFIXES = ("1. Scope", "12) Terms", "IV. Methods", "A. Notes", "a) note", "v. small", "[3] cited", "( 7 ) seven", "3", "3-phase", "3-4", "123. long", "Introduction", "IX", "2: two", "h. last", "j. none")
+
+
+def picked(spark, d, texts):
+    return table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_custkey") % len(texts) + 1).cast("int")).alias("t"))
+
+
+@query("WITH v AS (SELECT unnest([0.0, 42.0, -750.0, 0.5, 5.0, 31.0, 15.0, 5.0, 1e300, -1e300, 12.0, NULL, NULL, NULL, NULL, NULL]::DOUBLE[]) AS x, unnest(range(16)) AS i), w AS (SELECT unnest([NULL, 42, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1000, NULL, NULL, NULL, NULL]) AS whole, unnest(range(16)) AS i) SELECT o_orderkey, x AS number, whole::BIGINT AS whole FROM orders JOIN v ON o_custkey % 16 = v.i JOIN w USING (i)")
+def numbers_of_texts(spark, d):
+    """Infinite values are shown as ±1e300, and what is no number as null."""
+    x = S.to_number(F.col("t"))
+    return picked(spark, d, NUMBERS).select("o_orderkey", F.when(~F.isnan(x), F.greatest(F.lit(-1e300), F.least(F.lit(1e300), x))).alias("number"), S.to_int(F.col("t")).cast("long").alias("whole"))
+
+
+@query("WITH v AS (SELECT unnest(['1', '12', 'IV', 'A', 'a', 'v', '3', '7', '3', '3', NULL, NULL, NULL, 'IX', '2', 'h', NULL]) AS text, unnest([1, 1, 2, 3, 3, 2, 1, 1, 1, 1, 0, 0, 0, 2, 1, 3, 0]) AS kind, unnest(range(17)) AS i) SELECT o_orderkey, kind, text FROM orders JOIN v ON o_custkey % 17 = i")
+def numbering_prefixes(spark, d):
+    return picked(spark, d, PREFIXES).select("o_orderkey", S.numbering_prefix(F.col("t")).alias("p")).select("o_orderkey", "p.kind", "p.text")

@@ -64,6 +64,19 @@ def made_bookmarks(spark: SparkSession, d: str) -> DataFrame:
     return bookmarks(spark, d).withColumn("title", title)
 
 
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Heading candidates of every kind, made from the lines of orders."""
+    o, n = order_lines(spark, d), F.col("n")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_partkey") % len(KINDS) + 1).cast("int"))
+    one, two = F.array(n.cast("int")), F.array(n.cast("int"), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    numbers = F.when((kind == 1) & (F.col("l_suppkey") % 2 == 0), two).when(kind.isin(1, 2, 4), one).otherwise(F.expr("cast(array() as array<int>)"))
+    size = (F.col("l_suppkey") % 4 + 10).cast("double")
+    return o.select(F.col("l_orderkey").alias("doc_id"), n.cast("int").alias("ord"), (n * 2 + F.col("l_partkey") % 2).cast("int").alias("page"), (F.col("l_quantity") % 10 / 10).alias("y_frac"), kind.alias("kind"), numbers.alias("numbering"), (kind.isin(5, 8) | (F.col("l_suppkey") % 5 == 0)).alias("prominent"), F.concat(F.lit("Heading "), (F.col("l_partkey") % 3).cast("string")).alias("title"), F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string")).alias("style"), size.alias("size"), (size + F.col("l_partkey") % 2).alias("score"), (F.col("l_partkey") % 2 == 0).alias("caps"), (F.col("l_suppkey") % 6 == 0).alias("centred"), F.lit(0.0).alias("italic"), (F.col("l_suppkey") % 2).cast("double").alias("bold"), (F.col("l_quantity") % 2 == 0).alias("at_top"), (F.col("l_quantity") * 100).alias("body"))
+
+
+KINDS = (0, 1, 2, 4, 5, 8, 11)
+
+
 #: Titles that reach every branch of the title rules.
 MIXED = ("Part IV-3a", "12", "Document  page 3", "XIV. Mix", "Growth $x_1$ of div 2", "mcmxc and iii", "Page layout rules")
 
@@ -80,6 +93,7 @@ SQL = {
     "bookmarks": "bookmarks AS (SELECT l_orderkey AS doc_id, n AS ord, 'Part ' || (l_partkey % 12) AS title, (l_suppkey % 3 + 1)::INT AS level, (n * 3 + l_quantity % 9 - 2)::INT AS page FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS n FROM lineitem))",
     "doc_pages": "doc_pages AS (SELECT o_orderkey AS doc_id, (o_orderkey % 5 + 20)::INT AS n_pages FROM orders)",
     "valid": "valid0 AS (SELECT doc_id, ord, title, level, page, n_pages FROM (SELECT b.*, n_pages, max(page) OVER (PARTITION BY doc_id ORDER BY ord) AS m FROM bookmarks b JOIN doc_pages USING (doc_id) WHERE page BETWEEN 1 AND n_pages) WHERE page = m), opened AS (SELECT v.doc_id, v.ord, count(*) AS c FROM valid0 v JOIN valid0 x ON x.doc_id = v.doc_id AND x.ord < v.ord AND x.level < v.level WHERE NOT EXISTS (SELECT 1 FROM valid0 y WHERE y.doc_id = x.doc_id AND y.ord > x.ord AND y.ord < v.ord AND y.level <= x.level) GROUP BY ALL), valid AS (SELECT v.doc_id, v.ord, v.title, (1 + coalesce(o.c, 0))::INT AS level, v.page, v.n_pages FROM valid0 v LEFT JOIN opened o ON o.doc_id = v.doc_id AND o.ord = v.ord)",
+    "candidates": "candidates AS (SELECT l_orderkey AS doc_id, n AS ord, (n * 2 + l_partkey % 2)::INT AS page, [0, 1, 2, 4, 5, 8, 11][l_partkey % 7 + 1] AS kind, CASE WHEN [0, 1, 2, 4, 5, 8, 11][l_partkey % 7 + 1] = 1 AND l_suppkey % 2 = 0 THEN [n, (l_suppkey % 3 + 1)::INT] WHEN [0, 1, 2, 4, 5, 8, 11][l_partkey % 7 + 1] IN (1, 2, 4) THEN [n] ELSE []::INT[] END AS numbering, 'Heading ' || l_partkey % 3 AS title, 'f' || l_suppkey % 4 AS style FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS n FROM lineitem))",
     "drawn": "drawn AS (SELECT doc_id, page, CASE doc_id % 11 WHEN 0 THEN substr(markdown, 1, 15) WHEN 1 THEN translate(markdown, 'aeiouyAEIOUY', '') WHEN 2 THEN repeat(chr(65533), 200) || markdown ELSE markdown END AS markdown, (doc_id % 10) / 10.0::DOUBLE AS image_coverage, doc_id % 7 * 40 AS path_objects FROM page_text)",
     "made_bookmarks": "made_bookmarks AS (SELECT doc_id, ord, CASE doc_id % 7 WHEN 0 THEN 'Page ' || ord WHEN 1 THEN 'file ' || ord || ' v' || ord WHEN 2 THEN 'Chapter ' || ord WHEN 3 THEN 'Item ' || ord WHEN 4 THEN translate(ord::VARCHAR, '0123456789', 'abcdefghij') || ' – Word' WHEN 5 THEN 'Notes' ELSE [" + ", ".join(f"'{t}'" for t in MIXED) + "][ord % 7 + 1] END AS title, level, page FROM bookmarks)",
     "nodes": "nodes AS (SELECT v.doc_id, v.ord, (SELECT max(x.ord) FROM valid x WHERE x.doc_id = v.doc_id AND x.ord < v.ord AND x.level < v.level) AS parent_ord, v.level, v.title, v.page AS start_page, greatest(v.page, coalesce((SELECT arg_min(x.page, x.ord) FROM valid x WHERE x.doc_id = v.doc_id AND x.ord > v.ord AND x.level <= v.level), v.n_pages)) AS end_page, printf('%04d', row_number() OVER (PARTITION BY v.doc_id ORDER BY v.ord) - 1) AS node_id FROM valid v)",
