@@ -195,7 +195,7 @@ def call(name: str, arguments: dict | None, records: DataFrame, nodes: DataFrame
     if name == "get_document_structure":
         return structure_part(nodes.join(ready, "doc_id", "left_semi"), whole(given.get("part"), 1))
     spec = F.lit(str(given["pages"]))
-    wanted = ready.where(P.page_spec_problem(spec).isNull()).select("doc_id", F.explode(P.expanded(spec)).cast("int").alias("page"))
+    wanted = ready.where(P.page_spec_problem(spec).isNull()).select("doc_id", F.explode(P.expanded(spec).cast("array<int>")).alias("page"))
     chosen = pages.join(wanted, ["doc_id", "page"], "left_semi")
     return chosen.join(store.pages_in_budget(chosen, BUDGET), ["doc_id", "page"], "left_semi")
 
