@@ -56,6 +56,14 @@ def freed(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(id_col, n: int):
     """crc32(id as text) mod n, the fold of a document."""
     return F.crc32(F.col(id_col).cast("string")) % n
@@ -69,21 +77,38 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
 
 
-def worker_state(key, build, most: int = 8):
-    """build()'s value, kept in this Python worker from one task to the next; the worker keeps the last `most` of them."""
-    state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state"))
-    kept = state.__dict__.setdefault("kept", {})
-    if key not in kept:
-        while len(kept) >= most:
-            kept.pop(next(iter(kept)))
-        kept[key] = build()
-    return kept[key]
+def worker_state(key, build):
+    """build()'s value, kept in this Python worker from one task to the next. A worker keeps one value: another key drops the last one first, so what a finished stage held goes when the next begins."""
+    state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
+    if state.get("key") != key:
+        state.pop("value", None)
+        state["key"] = None
+        gc.collect()
+        state["value"], state["key"] = build(), key
+    return state["value"]
+
+
+def shipped(spark: SparkSession, value, use=lambda x: x):
+    """A function that gives use(value) on any worker: value (bounded) is broadcast with its classes, so executors need no copy of this package."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps((value, use))), uuid.uuid4().hex
+
+    def build():
+        held, made = pickle.loads(sent.value)
+        return made(held)
+
+    return lambda: worker_state(key, build)
+
+
+#: Bytes of an Arrow batch, about, where the session has Spark's own default: texts are long, and a worker holds a batch as Arrow and as Python values.
+BATCH_BYTES = 4 << 20
 
 
-def shipped(spark: SparkSession, value):
-    """A function that gives `value` (bounded) on any worker: it is broadcast with its classes, so executors need no copy of this package."""
-    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
-    return lambda: worker_state(key, lambda: pickle.loads(sent.value))
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, with batches bounded by bytes and not by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, "67108864b").rstrip("bB") == "67108864":
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 #: Slots of the bitmap that thins out rows before a join: 1 MB, whatever the data.

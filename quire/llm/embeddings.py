@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import saved
+from quire.llm.common import arrow, saved
 from quire.llm.graph import components
 
 #: Vectors of a tile, about; bins of the leading coordinate by which tiles are cut; dimensions after which pairs are dropped.
@@ -37,7 +37,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
                 rows.append((i, label, len(raw or ()), key, v.tobytes() if key is not None else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["vec_id", "label", "dim", "class", "vec"])
 
-    return vectors.mapInArrow(run, "vec_id long, label string, dim long, class long, vec binary")
+    return arrow(vectors, run, "vec_id long, label string, dim long, class long, vec binary")
 
 
 def bases(classes: DataFrame) -> dict:
@@ -56,7 +56,7 @@ def bases(classes: DataFrame) -> dict:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(np.arange(d * d)), pa.array((u.T @ u).ravel())], names=["dim", "i", "x"])
             sums = {}
 
-    got = classes.select("dim", "vec").mapInArrow(run, "dim long, i long, x double").groupBy("dim", "i").agg(F.sum("x").alias("x")).collect()
+    got = arrow(classes.select("dim", "vec"), run, "dim long, i long, x double").groupBy("dim", "i").agg(F.sum("x").alias("x")).collect()
     out: dict = {}
     for r in got:
         out.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[divmod(r["i"], r["dim"])] = r["x"]
@@ -164,7 +164,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 some = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(node[root[some]])], names=["class", "links", "root"])
 
-    found = saved(both.mapInArrow(run, "class long, links long, root long"), "links")
+    found = saved(arrow(both, run, "class long, links long, root long"), "links")
     comp = components(found.select("class", "root"))
     links = classes.join(found.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(comp, F.col("class") == F.col("id"), "left").select("class", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("comp"))
     links = links.join(links.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("class", "n_links", "component_id")

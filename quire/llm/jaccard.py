@@ -3,8 +3,10 @@
 Index level: each distinct set puts its prefix (rarest n-grams first) into index lists with their positions; a list is read in order
 of set size, entries too small are skipped as a block, and an entry is skipped where the positions leave too little to share.
 Answer level: in a list, a set is compared with a leader first. Sets found similar to a leader share its class, so their links among
-one another need no comparison; what a set has in common with its leader bounds what it can share with the leader's other sets, and
-only pairs that this bound leaves open, and what their prefixes share, are compared by their texts.
+one another need no comparison; what a set has in common with its leader bounds what it can share with the leader's other sets. Then
+rounds: in each list, each class that is left proposes one pair, the likeliest that the bounds leave open, so a round never has more
+pairs than entries; links join classes, and pairs within a class need no answer. After ROUNDS rounds what is still open is compared
+pair by pair. Pairs are compared by their texts.
 """
 
 from __future__ import annotations
@@ -15,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import freed, only_ids, saved, worker_state
+from quire.llm.common import arrow, dropped, freed, only_ids, saved, worker_state
 from quire.llm.graph import components
 
 #: N-grams known as frequent, at most; they go last in the order of rarity. The order decides speed only, never what links.
 MOST_FREQUENT = 200_000
 #: Bits of a set's bitmap, at least.
-FEWEST_BITS = 1024
+FEWEST_BITS = 256
+#: Entries of a list that are compared without arrays.
+SHORT = 24
+#: Rounds in which a class proposes one pair a list, before all that is open is compared. They decide speed only.
+ROUNDS = 3
 #: Documents counted together; an n-gram counts as frequent among them from so many documents on, or so large a share.
 BATCH_DOCS, LEAST_DOCS, LEAST_SHARE = 1000, 4, 0.004
 
@@ -78,7 +84,7 @@ def frequent(docs: DataFrame, k: int) -> list[tuple[int, int]]:
         if held:
             yield told()
 
-    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    rows = arrow(docs.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
     return [(r["h"], r["n"]) for r in rows]
 
 
@@ -110,7 +116,7 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             prefix = pa.ListArray.from_arrays(offsets, np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), prefix], names=["doc_id", "n", "digest", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, prefix array<long>")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary, bits binary, prefix array<long>")
 
 
 def parity(s, n: int):
@@ -190,14 +196,16 @@ def index_lists(reps: DataFrame, percent: int) -> DataFrame:
             yield batch()
 
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", F.col("doc_id").alias("doc"), F.col("pos").cast("long").alias("pos"))
-    return entries.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "token long, doc long, n long, pos long, leader long")
+    return arrow(entries.repartition("token").sortWithinPartitions("token", "n", "doc"), run, "token long, doc long, n long, pos long, leader long")
 
 
-def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of sets of different classes that share a list and whose sizes, positions, common leader and bitmaps leave open whether they link.
+def open_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
+    """token, a, b: pairs of sets of different classes that share a list and whose sizes, positions, common leader and bitmaps leave open whether they link.
 
-    lists: token, n, doc, pos, leader, shared (with the leader; null if not known), component, bits. Sizes of linked sets are less
-    than a factor of two apart, so one bitmap is folded once at most.
+    every: all such pairs; otherwise the one of each class in a list whose bitmaps differ least for their sizes, so there are no more
+    rows than entries, and none only where none is open. lists: token, n, doc, pos, leader, shared (with the leader; null if not
+    known), component, bits, met (sets it was compared with before, in vain). Sizes of linked sets are less than a factor of two
+    apart, so one bitmap is folded once at most.
     """
 
     def run(batches):
@@ -205,10 +213,52 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
         out, size = [], 0
 
+        def few(token, n, doc, pos, leader, shared, comp, bits, met):
+            """Of a short list, where arrays cost more than they save."""
+            found, best, words = [], {}, {}
+
+            def word(i, width):
+                if i not in words:
+                    words[i] = int.from_bytes(bits[i], "little")
+                x, w = words[i], len(bits[i])
+                while w > width:
+                    w //= 2
+                    x = (x >> (8 * w)) ^ (x & ((1 << (8 * w)) - 1))
+                return x
+
+            for i, ni in enumerate(n):
+                for j in range(i + 1, len(n)):
+                    nj = n[j]
+                    if 100 * ni < percent * nj:
+                        break
+                    wanted = -(-percent * (ni + nj) // (100 + percent))
+                    if comp[i] == comp[j] or min(ni - pos[i], nj - pos[j]) < wanted or leader[j] == doc[i] or leader[i] == doc[j]:
+                        continue
+                    if leader[i] == leader[j] and shared[i] >= 0 and shared[j] >= 0 and min(shared[j] + ni - shared[i], shared[i] + nj - shared[j]) < wanted:
+                        continue
+                    if met[i] is not None and doc[j] in met[i]:
+                        continue
+                    width = min(len(bits[i]), len(bits[j]))
+                    slack = ni + nj - (word(i, width) ^ word(j, width)).bit_count() - 2 * wanted
+                    if slack < 0:
+                        continue
+                    if every:
+                        found.append((doc[i], doc[j]))
+                    else:
+                        for c in (comp[i], comp[j]):
+                            if slack / (ni + nj) > best.get(c, (-1.0,))[0]:
+                                best[c] = (slack / (ni + nj), doc[i], doc[j])
+            if not every:
+                found = sorted({x[1:] for x in best.values()})
+            return (np.full(len(found), token[0]), *(np.array(x) for x in zip(*found))) if found else None
+
         def pairs(cols):
-            _, n, doc, pos, leader, shared, comp, bits = cols
+            comp = cols[6]
             if (comp == comp[0]).all():
                 return None
+            if len(comp) <= SHORT:
+                return few(*(c.tolist() for c in cols))
+            token, n, doc, pos, leader, shared, comp, bits, met = cols
             a, b = [], []
             size = np.array([len(x) for x in bits])
             words = [np.frombuffer(x, np.uint64) for x in bits]
@@ -226,9 +276,12 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
                 return out
 
             ends = np.searchsorted(n, 100 * n // percent, side="right")
+            of = np.unique(comp, return_inverse=True)[1]
+            best = np.full(of.max() + 1, -1.0)
+            best_i, best_j = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
             for i in range(len(n)):
                 j = np.arange(i + 1, ends[i])
-                j = j[comp[j] != comp[i]]
+                j = j[of[j] != of[i]]
                 if not len(j):
                     continue
                 wanted = need(n[i], n[j], percent)
@@ -236,17 +289,31 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
                 same = (leader[j] == leader[i]) & (shared[i] >= 0) & (shared[j] >= 0)
                 ok &= ~same | (np.minimum(shared[j] + n[i] - shared[i], shared[i] + n[j] - shared[j]) >= wanted)
                 ok &= (leader[j] != doc[i]) & (leader[i] != doc[j])  # compared before
+                if met[i] is not None and len(met[i]):
+                    ok &= ~np.isin(doc[j], met[i])
                 j, wanted = j[ok], wanted[ok]
-                ok = n[i] + n[j] - differing(i, j) >= 2 * wanted
-                a.append(np.full(int(ok.sum()), doc[i]))
-                b.append(doc[j[ok]])
-            return (np.concatenate(a), np.concatenate(b)) if a else None
+                slack = n[i] + n[j] - differing(i, j) - 2 * wanted
+                j, slack = j[slack >= 0], slack[slack >= 0] / (n[i] + n[j][slack >= 0])
+                if not len(j):
+                    continue
+                if every:
+                    a.append(np.full(len(j), doc[i]))
+                    b.append(doc[j])
+                    continue
+                order = np.argsort(slack, kind="stable")  # the last of a class is its largest
+                j, slack = j[order], slack[order]
+                more = slack > best[of[j]]
+                best[of[j[more]]], best_i[of[j[more]]], best_j[of[j[more]]] = slack[more], i, j[more]
+                if slack[-1] > best[of[i]]:
+                    best[of[i]], best_i[of[i]], best_j[of[i]] = slack[-1], i, j[-1]
+            if not every:
+                found = np.unique(np.stack([best_i[best >= 0], best_j[best >= 0]]), axis=1)
+                a, b = ([doc[found[0]]], [doc[found[1]]]) if found.shape[1] else ([], [])
+            return (np.full(sum(map(len, a)), token[0]), np.concatenate(a), np.concatenate(b)) if a else None
 
         def batch():
-            lo = np.concatenate([np.minimum(a, b) for a, b in out])
-            hi = np.concatenate([np.maximum(a, b) for a, b in out])
-            both = np.unique(np.stack([lo, hi]), axis=1) if len(lo) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            tokens, a, b = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, np.minimum(a, b), np.maximum(a, b))], names=["token", "a", "b"])
 
         for got in by_list(batches, pairs):
             out.append(got)
@@ -257,8 +324,8 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         if out:
             yield batch()
 
-    cols = lists.select("token", "n", "doc", "pos", "leader", F.coalesce("shared", F.lit(-1).cast("long")).alias("shared"), "component", "bits")
-    return cols.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "a long, b long").distinct()
+    cols = lists.select("token", "n", "doc", "pos", "leader", F.coalesce("shared", F.lit(-1).cast("long")).alias("shared"), "component", "bits", "met")
+    return arrow(cols.repartition("token").sortWithinPartitions("token", "n", "doc"), run, "token long, a long, b long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +364,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     texts = only_ids(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
     left = pairs.join(texts.withColumnRenamed("text", "x"), pairs["a"] == texts["id"]).select("a", "b", "x")
     both = left.join(texts.withColumnRenamed("text", "y"), left["b"] == texts["id"]).select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long, shared long, linked boolean")
+    return arrow(both, run, "a long, b long, shared long, linked boolean")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -309,32 +376,55 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     vertex: with several texts for an id, its set for linking is the smallest text's. An empty table gives an empty
     result; other columns are not read. Equal sets are merged before anything else, so copies cost one row each.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = saved(sets(docs, k, percent), "sets")
-    known, texts = every.where("digest is not null and doc_id is not null"), docs.where("doc_id is not null and text is not null")
-    several = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    made = saved(sets(docs, k, percent), "sets")
+    every = saved(made.select("doc_id", "n", "digest"), "every")
+    known, texts = made.where("digest is not null and doc_id is not null"), docs.where("doc_id is not null and text is not null")
+    several = every.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     if not (several := saved(several, "several")).isEmpty():
         texts = texts.join(several, "doc_id", "anti").union(texts.join(several, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
         known = saved(sets(texts, k, percent), "sets").where("digest is not null")
     first = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
     reps = known.join(first.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("doc_id", "n", "bits", "prefix").dropDuplicates(["doc_id"])
-    reps = saved(reps, "reps")
+    reps, same = saved(reps, "reps"), saved(known.select("doc_id", "digest").join(first, "digest").select("doc_id", "rep").dropDuplicates(["doc_id"]), "same")
+    dropped(spark, made)
     lists = saved(index_lists(reps, percent), "lists")
-    first_pairs = saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    to_leaders = saved(compared(saved(plausible(first_pairs, reps, percent), "plausible"), texts, k, percent), "compared")
-    freed(docs.sparkSession)
-    linked = to_leaders.where("linked").select("a", "b")
-    comp = components(linked)
-    more = lists.join(comp, lists["doc"] == comp["id"], "left").select("token", "n", "doc", "pos", "leader", F.coalesce("component", "doc").alias("component"))
-    split = more.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    more = more.join(split, "token").join(to_leaders.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "shared"), ["doc", "leader"], "left")
-    more = more.withColumn("shared", F.when(F.col("doc") == F.col("leader"), F.col("n")).otherwise(F.col("shared")))
-    more = more.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
-    rest = saved(compared(saved(plausible(saved(open_pairs(more, percent), "open"), reps, percent), "plausible"), texts, k, percent), "compared")
-    freed(docs.sparkSession)
-    comp = components(comp.where("id <> component").select("id", "component").union(rest.where("linked").select("a", "b")))
-    out = known.join(first, "digest").select("doc_id", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    out = every.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(out.dropDuplicates(["doc_id"]), "doc_id", "left")
+
+    def answered(pairs: DataFrame) -> DataFrame:
+        """a, b, shared, linked: the pairs with their answers; those that their prefixes rule out have no shared."""
+        likely = saved(plausible(pairs, reps, percent), "plausible")
+        got = saved(compared(likely, texts, k, percent), "compared")
+        return saved(pairs.join(got, ["a", "b"], "left").select("a", "b", "shared", F.coalesce("linked", F.lit(False)).alias("linked")), "answers")
+
+    answers = answered(saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs"))
+    freed(spark)
+    # What is known of a set by now: its bitmap, what it shares with its leaders, its class, and whom it was compared with in vain.
+    led = answers.where("shared is not null").groupBy(F.col("a").alias("doc")).agg(F.map_from_entries(F.collect_list(F.struct("b", "shared"))).alias("led"))
+    facts = saved(reps.select(F.col("doc_id").alias("doc"), "bits").join(led, "doc", "left"), "facts")
+    comp, vain = components(answers.where("linked").select("a", "b")), None
+    for number in range(ROUNDS + 1):
+        about = facts.join(comp, F.col("doc") == F.col("id"), "left").select("doc", "bits", "led", F.coalesce("component", "doc").alias("component"))
+        if vain is None:
+            about = about.withColumn("met", F.lit(None).cast("array<long>"))
+        else:
+            both = vain.union(vain.select("b", "a")).toDF("doc", "other").groupBy("doc").agg(F.collect_set("other").alias("met"))
+            about = about.join(both, "doc", "left")
+        with_facts = lists.join(about, "doc").withColumn("shared", F.when(F.col("doc") == F.col("leader"), F.col("n")).otherwise(F.element_at("led", F.col("leader"))))
+        proposed = saved(open_pairs(with_facts, percent, number == ROUNDS), "open")
+        if proposed.isEmpty():
+            break
+        answers = answered(saved(proposed.select("a", "b").distinct(), "pairs"))
+        new = answers.where("linked").select("a", "b")
+        comp = components(comp.where("id <> component").select("id", "component").union(new))
+        if number < ROUNDS:
+            refused = answers.where("not linked").select("a", "b")
+            vain = saved(refused if vain is None else vain.union(refused), "vain")
+            # A list with nothing open has nothing later.
+            lists = saved(lists.join(proposed.select("token").distinct(), "token", "left_semi"), "lists")
+        freed(spark)
+    out = same.join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    out = every.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(out, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

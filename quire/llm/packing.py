@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import saved, worker_state
+from quire.llm.common import arrow, saved, worker_state
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: One partition in so many shares a task of the last merge, which reads one unfilled window of each.
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     n, now = n - bound, []
         return pa.Table.from_batches([as_batch(held.out)])
 
-    out = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids binary"), "pieces")
+    out = saved(arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA + ", ids binary"), "pieces")
     rest = out.where("ids is not null").groupBy(F.floor(F.col("sequence_id") / MERGED).cast("long").alias("part")).applyInArrow(merged, SCHEMA + ", ids binary")
     return out.where("ids is null").drop("ids").union(rest.drop("ids"))
 
