@@ -395,7 +395,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """a, b, shared, linked: the pairs with their answers; those that their prefixes rule out have no shared."""
         likely = saved(plausible(pairs, reps, percent), "plausible")
         got = saved(compared(likely, texts, k, percent), "compared")
-        return saved(pairs.join(got, ["a", "b"], "left").select("a", "b", "shared", F.coalesce("linked", F.lit(False)).alias("linked")), "answers")
+        out = saved(pairs.join(got, ["a", "b"], "left").select("a", "b", "shared", F.coalesce("linked", F.lit(False)).alias("linked")), "answers")
+        for done in (likely, got, pairs):
+            dropped(spark, done)
+        return out
 
     answers = answered(saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs"))
     freed(spark)
@@ -421,7 +424,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             refused = answers.where("not linked").select("a", "b")
             vain = saved(refused if vain is None else vain.union(refused), "vain")
             # A list with nothing open has nothing later.
-            lists = saved(lists.join(proposed.select("token").distinct(), "token", "left_semi"), "lists")
+            last, lists = lists, saved(lists.join(proposed.select("token").distinct(), "token", "left_semi"), "lists")
+            dropped(spark, last)
         freed(spark)
     out = same.join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = every.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(out, "doc_id", "left")
