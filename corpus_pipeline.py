@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common, jaccard, language, mixing, packing, secrets
@@ -15,12 +15,12 @@ SHINGLE, PERCENT = 5, 80
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null or empty ones and ones without letters. Others stay as they are, also if no language can be learned."""
+    """Drops documents in no language: null or empty ones and ones without letters. Others stay as they are, also if no language can be learned; null and repeated ids are rows like others."""
     model = language.fitted(docs)
     if model is None:
         return docs.where(language.has_letters("text"))
-    predict = language.predictor(spark, model)
-    return docs.withColumn("_p", predict("text")).where(F.col("_p.lang") != "und").drop("_p")
+    name = common.fresh(docs, "_p")
+    return language.labelled(docs, model, name=name).where(F.col(name)["lang"] != "und").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +31,39 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by a mark, and counts n_chars anew where a text changed."""
-    model = secrets.train(secrets.labelled_samples(spark, docs))
-    clean = secrets.redacted(docs.withColumn("_before", F.col("text")), model)
+    """Replaces secrets in texts by a mark, and counts n_chars anew where a text changed. Null and empty texts, null and repeated ids and an empty table stay as they are."""
+    model, before = secrets.train(secrets.labelled_samples(spark, docs)), common.fresh(docs, "_before")
+    clean = secrets.redacted(docs.withColumn(before, F.col("text")), model)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it, which may be not at all."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Repeats each row as often as the mix takes it, which may be not at all; texts without words go.
+
+    Rows that share an id, or have none, are told apart: in order of size, each takes the copies that the mix gave one of its id and
+    size. An empty table stays empty.
+    """
+    names = [common.fresh(docs, c) for c in ("_copies", "_copy", "_size", "_nth", "_of")]
+    copies, copy, size, nth, of = names
+    took = common.saved(mixing.mix(docs).select(F.col("doc_id").alias(of), F.col("size").alias(size), F.col("copies").cast("int").alias(copies)), "copies")
+    several = common.saved(took.groupBy(of).count().where("count > 1").select(of), "several")
+    repeated = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    once = docs.join(took.where(F.col(copies) > 0), docs["doc_id"].eqNullSafe(F.col(of)))
+    if several.isEmpty():
+        return once.withColumn(copy, repeated).select(docs.columns)
+    out = once.join(several.withColumnRenamed(of, nth), F.col(of).eqNullSafe(F.col(nth)), "left_anti").withColumn(copy, repeated).select(docs.columns)
+    words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0))
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(words, F.xxhash64("text")))
+    rows = docs.join(several, docs["doc_id"].eqNullSafe(several[of]), "left_semi").withColumn(nth, row)
+    theirs = took.join(several.withColumnRenamed(of, "_id"), F.col(of).eqNullSafe(F.col("_id")), "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(of).orderBy(size, copies)))
+    both = rows.join(theirs.where(F.col(copies) > 0), rows["doc_id"].eqNullSafe(F.col(of)) & (F.col(nth) == F.col(copy)))
+    return out.unionByName(both.drop(copy).withColumn(copy, repeated).select(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences."""
+    """Packs the mix into sequences, each row a document of its own; a null text is an empty one, and an empty table gives no row."""
     return packing.pack(docs)
 
 

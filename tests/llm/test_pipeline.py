@@ -70,3 +70,27 @@ def test_nothing_learned_drops_no_text_with_letters(spark, documents):
     rows = [(1, "the words of a text"), (2, None), (3, ""), (4, "123 … 4_5"), (5, "ж"), (None, "no id")]
     got = corpus_pipeline.identified(spark, documents(rows), D)
     assert {r["doc_id"] for r in got.collect()} == {1, 5, None} and got.columns == documents(rows).columns
+
+
+def test_rows_of_one_id_take_their_own_copies(spark, documents):
+    """Rows without an id and rows that share one are mixed one by one: as many words as the mix takes, no row more than twice."""
+    rows = [(None, " ".join(["w"] * n), "en", "a") for n in (3, 3, 40, 7)] + [(5, " ".join(["v"] * n), "en", "a") for n in (11, 2)] + [(i, "x y z", "en", "b") for i in range(10, 60)] + [(None, None, None, None)]
+    docs = documents(rows)
+    from quire.llm import mixing
+
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[(r["doc_id"], r["size"])] += r["copies"]
+    got = Counter((r["doc_id"], len(r["text"].split())) for r in corpus_pipeline.mixed(spark, docs, D).collect())
+    assert got == +want
+    most = Counter((i, len((t or "").split())) for i, t, *_ in rows)
+    assert all(got[k] <= 2 * most[k] for k in got)
+
+
+def test_helper_columns_leave_columns_of_the_same_names(spark, documents):
+    odd = ["_p", "_text", "_before", "_base", "_added", "_copies", "_copy", "_size", "_nth", "_of"]
+    docs = documents([(i, f"some words of text {i} and password = hunter{i}22x", "en", "s") for i in range(8)]).selectExpr("*", *[f"'{c}' AS {c}" for c in odd])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, D)
+        assert docs.columns[-len(odd) :] == odd
+    assert docs.count() > 0 and all(r[c] == c for r in docs.collect() for c in odd)
