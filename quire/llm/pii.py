@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import arrow
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,17 +30,19 @@ DIGITS = {w: str(d) for d, ws in enumerate(("zero oh null cero zéro", "one un e
 PLUS = ("plus", "mas", "más")
 
 _word = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-SPELLED = re.compile(rf"\b(?:(?:{'|'.join(PLUS)})[\s-])?{_word}(?:[\s-]{{1,2}}{_word}\b){{2,}}", re.I)
+_item = rf"(?:{_word}|[0-9]{{1,4}})"
+#: Three spelled digits or more, figures among them; at least one is spelled.
+SPELLED = re.compile(rf"\b(?:(?:{'|'.join(PLUS)})[\s-])?(?=(?:[0-9]{{1,4}}[\s-]{{1,2}})*+{_word}\b){_item}\b(?:[\s-]{{1,2}}{_item}\b){{2,}}", re.I)
 #: Endings that a spelled-out address may have. Fixed values.
-ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|dev|app|me|tv|eu|us|uk|de|fr|es|it|nl|ch|at|be|pt|pl|ru|jp|cn|in|br|ca|au|mx"
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|dev|app|me|tv|eu|us|uk|de|fr|es|it|nl|ch|at|be|pt|pl|ru|jp|cn|in|br|ca|au|mx|se|dk|kr|xyz|fi|gr|hu|ro|cz|ie|nz|za|ar|cl|tr|ua|il|sg|hk|tw|th|vn|ph|bg|hr|sk|lt|lv|ee|online|site|shop|club|tech|store|blog|cloud"
 AT = r"\s?[\[({<_]\s?(?:at|@)\s?[\])}>_]\s?"
 DOT = r"\s?[\[({<_]\s?(?:dot|\.)\s?[\])}>_]\s?"
 # A bare " at " counts only before a spelled-out host.
 HOST = rf"[A-Za-z0-9-]+(?:{DOT}|(?: dot [A-Za-z0-9-]+)*? dot (?:{ENDINGS})\b)"
 DISGUISE = re.compile(rf"(?P<at>{AT}|(?<=[A-Za-z0-9]) at (?={HOST})|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9]))|(?P<dot>{DOT}|(?<=[A-Za-z0-9]) (?:dot|\.) (?=[A-Za-z0-9]))", re.I)
 BRACKETED = re.compile(r"[\[({<_]\s?(?:at|@|dot|\.)\s?[\])}>_]", re.I)
-#: A text without any of these words has no spelled number worth reading (the others are common words too).
-TELLING = frozenset(DIGITS) - {"un", "oh", "null"}
+#: Runs of letters, by which a text is seen to hold a spelled digit at all.
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _odd_characters() -> dict[int, str | None]:
@@ -107,7 +111,7 @@ class Transduced:
 
 def spelled(m: re.Match) -> str:
     words = re.split(r"[\s-]+", m[0].lower())
-    return "".join("+" if w in PLUS else DIGITS[w] for w in words)
+    return "".join("+" if w in PLUS else DIGITS.get(w, w) for w in words)
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
@@ -118,10 +122,11 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
             steps.append(Transduced(text, edits))
             text = steps[-1].text
     low = text.lower()
-    if not TELLING.isdisjoint(low.replace("-", " ").split()) and (edits := [(m.start(), m.end(), spelled(m)) for m in SPELLED.finditer(text)]):
+    if not DIGITS.keys().isdisjoint(LETTERS.findall(low)) and (edits := [(m.start(), m.end(), spelled(m)) for m in SPELLED.finditer(text)]):
         steps.append(Transduced(text, edits))
         text = steps[-1].text
-    if (" dot " in low or " @ " in text or ((("(" in text) or ("[" in text) or ("<" in text) or ("{" in text) or ("_" in text)) and BRACKETED.search(text))) and (edits := [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]):
+    # Each of the patterns' alternatives has one of these in it.
+    if (" dot " in low or " @ " in text or " . " in text or ((("(" in text) or ("[" in text) or ("<" in text) or ("{" in text) or ("_" in text)) and BRACKETED.search(text))) and (edits := [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]):
         steps.append(Transduced(text, edits))
         text = steps[-1].text
     if not steps:
@@ -164,7 +169,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n, sha, spans, more = list(zip(*[r[:4] for r in rows])) or [[]] * 4, [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

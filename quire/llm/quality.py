@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, remainder, shipped, table, worker_state
+from quire.llm.common import arrow, bounded_sample, remainder, shipped, table
 
 TOKENS = re.compile(r"[^\W\d_]+|[\d_]+|\n|[^\w\s]{1,3}")
 #: Labelled documents the model is fitted on, about; hashed features; frequent words that stay words (others become their shape).
@@ -25,7 +25,7 @@ def shape(token: str) -> str:
 
 
 def extractor(common: list[str], most: int = 300_000):
-    """A function from a text to its features: sorted distinct hashes of the 1- to 3-grams of frequent words and shapes."""
+    """A function from a text to its features: sorted distinct hashes of the 1- and 2-grams of its words and marks as they are (in lower case), and of the 1- to 3-grams of frequent words and the shapes of the others."""
     import zlib
 
     import numpy as np
@@ -34,22 +34,27 @@ def extractor(common: list[str], most: int = 300_000):
 
     class Codes(dict):
         def __missing__(self, token: str) -> int:
-            out = zlib.crc32((token if token in words else shape(token)).encode())
-            self[token] = out
+            plain = zlib.crc32((token if token in words else shape(token)).encode())
+            self[token] = out = plain << 32 | zlib.crc32(b"=" + token.lower().encode())
             return out
 
     codes = Codes()
+    a, b, c, low = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFFFFFFFF)
+
+    def grams(x, longest: int):
+        mixed = [x * a]
+        for _ in range(longest - 1):
+            last = mixed[-1]
+            if len(last) > 1:
+                mixed.append((last[:-1] ^ (last[:-1] >> np.uint64(29))) * b + x[len(x) - len(last) + 1 :] * c)
+        return mixed
 
     def features(text: str):
         if len(codes) > most:
             codes.clear()
         tokens = TOKENS.findall(text)
-        a = np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        mixed = [a * np.uint64(0x9E3779B97F4A7C15)]
-        for _ in range(2):
-            last = mixed[-1]
-            if len(last) > 1:
-                mixed.append((last[:-1] ^ (last[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + a[len(a) - len(last) + 1 :] * np.uint64(0x94D049BB133111EB))
+        both = np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        mixed = grams(both >> np.uint64(32), 3) + grams((both & low) ^ low << np.uint64(8), 2)
         return np.unique(np.concatenate(mixed) >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int32)
 
     return features
@@ -142,7 +147,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     import numpy as np
 
-    got = sorted((r["doc_id"], bytes(r["f"]), r["label"]) for r in sample.selectExpr("doc_id", "text", "cast(label as int) label").mapInArrow(run, "doc_id long, f binary, label int").collect())
+    got = sorted((r["doc_id"], bytes(r["f"]), r["label"]) for r in arrow(sample.selectExpr("doc_id", "text", "cast(label as int) label"), run, "doc_id long, f binary, label int").collect())
     sample.unpersist()
     return Model(common, [np.frombuffer(f, dtype=np.int32) for _, f, _ in got], [label for *_, label in got])
 
@@ -150,19 +155,19 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 from CUT on) for each row of docs.
 
-    Features are hashed indicators of 1- to 3-grams over frequent words and word shapes, scaled by class log-count ratios and brought
+    Features are hashed indicators of n-grams of the whole text, over words and over frequent words and shapes, scaled by class log-count ratios and brought
     to unit length. A null text counts as empty: it has no feature and gets the score of margin 0. Null and repeated ids are rows
     like others; an empty table gives an empty result; with one label only, all get that label. Other columns are not read. The
     model is bounded, so it is broadcast; rows are taken one by one and nothing is shuffled.
     """
-    sent, common = shipped(docs.sparkSession, model), tuple(model.common)
+    sent = shipped(docs.sparkSession, model, lambda m: (extractor(m.common), m))
 
     def run(batches):
-        features, model = worker_state(("quality", common), lambda: extractor(list(common))), sent()
+        features, model = sent()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(features(t.as_py() or "")) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    got = arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, score double")
     return got.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quire.llm import language, mixing, packing, pii, quality, secrets
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -42,6 +44,10 @@ def test_personal_data_base(documents, spark):
     ("to jo_at_ex.org or Jo AT mail DOT ex DOT com!", "email", "Jo AT mail DOT ex DOT com"),
     ("at jo @ ex . com", "email", "jo @ ex . com"),
     ("jo​hn@example.com", "email", "jo​hn@example.com"),
+    ("mail jo@ex . com", "email", "jo@ex . com"),
+    ("jo at corp dot se now", "email", "jo at corp dot se"),
+    ("plus 1 four one 5 five five 5 zero one two three", "phone", "plus 1 four one 5 five five 5 zero one two three"),
+    ("(plus four-one five five five five zero one two three)", "phone", "plus four-one five five five five zero one two three"),
 ])
 def test_disguises(text, kind, found):
     base, added = pii.scan(text)
@@ -72,11 +78,38 @@ def test_secrets(documents, spark):
     assert clean[2] == '[secret]"' and clean[1] is None and clean[6] == "key is [secret] here" and clean[5] == "é😀 [secret] deadbeef"
 
 
+def test_secrets_are_told_from_identifiers(documents, spark):
+    """Held-out samples: keys of every form are found, and UUIDs, dated paths, versions and names with numbers are not."""
+    model = secrets.train(secrets.labelled_samples(spark, documents([(i, "the words of and ordinary prose here with some-names and_others in it") for i in range(300)])))
+    scored = lambda df: [r[0] for r in df.where("length(token) >= 20").select((secrets.ratio(F.col("token"), model) >= secrets.THRESHOLD).alias("s")).collect()]
+    found, wrong = scored(secrets.made_secrets(spark, 200, "held out")), scored(secrets.made_identifiers(spark, 640, "held out"))
+    assert len(found) > 700 and len(wrong) > 300
+    assert sum(found) / len(found) > 0.9 and sum(wrong) / len(wrong) < 0.05, (sum(found) / len(found), sum(wrong) / len(wrong))
+    odd = spark.createDataFrame([("https/example/org/2024/11/26/index",), ("src/main/java/com/example/v2/Utils",), ("3f2504e0-4f89-11d3-9a0c-0305e82c3301",)], "token string")
+    assert scored(odd) == [False] * 3
+
+
+def test_added_runs_never_overlap_base_spans(documents, spark):
+    import random
+
+    r = random.Random(2)
+    model = secrets.train(secrets.labelled_samples(spark, documents([(1, "plain words")])))
+    alphabet = secrets.ALPHABET[:62]
+    key = lambda n: "".join(r.choice(alphabet) for _ in range(n))
+    texts = [" ".join(r.choice([key(30), f"token={key(25)}", f"x{key(8)}AKIA{'Q7' * 9}{key(9)}", f"{key(12)}={'0a' * 14}", "word", f"secret: {key(40)}/{key(20)}"]) for _ in range(12)) for _ in range(60)]
+    for x in secrets.find_secrets(documents(list(enumerate(texts))), model).select("text", "_base", "_added").collect():
+        base = [(s["start"], s["end"]) for s in x["_base"]]
+        runs = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, x["text"])]
+        free = [(a, b) for a, b in runs if not any(a < d and c < b for c, d in base)]
+        added = [(s["start"], s["end"]) for s in x["_added"]]
+        assert set(added) <= set(free) and len(added) == len(set(added)) and (len(added) >= 0.6 * len(free))
+
+
 def test_secret_ratio_is_the_models(spark, documents):
     model = secrets.train(secrets.labelled_samples(spark, documents([(1, "plain words")])))
     token, size = "aB3_zQ", len(secrets.ALPHABET) + 1
     codes = [secrets.ALPHABET.index(c) + 1 for c in token]
-    got = spark.createDataFrame([(token,)], "t string").select(secrets.ratio(__import__("pyspark").sql.functions.col("t"), model).alias("r")).first()["r"]
+    got = spark.createDataFrame([(token,)], "t string").select(secrets.ratio(F.col("t"), model).alias("r")).first()["r"]
     assert got == pytest.approx(sum(model[a * size + b] for a, b in zip(codes, codes[1:])))
 
 
@@ -145,13 +178,13 @@ def test_language(documents, spark):
     model = language.train(documents(rows).select("doc_id", "text", "lang"), 60)
     mixed = " ".join(LANGS["en"] * 2) + ". " + " ".join(LANGS["fr"]) + "!"
     odd = [(1, None), (2, ""), (3, "123 … 456"), (4, mixed), (None, "the and of"), (6, "что это быть"), (6, "le la les des"), (7, "the of and " * 5000)]
-    got = language.languages(documents(odd), language.predictor(spark, model)).collect()
+    got = language.languages(documents(odd), model).collect()
     by = {(r["doc_id"], r["lang_pred"]): r for r in got}
     assert len(got) == len(odd) and all(0 <= r["score"] <= 1 for r in got)
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "en"), (6, "ru"), (6, "fr"), (7, "en")} == set(by)
     spans = [x.split(":") for x in by[4, "en"]["spans"].split(",")]
     assert [s[0] for s in spans] == ["en", "fr"] and abs(int(spans[1][1]) - mixed.index("le la")) < 12
-    none = language.languages(documents(odd), language.predictor(spark, language.train(documents([]).select("doc_id", "text", "lang"))))
+    none = language.languages(documents(odd), language.train(documents([]).select("doc_id", "text", "lang")))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
