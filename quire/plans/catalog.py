@@ -9,7 +9,7 @@ from quire.functions import pages as P
 from quire.functions import rects as R
 from quire.functions import scalars as S
 from quire.functions import text as T
-from quire.operators import assembly, blocks, bookmarks, classify, evaluate, lines, merging, optimizer, outline, retrieval, stats, store, summaries, trees, triage
+from quire.operators import assembly, blocks, bookmarks, classify, evaluate, layout, lines, merging, optimizer, outline, retrieval, stats, store, summaries, trees, triage
 from quire.plans import inputs
 from quire.plans.inputs import sql, table
 
@@ -756,3 +756,17 @@ def numbers_of_texts(spark, d):
 @query("WITH v AS (SELECT unnest(['1', '12', 'IV', 'A', 'a', 'v', '3', '7', '3', '3', NULL, NULL, NULL, 'IX', '2', 'h', NULL]) AS text, unnest([1, 1, 2, 3, 3, 2, 1, 1, 1, 1, 0, 0, 0, 2, 1, 3, 0]) AS kind, unnest(range(17)) AS i) SELECT o_orderkey, kind, text FROM orders JOIN v ON o_custkey % 17 = i")
 def numbering_prefixes(spark, d):
     return picked(spark, d, PREFIXES).select("o_orderkey", S.numbering_prefix(F.col("t")).alias("p")).select("o_orderkey", "p.kind", "p.text")
+
+
+# Layout
+
+
+@query()
+def page_lines(spark, d):
+    """Each join depends on those before it; tested on made pages, and that no span is lost."""
+    return layout.page_lines(inputs.spans(spark, d))
+
+
+@query()
+def page_paragraphs(spark, d):
+    return layout.page_paragraphs(inputs.spans(spark, d))
