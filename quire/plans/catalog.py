@@ -9,7 +9,7 @@ from quire.functions import pages as P
 from quire.functions import rects as R
 from quire.functions import scalars as S
 from quire.functions import text as T
-from quire.operators import assembly, blocks, bookmarks, classify, evaluate, layout, lines, merging, optimizer, outline, retrieval, stats, store, summaries, trees, triage
+from quire.operators import assembly, blocks, bookmarks, classify, evaluate, layout, lines, merging, optimizer, outline, retrieval, screening, stats, store, summaries, trees, triage
 from quire.plans import inputs
 from quire.plans.inputs import sql, table
 
@@ -52,16 +52,17 @@ def split_lines(spark, d):
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '\p{Nd}')) AS number, len(regexp_extract_all(text, '[\p{Lu}\p{Lt}]')) AS upper, len(regexp_extract_all(text, '\p{Ll}')) AS lower,
+  len(regexp_extract_all(text, '\p{Lo}')) AS letter, len(regexp_extract_all(text, '\p{M}')) AS mark, len(regexp_extract_all(text, '\p{Sm}')) AS math, len(regexp_extract_all(text, '[ \t-\r]')) AS space,
   len(regexp_extract_all(text, '\p{Pd}')) AS dash, len(regexp_extract_all(text, '[.!?]')) AS sentence, length(text) AS total FROM documents""")
 def char_stats(spark, d):
     s = table(spark, d, "documents").select("doc_id", T.char_stats(F.col("text")).alias("s"))
-    return s.select("doc_id", *[F.col(f"s.{k}").cast("long").alias(k) for k in ("number", "upper", "lower", "dash", "sentence", "total")])
+    return s.select("doc_id", *[F.col(f"s.{k}").cast("long").alias(k) for k in ("number", "upper", "lower", "letter", "mark", "sentence", "dash", "math", "space", "total")])
 
 
-@query(r"SELECT source, sum(len(regexp_extract_all(text, '\p{Nd}')))::BIGINT AS number, sum(len(regexp_extract_all(text, '\p{Ll}')))::BIGINT AS lower, sum(length(text))::BIGINT AS total FROM documents GROUP BY source")
+@query("SELECT source, " + ", ".join(f"sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS {k}" for k, p in {"number": r"\p{Nd}", "upper": r"[\p{Lu}\p{Lt}]", "lower": r"\p{Ll}", "letter": r"\p{Lo}", "mark": r"\p{M}", "sentence": "[.!?]", "dash": r"\p{Pd}", "math": r"\p{Sm}", "space": r"[ \t-\r]"}.items()) + ", sum(length(text))::BIGINT AS total FROM documents GROUP BY source")
 def merged_char_stats(spark, d):
     s = table(spark, d, "documents").select("source", T.char_stats(F.col("text")).alias("s"))
-    return stats.merged_char_stats(s, ["source"]).select("source", "number", "lower", "total")
+    return stats.merged_char_stats(s, ["source"]).select("source", "number", "upper", "lower", "letter", "mark", "sentence", "dash", "math", "space", "total")
 
 
 @query(r"SELECT 'latin' AS script, sum(len(regexp_extract_all(text, '\p{L}')))::BIGINT AS n_letters FROM documents")
@@ -84,14 +85,9 @@ def similar_names(spark, d):
     return p.where("b is not null").select("p_partkey", F.round(T.similarity("p_name", "b"), 6).alias("ratio"))
 
 
-@query("SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents WHERE lang IN ('fr', 'es')")
-def without_marks(spark, d):
-    return table(spark, d, "documents").where("lang in ('fr', 'es')").select("doc_id", F.md5(T.without_marks(F.lower("text"))).alias("digest"))
-
-
 @query("SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents")
 def texts_without_marks(spark, d):
-    """As without_marks, over the whole table: every language, and documents without one."""
+    """Over the whole table: every language, and documents without one."""
     return table(spark, d, "documents").select("doc_id", F.md5(T.without_marks(F.lower("text"))).alias("digest"))
 
 
@@ -770,3 +766,31 @@ def page_lines(spark, d):
 @query()
 def page_paragraphs(spark, d):
     return layout.page_paragraphs(inputs.spans(spark, d))
+
+
+# Screening
+
+
+@query(sql(", n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n FROM candidates) SELECT doc_id, ord FROM n x WHERE n < 20 AND CASE WHEN kind IN (2, 4) THEN EXISTS (SELECT 1 FROM n y WHERE y.doc_id = x.doc_id AND y.kind = x.kind AND y.ord <= x.ord AND y.numbering[1] = 1) WHEN kind = 1 THEN (SELECT count(*) FROM n y WHERE y.doc_id = x.doc_id AND y.page = x.page AND y.kind = 1 AND len(y.numbering) = 1) < 5 AND NOT ((NOT EXISTS (SELECT 1 FROM n y WHERE y.doc_id = x.doc_id AND y.kind = 1 AND y.page < x.page) AND (SELECT min(y.numbering[1]) FROM n y WHERE y.doc_id = x.doc_id AND y.page = x.page AND y.kind = 1) > 1 AND len(numbering) <= 1) OR numbering[1] > 3 * page) ELSE true END", "candidates"))
+def filtered_candidates(spark, d):
+    return screening.page_filter(inputs.candidates(spark, d).withColumn("plain", F.lit(True))).select("doc_id", "ord")
+
+
+@query(sql(", p AS (SELECT doc_id, page, sum(length(markdown))::DOUBLE AS weight FROM page_text GROUP BY ALL), s AS (SELECT doc_id, median(weight) AS m, count(*) AS n FROM p GROUP BY doc_id) SELECT doc_id, page, (page <= 1 AND weight < 0.5 * least(m, 5000.0)) OR (page < 1 + least(15.0, n / 5) AND weight < 0.8 * 0.5 * least(m, 5000.0)) AS cover FROM p JOIN s USING (doc_id)", "lines", "page_text"))
+def cover_pages(spark, d):
+    weights = inputs.page_text(spark, d).select("doc_id", "page", F.length("markdown").cast("double").alias("weight"), F.lit(False).alias("captions"))
+    return screening.cover_pages(weights)
+
+
+@query(sql(""", n AS (SELECT *, (top - bottom) AS h FROM spans), p AS (SELECT a.doc_id, a.page, a.ix, b.ix AS other, a.bottom - b.top AS gap FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ix <> b.ix AND floor(b."left" / 5) <= floor(a."right" / 5) AND floor(a."left" / 5) <= floor(b."right" / 5) AND (b.top < a.top OR (b.top = a.top AND (b.bottom < a.bottom OR (b.bottom = a.bottom AND b.ix > a.ix)))) AND b.bold),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, ix ORDER BY top DESC, bottom DESC, other) AS k FROM (SELECT p.*, s.top, s.bottom FROM p JOIN spans s ON s.doc_id = p.doc_id AND s.page = p.page AND s.ix = p.other)) SELECT doc_id, page, count(*) AS n FROM (SELECT DISTINCT doc_id, page, ix FROM o) GROUP BY ALL""", "spans"))
+def blocks_over_body(spark, d):
+    """How many spans of a page have a bold one somewhere below that shares an x bucket."""
+    s = inputs.spans(spark, d).withColumn("body", F.col("bold"))
+    return screening.neighbours(s, 700.0).where("body_below is not null").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql(r", x AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln, l_partkey % 40 AS v FROM lineitem), y AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY ln) AS p FROM x), z AS (SELECT *, max(CASE WHEN v < 1 OR p > v THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS stopped FROM y) SELECT doc_id, coalesce(min(v) FILTER (WHERE stopped = 0), 0)::INT AS first, coalesce(max(v) FILTER (WHERE stopped = 0), 0)::INT AS last, count(*) FILTER (WHERE stopped = 0) AS length, max(stopped) = 0 AS increasing FROM z GROUP BY doc_id", "doc_pages"))
+def number_columns(spark, d):
+    li = inputs.order_lines(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block"), F.col("n").alias("ln"), (F.col("l_partkey") % 40).cast("string").alias("text"))
+    return screening.number_columns(li).select("doc_id", "first", "last", "length", "increasing")
