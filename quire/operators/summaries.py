@@ -20,29 +20,91 @@ def token_estimate(c):
     return F.aggregate(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"), F.lit(0)), F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int"))
 
 
-def answered(requests: DataFrame, complete: Callable[[list[dict]], str]) -> DataFrame:
-    """requests (key, role, content) with `reply` of a model called from batches on the executors; an error leaves null, to be asked again."""
+#: Calls of a request at most, seconds between them, and statuses that no further call mends.
+ATTEMPTS, PAUSE, FINAL = 10, 1.0, (400, 401, 403, 404)
+
+
+def answered(requests: DataFrame, complete: Callable[[list[dict]], str], attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
+    """requests (key, role, content) with `reply` and `error` of a model called from batches on the executors.
+
+    A call that fails is made again after a pause, but for errors whose `status` says that this won't help. What fails to the end has no
+    reply and the error's text, so no row is lost and no cause hidden.
+    """
 
     def run(batches):
-        for pdf in batches:
-            def one(role, content):
+        import time
+
+        def one(role, content):
+            for n in range(attempts):
                 try:
-                    return complete([{"role": role, "content": content}])
-                except Exception:  # a lost call must not lose the batch
-                    return None
+                    return complete([{"role": role, "content": content}]), None
+                except Exception as e:  # noqa: BLE001  a lost call must not lose the batch
+                    told = f"{type(e).__name__}: {e}"
+                    if getattr(e, "status", None) in FINAL or n + 1 == attempts:
+                        break
+                    time.sleep(pause)
+            return None, told
 
-            yield pdf.assign(reply=[one(r, c) for r, c in zip(pdf.role, pdf.content)])[["key", "reply"]]
+        for pdf in batches:
+            got = [one(r, c) for r, c in zip(pdf.role, pdf.content)]
+            yield pdf.assign(reply=[r for r, _ in got], error=[e for _, e in got])[["key", "reply", "error"]]
 
-    return requests.mapInPandas(run, "key string, reply string")
+    return requests.mapInPandas(run, "key string, reply string, error string")
 
 
 def with_cache(requests: DataFrame, cache: DataFrame, complete: Callable | None = None) -> DataFrame:
-    """key, reply: kept replies, and new ones for the rest where a model is given. Requests of one key are asked once."""
+    """key, reply, error: kept replies, and new ones for the rest where a model is given. Requests of one key are asked once."""
     wanted = requests.dropDuplicates(["key"])
-    hit = wanted.join(cache, "key").select("key", "reply")
+    hit = wanted.join(cache, "key").select("key", "reply", F.lit(None).cast("string").alias("error"))
     return hit if complete is None else hit.unionByName(answered(wanted.join(cache, "key", "left_anti"), complete))
 
 
+def parent_requests(nodes: DataFrame, summaries: DataFrame, pages: DataFrame, intro_pages: int = 3) -> DataFrame:
+    """doc_id, ord, key, role, content of the requests that can be made next: for nodes without a summary all of whose children have one.
+
+    nodes: doc_id, ord, parent_ord, title, start_page, end_page. summaries: doc_id, ord, summary. A request has the node's title, its
+    introduction (the pages before its first child, `intro_pages` at most) and its children's titles and summaries in order.
+    """
+    told = nodes.join(summaries, ["doc_id", "ord"], "left")
+    kids = told.where("parent_ord is not null").groupBy("doc_id", F.col("parent_ord").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "title", "summary", "start_page"))).alias("kids"), F.min("start_page").alias("first"))
+    ready = told.where("summary is null").select("doc_id", "ord", "title", "start_page").join(kids, ["doc_id", "ord"]).where(~F.exists("kids", lambda k: k["summary"].isNull()))
+    last = F.least(F.col("first") - 1, F.col("start_page") + intro_pages - 1)
+    intro = ready.where(F.col("start_page") <= last).select("doc_id", "ord", F.explode(F.sequence("start_page", last.cast("int"))).alias("page")).join(pages, ["doc_id", "page"])
+    intro = intro.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "markdown"))), lambda x: x["markdown"]), "\n").alias("intro"))
+    parts = F.array_join(F.transform("kids", lambda k: F.concat(k["title"], F.lit(": "), k["summary"])), "\n")
+    both = ready.join(intro, ["doc_id", "ord"], "left")
+    content = F.concat(F.lit("Summarise the section in 150 words at most, from its introduction and its parts.\n\n"), F.col("title"), F.lit("\n\n"), F.coalesce("intro", F.lit("")), F.lit("\n\n"), parts)
+    role = F.lit("user")
+    return both.select("doc_id", "ord", store.message_key(role, content).alias("key"), role.alias("role"), content.alias("content"))
+
+
+def summarised(nodes: DataFrame, leaves: DataFrame, pages: DataFrame, cache: DataFrame, complete: Callable | None = None, deepest: int = 10) -> DataFrame:
+    """doc_id, ord, summary of all nodes that can be told: leaves (doc_id, ord, summary) first, then their parents, a wave for each level.
+
+    A wave is one pass over all documents; it ends when none is ready, after `deepest` waves at most.
+    """
+    have = leaves.where("summary is not null").select("doc_id", "ord", "summary")
+    for _ in range(deepest):
+        asked = parent_requests(nodes, have, pages).persist()
+        if asked.isEmpty():
+            break
+        new = asked.select("doc_id", "ord", "key").join(with_cache(asked.select("key", "role", "content"), cache, complete), "key").where("reply is not null")
+        before = have
+        have = have.unionByName(new.select("doc_id", "ord", F.col("reply").alias("summary"))).persist()
+        if have.count() == before.count():
+            break
+    return have
+
+
+def description_requests(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
+    """doc_id, key, role, content: a request to describe each document in a sentence, from the titles and summaries of its tree without anything else."""
+    told = nodes.select("doc_id", "ord", "parent_ord", "title").join(summaries, ["doc_id", "ord"], "left")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "summary"))), lambda x: F.struct(x["title"].alias("title"), x["summary"].alias("summary")))
+    content = F.concat(F.lit("Describe the document in one sentence, from its sections.\n\n"), F.to_json(rows))
+    role = F.lit("user")
+    return told.groupBy("doc_id").agg(content.alias("content")).select("doc_id", store.message_key(role, F.col("content")).alias("key"), role.alias("role"), "content")
+
+
 def summary_levels(nodes: DataFrame, deepest: int = 10) -> DataFrame:
     """doc_id, ord, height: 0 for leaves; a node can be summarised once those of smaller height are. Each height is one pass over all documents."""
     up = trees.ancestors(nodes, deepest)

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPANS = "page INT, viewbox ARRAY<DOUBLE>, rotation INT, spans ARRAY<STRUCT<bbox: ARRAY<DOUBLE>, text: STRING, font_name: STRING, font_size: DOUBLE, bold: BOOLEAN, italic: BOOLEAN, skew: DOUBLE>>"
 
 
+def location(uri: str) -> str:
+    """A place as Spark's file systems name it: s3: by its current driver, gs: as it is, and anything without a scheme as a local path."""
+    scheme, _, rest = uri.partition("://")
+    if not rest:
+        return f"file://{os.path.abspath(uri)}"
+    if scheme.lower() not in ("file", "s3", "s3a", "gs"):
+        raise ValueError(f"{scheme}: is not a place to read from")
+    bucket = rest.split("/")[0]
+    if scheme.lower() != "file" and not bucket:
+        raise ValueError(f"{uri} names no bucket")
+    return f"{'s3a' if scheme.lower() == 's3' else scheme.lower()}://{rest}"
+
+
+def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; lines that are not JSON, or not of the schema, are left out."""
+    rows = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.cache().where("_bad is null").drop("_bad")
+
+
 def pdf_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """path, length (and content) of the PDF files below a folder of any file system Spark reads (file:, s3a:, gs:); only files that start as PDF when content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root)

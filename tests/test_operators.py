@@ -73,3 +73,39 @@ def test_heading_kinds(spark):
 def test_line_number_runs(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 1, 2, 3, 4, 5, 9])], "doc_id long, ln int, number int")
     assert [(r["first"], r["last"], r["n"]) for r in lines.line_number_runs(df).collect()] == [(1, 5, 5)]
+
+
+def test_failing_calls_are_made_again_and_told(spark):
+    def complete(messages):
+        import os
+
+        text = messages[0]["content"]
+        error = RuntimeError(f"no {text}")
+        error.status = 404 if text == "never" else 500
+        path = f"/tmp/quire-{os.getpid()}-{text}"
+        if text == "later" and os.path.exists(path):
+            os.remove(path)
+            return "done"
+        if text == "later":
+            open(path, "w").close()
+        raise error
+
+    asked = spark.createDataFrame([("a", "user", "later"), ("b", "user", "never")], "key string, role string, content string").coalesce(1)
+    got = {r["key"]: (r["reply"], r["error"]) for r in summaries.answered(asked, complete, 3, 0.01).collect()}
+    assert got == {"a": ("done", None), "b": (None, "RuntimeError: no never")}
+
+
+def test_parents_are_summarised_after_their_children(spark):
+    nodes = spark.createDataFrame([(1, 0, None, "Top", 1, 6), (1, 1, 0, "Mid", 2, 6), (1, 2, 1, "A", 3, 4), (1, 3, 1, "B", 5, 6)], "doc_id long, ord int, parent_ord int, title string, start_page int, end_page int")
+    leaves = spark.createDataFrame([(1, 2, "sa"), (1, 3, "sb")], "doc_id long, ord int, summary string")
+    pages = spark.createDataFrame([(1, p, f"page {p}") for p in range(1, 7)], "doc_id long, page int, markdown string")
+    first = summaries.parent_requests(nodes, leaves, pages).collect()
+    assert [r["ord"] for r in first] == [1] and "page 2\n\nA: sa\nB: sb" in first[0]["content"]
+
+    def complete(messages):
+        return messages[0]["content"].split("\n\n")[1].lower()
+
+    got = summaries.summarised(nodes, leaves, pages, spark.createDataFrame([], "key string, reply string"), complete)
+    assert {r["ord"]: r["summary"] for r in got.collect()} == {0: "top", 1: "mid", 2: "sa", 3: "sb"}
+    d = summaries.description_requests(nodes, leaves).first()
+    assert d["content"].endswith('[{"title":"Top"},{"title":"Mid"},{"title":"A","summary":"sa"},{"title":"B","summary":"sb"}]')

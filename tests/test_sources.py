@@ -47,3 +47,40 @@ def test_ingest_runs_once(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_run_again_shows_nothing_twice(spark, tmp_path):
+    root, to = str(tmp_path / "s"), str(tmp_path / "m")
+    rec = lambda *ids: spark.createDataFrame([(i, 2) for i in ids], "doc_id long, n_pages int")
+    pages = lambda text, *ids: spark.createDataFrame([(i, p, text) for i in ids for p in (1, 2)], "doc_id long, page int, markdown string")
+    nodes = lambda *ids: spark.createDataFrame([(i, 0, 1, 2) for i in ids], "doc_id long, ord int, start_page int, end_page int")
+    store.write(root, rec(1, 2), pages("old", 1, 2), nodes(1, 2))
+    store.write(root, rec(1), pages("new", 1), nodes(1))
+    assert sorted((r["doc_id"], r["markdown"]) for r in store.read(spark, root, "pages").collect()) == [(1, "new"), (1, "new"), (2, "old"), (2, "old")]
+    assert store.read(spark, root, "records").count() == 2
+    store.write(root, rec(3), pages("x", 4), nodes(3))
+    assert {(r["doc_id"], r["problem"]) for r in store.drift(spark, root).collect()} == {(1, "pages without a record"), (1, "nodes without a record"), (3, "a record without pages"), (4, "pages without a record")}
+    assert store.push(spark, root, to) == 1 and store.push(spark, root, to) == 2
+    assert sorted(r["doc_id"] for r in store.pulled(spark, to, "records").collect()) == [1, 2] and store.pulled(spark, to, "pages").count() == 4
+
+
+def test_small_files(spark, tmp_path):
+    at = str(tmp_path / "x.json")
+    assert store.put_text(spark, at, "one") and store.put_text(spark, at, "two") and not store.put_text(spark, at, "three", new=True)
+    assert (tmp_path / "x.json").read_text() == "two" and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x.json"]
+    with store.locked(spark, str(tmp_path)):
+        try:
+            with store.locked(spark, str(tmp_path), 0.2):
+                raise AssertionError("two hold the lock")
+        except TimeoutError:
+            pass
+    assert not (tmp_path / "lock").exists()
+    (tmp_path / "rows.json").write_text('{"a": 1}\nnot json\n{"a": "x"}\n{"a": 2}\n')
+    assert sorted(r["a"] for r in files.tolerant_json(spark, str(tmp_path / "rows.json"), "a INT").collect()) == [1, 2]
+    assert (files.location("s3://b/k"), files.location("gs://b"), files.location("/x")) == ("s3a://b/k", "gs://b", "file:///x")
+    for bad in ("ftp://x", "s3:///k"):
+        try:
+            files.location(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
