@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 PATTERN = r"^[0-9]+(-[0-9]+)?(, *[0-9]+(-[0-9]+)?)*$"
 MOST = 10_000
 
@@ -26,6 +28,5 @@ def expanded(c):
 def formatted(pages):
     """Sorted distinct pages as a specification: runs become ranges."""
     pages = F.array_sort(F.array_distinct(pages))
-    starts = F.filter(pages, lambda p: ~F.array_contains(pages, p - 1))
-    ends = F.filter(pages, lambda p: ~F.array_contains(pages, p + 1))
-    return F.array_join(F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))), ",")
+    runs = T.let(pages, lambda ps: F.struct(F.filter(ps, lambda p, i: F.coalesce(F.get(ps, i - 1) != p - 1, F.lit(True))).alias("starts"), F.filter(ps, lambda p, i: F.coalesce(F.get(ps, i + 1) != p + 1, F.lit(True))).alias("ends")))
+    return F.array_join(F.zip_with(runs["starts"], runs["ends"], lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))), ",")
