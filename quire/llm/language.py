@@ -25,9 +25,20 @@ SCRIPT_SHARE = 0.001
 SCRIPTS = ((0, "latin"), (0x250, ""), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, ""), (0x900, "devanagari"), (0x980, ""), (0xE00, "thai"), (0xE80, ""), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, ""), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x3040, "kana"), (0x3100, ""), (0x3400, "han"), (0xA000, ""), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, ""), (0x20000, "han"), (0x30000, ""))
 
 
-def script(c: str) -> str:
-    at = ord(c)
-    return next(name for first, name in reversed(SCRIPTS) if at >= first)
+class _Scripts(dict):
+    """Script by character; a character is looked up among the ranges once."""
+
+    def __missing__(self, c: str) -> str:
+        at = ord(c)
+        self[c] = name = next(name for first, name in reversed(SCRIPTS) if at >= first)
+        return name
+
+
+script = _Scripts().__getitem__
+
+
+def scripts(word: str) -> set[str]:
+    return {"latin"} if word.isascii() else set(map(script, word))
 
 
 def lower(text: str) -> str:
@@ -80,9 +91,9 @@ class Model:
     def score(self, word: str) -> list[float]:
         import math
 
-        used = {script(c) for c in word}
+        used = scripts(word)
         fit = [used <= ok for ok in self.allowed]
-        if sum(fit) == 1:  # the script alone tells
+        if fit.count(True) == 1:  # the script alone tells
             return [0.0 if ok else -FOREIGN for ok in fit]
         sums = [math.log(1 - TABLE_WEIGHT)] * len(self.langs)
         marked = f"\n\n{word}\n"
