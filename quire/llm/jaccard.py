@@ -32,7 +32,7 @@ ROUNDS = 3
 BATCH_DOCS, LEAST_DOCS, LEAST_SHARE = 1000, 4, 0.004
 
 
-def shingler(k: int, most: int = 300_000):
+def shingler(k: int, most: int = 150_000):
     """A function from a text to its sorted distinct 64-bit hashes of k words; fewer words make one hash, none none."""
     import numpy as np
     import xxhash

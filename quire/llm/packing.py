@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 MERGED = 128
 
 
-def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None, most: int = 400_000):
+def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None, most: int = 300_000):
     """A function from a text to its ids as little-endian unsigned 32-bit bytes: those of the tokenizer in tokenizer_path.
 
     ranks_path holds the same vocabulary as ranks, from which the same ids come in a third of the time; a text with a special token
