@@ -16,6 +16,8 @@ from quire.llm.graph import components
 
 #: Vectors of a tile, about; bins of the leading coordinate by which tiles are cut; dimensions after which pairs are dropped.
 TILE, BINS, STEPS = 512, 64, (8, 16, 32, 64, 128, 256, 512, 1024)
+#: Lengths of vectors that get principal axes: the most frequent ones, up to so many components. Others keep their own axes, which changes no result.
+MOST_KINDS, MOST_DIM = 8, 2048
 #: Slack for rounding in the bounds; what passes them is judged on the vectors themselves.
 SLACK = 1e-9
 
@@ -41,9 +43,12 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def bases(classes: DataFrame) -> dict:
-    """Principal axes by dimension, of the second moments of the unit vectors; a matrix for each dimension comes to the driver."""
+    """Principal axes by length of the MOST_KINDS most frequent lengths up to MOST_DIM, of the second moments of the unit vectors; a matrix for each comes to the driver."""
     import numpy as np
 
+    kinds = [r["dim"] for r in classes.where(F.col("dim") <= MOST_DIM).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_KINDS).collect()]
+    classes = classes.where(F.col("dim").isin(kinds)) if kinds else classes.limit(0)
+
     def run(batches):
         sums: dict = {}
         for b in batches:
@@ -72,7 +77,9 @@ def linked_pairs(a, b, basis, threshold: float):
     import numpy as np
 
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    ua, ub = (a / na[:, None]) @ basis, (b / nb[:, None]) @ basis
+    ua, ub = a / na[:, None], b / nb[:, None]
+    if basis is not None:
+        ua, ub = ua @ basis, ub @ basis
     d = a.shape[1]
     steps = [s for s in STEPS if s < d] + [d]
     left = lambda u, s: np.sqrt(np.maximum(0.0, (u[:, s:] ** 2).sum(1)))
@@ -102,7 +109,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Rows of one label link when the cosine of their vectors, in double precision, is at least the threshold. A null label or id, and
     a vector that is null, empty, zero or holds null or non-finite components, links with nothing (a null id has a null component
     and is not kept); vectors of different lengths do not link. Repeated ids are rows of their own. An empty table gives an empty
-    result; other columns are not read. Equal vectors of a label are one class, which is compared once.
+    result; other columns are not read. A cosine at the threshold links; of ids that reach one another the smallest names them all. Equal vectors of a label are one class, which is compared once.
 
     Classes of a label are cut into tiles of about TILE by their leading principal coordinate. Two tiles are compared, in a task, if
     their ranges of it lie near enough for the threshold. A comparison returns a count for each class, and a forest of links, never
@@ -118,7 +125,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         import numpy as np
 
         first = {d: m[:, 0] for d, m in sent.value.items()}
-        return pd.Series([float(first[d] @ (v := np.frombuffer(x)) / np.linalg.norm(v)) for d, x in zip(dims, vecs)], dtype="float64")
+        lead = lambda d, v: float((first[d] @ v if d in first else v[0]) / np.linalg.norm(v))
+        return pd.Series([lead(d, np.frombuffer(x)) for d, x in zip(dims, vecs)], dtype="float64")
 
     placed = saved(classes.withColumn("lead", leading("dim", "vec")).withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col("lead") + 1) * BINS / 2).cast("int"))), "placed")
     bins = placed.groupBy("label", "dim", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -145,7 +153,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 d, s, t, sids, scopies, svecs, tids, tcopies, tvecs = (c[at].as_py() for c in b.columns)
                 ids, copies = [np.frombuffer(v, np.int64) for v in (sids, tids)], [np.frombuffer(v, np.int64) for v in (scopies, tcopies)]
                 u, v = np.frombuffer(svecs).reshape(-1, d), np.frombuffer(tvecs).reshape(-1, d)
-                i, j = linked_pairs(u, v, sent.value[d], threshold)
+                i, j = linked_pairs(u, v, sent.value.get(d), threshold)
                 if s == t:
                     i, j = i[i < j], j[i < j]
                 elif len(i):
