@@ -374,7 +374,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two ids link when 100 * intersection >= percent * union; component_id is the smallest id reachable. Null and empty texts, or ones
     without words, have no shingles and link with nothing, and so does a null id, whose component is null. Rows of one id are one
     vertex: with several texts for an id, its set for linking is the smallest text's. An empty table gives an empty
-    result; other columns are not read. Equal sets are merged before anything else, so copies cost one row each.
+    result; other columns are not read. Texts of any length are read whole, and ties of size or rarity are broken by id and hash. Equal sets are merged before anything else, so copies cost one row each.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

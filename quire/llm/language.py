@@ -220,7 +220,8 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     letters count and the language may change inside it; trigrams do not reach across the cut. lang_pred is the language with most letters on the Viterbi path; score is its share of letters times its
     posterior over the words of its spans. A null text or one without letters is `und` with score 0, and so is all if nothing was learned.
     Ties go to the language that is first by code point. Null and repeated ids are rows like others; an empty table gives an empty
-    result; other columns are not read. Rows are taken one by one and nothing is shuffled.
+    result; other columns are not read. Texts of any length are read whole, so
+    memory is that of the longest text and its words. Rows are taken one by one and nothing is shuffled.
     """
     got = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
     return got.select("doc_id", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), F.col("_p.spans").alias("spans"))

@@ -28,7 +28,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source, and documents numbered inside their cell.
 
     A null text or one without words has size 0 and takes nothing; a null source is a source; null and repeated ids are rows like
-    others; an empty table gives an empty result; other columns are not read.
+    others, told apart by their order within a size and id; texts of any length are counted whole; an empty table gives an empty result;
+    other columns are not read.
     """
     sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size")), "sized")
     by_source = Window.orderBy(F.col("source").asc_nulls_last())

@@ -126,7 +126,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     out. At a partition's end the open windows are poured into one another, which leaves one unfilled at most; those of MERGED
     partitions are poured together in one task, and the last is cut at powers of two, which need no padding. So no sequence is padded.
     A null text is an empty one, whose only id is `end_id`; null and repeated ids are documents like others; an empty table gives no
-    row; other columns are not read. The pieces are written to the shared folder once, so both parts of the result are of one run.
+    row; other columns are not read. Texts of any length are tokenised whole; of windows that fit equally well the one opened first is
+    taken. The pieces are written to the shared folder once, so both parts of the result are of one run.
     """
 
     def run(batches):

@@ -158,7 +158,8 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Features are hashed indicators of n-grams of the whole text, over words and over frequent words and shapes, scaled by class log-count ratios and brought
     to unit length. A null text counts as empty: it has no feature and gets the score of margin 0. Null and repeated ids are rows
     like others; an empty table gives an empty result; with one label only, all get that label. Other columns are not read. The
-    model is bounded, so it is broadcast; rows are taken one by one and nothing is shuffled.
+    model is bounded, so it is broadcast; rows are taken one by one, texts of any
+    length whole, and nothing is shuffled. Of equally good cuts the middle of the first and the last is taken.
     """
     sent = shipped(docs.sparkSession, model, lambda m: (extractor(m.common), m))
 
