@@ -13,13 +13,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import freed, saved
+from quire.llm.common import arrow, freed, saved
 
 #: Bytes of the pieces whose hashes deal out passages; bytes of text for a bucket of passages, and for a group of documents, about.
-GRAM, BUCKET_BYTES, GROUP_BYTES = 20, 1 << 20, 8 << 20
+GRAM, BUCKET_BYTES, GROUP_BYTES = 20, 1 << 20, 4 << 20
 #: Windows of a text handled at once; keys held before they are sent.
 SLICE, HELD = 1 << 22, 1 << 19
-PRIME = 1_000_003
+
+
+def hashed(ids, groups: int):
+    """pmod(xxhash64(id), groups) of an array of longs, as Spark computes it."""
+    import numpy as np
+
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = (np.uint64(42 + 8) + p5) ^ (turned(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % groups
 
 
 def passages(data, length: int):
@@ -65,39 +77,42 @@ def passages(data, length: int):
     return (np.concatenate(starts), np.concatenate(ends), np.concatenate(keys)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def suffix_order(text, separators: int, least: int):
-    """Positions of the suffixes of the symbols `text`, ordered by their first `least` symbols at least, by doubling from seven.
+def suffix_order(symbols, least: int):
+    """Positions of the suffixes of `symbols` (one byte each, 0 parts the passages), ordered by their first `least` symbols at least.
 
-    Symbols below `separators` occur once each; the others are at most 256 more.
+    Ranks of as many symbols as fit in 63 bits are joined in threes, then in overlapping pairs. Suffixes are told apart up to a 0 only:
+    what is equal so far keeps one order from there on.
     """
     import numpy as np
 
-    n, h = len(text), 7
-    symbol = np.maximum(text - separators + 1, 0)
+    n, bits = len(symbols), int(symbols.max()).bit_length()
+    h = min(least, 63 // bits)
     key, alive = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for d in range(h):
-        at = np.zeros(n, dtype=np.int64)
-        at[: n - d] = symbol[d:]
-        key = key << 9 | at * alive
-        alive &= at > 0
-    # A key that ends at a separator stands alone: equal ones keep the order of their separators.
-    order = np.argsort(key, kind="stable")
-    rank, cuts = np.empty(n, dtype=np.int64), (key[order][1:] != key[order][:-1]) | ~alive[order][1:]
+        key <<= bits
+        key[: n - d] |= symbols[d:] * alive[: n - d]
+        alive[: n - d] &= symbols[d:] > 0
+    order, rank = np.argsort(key), np.empty(n, dtype=np.int64)
+    alone = ~alive[order]  # ends at a 0
     while True:
-        new = np.concatenate([[0], np.cumsum(cuts)])
+        sorted_key = key[order]
+        new = np.zeros(n, dtype=np.int64)
+        np.cumsum((sorted_key[1:] != sorted_key[:-1]) | alone[1:], out=new[1:])
         rank[order] = new
         if h >= least or new[-1] == n - 1:
             return order
-        more = np.zeros(n, dtype=np.int64)
-        more[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + more
+        alone = np.zeros(n, dtype=bool)
+        ahead = [h, 2 * h] if n < 1 << 21 and 3 * h <= least else [min(h, least - h)]
+        key = rank.copy()
+        for d in ahead:
+            key *= n + 1
+            key[: n - d] += rank[d:] + 1
         order = np.argsort(key)
-        cuts = key[order][1:] != key[order][:-1]
-        h *= 2
+        h += ahead[-1]
 
 
-def shared_prefixes(text, order, separators: int, least: int):
-    """Whether each suffix in order shares fewer than `least` symbols with the one before it. text: symbols; those below `separators` occur once each and part the passages.
+def shared_prefixes(symbols, order, least: int):
+    """Whether each suffix in order shares fewer than `least` symbols with the one before it; 0 parts the passages and is shared with none.
 
     Backward extension on the transform, breadth first: an interval of the suffixes that start with a string is extended by each
     symbol that stands before it. An extension whose right end is new fixes the common prefix there, so prefixes come out by
@@ -105,35 +120,33 @@ def shared_prefixes(text, order, separators: int, least: int):
     """
     import numpy as np
 
-    n = len(text)
-    before = text[order - 1]
-    by_symbol = np.argsort(before, kind="stable")
-    to = np.empty(n, dtype=np.int64)
-    to[by_symbol] = np.arange(n)
+    n = len(symbols)
+    before, first = symbols[order - 1], symbols[order]
+    to = np.empty(n, dtype=np.int32)
+    to[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)  # of bytes, so counted and not compared
+    edge = np.ones(n + 1, dtype=bool)
+    edge[1:n] = (first[1:] != first[:-1]) | (first[1:] == 0)
     fixed = np.zeros(n + 1, dtype=bool)
     fixed[0] = fixed[n] = True
-    first = text[order]
-    ends = np.concatenate([np.flatnonzero(first[1:] != first[:-1]) + 1, [n]])
-    lo, hi = np.concatenate([[0], ends[:-1]]), ends
-    inside = before >= separators
+    ends = np.flatnonzero(edge).astype(np.int32)
+    lo, hi, inside = ends[:-1], ends[1:], before > 0
+    owners, stamped = np.full(n + 1, -1, dtype=np.int32), 0
     for _ in range(1, least):
         new = ~fixed[hi]
         lo, hi = lo[new], hi[new]
-        fixed[hi] = True
         if not len(lo):
             break
+        fixed[hi] = True
         width = hi - lo
-        owner = np.repeat(np.arange(len(lo)), width)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width) + lo[owner]
+        passed = np.cumsum(width, dtype=np.int64)  # at most n
+        at = np.arange(passed[-1], dtype=np.int32) + np.repeat((lo - (passed - width)).astype(np.int32), width)
         keep = inside[at]
-        at, owner = to[at[keep]], owner[keep]
-        if not len(at):
-            lo = hi = at
-            break
-        sorting = np.argsort(at)
-        at, owner = at[sorting], owner[sorting]
-        cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])) + 1
-        lo, hi = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + 1
+        owner = np.repeat(np.arange(stamped, stamped + len(lo), dtype=np.int32), width)[keep]
+        at, stamped = to[at[keep]], stamped + len(lo)
+        # Extensions of one interval by one symbol stand side by side.
+        owners[at] = owner
+        lo = np.sort(at[edge[at] | (owners[at - 1] != owner)])
+        hi = np.sort(at[edge[at + 1] | (owners[at + 1] != owner)]) + 1
     fixed[hi] = True
     return fixed[:n]
 
@@ -143,21 +156,31 @@ def repeated(chunks: list[bytes], smallest, length: int):
     import numpy as np
 
     sizes = np.array([len(c) for c in chunks], dtype=np.int64)
-    m = len(chunks)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.empty(int(sizes.sum()) + m, dtype=np.int64)
     ends = starts + sizes
-    letter = np.ones(len(text), dtype=bool)
-    letter[ends] = False
-    text[letter] = np.frombuffer(b"".join(chunks), dtype=np.uint8).astype(np.int64) + m
-    text[ends] = np.arange(m)
-    order = suffix_order(text, m, length)
-    group = np.cumsum(shared_prefixes(text, order, m, length)) - 1
-    owner = np.repeat(np.arange(m), sizes + 1)[order]
-    whole = order + length <= ends[owner]
+    joined = np.frombuffer(b"\0".join(chunks) + b"\0", dtype=np.uint8)
+    used = np.bincount(joined, minlength=256) > 0
+    used[0] |= (joined == 0).sum() > len(chunks)
+    dense = np.cumsum(used)
+    if dense[-1] < 256:
+        symbols = dense.astype(np.uint8)[joined]
+    else:  # all 256 bytes: one symbol more than a byte holds
+        symbols = joined.astype(np.int16) + 1
+    symbols[ends] = 0
+    order = suffix_order(symbols, length)
+    group = np.cumsum(shared_prefixes(symbols, order, length)) - 1
+    whole = np.ones(len(symbols), dtype=bool)
+    for d in range(length):  # windows that reach a passage's end
+        whole[np.maximum(ends - d, starts)] = False
+    owner = np.repeat(np.arange(len(chunks)), sizes + 1)
     least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group[whole], smallest[owner[whole]])
-    out = np.empty(len(text), dtype=np.int64)
+    picked = whole[order]
+    # Groups stand side by side in order, so each one's least is a reduction over its stretch.
+    some, value = group[picked], smallest[owner[order[picked]]]
+    if len(some):
+        cuts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        least[some[cuts]] = np.minimum.reduceat(value, cuts)
+    out = np.empty(len(symbols), dtype=np.int64)
     out[order] = least[group]
     return out, starts
 
@@ -207,7 +230,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield told()
 
     def group_of(doc):
-        return (doc % PRIME) % groups
+        return hashed(doc, groups)
 
     def shared(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         import numpy as np
@@ -251,7 +274,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         for b, found in rows.items():
             at: dict[bytes, int] = {}
             ix = [at.setdefault(c, len(at)) for c, *_ in found]
-            out.append((b, np.array([len(c) for c in at], np.uint32).tobytes(), b"".join(at), np.array(ix, np.uint32).tobytes(), np.array([x[1] for x in found], np.int64).tobytes(), np.array([x[2] for x in found], np.uint16).tobytes(), np.array([x[3] for x in found], np.uint32).tobytes()))
+            out.append((b, np.array([len(c) for c in at], np.uint32).tobytes(), b"".join(at), np.array(ix, np.uint32).tobytes(), np.array([x[1] for x in found], np.int64).tobytes(), np.array([x[2] for x in found], np.uint32).tobytes(), np.array([x[3] for x in found], np.uint32).tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, (pa.int64(), *[pa.binary()] * 6))], names=["bucket", "sizes", "chunks", "ix", "docs", "numbers", "starts"])
 
     def judged(got: pa.Table) -> pa.Table:
@@ -263,7 +286,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             sizes, ends = np.frombuffer(r["sizes"], np.uint32), None
             ends = np.cumsum(sizes.astype(np.int64)).tolist()
             ids = np.array([at.setdefault(r["chunks"][e - s : e], len(at)) for s, e in zip(sizes.tolist(), ends)], np.int64)
-            for x, y in zip(occ, (ids[np.frombuffer(r["ix"], np.uint32)], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["numbers"], np.uint16), np.frombuffer(r["starts"], np.uint32).astype(np.int64))):
+            for x, y in zip(occ, (ids[np.frombuffer(r["ix"], np.uint32)], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["numbers"], np.uint32), np.frombuffer(r["starts"], np.uint32).astype(np.int64))):
                 x.append(y)
         chunk, doc, number, start = (np.concatenate(x) for x in occ)
         chunks = list(at)
@@ -299,14 +322,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         d, n, s, e, group = d[order], n[order], s[order], e[order], group[order]
         cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]) if len(group) else [0]
         parts = list(zip(cuts, cuts[1:]))
-        return pa.table({"grp": pa.array([int(group[i]) for i, _ in parts], pa.int64()), **{k: pa.array([x[i:j].astype(t).tobytes() for i, j in parts], pa.binary()) for k, x, t in (("docs", d, np.int64), ("numbers", n, np.uint16), ("starts", s, np.uint32), ("ends", e, np.uint32))}})
+        return pa.table({"grp": pa.array([int(group[i]) for i, _ in parts], pa.int64()), **{k: pa.array([x[i:j].astype(t).tobytes() for i, j in parts], pa.binary()) for k, x, t in (("docs", d, np.int64), ("numbers", n, np.uint32), ("starts", s, np.uint32), ("ends", e, np.uint32))}})
 
     def kept(texts: pa.Table, gone: pa.Table) -> pa.Table:
         import numpy as np
 
         of: dict = {}
         for r in gone.to_pylist():
-            for d, n, s, e in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["numbers"], np.uint16).tolist(), np.frombuffer(r["starts"], np.uint32).tolist(), np.frombuffer(r["ends"], np.uint32).tolist()):
+            for d, n, s, e in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["numbers"], np.uint32).tolist(), np.frombuffer(r["starts"], np.uint32).tolist(), np.frombuffer(r["ends"], np.uint32).tolist()):
                 of.setdefault((d, n), []).append((s, e))
         rows = [(None, len(t), 0, 0, hashlib.sha256(t).hexdigest()) for d, t in zip(texts["doc_id"].to_pylist(), texts["text"].cast(pa.binary()).to_pylist()) if d is None]
         for doc, number, data in numbered(texts):
@@ -324,11 +347,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             rows.append((doc, len(data), sum(e - s for s, e in runs), len(runs), digest.hexdigest()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    by_bucket = docs.mapInArrow(keys, "bucket long, keys binary, docs binary").groupBy("bucket")
+    by_bucket = arrow(docs, keys, "bucket long, keys binary, docs binary").groupBy("bucket")
     wanted = saved(by_bucket.applyInArrow(shared, "grp long, bucket long, keys binary"), "keys")
     del by_bucket
     freed(spark)
-    texts = docs.withColumn("grp", F.coalesce(F.pmod(F.pmod("doc_id", F.lit(PRIME)), F.lit(groups)), F.pmod(F.octet_length("text"), F.lit(groups))).cast("long"))
+    group = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))  # null ids meet nothing, so any group will do
+    texts = docs.withColumn("grp", F.pmod(group, F.lit(groups)).cast("long"))
     found = texts.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(cut_out, "bucket long, sizes binary, chunks binary, ix binary, docs binary, numbers binary, starts binary")
     spans = saved(found.groupBy("bucket").applyInArrow(judged, "grp long, docs binary, numbers binary, starts binary, ends binary"), "spans")
     del found

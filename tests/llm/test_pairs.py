@@ -8,6 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import xxhash
+from pyspark.sql import functions as F
+
 from quire.llm import embeddings, fingerprints, graph, jaccard, suffixes
 
 
@@ -86,19 +89,28 @@ def test_vectors(spark, monkeypatch, tile):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_very_long_vectors(spark, monkeypatch):
+    """Lengths beyond those that get axes are compared all the same."""
+    monkeypatch.setattr(embeddings, "MOST_DIM", 4)
+    rows = [(i, [float(i % 3 == k) + 0.01 * (i % 2) for k in range(6)], 0) for i in range(9)] + [(10 + i, [1.0, float(i)], 0) for i in range(2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (2, i % 3) for i in range(9)}, 10: (0, 10), 11: (0, 11)}
+
+
 def test_fingerprints(documents, prose):
     rows = [(5 * i, " ".join(random.Random(i).choice(["the", "is", "est", "und", "of", "de", *prose(i, 30).split()]) for _ in range(3 * i)) + "é😀") for i in range(40)] + [(1001, ""), (1002, None), (1003, "..."), (1004, "one two"), (1005, "one two")]
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(documents(rows)).collect()}
 
     def signatures(t):
-        w = [x for x in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower()) if x in fingerprints.ANCHORS or x not in fingerprints.COMMON]
-        mark = lambda x: ("\x01" if x in fingerprints.ANCHORS else "") + x
-        chains = [(x, c) for i, x in enumerate(w) for c in [[y for y in w[i + 1 :] if y not in fingerprints.ANCHORS][:2]] if len(c) == 2]
-        some = [(x, c) for x, c in chains if x in fingerprints.ANCHORS]
-        out = {" ".join([mark(x), *c]) + " " for x, c in (some if len(some) >= fingerprints.FEWEST else chains)}
-        words = " " + re.sub(r"[^a-z0-9\u0080-\U0010ffff]+", " ", t.lower()) + " "
-        return {hashlib.md5(c.encode()).hexdigest()[:8] for c in out or ({"=" + (words if words.strip() else t)} if t else ())}
-
+        low = "\x02" + re.sub(r"[.!?\n]", "\x02", t.lower())
+        w = [x[0] if x[0] == "\x02" else x for x in re.findall(r"\x02(?:[^a-z0-9\u0080-\U0010ffff])*|[a-z0-9\u0080-\U0010ffff]+", low)]
+        anchor = lambda x: x == "\x02" or x in fingerprints.ANCHORS
+        kept = [x for x in w if anchor(x) or x not in fingerprints.COMMON]
+        out = {" ".join(["\x01" + x, *c]) + " " for i, x in enumerate(kept) if anchor(x) for c in [[y for y in kept[i + 1 :] if not anchor(y)][:2]] if len(c) == 2}
+        words = " " + " ".join(w) + " "
+        return {xxhash.xxh64_intdigest(c.encode(), seed=42) for c in out or ({"=" + (words if words.replace("\x02", "").strip() else t)} if t else ())}
+
+    told = lambda x: "".join(f"{h:016x}" for h in sorted(x, key=lambda h: h - (h >> 63 << 64)))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -106,7 +118,7 @@ def test_fingerprints(documents, prose):
         edited = t[: len(t) - q] + after[:q]
         a, b, c = signatures(t), signatures(edited), signatures(after)
         x = got[i]
-        assert (x["n_chars"], x["edited_sha256"], x["fingerprint"], x["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(sorted(a)), "".join(sorted(b))), i
+        assert (x["n_chars"], x["edited_sha256"], x["fingerprint"], x["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), told(a), told(b)), i
         assert x["near_edited"] == pytest.approx(like(a, b)) and x["near_next"] == pytest.approx(like(a, c))
     few = fingerprints.edited_fingerprints(documents([(None, "the one two three"), (3, "x"), (3, "x")])).collect()
     assert Counter(r["doc_id"] for r in few) == {None: 1, 3: 2}
@@ -114,6 +126,29 @@ def test_fingerprints(documents, prose):
     assert fingerprints.edited_fingerprints(documents([])).count() == 0
 
 
+def test_length_partitions_prune_only_what_cannot_be_alike(spark):
+    sizes = [0, 1, 2, 3, 7, 9, 10, 11, 49, 50, 51, 99, 100, 101, 2500, 2501]
+    rows = [(n, m, list(range(n)), list(range(m))) for n in sizes for m in sizes]
+    df = spark.createDataFrame(rows, "n int, m int, a array<long>, b array<long>")
+    for least in (0.02, 0.1, 0.8):
+        got = df.select("n", "m", fingerprints.likeness(F.col("a"), F.col("b"), least).alias("x"), fingerprints.length_part(F.col("n"), least).alias("p"), fingerprints.length_part(F.col("m"), least).alias("q")).collect()
+        for r in got:
+            want = min(r["n"], r["m"]) / max(r["n"], r["m"]) if r["n"] or r["m"] else 1.0
+            assert r["x"] == pytest.approx(want if want >= least else 0.0)
+            assert want < least or abs(r["p"] - r["q"]) <= 1
+        assert any(abs(r["p"] - r["q"]) > 1 for r in got)
+
+
+def test_exchange_of_texts_is_shared(spark, documents, prose):
+    many = documents([(i, prose(i, 20)) for i in range(300)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fingerprints.edited_fingerprints(many)
+        assert len(out.collect()) == 300 and "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def removed(rows, n):
     """(doc_id, text) to the result by definition."""
     first = {}
@@ -148,16 +183,44 @@ def test_interval_expansion_finds_the_common_prefixes():
     r = random.Random(6)
     for least in (3, 8, 20):
         chunks = ["".join(r.choice("ab") for _ in range(r.randint(least, 30))).encode() for _ in range(12)]
-        m = len(chunks)
-        text = np.array([x for i, c in enumerate(chunks) for x in [*(b + m for b in c), i]])
-        order = suffixes.suffix_order(text, m, least)
-        got = suffixes.shared_prefixes(text, order, m, least)
+        symbols = np.array([x for c in chunks for x in [*(b - 96 for b in c), 0]], np.uint8)
+        order = suffixes.suffix_order(symbols, least)
+        got = suffixes.shared_prefixes(symbols, order, least)
         for i in range(1, len(order)):
-            a, b = text[order[i - 1] :].tolist(), text[order[i] :].tolist()
-            lcp = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            a, b = symbols[order[i - 1] :].tolist(), symbols[order[i] :].tolist()
+            lcp = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y or not x), min(len(a), len(b)))
             assert got[i] == (lcp < least)
 
 
+def test_all_bytes_and_wide_alphabets():
+    r = random.Random(8)
+    for kinds in (2, 100, 256):
+        chunks = list({bytes(r.randrange(kinds) for _ in range(5)) + bytes(range(kinds))[:40] + bytes(r.randrange(kinds) for _ in range(r.randint(0, 5))) for _ in range(30)})
+        docs, n = np.array([r.randrange(9) for _ in chunks]), 6
+        got, starts = suffixes.repeated(chunks, docs, n)
+        first = {}
+        for c, d in zip(chunks, docs):
+            for p in range(len(c) - n + 1):
+                first[c[p : p + n]] = min(first.get(c[p : p + n], d), d)
+        for c, s in zip(chunks, starts):
+            assert got[s : s + len(c) - n + 1].tolist() == [first[c[p : p + n]] for p in range(len(c) - n + 1)]
+
+
+def test_ids_are_dealt_as_in_spark(spark):
+    ids = [0, 1, -1, 16, 64, 1 << 40, -(1 << 63), (1 << 63) - 1, *range(0, 6400, 64)]
+    want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("pmod(xxhash64(i), 16)").collect()]
+    assert suffixes.hashed(np.array(ids, np.int64), 16).tolist() == want and len(set(want[8:])) > 10
+
+
+def test_many_rows_of_one_id_and_a_passage_in_all_documents(documents, prose):
+    """More rows of one id than 16 bits count, ids in steps of 64, and one passage everywhere."""
+    common = prose(77, 30)
+    rows = [(1, "short")] * 70_000 + [(64 * i, f"{prose(i, 6)} {common} {prose(i + 500, 6)}") for i in range(1, 60)] + [(1, common), (1, common)]
+    got = {(r["doc_id"], r["n_removed"]) for r in suffixes.removals(documents(rows, 4)).collect()}
+    want = {(d, x) for d, _, x, *_ in removed([x for x in rows if x[1] != "short"], 50)}
+    assert got == want | {(1, 0)} and len({x for _, x in want}) > 1
+
+
 def test_passages_own_their_windows(prose):
     where = defaultdict(set)
     for seed in range(3):
