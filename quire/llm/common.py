@@ -53,7 +53,7 @@ def freed(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(1)
+        time.sleep(0.25)
 
 
 def fresh(df: DataFrame, name: str) -> str:
