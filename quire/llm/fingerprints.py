@@ -91,17 +91,19 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts as empty. An empty table gives an empty result; other columns are not read.
 
     A text's signatures are computed once. Texts and signatures are shuffled by id once, an exchange that both joins read; beside
-    that only the heads of next documents travel. Joins are null-safe, so null ids need no key of their own, and a hot id is split
-    as any skewed join.
+    that only the heads of next documents travel, once. A hot id is split as any skewed join.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sizes = saved(docs.groupBy("key").agg(F.max(F.floor(F.length("text") / 4)).alias("need")), "sizes")
     wanted = following(sizes.select("key")).alias("f").join(sizes.alias("s"), F.col("f.key").eqNullSafe(F.col("s.key")))
     wanted = saved(wanted.select(F.col("f.next").alias("at"), F.col("f.key").alias("before"), "need"), "wanted")
-    signed = docs.withColumn("own", signatures(F.col("text")))
-    heads = signed.join(wanted, F.col("key").eqNullSafe(F.col("at"))).select("before", F.struct(F.expr("substring(text, 1, cast(need as int))").alias("head"), F.col("own").alias("next")).alias("h"))
-    heads = heads.groupBy("before").agg(F.min("h").alias("h"))
-    rows = signed.join(heads, F.col("key").eqNullSafe(F.col("before"))).select("key", "text", "own", "h", F.length("text").alias("n"))
+    # An id as two columns that are never null, so that grouping and joining are dealt out alike.
+    pair = lambda c, a, b: (F.coalesce(c, F.lit(0).cast("long")).alias(a), F.isnull(c).alias(b))
+    signed = docs.select(*pair(F.col("key"), "k", "none"), "text").withColumn("own", signatures(F.col("text")))
+    wanted = wanted.select(*pair(F.col("at"), "k", "none"), *pair(F.col("before"), "b", "bnone"), "need")
+    heads = signed.join(wanted, ["k", "none"]).select(F.col("b").alias("k"), F.col("bnone").alias("none"), F.struct(F.expr("substring(text, 1, cast(need as int))").alias("head"), F.col("own").alias("next")).alias("h"))
+    heads = heads.groupBy("k", "none").agg(F.min("h").alias("h"))
+    rows = signed.join(heads, ["k", "none"]).select(F.when(~F.col("none"), F.col("k")).alias("key"), "text", "own", "h", F.length("text").alias("n"))
     quarter = "cast(floor(n / 4) as int)"
     rows = rows.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "own", F.col("h.next").alias("next"), F.expr(f"concat(substring(text, 1, n - {quarter}), substring(h.head, 1, {quarter}))").alias("edited"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next", signatures(F.col("edited")).alias("theirs"))
