@@ -27,7 +27,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: that of the smallest id. Rows that repeat an id stay or go together; rows without an id stay."""
     classes = jaccard.near_classes(docs, k=SHINGLE, percent=PERCENT)
     copies = common.saved(classes.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "anti").select(docs.columns)
+    common.dropped(spark, classes)
+    others, may = common.parted(docs, "doc_id", copies)
+    return others.select(docs.columns).unionByName(may.join(copies, "doc_id", "anti").select(docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,23 +45,25 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each row as often as the mix takes it, which may be not at all; texts without words go.
 
     Rows that share an id, or have none, are told apart: in order of size, each takes the copies that the mix gave one of its id and
-    size. An empty table stays empty.
+    size. An empty table stays empty. A bitmap tells most rows their copies; the others are joined by id, so few texts are shuffled.
     """
     names = [common.fresh(docs, c) for c in ("_copies", "_copy", "_size", "_nth", "_of")]
     copies, copy, size, nth, of = names
     took = common.saved(mixing.mix(docs).select(F.col("doc_id").alias(of), F.col("size").alias(size), F.col("copies").cast("int").alias(copies)), "copies")
     several = common.saved(took.groupBy(of).count().where("count > 1").select(of), "several")
     repeated = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    sure, docs = common.told_by_slot(docs, "doc_id", took.select(of, copies), copies, range(mixing.CAP + 1))
+    sure = sure.where(F.col(copies) > 0).withColumn(copy, repeated).select(docs.columns)
     once = docs.join(took.where(F.col(copies) > 0), docs["doc_id"].eqNullSafe(F.col(of)))
     if several.isEmpty():
-        return once.withColumn(copy, repeated).select(docs.columns)
+        return sure.unionByName(once.withColumn(copy, repeated).select(docs.columns))
     out = once.join(several.withColumnRenamed(of, nth), F.col(of).eqNullSafe(F.col(nth)), "left_anti").withColumn(copy, repeated).select(docs.columns)
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0))
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(words, F.xxhash64("text")))
     rows = docs.join(several, docs["doc_id"].eqNullSafe(several[of]), "left_semi").withColumn(nth, row)
     theirs = took.join(several.withColumnRenamed(of, "_id"), F.col(of).eqNullSafe(F.col("_id")), "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(of).orderBy(size, copies)))
     both = rows.join(theirs.where(F.col(copies) > 0), rows["doc_id"].eqNullSafe(F.col(of)) & (F.col(nth) == F.col(copy)))
-    return out.unionByName(both.drop(copy).withColumn(copy, repeated).select(docs.columns))
+    return sure.unionByName(out).unionByName(both.drop(copy).withColumn(copy, repeated).select(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

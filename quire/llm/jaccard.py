@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow, dropped, freed, only_ids, saved, worker_state
+from quire.llm.common import arrow, dropped, freed, only_ids, parted, saved, worker_state
 from quire.llm.graph import components
 
 #: N-grams known as frequent, at most; they go last in the order of rarity. The order decides speed only, never what links.
@@ -160,11 +160,25 @@ def need(n, m, percent: int):
 
 
 def index_lists(reps: DataFrame, percent: int) -> DataFrame:
-    """token, doc, n, pos, leader: the entries of lists that two or more sets share; leader is the entry that each is compared with first, perhaps itself."""
+    """token, doc, n, pos, leader, more: the entries of lists that two or more sets share; leader is the entry that each is compared with first, perhaps itself.
+
+    more: whether sizes, positions and leaders leave the entry another to be compared with than its leader. A list of two has none. It
+    is true throughout a list of more than SHORT entries, where the pairs are not gone through.
+    """
 
     def run(batches):
         out, size = [], 0
 
+        def more(n, doc, pos, leader):
+            left = [len(n) > SHORT] * len(n)
+            for i, ni in enumerate(n if 2 < len(n) <= SHORT else ()):
+                for j in range(i + 1, len(n)):
+                    if 100 * ni < percent * n[j]:
+                        break
+                    if leader[j] != doc[i] and leader[i] != doc[j] and min(ni - pos[i], n[j] - pos[j]) >= need(ni, n[j], percent):
+                        left[i] = left[j] = True
+            return left
+
         def lead(cols):
             _, n, doc, pos = (c.tolist() for c in cols)
             leaders, first, found = [], 0, []
@@ -178,13 +192,13 @@ def index_lists(reps: DataFrame, percent: int) -> DataFrame:
                 else:
                     leaders.append((m, d, p))
                     found.append(d)
-            return [cols[0], cols[2], cols[1], cols[3], found]
+            return [cols[0], cols[2], cols[1], cols[3], found, more(n, doc, pos, found)]
 
         import numpy as np
 
         def batch():
-            cols = [np.concatenate([np.asarray(x[i]) for x in out]) for i in range(5)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "doc", "n", "pos", "leader"])
+            cols = [np.concatenate([np.asarray(x[i]) for x in out]) for i in range(6)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "n", "pos", "leader", "more"])
 
         for got in by_list(batches, lead):
             out.append(got)
@@ -196,7 +210,7 @@ def index_lists(reps: DataFrame, percent: int) -> DataFrame:
             yield batch()
 
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", F.col("doc_id").alias("doc"), F.col("pos").cast("long").alias("pos"))
-    return arrow(entries.repartition("token").sortWithinPartitions("token", "n", "doc"), run, "token long, doc long, n long, pos long, leader long")
+    return arrow(entries.repartition("token").sortWithinPartitions("token", "n", "doc"), run, "token long, doc long, n long, pos long, leader long, more boolean")
 
 
 def open_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -328,22 +342,32 @@ def open_pairs(lists: DataFrame, percent: int, every: bool) -> DataFrame:
     return arrow(cols.repartition("token").sortWithinPartitions("token", "n", "doc"), run, "token long, a long, b long")
 
 
-def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may link by what their prefixes share.
+def alike(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their bitmaps, which differ in no more bits than the sets in elements. bitmaps: doc, n, bits."""
+
+    def run(batches):
+        for b in batches:
+            a, c, n, m, x, y = (col.to_pylist() for col in b.columns)
+            kept = []
+            for i in range(len(a)):
+                u, v, width, other = int.from_bytes(x[i], "little"), int.from_bytes(y[i], "little"), len(x[i]), len(y[i])
+                if width < other:
+                    u, v, width, other = v, u, other, width
+                while width > other:
+                    width //= 2
+                    u = (u >> (8 * width)) ^ (u & ((1 << (8 * width)) - 1))
+                kept.append(n[i] + m[i] - (u ^ v).bit_count() >= 2 * need(n[i], m[i], percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    Of two sets in one order of rarity, what they share is in both prefixes, or lies beyond the prefix that ends first; so it is at
-    most what the prefixes share and the larger of the parts beyond them.
-    """
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct())
-    known = only_ids(reps, "doc_id", ids).select("doc_id", "n", "prefix")
-    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.size(F.array_intersect("ap", "bp")) + F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
-    return both.where((100 + percent) * most >= percent * (F.col("an") + F.col("bn"))).select("a", "b")
+    known = only_ids(bitmaps.select("doc", "n", "bits"), "doc", ids)
+    side = lambda c: known.select(F.col("doc").alias(c), F.col("n").alias(f"{c}n"), F.col("bits").alias(f"{c}m"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "am", "bm")
+    return arrow(both, run, "a long, b long")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, shared, linked for pairs (a, b) of ids; docs has doc_id and text, one row for each id. Texts travel, as they are shorter than their sets."""
+    """a, b, shared, linked for pairs (a, b) of ids; docs has doc_id and text; rows that repeat an id each give an answer. Texts travel, as they are shorter than their sets."""
 
     def run(batches):
         import numpy as np
@@ -385,26 +409,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not (several := saved(several, "several")).isEmpty():
         texts = texts.join(several, "doc_id", "anti").union(texts.join(several, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
         known = saved(sets(texts, k, percent), "sets").where("digest is not null")
-    first = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
-    reps = known.join(first.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("doc_id", "n", "bits", "prefix").dropDuplicates(["doc_id"])
-    reps, same = saved(reps, "reps"), saved(known.select("doc_id", "digest").join(first, "digest").select("doc_id", "rep").dropDuplicates(["doc_id"]), "same")
-    dropped(spark, made)
-    lists = saved(index_lists(reps, percent), "lists")
-
-    def answered(pairs: DataFrame) -> DataFrame:
-        """a, b, shared, linked: the pairs with their answers; those that their prefixes rule out have no shared."""
-        likely = saved(plausible(pairs, reps, percent), "plausible")
-        got = saved(compared(likely, texts, k, percent), "compared")
+    narrow = known.select("doc_id", "digest")
+    first = saved(narrow.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
+    same = saved(narrow.join(first, "digest").select("doc_id", "rep").dropDuplicates(["doc_id"]), "same")
+    # Most sets are the only ones of their kind and id and stay where they are; the others are shuffled to leave one row each.
+    aside = saved(same.where("doc_id <> rep").select("doc_id").union(narrow.groupBy("doc_id").count().where("count > 1").select("doc_id")), "aside")
+    alone, others = parted(known.select("doc_id", "n", "bits", "prefix"), "doc_id", aside)
+    reps = saved(alone.union(others.join(same.where("doc_id = rep").select("doc_id"), "doc_id").select(alone.columns).dropDuplicates(["doc_id"])), "reps")
+    for done in (made, known, first, aside):
+        dropped(spark, done)
+    lists, bitmaps = saved(index_lists(reps, percent), "lists"), saved(reps.select(F.col("doc_id").alias("doc"), "n", "bits"), "bitmaps")
+    dropped(spark, reps)
+    freed(spark)
+
+    def answered(pairs: DataFrame, likely: DataFrame) -> DataFrame:
+        """a, b, shared, linked: the pairs with their answers; those that are not among the likely ones have no shared."""
+        got = saved(compared(likely, texts, k, percent).groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked")), "compared")
         out = saved(pairs.join(got, ["a", "b"], "left").select("a", "b", "shared", F.coalesce("linked", F.lit(False)).alias("linked")), "answers")
         for done in (likely, got, pairs):
             dropped(spark, done)
         return out
 
-    answers = answered(saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs"))
+    pairs = saved(lists.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    answers = answered(pairs, saved(alike(pairs, bitmaps, percent), "alike"))
+    # An entry that only its leader could link with has no part in the rounds.
+    last, lists = lists, saved(lists.where("more").drop("more"), "lists")
+    dropped(spark, last)
     freed(spark)
     # What is known of a set by now: its bitmap, what it shares with its leaders, its class, and whom it was compared with in vain.
     led = answers.where("shared is not null").groupBy(F.col("a").alias("doc")).agg(F.map_from_entries(F.collect_list(F.struct("b", "shared"))).alias("led"))
-    facts = saved(reps.select(F.col("doc_id").alias("doc"), "bits").join(led, "doc", "left"), "facts")
+    facts = saved(bitmaps.select("doc", "bits").join(led, "doc", "left"), "facts")
+    dropped(spark, bitmaps)
     comp, vain = components(answers.where("linked").select("a", "b")), None
     for number in range(ROUNDS + 1):
         about = facts.join(comp, F.col("doc") == F.col("id"), "left").select("doc", "bits", "led", F.coalesce("component", "doc").alias("component"))
@@ -417,7 +452,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         proposed = saved(open_pairs(with_facts, percent, number == ROUNDS), "open")
         if proposed.isEmpty():
             break
-        answers = answered(saved(proposed.select("a", "b").distinct(), "pairs"))
+        pairs = saved(proposed.select("a", "b").distinct(), "pairs")
+        answers = answered(pairs, pairs)
         new = answers.where("linked").select("a", "b")
         comp = components(comp.where("id <> component").select("id", "component").union(new))
         if number < ROUNDS:
@@ -427,6 +463,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             last, lists = lists, saved(lists.join(proposed.select("token").distinct(), "token", "left_semi"), "lists")
             dropped(spark, last)
         freed(spark)
+    for done in (lists, facts):
+        dropped(spark, done)
     out = same.join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = every.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(out, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -9,6 +9,8 @@ from quire.llm.common import WORD, saved
 
 #: Rows of one source that share a cell of the prefix sum: at this many on average, a cell is sorted in one task.
 CELL_ROWS = 200_000
+#: Times its size that a source's target is at most; no document is taken more often.
+CAP = 2
 
 
 def cell_of(salts: int):
@@ -17,7 +19,7 @@ def cell_of(salts: int):
     return F.expr(f"({kind}) * {salts} + pmod(coalesce(doc_id, 0) % 65536 * 40503 % 65536, {salts})")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, seed: str = "") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = CAP, seed: str = "") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: a mix of share[0]/share[1] times all words.
 
     Sources in code-point order, null last, weigh `weights` in turn. A source's target stops at `cap` times its size; the excess goes
