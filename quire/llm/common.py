@@ -69,12 +69,19 @@ def remainder(id_col, n: int):
     return F.crc32(F.col(id_col).cast("string")) % n
 
 
-def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """About `rows` rows of df at most, the same ones on each run: those whose hashed id is below a bound set from the count. All of df if it has fewer."""
-    n = df.count()
+def bounded_sample(df: DataFrame, id_col: str, rows: int, total: int | None = None) -> DataFrame:
+    """About `rows` rows of df at most, the same ones on each run: those whose hash of id and text (if df has that column) is below a bound set from the count. All of df if it has fewer.
+
+    The bound is a share of 2**63, so it holds for any count (`total`, counted where it is not given). Rows that repeat id and text
+    fall in or out together; if none is in, the rows of the smallest hashes are taken.
+    """
+    n = df.count() if total is None else total
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+    keys = [F.col(id_col).cast("string"), *([F.col("text")] if "text" in df.columns and id_col != "text" else [])]
+    place = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(7)), 1)
+    sample = df.where(place < F.lit(rows * (1 << 63) // n))
+    return df.orderBy(place).limit(rows) if sample.isEmpty() else sample
 
 
 def worker_state(key, build):

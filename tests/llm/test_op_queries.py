@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from quire.llm import language, queries
+from quire.llm import common, language, queries
 
 COLUMNS = {
     "1": "doc_id n_assign n_access n_hex base_sha256 spans",
@@ -60,3 +60,13 @@ def test_labels_of_held_out_documents_are_not_learned(spark, tables):
     turned = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))
     a, b = language.fitted(docs), language.fitted(turned)
     assert a.langs == b.langs and a.trigram == b.trigram and a.words == b.words
+
+
+@pytest.mark.parametrize("total", [10**3, 10**5, 10**10])
+def test_bounded_sample_at_any_count(spark, total):
+    """A share of the rows, however large the count; never empty, also where all rows are alike."""
+    df = spark.range(100_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    got = common.bounded_sample(df, "doc_id", 500, total).count()
+    assert (got == 500 if total == 10**10 else 0.7 < got / (500 * 100_000 / total) < 1.3)
+    same = spark.range(1000).selectExpr("cast(null AS long) AS doc_id", "cast(null AS string) AS text")
+    assert common.bounded_sample(same, "doc_id", 10).count() in (10, 1000)
