@@ -794,3 +794,10 @@ def blocks_over_body(spark, d):
 def number_columns(spark, d):
     li = inputs.order_lines(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block"), F.col("n").alias("ln"), (F.col("l_partkey") % 40).cast("string").alias("text"))
     return screening.number_columns(li).select("doc_id", "first", "last", "length", "increasing")
+
+
+from quire.plans import margin_queries  # noqa: E402
+
+for more in (margin_queries,):
+    QUERIES.update(more.QUERIES)
+    ORACLES.update(more.ORACLES)

@@ -77,6 +77,36 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 KINDS = (0, 1, 2, 4, 5, 8, 11)
 
 
+def margin_parts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, seq, part, text, left, right, top, bottom, font, size, bold, skew: two lines of a document a page, under a running head that is misspelled, moved or larger on some pages, over page numbers, copyright or a volume."""
+    whole = F.split("text", "\n")
+    doc, p = F.col("doc_id"), F.col("page")
+    pages = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.size(whole) / 2).cast("int") - 1), lambda i: F.slice(whole, i * 2 + 1, 2))).alias("at", "two")).withColumn("page", F.col("at") + 1)
+    high = F.lit(800.0) - F.when(p % 3 == 2, 12).otherwise(0)
+
+    def part(seq, n, text, left, top, when=True, size=10.0, skew=0.0):
+        return F.when(F.lit(when), F.struct(F.lit(seq).alias("seq"), F.lit(n).alias("part"), text.alias("text"), F.lit(left).alias("left"), F.lit(top).cast("double").alias("top"), F.lit(size).cast("double").alias("size"), F.lit(skew).cast("double").alias("skew")))
+
+    two = lambda i: F.coalesce(F.get("two", F.lit(i)), F.lit(""))
+    rows = F.array(
+        part(0, 0, F.concat(F.when((doc + p) % 4 == 3, "Yearly reviev of ").otherwise("Yearly review of "), "source"), 50.0, high, size=F.when((doc + p) % 5 == 4, 11.0).otherwise(10.0)),
+        part(1, 0, F.concat(F.lit("Part "), (doc % 5).cast("string")), 400.0, F.lit(800.0), doc % 3 == 0),
+        part(1, 1, p.cast("string"), 450.0, F.lit(800.0), doc % 3 == 0),
+        part(2, 0, two(0), 50.0, F.lit(760.0)),
+        part(3, 0, two(1), 50.0, F.lit(720.0), skew=F.when(doc % 13 == 0, 1.5).otherwise(0.0)),
+        part(8, 0, F.when(doc % 5 == 0, F.concat(F.lit("Copyright 2021 "), "source")).otherwise((p + 3).cast("string")), 280.0, F.lit(60.0)),
+        part(9, 0, F.concat(F.lit("Vol. "), (doc % 9).cast("string"), F.when(p % 2 == 0, ", draft").otherwise(", drafts")), 280.0, F.lit(45.0), doc % 7 == 0),
+    )
+    out = pages.select("doc_id", "page", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("doc_id", "page", "x.*")
+    return out.select("doc_id", "page", "seq", "part", "text", "left", (F.col("left") + F.least(F.lit(500), F.length("text") * 6)).alias("right"), "top", (F.col("top") - 10).alias("bottom"), F.lit("f1").alias("font"), "size", F.lit(False).alias("bold"), "skew")
+
+
+def margin_pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, page_height, page_width, page_size, body_size of the pages of margin_parts."""
+    n = F.ceil(F.size(F.split("text", "\n")) / 2).cast("int")
+    return table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), n)).alias("page")).select("doc_id", "page", F.lit(842.0).alias("page_height"), F.lit(600.0).alias("page_width"), F.lit(10.0).alias("page_size"), F.lit(10.0).alias("body_size"))
+
+
 #: Titles that reach every branch of the title rules.
 MIXED = ("Part IV-3a", "12", "Document  page 3", "XIV. Mix", "Growth $x_1$ of div 2", "mcmxc and iii", "Page layout rules")
 
@@ -98,6 +128,14 @@ SQL = {
     "made_bookmarks": "made_bookmarks AS (SELECT doc_id, ord, CASE doc_id % 7 WHEN 0 THEN 'Page ' || ord WHEN 1 THEN 'file ' || ord || ' v' || ord WHEN 2 THEN 'Chapter ' || ord WHEN 3 THEN 'Item ' || ord WHEN 4 THEN translate(ord::VARCHAR, '0123456789', 'abcdefghij') || ' – Word' WHEN 5 THEN 'Notes' ELSE [" + ", ".join(f"'{t}'" for t in MIXED) + "][ord % 7 + 1] END AS title, level, page FROM bookmarks)",
     "nodes": "nodes AS (SELECT v.doc_id, v.ord, (SELECT max(x.ord) FROM valid x WHERE x.doc_id = v.doc_id AND x.ord < v.ord AND x.level < v.level) AS parent_ord, v.level, v.title, v.page AS start_page, greatest(v.page, coalesce((SELECT arg_min(x.page, x.ord) FROM valid x WHERE x.doc_id = v.doc_id AND x.ord > v.ord AND x.level <= v.level), v.n_pages)) AS end_page, printf('%04d', row_number() OVER (PARTITION BY v.doc_id ORDER BY v.ord) - 1) AS node_id FROM valid v)",
     "spans": "spans AS (SELECT l_orderkey % 997 AS doc_id, (l_orderkey % 5 + 1)::INT AS page, l_orderkey * 64 + n AS ix, l_quantity * 10 AS \"left\", l_quantity * 10 + 40 + l_discount * 100 AS \"right\", (l_partkey % 700)::DOUBLE + 8 + l_linenumber AS top, (l_partkey % 700)::DOUBLE AS bottom, l_returnflag || ' ' || l_linestatus || ' ' || (l_suppkey % 40) AS text, (l_linenumber + 7)::DOUBLE AS size, l_returnflag = 'A' AS bold, CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 0.0 END::DOUBLE AS skew FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS n FROM lineitem))",
+    "margin_parts": """margin_lines AS (SELECT doc_id, coalesce(source, 'none') AS source, unnest(range(1, (len(l) + 1) // 2 + 1))::INT AS page, l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)),
+  margin_parts0 AS (SELECT doc_id, page, 0 AS seq, 0 AS part, (CASE WHEN (doc_id + page) % 4 = 3 THEN 'Yearly reviev of ' ELSE 'Yearly review of ' END) || source AS text, 50.0 AS "left", 800.0 - CASE WHEN page % 3 = 2 THEN 12 ELSE 0 END AS top, CASE WHEN (doc_id + page) % 5 = 4 THEN 11.0 ELSE 10.0 END AS size, 0.0 AS skew FROM margin_lines
+  UNION ALL SELECT doc_id, page, 1, 0, 'Part ' || doc_id % 5, 400, 800, 10, 0 FROM margin_lines WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, page, 1, 1, page::VARCHAR, 450, 800, 10, 0 FROM margin_lines WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, page, 2, 0, coalesce(l[2 * page - 1], ''), 50, 760, 10, 0 FROM margin_lines UNION ALL SELECT doc_id, page, 3, 0, coalesce(l[2 * page], ''), 50, 720, 10, CASE WHEN doc_id % 13 = 0 THEN 1.5 ELSE 0 END FROM margin_lines
+  UNION ALL SELECT doc_id, page, 8, 0, CASE WHEN doc_id % 5 = 0 THEN 'Copyright 2021 ' || source ELSE (page + 3)::VARCHAR END, 280, 60, 10, 0 FROM margin_lines
+  UNION ALL SELECT doc_id, page, 9, 0, 'Vol. ' || doc_id % 9 || CASE WHEN page % 2 = 0 THEN ', draft' ELSE ', drafts' END, 280, 45, 10, 0 FROM margin_lines WHERE doc_id % 7 = 0),
+  margin_parts AS (SELECT doc_id, page, seq, part, text, "left"::DOUBLE AS "left", ("left" + least(500, length(text) * 6))::DOUBLE AS "right", top::DOUBLE AS top, (top - 10)::DOUBLE AS bottom, 'f1' AS font, size::DOUBLE AS size, false AS bold, skew::DOUBLE AS skew FROM margin_parts0),
+  margin_pages AS (SELECT doc_id, page, 842.0::DOUBLE AS page_height, 600.0::DOUBLE AS page_width, 10.0::DOUBLE AS page_size, 10.0::DOUBLE AS body_size FROM margin_lines)""",
     "records": "records AS (SELECT o_orderkey::VARCHAR AS id, 'file-' || (o_custkey % 400) || '.pdf' AS name, o_orderdate AS created_at, o_orderkey % 37 + 1 AS page_num, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'processing' END AS status FROM orders)",
 }
 
