@@ -107,6 +107,22 @@ def margin_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), n)).alias("page")).select("doc_id", "page", F.lit(842.0).alias("page_height"), F.lit(600.0).alias("page_width"), F.lit(10.0).alias("page_size"), F.lit(10.0).alias("body_size"))
 
 
+def column_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in two columns under headings, with numbered notes, marks and leaders among them: the spans of a page moved to a grid by their ids."""
+    i = F.col("ix") % 60
+    text = F.when(i % 11 == 0, F.concat((i % 9 + 1).cast("string"), F.lit(". "), "text")).when(i % 13 == 0, F.concat(F.lit("["), i.cast("string"), F.lit("]"))).when(i % 17 == 0, F.concat("text", F.lit(" . . . . . ."))).otherwise(F.concat("text", F.lit(" running text of a line")))
+    head = (F.col("ix") % 7 == 0)
+    left = F.when(head, 40.0).when(i % 2 == 0, 40.0 + F.col("ix") % 3).otherwise(320.0)
+    bottom = (F.lit(760.0) - F.floor(i / 2) * 24 + F.when(i % 5 == 0, 3).otherwise(0)).cast("double")
+    size = F.when(head, 14.0).otherwise(10.0)
+    return spans(spark, d).select("doc_id", "page", "ix", left.alias("left"), (left + F.when(head, 500.0).otherwise(150.0 + F.col("ix") % 90)).alias("right"), (bottom + size).alias("top"), bottom.alias("bottom"), text.alias("text"), size.alias("size"))
+
+
+def column_pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, size, overlap_gap, char_width of the pages of column_lines."""
+    return spans(spark, d).groupBy("doc_id", "page").agg(F.lit(10.0).alias("size"), (F.lit(14.0) + F.count(F.lit(1)) % 4).cast("double").alias("overlap_gap"), F.lit(5.0).alias("char_width"))
+
+
 #: Titles that reach every branch of the title rules.
 MIXED = ("Part IV-3a", "12", "Document  page 3", "XIV. Mix", "Growth $x_1$ of div 2", "mcmxc and iii", "Page layout rules")
 
@@ -136,6 +152,9 @@ SQL = {
   UNION ALL SELECT doc_id, page, 9, 0, 'Vol. ' || doc_id % 9 || CASE WHEN page % 2 = 0 THEN ', draft' ELSE ', drafts' END, 280, 45, 10, 0 FROM margin_lines WHERE doc_id % 7 = 0),
   margin_parts AS (SELECT doc_id, page, seq, part, text, "left"::DOUBLE AS "left", ("left" + least(500, length(text) * 6))::DOUBLE AS "right", top::DOUBLE AS top, (top - 10)::DOUBLE AS bottom, 'f1' AS font, size::DOUBLE AS size, false AS bold, skew::DOUBLE AS skew FROM margin_parts0),
   margin_pages AS (SELECT doc_id, page, 842.0::DOUBLE AS page_height, 600.0::DOUBLE AS page_width, 10.0::DOUBLE AS page_size, 10.0::DOUBLE AS body_size FROM margin_lines)""",
+    "column_lines": """column_lines AS (SELECT doc_id, page, ix, x AS "left", (x + CASE WHEN ix % 7 = 0 THEN 500.0 ELSE 150.0 + ix % 90 END)::DOUBLE AS "right", (b + CASE WHEN ix % 7 = 0 THEN 14 ELSE 10 END)::DOUBLE AS top, b AS bottom, CASE WHEN i % 11 = 0 THEN (i % 9 + 1) || '. ' || text WHEN i % 13 = 0 THEN '[' || i || ']' WHEN i % 17 = 0 THEN text || ' . . . . . .' ELSE text || ' running text of a line' END AS text, CASE WHEN ix % 7 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size
+  FROM (SELECT *, ix % 60 AS i, (CASE WHEN ix % 7 = 0 THEN 40 WHEN ix % 2 = 0 THEN 40 + ix % 3 ELSE 320 END)::DOUBLE AS x, (760 - (ix % 60) // 2 * 24 + CASE WHEN ix % 5 = 0 THEN 3 ELSE 0 END)::DOUBLE AS b FROM spans)),
+  column_pages AS (SELECT doc_id, page, 10.0::DOUBLE AS size, (14 + count(*) % 4)::DOUBLE AS overlap_gap, 5.0::DOUBLE AS char_width FROM spans GROUP BY doc_id, page)""",
     "records": "records AS (SELECT o_orderkey::VARCHAR AS id, 'file-' || (o_custkey % 400) || '.pdf' AS name, o_orderdate AS created_at, o_orderkey % 37 + 1 AS page_num, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'processing' END AS status FROM orders)",
 }
 
