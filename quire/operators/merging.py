@@ -1,208 +1,162 @@
-"""Bookmarks and a detected tree made into one: bookmarks as the tree, as its chapters, or left out, by their tier. A document is one fold."""
+"""Bookmarks and a detected tree made into one: bookmarks as the tree, as its chapters, or left out, by their tier.
 
-from __future__ import annotations
+Everything is joins, windows and aggregates over the nodes of all documents. A node's ancestors are an array, found level by level.
+"""
 
-from bisect import bisect_right
-from difflib import SequenceMatcher
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import outline
-from quire.operators.grouped import by_group
+from quire.sources.scratch import kept
 
 #: Likeness of titles that name one heading; times a detected title recurs as a running label; characters of one at most.
 LIKENESS, RECURS, LONGEST = 0.7, 3, 100
 
 
-class Node:
-    def __init__(self, title: str, key: str, start: int):
-        self.title, self.key, self.start, self.kids = title, key, start, []
-
-    def last_start(self) -> int:
-        """The largest start in the subtree."""
-        return max(n.start for n in preorder([self]))
-
-
-def preorder(roots) -> list[Node]:
-    out, todo = [], list(reversed(roots))
-    while todo:
-        out.append(todo.pop())
-        todo.extend(reversed(out[-1].kids))
-    return out
-
-
-def by_levels(rows) -> list[Node]:
-    """Roots of entries (title, key, level, page): each goes under the last one of a smaller level."""
-    roots, path = [], []
-    for r in rows:
-        node = Node(r.title, r.key, r.page)
-        del path[r.level - 1 :]
-        (path[-1].kids if path else roots).append(node)
-        path.append(node)
-    return roots
+def with_ancestors(nodes: DataFrame, carried: list[str]) -> DataFrame:
+    """nodes (doc_id, id, parent, ...) with `up`: the ancestors from the root to the parent, as structs of id and the carried columns. One join a level; all documents together."""
+    mine = F.struct("id", *carried)
+    level = nodes.where("parent is null").withColumn("up", F.array().cast(f"array<{_ddl(nodes, ['id', *carried])}>"))
+    out = []
+    while not level.isEmpty():
+        out.append(level)
+        above = level.select("doc_id", F.col("id").alias("parent"), F.concat("up", F.array(mine)).alias("up"))
+        level = kept(nodes.join(above, ["doc_id", "parent"]).select(*nodes.columns, "up"))
+    whole = out[0] if out else level
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
-def ratio(a: str, b: str) -> float:
-    """Likeness by matching blocks; 0 where the lengths alone keep it below LIKENESS."""
-    return SequenceMatcher(None, a, b).ratio() if 2 * min(len(a), len(b)) >= LIKENESS * (len(a) + len(b)) else 0.0
+def _ddl(df: DataFrame, names: list[str]) -> str:
+    return f"struct<{','.join(f'{n}:{df.schema[n].dataType.simpleString()}' for n in names)}>"
 
 
-def alike(a: str, b: str) -> bool:
-    """Whether two keys name one heading: neither is empty, and one ends the other or they are alike."""
-    return bool(a and b) and (a.endswith(b) or b.endswith(a) or ratio(a, b) >= LIKENESS)
+def alike(a, b):
+    """Whether two keys name one heading: neither is empty, and one ends the other or they are alike, which is asked only where the lengths allow it."""
+    possible = 2 * F.least(F.length(a), F.length(b)) >= LIKENESS * (F.length(a) + F.length(b))
+    return (a != "") & (b != "") & (F.endswith(a, b) | F.endswith(b, a) | (T.similarity(F.when(possible, a), F.when(possible, b)) >= LIKENESS))
 
 
-def inserted(parent: Node, node: Node) -> None:
-    """node among parent's children, behind those that start no later."""
-    at = next((i for i, k in enumerate(parent.kids) if k.start > node.start), len(parent.kids))
-    parent.kids.insert(at, node)
+def without_labels(nodes: DataFrame) -> DataFrame:
+    """The tree without nodes whose key its document repeats, or whose title is as long as a paragraph; their children move up to the nearest ancestor that stays."""
+    often = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "key"))
+    label = ((F.col("key") != "") & (often >= RECURS)) | (F.length("title") > LONGEST)
+    up = with_ancestors(kept(nodes.withColumn("label", label)), ["label"])
+    stays = F.filter("up", lambda x: ~x["label"])
+    return up.where(~F.col("label")).withColumn("parent", F.try_element_at(stays, F.lit(-1))["id"]).drop("label", "up")
 
 
-def distributed(roots: list[Node], targets: list[Node], n_pages: int, add) -> list[Node]:
-    """Puts a detected tree under the targets (in order of start), and returns what lies before all of them.
+def within_targets(nodes: DataFrame, targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """nodes with parents among the targets (doc_id, id, key, start), which hold the pages up to the next one's start; nodes that name their target's heading go.
 
-    A target holds the pages up to the next one's start. A subtree inside one target goes there whole, or only its children if it
-    names the same heading; one that reaches beyond leaves its head there, and its children are placed each for itself.
+    A subtree inside one target goes there whole, without its head if that is the target's heading. Where one reaches beyond, its head
+    goes to its own target, and so does each child for itself. What lies before all targets keeps no parent among them. The target is
+    found by an as-of join: a union in order of pages and a running last value.
     """
-    starts = [t.start for t in targets]
-    front: list[Node] = []
-    todo = list(reversed(roots))
-    while todo:
-        node = todo.pop()
-        i = bisect_right(starts, node.start) - 1
-        stays = node.last_start() < (starts[0] if i < 0 else starts[i + 1] if i + 1 < len(starts) else n_pages + 1)
-        same = i >= 0 and node.start == starts[i] and alike(node.key, targets[i].key)
-        if stays and i < 0:
-            front.append(node)
-        elif stays and same:
-            for k in node.kids:
-                add(targets[i], k)
-        elif stays:
-            add(targets[i], node)
-        else:
-            if i < 0:
-                front.append(Node(node.title, node.key, node.start))
-            elif not same:
-                add(targets[i], Node(node.title, node.key, node.start))
-            todo.extend(reversed(node.kids))
-    return front
-
-
-def without_labels(roots: list[Node]) -> list[Node]:
-    """The tree without nodes whose title recurs, or is as long as a paragraph; their children move up."""
-    count: dict[str, int] = {}
-    for n in preorder(roots):
-        count[n.key] = count.get(n.key, 0) + 1
-
-    def kept(nodes):
-        out = []
-        for n in nodes:
-            below = kept(n.kids)
-            if (n.key and count[n.key] >= RECURS) or len(n.title) > LONGEST:
-                out += below
-            else:
-                n.kids = below
-                out.append(n)
-        return out
-
-    return kept(roots)
-
-
-def full(detected: list[Node], entries, n_pages: int) -> list[Node]:
-    """The bookmarks' tree with the detected nodes placed in it by page."""
-    roots = by_levels(entries)
-    targets = preorder(roots)
-    return distributed(without_labels(detected), targets, n_pages, inserted) + roots if targets else detected
-
-
-def skeleton(detected: list[Node], entries, n_pages: int) -> list[Node]:
-    """The bookmarks of level 1 as chapters over the detected nodes; titles mended, and lower bookmarks added that stand in the text.
-
-    Where texts are known (an entry's in_text is not null), a detected title that is like a bookmark's of its page, but not its end,
-    takes the bookmark's form, the last of the likest.
+    w = Window.partitionBy("doc_id").orderBy("id")
+    t = targets.select("doc_id", F.struct("id", "key", "start", F.lead("start").over(w).alias("next")).alias("t"), F.first("start").over(w).alias("first"))
+    none = F.lit(None)
+    marks = t.select("doc_id", F.col("t.start").alias("start"), F.lit(0).alias("side"), F.col("t.id").alias("id"), none.cast("int").alias("parent"), none.cast("string").alias("title"), none.cast("string").alias("key"), "t")
+    rows = nodes.select("doc_id", "start", F.lit(1).alias("side"), "id", "parent", "title", "key").withColumn("t", none.cast(_ddl_of(marks, "t")))
+    asof = Window.partitionBy("doc_id").orderBy("start", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(rows).withColumn("t", F.last("t", ignorenulls=True).over(asof)).where("side = 1").drop("side")
+    found = found.join(t.groupBy("doc_id").agg(F.min("first").alias("first")), "doc_id").join(pages.select("doc_id", "n_pages"), "doc_id")
+    found = kept(found.withColumn("bound", F.when(F.col("t").isNull(), F.col("first")).otherwise(F.coalesce(F.col("t.next"), F.col("n_pages") + 1))).withColumn("same", F.coalesce((F.col("start") == F.col("t.start")) & alike(F.when(F.col("start") == F.col("t.start"), F.col("key")), F.col("t.key")), F.lit(False))))
+    over = with_ancestors(found, []).select("doc_id", "start", F.explode(F.concat(F.transform("up", lambda x: x["id"]), F.array("id"))).alias("id")).groupBy("doc_id", "id").agg(F.max("start").alias("last"))
+    found = kept(found.join(over, ["doc_id", "id"]).withColumn("split", F.col("last") >= F.col("bound")))
+    up = with_ancestors(found, ["split", "same"])
+    # Whether a node is placed for itself: its parent is split, or goes and was itself placed for itself.
+    alone = F.aggregate("up", F.lit(True), lambda so_far, x: x["split"] | (x["same"] & so_far))
+    up = up.withColumn("alone", alone).where(~(F.col("alone") & F.col("same")))
+    return up.select("doc_id", "id", F.when(F.col("alone"), F.col("t.id")).otherwise(F.col("parent")).alias("parent"), "title", "key", "start")
+
+
+def _ddl_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def mended(nodes: DataFrame, said: DataFrame) -> DataFrame:
+    """nodes with the titles of the bookmarks of their page that they are like without ending one another, the likest one's, of equals the last."""
+    e = said.where("key <> ''").select("doc_id", F.col("id").alias("e_id"), F.col("title").alias("e_title"), F.col("key").alias("e_key"), F.col("start"))
+    both = nodes.where("key <> ''").join(e, ["doc_id", "start"]).where(~F.endswith("key", "e_key") & ~F.endswith("e_key", "key")).where(2 * F.least(F.length("key"), F.length("e_key")) >= LIKENESS * (F.length("key") + F.length("e_key")))
+    best = both.withColumn("r", T.similarity("key", "e_key")).where(F.col("r") >= LIKENESS).groupBy("doc_id", "id").agg(F.max_by(F.struct("e_title", "e_key"), F.struct("r", "e_id")).alias("e"))
+    return nodes.join(best, ["doc_id", "id"], "left").withColumn("title", F.coalesce("e.e_title", "title")).withColumn("key", F.coalesce("e.e_key", "key")).drop("e")
+
+
+def lower_entries(said: DataFrame, chapters: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Bookmarks below level 1 whose title stands in the text near their page and names no node of their chapter within a page: as nodes under the bookmark above them, or that one's node, or their chapter.
+
+    nodes: doc_id, id, key, start, chapter, path of the chapters and what lies in them.
     """
-    chapters = [Node(e.title, e.key, e.page) for e in entries if e.level == 1]
-    if not chapters:
-        return detected
-    texts = any(e.in_text is not None for e in entries)
-    for n in preorder(detected) if texts else ():
-        here = [(ratio(n.key, e.key), i) for i, e in enumerate(entries) if e.page == n.start and e.key and n.key and not n.key.endswith(e.key) and not e.key.endswith(n.key)]
-        if here and max(here)[0] >= LIKENESS:
-            n.title, n.key = entries[max(here)[1]].title, entries[max(here)[1]].key
-    front = distributed(detected, chapters, n_pages, lambda target, node: target.kids.append(node))
-    starts, path, known, chapter = [c.start for c in chapters], [], {}, iter(chapters)
-    for e in entries if texts else ():
-        del path[e.level - 1 :]
-        above = path[-1] if path else None
-        path.append(e.ord)
-        if e.level == 1:
-            known[e.ord] = next(chapter)
-            continue
-        i = bisect_right(starts, e.page) - 1
-        if i < 0:
-            continue
-        there = next((n for n in preorder([chapters[i]]) if abs(n.start - e.page) <= 1 and alike(n.key, e.key)), None)
-        if there is None and e.in_text and not e.generic:
-            there = Node(e.title, e.key, e.page)
-            inserted(known.get(above, chapters[i]), there)
-        if there is not None:
-            known[e.ord] = there
-    return front + chapters
-
-
-def finished(roots: list[Node], n_pages: int) -> list[tuple]:
-    """ord, parent_ord, depth, node_id, title, start_page, end_page: a node ends where the next one starts, or later if a child does."""
-    flat = preorder(roots)
-    at = {id(n): i for i, n in enumerate(flat)}
-    end = [max(n.start, flat[i + 1].start if i + 1 < len(flat) else n_pages) for i, n in enumerate(flat)]
-    parent, depth = [None] * len(flat), [1] * len(flat)
-    for i, n in enumerate(flat):
-        for k in n.kids:
-            parent[at[id(k)]], depth[at[id(k)]] = i, depth[i] + 1
-    for i in range(len(flat) - 1, -1, -1):
-        if parent[i] is not None:
-            end[parent[i]] = max(end[parent[i]], end[i])
-    return [(i, parent[i], depth[i], f"{i:04d}", n.title, n.start, end[i]) for i, n in enumerate(flat)]
-
-
-SCHEMA = "doc_id long, ord int, parent_ord int, depth int, node_id string, title string, start_page int, end_page int, source string"
+    w = Window.partitionBy("doc_id").orderBy("start", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    both = chapters.select("doc_id", "start", F.lit(0).alias("side"), "id").unionByName(said.where("level > 1").select("doc_id", "start", F.lit(1).alias("side"), "id"))
+    of = both.withColumn("chapter", F.last(F.when(F.col("side") == 0, F.col("id")), ignorenulls=True).over(w)).where("side = 1 and chapter is not null").select("doc_id", "id", "chapter")
+    low = said.join(of, ["doc_id", "id"])
+    near = low.withColumn("near", F.explode(F.array(F.col("start") - 1, F.col("start"), F.col("start") + 1)))
+    there = nodes.select("doc_id", F.col("id").alias("n_id"), F.col("key").alias("n_key"), F.col("start").alias("near"), "chapter", "path")
+    hit = near.join(there, ["doc_id", "chapter", "near"]).where(alike(F.col("n_key"), F.col("key"))).groupBy("doc_id", "id").agg(F.min(F.struct("path", "n_id")).alias("h")).select("doc_id", "id", F.col("h.n_id").alias("is"))
+    known = low.join(hit, ["doc_id", "id"], "left").withColumn("made", F.col("is").isNull() & F.coalesce("in_text", F.lit(False)) & ~F.col("generic")).withColumn("is", F.coalesce("is", F.when(F.col("made"), F.col("id"))))
+    named = known.select("doc_id", F.col("id").alias("above"), F.col("is").alias("under")).unionByName(chapters.select("doc_id", F.col("id").alias("above"), F.col("id").alias("under")))
+    return known.where("made").join(named, ["doc_id", "above"], "left").select("doc_id", "id", F.coalesce("under", "chapter").alias("parent"), "title", "key", "start")
+
+
+def ordered(nodes: DataFrame) -> DataFrame:
+    """nodes with `up` and `path`, by which they stand in pre-order: siblings by start, bookmarks (odd ids) before others, then by id."""
+    mine = F.struct("start", (1 - F.col("id") % 2).alias("side"), "id").alias("k")
+    up = with_ancestors(kept(nodes.withColumn("k", mine)), ["k"])
+    return up.withColumn("path", F.concat(F.transform("up", lambda x: x["k"]), F.array("k"))).drop("k")
+
+
+def finished(nodes: DataFrame, pages: DataFrame, source: str) -> DataFrame:
+    """The tree as rows: numbered in pre-order; a node ends where the next one starts, or later if one below it does."""
+    w = Window.partitionBy("doc_id").orderBy("path")
+    o = kept(ordered(nodes).join(pages.select("doc_id", "n_pages"), "doc_id").withColumn("ord", F.row_number().over(w) - 1).withColumn("end", F.greatest("start", F.coalesce(F.lead("start").over(w), F.col("n_pages")))))
+    end = o.select("doc_id", "end", F.explode(F.concat(F.transform("up", lambda x: x["id"]), F.array("id"))).alias("id")).groupBy("doc_id", "id").agg(F.max("end").alias("end_page"))
+    above = o.select("doc_id", F.col("id").alias("parent"), F.col("ord").alias("parent_ord"))
+    out = o.join(end, ["doc_id", "id"]).join(above, ["doc_id", "parent"], "left")
+    return out.select("doc_id", F.col("ord").cast("int").alias("ord"), F.col("parent_ord").cast("int").alias("parent_ord"), (F.size("up") + 1).alias("depth"), F.format_string("%04d", "ord").alias("node_id"), "title", F.col("start").alias("start_page"), F.col("end_page").cast("int").alias("end_page"), F.lit(source).alias("source"))
 
 
 def applied(detected: DataFrame, entries: DataFrame, pages: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The tree of each document after its bookmarks, and its source: bookmarks (full tier), hybrid (skeleton), detected (ignore or none).
 
     detected: doc_id, ord, parent_ord, title, start_page, end_page. entries: doc_id, ord, title, level, page as read. pages: doc_id,
-    n_pages. texts: doc_id, page, markdown, if known: lower bookmarks are then added where their title stands within a page of theirs.
-    Titles' keys, generic titles, tiers and what stands in the text are found by columns; the fold places nodes only.
+    n_pages. texts: doc_id, page, markdown, if known: then detected titles take the form of a bookmark of their page that they are like, and lower
+    bookmarks are added where their title stands within a page of theirs.
     """
-    good = outline.valid_bookmarks(entries, pages).drop("n_pages")
+    pages = pages.select("doc_id", F.col("n_pages").cast("int").alias("n_pages"))
+    good = kept(outline.valid_bookmarks(entries, pages).drop("n_pages"))
     tiers = outline.bookmark_tiers(good, pages).select("doc_id", "tier")
-    said = good.withColumn("key", T.title_key(F.col("title"))).withColumn("generic", T.is_generic_title(F.col("title")))
-    if texts is None:
-        said = said.withColumn("in_text", F.lit(None).cast("boolean"))
-    else:
-        near = said.where("key <> ''").select("doc_id", "ord", "key", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("page"))
-        found = near.join(texts.select("doc_id", "page", T.title_key(F.col("markdown")).alias("m")), ["doc_id", "page"]).where(F.contains("m", "key")).select("doc_id", "ord").distinct().withColumn("hit", F.lit(True))
-        said = said.join(found, ["doc_id", "ord"], "left").withColumn("in_text", F.coalesce("hit", F.lit(False))).drop("hit")
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    left = detected.select("doc_id", F.lit(0).alias("side"), F.col("ord").cast("int").alias("ord"), F.col("parent_ord").cast("int").alias("parent_ord"), "title", T.title_key(F.col("title")).alias("key"), none("int", "level"), F.col("start_page").cast("int").alias("page"), F.col("end_page").cast("int").alias("end_page"), none("boolean", "generic"), none("boolean", "in_text"))
-    right = said.select("doc_id", F.lit(1).alias("side"), F.col("ord").cast("int").alias("ord"), none("int", "parent_ord"), "title", "key", F.col("level").cast("int").alias("level"), F.col("page").cast("int").alias("page"), none("int", "end_page"), "generic", "in_text")
-    both = left.unionByName(right).join(tiers, "doc_id", "left").join(pages.select("doc_id", F.col("n_pages").cast("int").alias("n_pages")), "doc_id")
-
-    def fold(rows):
-        nodes, entries, tier, n_pages = [r for r in rows if r.side == 0], [r for r in rows if r.side == 1], rows[0].tier, rows[0].n_pages
-        if tier not in ("full", "skeleton"):
-            depth = {}
-            for r in nodes:
-                depth[r.ord] = depth.get(r.parent_ord, 0) + 1
-            return [(r.doc_id, r.ord, r.parent_ord, depth[r.ord], f"{i:04d}", r.title, r.page, r.end_page, "detected") for i, r in enumerate(nodes)]
-        made, roots = {}, []
-        for r in nodes:
-            made[r.ord] = Node(r.title or "", r.key or "", r.page)
-            (made[r.parent_ord].kids if r.parent_ord in made else roots).append(made[r.ord])
-        merged = (full if tier == "full" else skeleton)(roots, entries, n_pages)
-        return [(rows[0].doc_id, *x, "bookmarks" if tier == "full" else "hybrid") for x in finished(merged, n_pages)]
-
-    return by_group(both, ["doc_id"], ["side", "ord"], fold, SCHEMA)
+    nodes = detected.select("doc_id", (F.col("ord") * 2).cast("int").alias("id"), (F.col("parent_ord") * 2).cast("int").alias("parent"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce(T.title_key(F.col("title")), F.lit("")).alias("key"), F.col("start_page").cast("int").alias("start"), F.col("end_page").cast("int").alias("end_page")).join(tiers, "doc_id", "left")
+    nodes = kept(nodes.withColumn("tier", F.coalesce("tier", F.lit("none"))))
+    above = outline.tree(good, pages).select("doc_id", "ord", F.col("parent_ord").alias("above"))
+    said = good.join(above, ["doc_id", "ord"]).join(tiers, "doc_id").select("doc_id", (F.col("ord") * 2 + 1).cast("int").alias("id"), (F.col("above") * 2 + 1).cast("int").alias("above"), "title", T.title_key(F.col("title")).alias("key"), F.col("page").cast("int").alias("start"), "level", T.is_generic_title(F.col("title")).alias("generic"), "tier")
+    said = kept(said)
+    plain = ["doc_id", "id", "parent", "title", "key", "start"]
+
+    own = with_ancestors(nodes.where("tier not in ('full', 'skeleton')"), [])
+    by_doc = Window.partitionBy("doc_id").orderBy("id")
+    out = own.select("doc_id", (F.col("id") / 2).cast("int").alias("ord"), (F.col("parent") / 2).cast("int").alias("parent_ord"), (F.size("up") + 1).alias("depth"), F.format_string("%04d", F.row_number().over(by_doc) - 1).alias("node_id"), "title", F.col("start").alias("start_page"), "end_page", F.lit("detected").alias("source"))
+
+    full = said.where("tier = 'full'")
+    placed = within_targets(without_labels(nodes.where("tier = 'full'").select(plain)), full, pages)
+    out = out.unionByName(finished(full.withColumn("parent", F.col("above")).select(plain).unionByName(placed.select(plain)), pages, "bookmarks"))
+
+    few = said.where("tier = 'skeleton'")
+    chapters = kept(few.where("level = 1"))
+    heads = chapters.withColumn("parent", F.lit(None).cast("int")).select(plain)
+    parts = nodes.where("tier = 'skeleton'").select(plain)
+    if texts is not None:
+        parts = mended(parts, few)
+    both = heads.unionByName(within_targets(parts, chapters, pages).select(plain))
+    if texts is not None:
+        both = kept(both)
+        near = few.where("key <> ''").select("doc_id", "id", "key", F.explode(F.array(F.col("start") - 1, F.col("start"), F.col("start") + 1)).alias("page"))
+        hits = near.join(texts.select("doc_id", "page", T.title_key(F.col("markdown")).alias("m")), ["doc_id", "page"]).where(F.contains("m", "key")).select("doc_id", "id").distinct().withColumn("in_text", F.lit(True))
+        inside = ordered(both).withColumn("chapter", F.col("path")[0]["id"])
+        both = both.unionByName(lower_entries(few.join(hits, ["doc_id", "id"], "left"), chapters, inside).select(plain))
+    return out.unionByName(finished(both, pages, "hybrid"))
