@@ -11,6 +11,8 @@ before it, is one fold a document.
 
 from __future__ import annotations
 
+from collections import namedtuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,44 +25,48 @@ NEIGHBOUR, NEARBY, DEEPEST, MOST_BODY = 0.9, 20, 8, 2000.0
 SPECIAL, NUMBERED_ALONE = (8, 9, 10), (1, 5, 7, 9, 10)
 
 
-def depth_order(a, b, clique=frozenset()) -> int:
-    """1 if heading a is shallower than b (b may nest under it), -1 if deeper, 0 at one level. The first criterion in which they differ decides.
-
-    Criteria, in order: chapters before all; numberings by their length (decimal with decimal, letter with letter; roman ones are
-    level); an introduction below single numbers; unnumbered before numbered; numbered ones of one size level; score by a wide margin,
-    or a narrow one outside the keyword clique; capitals; isolated and centred; upright before italic (but not among keywords);
-    members of the clique; bold.
-    """
-    chapter = (a.kind in SPECIAL) - (b.kind in SPECIAL)
-    if chapter or a.kind in SPECIAL:
-        return chapter
-    if a.kind == b.kind and a.kind in (1, 4):
-        return (len(a.numbering) < len(b.numbering)) - (len(a.numbering) > len(b.numbering))
-    if a.kind == b.kind == 2:
-        return 0
-    if a.kind == 11 and len(b.numbering) == 1:
-        return -1
-    numbered = bool(a.numbering), bool(b.numbering)
-    if numbered[0] != numbered[1]:
-        return 1 if numbered[1] else -1
-    if all(numbered) and abs(a.size - b.size) < NEIGHBOUR:
-        return 0
-    inside = a.style in clique, b.style in clique
-    margin = abs(a.score - b.score)
-    if margin > 1.9 or (margin > 0.9 and not all(inside)):
-        return 1 if a.score > b.score else -1
-    for left, right in ((a.caps, b.caps), (a.centred, b.centred)):
-        if left != right:
-            return 1 if left else -1
-    italic = (a.italic > 0.99, b.italic > 0.99) if not a.kind == b.kind == 5 else (False, False)
-    if italic[0] != italic[1]:
-        return -1 if italic[0] else 1
-    if a.caps or all(inside):
-        return 0
-    if (inside[0] and b.kind != 4) or (inside[1] and a.kind != 4):
-        return 1 if inside[0] else -1
-    bold = a.bold > 0.5, b.bold > 0.5
-    return 0 if bold[0] == bold[1] else 1 if bold[0] else -1
+def ranked(candidates: DataFrame) -> DataFrame:
+    """candidates (with `clique`, the style of the document's keyword headings or null) with `rank`: what decides which of two headings is the shallower, each larger for the shallower one."""
+    one = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    number = F.size("numbering")
+    return candidates.withColumn("rank", F.struct(
+        one(F.col("kind").isin(*SPECIAL)).alias("chapter"), (-number).cast("double").alias("shorter"), one(number == 0).alias("plain"), one(F.col("kind") != 11).alias("body"), F.col("score").cast("double").alias("score"),
+        one(F.col("caps")).alias("caps"), one(F.col("centred")).alias("centred"), one(F.col("italic") <= 0.99).alias("upright"), one(F.col("style") == F.col("clique")).alias("member"), one(F.col("bold") > 0.5).alias("bold"), F.lit(0.0).alias("level"),
+    ))
+
+
+Rule = namedtuple("Rule", "by margin speaks settles")
+_always, _never = (lambda a, b: True), (lambda a, b: False)
+_both = lambda what: lambda a, b: bool(a.rank[what] and b.rank[what])
+#: Fields of `rank` in the order in which they decide: by how much they must differ, for which pairs they speak, and which pairs they leave level.
+_AT = {name: i for i, name in enumerate("chapter shorter plain body score caps centred upright member bold level".split())}
+RULES = (
+    Rule("chapter", 0.5, _always, _both(_AT["chapter"])),
+    Rule("shorter", 0.5, lambda a, b: a.kind == b.kind and a.kind in (1, 4), _always),
+    Rule("level", 0.5, lambda a, b: a.kind == b.kind == 2, _always),
+    Rule("body", 0.5, lambda a, b: a.kind == 11 and len(b.numbering) == 1, _never),
+    Rule("plain", 0.5, _always, lambda a, b: bool(a.numbering) and abs(a.size - b.size) < NEIGHBOUR),
+    Rule("score", 1.9, _both(_AT["member"]), _never),
+    Rule("score", 0.9, lambda a, b: not _both(_AT["member"])(a, b), _never),
+    Rule("caps", 0.5, _always, _never),
+    Rule("centred", 0.5, _always, _never),
+    Rule("upright", 0.5, lambda a, b: not a.kind == b.kind == 5, lambda a, b: a.caps or _both(_AT["member"])(a, b)),
+    Rule("level", 0.5, lambda a, b: a.kind == b.kind == 5, lambda a, b: a.caps or _both(_AT["member"])(a, b)),
+    Rule("member", 0.5, lambda a, b: (b if a.rank[_AT["member"]] else a).kind != 4, _never),
+    Rule("bold", 0.5, _always, _always),
+)
+
+
+def shallower(a, b) -> int:
+    """1 if heading a is shallower than b (b may nest under it), -1 if deeper, 0 at one level: the first of RULES that tells them apart, or leaves them level."""
+    for rule in RULES:
+        if rule.speaks(a, b):
+            apart = a.rank[_AT[rule.by]] - b.rank[_AT[rule.by]]
+            if abs(apart) > rule.margin:
+                return 1 if apart > 0 else -1
+            if rule.settles(a, b):
+                return 0
+    return 0
 
 
 def keyword_clique(candidates: DataFrame, keywords=(5, 6, 7, 11)) -> DataFrame:
@@ -94,8 +100,8 @@ def recurring_styles(candidates: DataFrame, least: int = 3) -> DataFrame:
 class Chosen:
     """What was chosen so far, and whether a further candidate fits it."""
 
-    def __init__(self, rows, clique):
-        self.clique, self.last, self.largest, self.in_chapter, self.single, self.sizes = clique, None, 0, 0, None, {r.size for r in rows if r.numbering or r.prominent}
+    def __init__(self, rows):
+        self.last, self.largest, self.in_chapter, self.single, self.sizes = None, 0, 0, None, {r.size for r in rows if r.numbering or r.prominent}
         self.levels: dict[int, object] = {}
         self.siblings: dict[tuple, set] = {}
         for r in rows:
@@ -147,8 +153,8 @@ class Chosen:
 class Path:
     """The open headings, from the top down."""
 
-    def __init__(self, clique):
-        self.clique, self.open, self.letters, self.prominent = clique, [], False, False
+    def __init__(self):
+        self.open, self.letters, self.prominent = [], False, False
 
     def push(self, c) -> None:
         self.open.append(c)
@@ -165,7 +171,7 @@ class Path:
             top = self.open[-1]
             shut = (c.prominent and len(c.numbering) <= 1 and top.kind != 8) or (top.prominent and c.kind == 5)
             if not shut:
-                order = depth_order(top, c, self.clique)
+                order = shallower(top, c)
                 if order == 1:
                     return top
                 inner = order == 0 and top.kind != c.kind and c.kind in (2, 4) and c.numbering and not self.prominent
@@ -211,8 +217,7 @@ def assembled(candidates: DataFrame) -> DataFrame:
     def fold(rows):
         if not any(r.prominent for r in rows) and rows[-1].page <= rows[0].page:
             return []
-        clique = frozenset(x for x in (rows[0].clique,) if x is not None)
-        chosen, path, kept = Chosen(rows, clique), Path(clique), []
+        chosen, path, kept = Chosen(rows), Path(), []
         leading, read = leading_keywords(rows, chosen)
         kept += [(r, None) for r in leading]
         for r in rows[read:]:
@@ -229,7 +234,7 @@ def assembled(candidates: DataFrame) -> DataFrame:
         return out
 
     ints = c.withColumn("numbering", F.coalesce(F.col("numbering").cast("array<int>"), F.expr("cast(array() as array<int>)"))).withColumn("ord", F.col("ord").cast("int"))
-    return by_group(ints, ["doc_id"], ["ord"], fold, OUTLINE)
+    return by_group(ranked(ints).withColumn("rank", F.array("rank.*")), ["doc_id"], ["ord"], fold, OUTLINE)
 
 
 def sections(outline: DataFrame, pages: DataFrame) -> DataFrame:

@@ -194,13 +194,17 @@ def test_outline_of_numbered_chapters(spark):
     assert (g["tops"], g["valid"], g["chapters"], g["chaptered"], g["kept"]) == (3, False, 2, False, True)
 
 
-def test_depth_order_is_antisymmetric():
+def test_which_heading_is_shallower(spark):
     r = random.Random(4)
-    row = lambda: Row(kind=r.choice([0, 1, 2, 4, 5, 8, 11]), numbering=[1] * r.randint(0, 3), size=r.choice([10.0, 12.0]), score=r.choice([10.0, 11.0, 13.0]), caps=r.random() < 0.5, centred=r.random() < 0.5, italic=r.choice([0.0, 1.0]), bold=r.choice([0.0, 1.0]), style=r.choice("ab"))
-    for _ in range(3000):
-        a, b = row(), row()
-        if not (a.kind == 11 or b.kind == 11):
-            assert assembly.depth_order(a, b, {"a"}) == -assembly.depth_order(b, a, {"a"}), (a, b)
+    rows = [candidate(i, 1, r.choice([0, 1, 2, 4, 5, 8]), "t", [1] * r.randint(0, 3), size=r.choice([10.0, 12.0]), score=r.choice([10.0, 11.0, 13.0]), caps=r.random() < 0.5, centred=r.random() < 0.5, italic=r.choice([0.0, 1.0]), bold=r.choice([0.0, 1.0]), style=r.choice("ab")) for i in range(150)]
+    rows += [candidate(200 + i, 1, k, "t", n, **more) for i, (k, n, more) in enumerate([(8, (1,), {}), (1, (1,), {}), (1, (1, 2), {}), (2, (1,), {}), (2, (4,), {}), (11, (), {}), (0, (), {"score": 15.0}), (0, (), {"score": 14.5, "bold": 1.0}), (0, (), {"score": 12.0, "caps": True})])]
+    df = assembly.ranked(spark.createDataFrame(rows, KINDS).withColumn("clique", F.lit("a"))).withColumn("rank", F.array("rank.*"))
+    got = {x["ord"]: x for x in df.collect()}
+    for i in range(150):
+        for j in range(i):
+            assert assembly.shallower(got[i], got[j]) == -assembly.shallower(got[j], got[i]), (got[i], got[j])
+    of = lambda a, b: assembly.shallower(got[200 + a], got[200 + b])
+    assert [of(0, 1), of(1, 2), of(3, 4), of(5, 1), of(6, 1), of(6, 7), of(7, 6), of(8, 6), of(1, 3)] == [1, 1, 0, -1, 1, -1, 1, -1, 0]
 
 
 def test_page_labels(spark):
