@@ -96,33 +96,30 @@ def first_lines(spans, area: float) -> list[Line]:
     return lines
 
 
-def joins(a: Line, b: Line, column=None) -> bool:
-    """Whether b goes on in a's row: the gap is at most GAP harmonic character widths, times what speaks for or against it.
+#: A list mark or a bracketed label, which stands off from its text.
+MARK = re.compile(r"(?:[IVX]+|[0-9]{1,2}|[A-Ha-h])[.):]?$|\[[^\]]{1,8}\]$")
+
+
+def reach(a: Line, b: Line, column=None) -> float:
+    """How far right of a, in its and b's harmonic character width, b may stand and still go on in a's row.
 
-    column: the bounds of the column that a is in, if columns are known.
+    GAP in a column known to hold both (column: its bounds), half of it elsewhere, half as much again on one base line; three times that
+    from leaders to their number, and twice from a mark to its text.
     """
-    if a.chars and b.chars and max(a.tallest, b.tallest) > 2 * min(a.tallest, b.tallest) and abs(a.tallest - b.tallest) > 10:
+    inside = column is not None and column[0] <= min(a.left, b.left) and max(a.right, b.right) <= column[1]
+    far = 3.0 if b.text.isdigit() and LEADER.search(a.text) else 2.0 if MARK.match(a.text) and any(c.isalpha() for c in b.text) else 1.0
+    even = 1.5 if max(abs(a.top - b.top), abs(a.bottom - b.bottom)) <= 0.1 else 1.0
+    return far * even * (GAP if inside else GAP / 2)
+
+
+def joins(a: Line, b: Line, column=None) -> bool:
+    """Whether b goes on in a's row: they are of like height, and b within reach."""
+    tall, low = sorted((a.tallest, b.tallest), reverse=True)
+    if tall > max(2 * low, low + 10) and a.chars and b.chars:
         return False
     widths = [w for w in (a.char_width(), b.char_width()) if w > 0]
     unit = 2 / sum(1 / w for w in widths) if len(widths) == 2 else 0.0
-    inside = column is not None and column[0] <= min(a.left, b.left) and max(a.right, b.right) <= column[1]
-    level = abs(a.top - b.top) <= 0.1 and abs(a.bottom - b.bottom) <= 0.1
-    uncased = sum(c.isalpha() and not c.islower() and not c.isupper() for c in a.text)
-    factors = (
-        ((a.bold > 0) != (b.bold > 0), 1 / 1.5),
-        (uncased > a.chars / 2, 0.5),
-        (b.text.isdigit() and bool(LEADER.search(a.text)), 3.0),
-        ((a.chars < 40 or inside) and level, 1.5),
-        (a.chars < 40 and inside, 2.0),
-        (column is None, 0.5),
-        (a.chars <= 8 and a.width <= 10 * a.size and bool(re.match(r"(?:[IVX]+|[0-9]{1,2}|[A-Ha-h])[.):]?$", a.text)) and any(c.isalpha() for c in b.text), 3.0 if inside else 2.0),
-        (a.chars <= 10 and a.text.startswith("[") and a.text.endswith("]"), 2.0),
-        (inside and caps(a.text) and caps(b.text), 1.5),
-    )
-    gap = GAP
-    for holds, factor in factors:
-        gap *= factor if holds else 1.0
-    return b.left - a.right <= gap * unit
+    return b.left - a.right <= reach(a, b, column) * unit
 
 
 def stacked(a: Line, b: Line, body: float) -> bool:
