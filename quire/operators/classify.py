@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import figures
 
 #: Keywords by kind. Own lists.
 ABSTRACT, REFERENCES, INTRODUCTION = ("abstract", "summary"), ("references", "bibliography"), ("introduction",)
 CONTENTS = ("contents", "table of contents", "inhalt", "sommaire", "índice")
-CAPTIONS = {"figure": 4, "fig": 4, "table": 5, "chart": 11}
 
 
 def recurring(lines: DataFrame, least: int = 2) -> DataFrame:
@@ -71,12 +71,9 @@ def title_echoes(lines: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def captions(lines: DataFrame) -> DataFrame:
-    """doc_id, ln, label, number: lines that start with a caption word and a number, the first of each label and number."""
-    word = F.lower(F.regexp_extract("text", r"^\s*(?i)(figure|fig|table|chart)\.?\s+([0-9]+)[.:]?(?:\s|$)", 1))
-    number = F.regexp_extract("text", r"^\s*(?i)(figure|fig|table|chart)\.?\s+([0-9]+)[.:]?(?:\s|$)", 2)
-    label = F.create_map(*[F.lit(x) for kv in CAPTIONS.items() for x in kv])
-    found = lines.select("doc_id", "ln", word.alias("w"), number.alias("number")).where("w <> ''").withColumn("label", F.element_at(label, F.col("w")))
-    return found.groupBy("doc_id", "label", "number").agg(F.min("ln").alias("ln"))
+    """doc_id, ln, label, number: lines that start with a caption word and a number and are no reference, the first of each label (4 figure, 5 table, 11 chart) and number."""
+    found = figures.captions(lines.select("doc_id", "page", F.col("ln").alias("reading"), "text", F.lit(0).alias("kind"))).where("length(label) > 1")
+    return found.select("doc_id", F.col("reading").alias("ln"), F.col("kind").alias("label"), F.substring("label", F.lit(2), F.length("label")).alias("number")).groupBy("doc_id", "label", "number").agg(F.min("ln").alias("ln"))
 
 
 def headings(lines: DataFrame) -> DataFrame:

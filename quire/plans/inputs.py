@@ -123,6 +123,29 @@ def column_pages(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).groupBy("doc_id", "page").agg(F.lit(10.0).alias("size"), (F.lit(14.0) + F.count(F.lit(1)) % 4).cast("double").alias("overlap_gap"), F.lit(5.0).alias("char_width"))
 
 
+#: Texts of blocks that begin like captions, and others.
+CAPTIONED = ("Figure {} Plot of it", "TABLE {} SUMS OF ALL THE YEARS", "Fig. {} shows that the rest holds", "Table II.{} sums", "Chart B{}: bars", "图{} 总论", "A line of text {}", "II. Heading {}", "Plain words", "Tables {} and more")
+
+
+def figure_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of pages with captions of every kind among them: the spans of a page in order of height, with made texts."""
+    w = Window.partitionBy("doc_id", "page").orderBy(F.desc("top"), "left", "ix")
+    i = F.col("ix") % 23
+    text = F.element_at(F.array(*[F.concat(*[F.lit(x) if x else (F.col("ix") % 6).cast("string") for y in t.split("{}") for x in (y, "")][:-1]) for t in CAPTIONED]), (i % len(CAPTIONED) + 1).cast("int"))
+    return spans(spark, d).select("doc_id", "page", (F.row_number().over(w) - 1).alias("reading"), F.when(F.col("left") < 275, 0).otherwise(1).alias("column"), "left", "right", "top", "bottom", text.alias("text"), "size", (F.col("size") + i % 3).alias("score"), (i % 4 + 1).cast("int").alias("n_lines"), "skew", F.when(i == 19, 1).otherwise(0).alias("kind"), (i % 7 == 6).alias("body"))
+
+
+def figure_pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, left, right, top, bottom, size, overlap_gap, body_size of the pages of figure_blocks."""
+    return spans(spark, d).select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0.0).alias("left"), F.lit(600.0).alias("right"), F.lit(800.0).alias("top"), F.lit(0.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(13.0).alias("overlap_gap"), F.lit(10.0).alias("body_size"))
+
+
+def figure_columns(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, column, left, right, top, bottom: two columns a page."""
+    box = lambda c, lo, hi: F.struct(F.lit(c).alias("column"), F.lit(lo).alias("left"), F.lit(hi).alias("right"), F.lit(800.0).alias("top"), F.lit(0.0).alias("bottom"))
+    return spans(spark, d).select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(box(0, 0.0, 275.0), box(1, 275.0, 600.0))))
+
+
 #: Titles that reach every branch of the title rules.
 MIXED = ("Part IV-3a", "12", "Document  page 3", "XIV. Mix", "Growth $x_1$ of div 2", "mcmxc and iii", "Page layout rules")
 
