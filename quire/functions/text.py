@@ -113,6 +113,43 @@ def file_name(c, most: int = 180):
     return F.when(F.length(safe) <= most, safe).otherwise(F.concat(F.substring(safe, 1, most - 9), F.lit("_"), F.substring(F.md5(c), 1, 8)))
 
 
+#: Bytes of a stored name, and how often a taken one is tried with a suffix; characters that names may not have, and device names.
+NAME_BYTES, NAME_SUFFIXES = 180, 99
+CONTROLS, ILLEGAL = r"[\x00-\x1f\x7f-\x9f\x{2028}\x{2029}]", r'[<>:"/\\|?*]'
+BLANKS = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff} ]+"
+DEVICES = r"(?i)^(?:con|prn|aux|nul|com[0-9]|lpt[0-9])(?:\..*)?$"
+
+
+def byte_prefix(c, most):
+    """The longest prefix of whole characters that has so many bytes in UTF-8 at most."""
+    most = F.greatest(F.lit(0), most)
+    raw = F.encode(c, "UTF-8")
+    whole = F.hex(F.substring(raw, F.lit(1), most))
+    goes_on = F.hex(F.substring(raw, most + 1, F.lit(1))).rlike("^[89AB]")  # the cut is inside a character, whose bytes go too
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.unhex(F.when(goes_on, F.regexp_replace(whole, "[CDEF][0-9A-F](?:[89AB][0-9A-F])*$", "")).otherwise(whole)), "UTF-8"))
+
+
+def truncated_name(c, suffix="", most: int = NAME_BYTES):
+    """A name with the suffix before its extension; where that is over `most` bytes, cut, with the hash of the name, its extension kept as far as it fits."""
+    suffix = F.lit(suffix) if isinstance(suffix, str) else suffix
+    split = F.regexp_extract(c, r"(?s)^(.*[^.].*|[^.])(\.[^.]*)$", 1)
+    base = F.when(split == "", c).otherwise(split)
+    ext = F.substring(c, F.length(base) + 1, F.length(c))
+    ending = F.concat(F.lit("_"), F.substring(F.md5(c), 1, 8), suffix)
+    budget = F.lit(most) - F.octet_length(ending)
+    kept = F.regexp_replace(byte_prefix(ext, budget - F.greatest(F.lit(1), F.octet_length(F.substring(base, 1, 1)))), "[ .]+$", "")
+    head = byte_prefix(base, budget - F.octet_length(kept))
+    return F.when(F.octet_length(F.concat(c, suffix)) <= most, F.concat(base, suffix, ext)).otherwise(F.concat(F.when(head == "", "_").otherwise(head), ending, kept))
+
+
+def stored_name(c):
+    """The name a document is stored by: compatible characters composed, quotes straight, control and path characters as _, white space as single blanks, no blanks or dots at the end, no device's name, NAME_BYTES bytes at most."""
+    plain = F.translate(compatible(F.regexp_replace(c, CONTROLS, "_")), "\u2018\u2019\u02bc\u201c\u201d", "'''\"\"")
+    clean = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(plain, BLANKS, " ")), ILLEGAL, "_"), "[ .]+$", "")
+    named = F.when(clean == "", "untitled").otherwise(clean)
+    return truncated_name(F.when(named.rlike(DEVICES), F.concat(F.lit("_"), named)).otherwise(named))
+
+
 def created_at(c):
     """A time as text, in UTC with milliseconds; the text itself where it is none."""
     return F.coalesce(F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), c)

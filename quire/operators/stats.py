@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, share: float) -> DataFrame:
-    """keys, value: the value at which the running weight passes `share` of the total; the mean of two where it is met exactly.
+    """keys, value: the first value whose running weight passes `share` of the total; where a share is met exactly before a value, the mean of that value and the one before it; the last value where nothing passes it.
 
-    Equal values are added up first, so a key's window holds its distinct values only.
+    Weights of 0 count as values. Equal values are added up first, so a key's window holds its distinct values only.
     """
-    by = df.where(F.col(weight) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    by = df.where(F.col(weight) >= 0).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(*keys)
-    run = by.withColumn("_run", F.sum("_w").over(w.orderBy(value))).withColumn("_target", F.sum("_w").over(w) * F.lit(share)).withColumn("_next", F.lead(value).over(w.orderBy(value)))
-    hit = run.where("_run >= _target").groupBy(*keys).agg(F.min_by(F.struct(F.col(value).alias("v"), "_run", "_target", "_next"), value).alias("h"))
-    return hit.select(*keys, F.when((F.col("h._run") == F.col("h._target")) & F.col("h._next").isNotNull(), (F.col("h.v") + F.col("h._next")) / 2).otherwise(F.col("h.v")).cast("double").alias(value))
+    up = w.orderBy(value)
+    run = by.withColumn("_run", F.sum("_w").over(up)).withColumn("_target", F.sum("_w").over(w) * F.lit(share)).withColumn("_before", F.lag("_run", 1, 0).over(up)).withColumn("_last", F.lag(value).over(up))
+    met = F.col("_before") == F.col("_target")
+    hit = run.withColumn("_v", F.when(met & F.col("_last").isNotNull(), (F.col("_last") + F.col(value)) / 2).otherwise(F.col(value)).cast("double"))
+    return hit.groupBy(*keys).agg(F.coalesce(F.min_by("_v", F.when(met | (F.col("_run") > F.col("_target")), F.col(value))), F.max(F.col(value).cast("double"))).alias(value))
 
 
 def dominant(df: DataFrame, keys: list[str], value: str, weight) -> DataFrame:

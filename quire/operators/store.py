@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+from quire.sources.scratch import kept
+
 
 def listed(records: DataFrame, limit: int, offset: int = 0, name: str | None = None) -> DataFrame:
     """Newest first, ties by id; `total` counts all before the page is cut. A top-k, not a sort of everything."""
@@ -29,6 +32,28 @@ def resolved(records: DataFrame) -> DataFrame:
     return records.groupBy("name").agg(F.min_by("id", key).alias("id"), F.count(F.lit(1)).alias("versions"))
 
 
+def names_to_store(records: DataFrame, taken: DataFrame) -> DataFrame:
+    """id, name under which each record (id, name, created_at) is stored: its own, or with _1 to _99 before the extension, the first that no stored document (taken: name) and no earlier record has; null where all are taken.
+
+    Records of one name take the free ones of its hundred names in order. Where two names lead to one, the earlier record has it, and
+    the other name loses it; that is repeated until none is claimed twice, which ends as no name loses more than a hundred.
+    """
+    first = F.struct("created_at", "id")
+    order = Window.partitionBy("name").orderBy("created_at", "id")
+    mine = kept(records.select("id", "name", "created_at").withColumn("nth", F.row_number().over(order)))
+    could = mine.select("name").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(T.NAME_SUFFIXES))))
+    could = could.select("name", "k", F.when(F.col("k") == 0, F.col("name")).otherwise(T.truncated_name(F.col("name"), F.concat(F.lit("_"), F.col("k").cast("string")))).alias("made"))
+    free = kept(could.join(taken.select(F.col("name").alias("made")).distinct(), "made", "left_anti"))
+    while True:
+        numbered = free.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("k")))
+        got = kept(mine.join(numbered, ["name", "nth"], "left"))
+        claims = got.where("made is not null").withColumn("who", F.min(first).over(Window.partitionBy("made")))
+        lost = kept(claims.where((F.col("who.id") != F.col("id")) | (F.col("who.created_at") != F.col("created_at"))).select("name", "made").distinct())
+        if lost.isEmpty():
+            return got.select("id", F.col("made").alias("name"))
+        free = kept(free.join(lost, ["name", "made"], "left_anti"))
+
+
 def unique_names(records: DataFrame) -> DataFrame:
     """id, name made unique: the first of a name keeps it, later ones get _1, _2, … before the extension."""
     w = Window.partitionBy("name").orderBy("created_at", "id")

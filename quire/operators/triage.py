@@ -253,6 +253,36 @@ def table_regions(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def table_rows_of_tokens(c):
-    """Rows of a table in cell tokens: <fcel> a filled cell, <ecel> an empty one, <nl> a new row; each an array of texts."""
-    rows = F.filter(F.split(c, "<nl>"), lambda r: F.trim(r) != "")
-    return F.transform(rows, lambda r: F.transform(F.slice(F.split(r, "<(?=[fe]cel>)"), 2, 10_000), lambda x: F.trim(F.regexp_replace(x, "^[fe]cel>", ""))))
+    """Rows of a table in cell tokens: <fcel> a cell with the text after it, <ecel> an empty one, <lcel>, <ucel> and <xcel> one merged with its neighbour (empty), <nl> a new row; each an array of texts, blanks collapsed. Rows without cells go."""
+    cells = lambda row: F.filter(F.split(row, "(?=<[felux]cel>)"), lambda x: x.rlike("^<[felux]cel>"))
+    text = lambda x: F.when(x.startswith("<fcel>"), F.trim(F.regexp_replace(F.substring(x, F.lit(7), F.length(x)), r"[\s\p{Z}]+", " "))).otherwise("")
+    return F.filter(F.transform(F.split(c, "<nl>"), lambda row: F.transform(cells(row), text)), lambda row: F.size(row) > 0)
+
+
+def table_of_tokens(c):
+    """A reply of cell tokens as a Markdown table whose first row is the head, rows filled up to the widest; null where no cell has text."""
+    rows = table_rows_of_tokens(c)
+    wide = F.array_max(F.transform(rows, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), wide), "|"), F.lit("|"))
+    table = F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
+    return F.when((F.size(rows) > 0) & F.exists(rows, lambda r: F.exists(r, lambda x: x != "")), table)
+
+
+def spotted_lines(reply, width, height):
+    """Lines of a spotting reply as structs text, left, top, right, bottom in pixels, or null where it has no location tokens.
+
+    A run of tokens (thousandths of the page) belongs to the text before it, or after it where the reply begins with one, so texts and
+    runs pair in order. Eight numbers are a quadrilateral's corners, four are two corners; shorter runs and what has no partner go.
+    """
+    at = r"(?:\s*<\|LOC_[0-9]{1,4}\|>)+\s*"
+    runs = F.transform(F.regexp_extract_all(reply, F.lit(at), F.lit(0)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"LOC_([0-9]+)"), F.lit(1)), lambda x: F.least(x.cast("double"), F.lit(1000.0))))
+    texts = F.filter(F.transform(F.split(reply, at), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+
+    def box(z):
+        v = F.when((F.size(z["r"]) >= 8) & (F.size(z["r"]) % 8 == 0), F.slice(z["r"], 1, 8)).otherwise(F.slice(z["r"], 1, 4))
+        side = lambda odd, f, of: f(F.filter(v, lambda x, i: i % 2 == odd)) / 1000 * of
+        return F.struct(z["t"].alias("text"), side(0, F.array_min, width).alias("left"), side(1, F.array_min, height).alias("top"), side(0, F.array_max, width).alias("right"), side(1, F.array_max, height).alias("bottom"))
+
+    pairs = F.filter(F.arrays_zip(texts.alias("t"), runs.alias("r")), lambda z: z["t"].isNotNull() & (F.size(z["r"]) >= 4))
+    return F.when(reply.rlike(r"<\|LOC_[0-9]{1,4}\|>"), F.transform(pairs, box))
