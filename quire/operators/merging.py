@@ -10,31 +10,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import outline
+from quire.operators.trees import with_ancestors
 from quire.sources.scratch import kept
 
 #: Likeness of titles that name one heading; times a detected title recurs as a running label; characters of one at most.
 LIKENESS, RECURS, LONGEST = 0.7, 3, 100
 
 
-def with_ancestors(nodes: DataFrame, carried: list[str]) -> DataFrame:
-    """nodes (doc_id, id, parent, ...) with `up`: the ancestors from the root to the parent, as structs of id and the carried columns. One join a level; all documents together."""
-    mine = F.struct("id", *carried)
-    level = nodes.where("parent is null").withColumn("up", F.array().cast(f"array<{_ddl(nodes, ['id', *carried])}>"))
-    out = []
-    while not level.isEmpty():
-        out.append(level)
-        above = level.select("doc_id", F.col("id").alias("parent"), F.concat("up", F.array(mine)).alias("up"))
-        level = kept(nodes.join(above, ["doc_id", "parent"]).select(*nodes.columns, "up"))
-    whole = out[0] if out else level
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
-
-
-def _ddl(df: DataFrame, names: list[str]) -> str:
-    return f"struct<{','.join(f'{n}:{df.schema[n].dataType.simpleString()}' for n in names)}>"
-
-
 def alike(a, b):
     """Whether two keys name one heading: neither is empty, and one ends the other or they are alike, which is asked only where the lengths allow it."""
     possible = 2 * F.least(F.length(a), F.length(b)) >= LIKENESS * (F.length(a) + F.length(b))

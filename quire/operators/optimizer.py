@@ -1,7 +1,8 @@
 """The tree optimiser: what a search through a section tree costs, and the rewriting that lowers it.
 
 A search walks down the tree, one hop costing `routing` pages, and ends at a frontier entry whose pages it reads: a leaf, or an inner
-node's pages that no child covers (one hop further). Rewriting works on whole documents, so each document is one fold.
+node's pages that no child covers (one hop further). Costs are joins and aggregates over nodes and
+their ancestors; rewriting, where each step depends on those before, is one fold a document.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import trees
 from quire.operators.grouped import by_group
+from quire.sources.scratch import kept
 
 #: Rounds of rewriting at most; characters of a joined title at most.
 ROUNDS, LONGEST_TITLE = 3, 200
@@ -58,18 +60,6 @@ class Tree:
     def pages(self, o: int) -> int:
         return self.reach[o] - self.start[o] + 1
 
-    def frontier(self, depth: int = 1):
-        """(node, depth, pages) of each place where a search can end, inner nodes with what their children leave one level deeper."""
-        out, level = [], {o: depth for o in self.roots}
-        for o in self.preorder():
-            for k in self.kids[o]:
-                level[k] = level[o] + 1
-            if not self.kids[o]:
-                out.append((o, level[o], self.pages(o)))
-            elif self.residual[o]:
-                out.append((o, level[o] + 1, self.residual[o]))
-        return out
-
     def join_same_page(self) -> int:
         """Leaf siblings over the same pages become the first of them, which keeps the others' titles and items; how many went."""
         gone = 0
@@ -170,28 +160,30 @@ def merged(nodes: DataFrame, routing: int = 1) -> DataFrame:
 
 
 def node_costs(nodes: DataFrame, routing: int = 1) -> DataFrame:
-    """doc_id, ord, depth, leaf, subtree_end, pages, residual (0 for leaves), cost of each node: all measures of a tree in one pass over the document."""
-
-    def fold(rows):
-        tree, depth = Tree(rows), {}
-        tree.measure(routing)
-        for o in tree.preorder():
-            depth.setdefault(o, 1)
-            depth.update(dict.fromkeys(tree.kids[o], depth[o] + 1))
-        return [(r.doc_id, r.ord, depth[r.ord], not tree.kids[r.ord], tree.reach[r.ord], tree.pages(r.ord), tree.residual[r.ord] if tree.kids[r.ord] else 0, tree.cost[r.ord]) for r in rows]
+    """doc_id, ord, depth, leaf, subtree_end, pages, residual (0 for leaves), cost of each node.
 
-    return by_group(given(nodes), ["doc_id"], ["ord"], fold, "doc_id long, ord int, depth int, leaf boolean, subtree_end int, pages int, residual long, cost long")
+    A node's cost is the largest, over the places below it where a search can end, of its hops times `routing` and the pages read there. So
+    with each node's ancestors known, all measures are two aggregates over (node, ancestor) and a join of children; nothing is walked.
+    """
+    there = nodes.select("doc_id", F.col("ord").alias("parent_ord"), F.lit(True).alias("there"))
+    n = nodes.join(there, ["doc_id", "parent_ord"], "left").select("doc_id", F.col("ord").cast("int").alias("id"), F.when(F.col("there"), F.col("parent_ord")).cast("int").alias("parent"), F.col("start_page").cast("int").alias("start"), F.col("end_page").cast("int").alias("end"))
+    up = kept(trees.with_ancestors(kept(n), []))
+    line = F.explode(F.transform(F.concat(F.transform("up", lambda x: x["id"]), F.array("id")), lambda x, i: F.struct(x.alias("anc"), (F.size("up") - i).alias("dist")))).alias("a")
+    reach = up.select("doc_id", "end", line).groupBy("doc_id", F.col("a.anc").alias("id")).agg(F.max("end").alias("reach"))
+    up = up.join(reach, ["doc_id", "id"])
+    below = up.where("parent is not null").groupBy("doc_id", F.col("parent").alias("id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("reach").cast("long").alias("end"))).alias("below"))
+    up = up.join(below, ["doc_id", "id"], "left").withColumn("leaf", F.col("below").isNull()).withColumn("pages", F.col("reach") - F.col("start") + 1)
+    up = kept(up.withColumn("residual", F.when(F.col("leaf"), F.lit(0)).otherwise(trees.uncovered(F.col("start").cast("long"), F.col("reach").cast("long"), F.col("below"))).cast("long")).drop("below"))
+    ends = up.select("doc_id", F.when(F.col("leaf"), F.col("pages")).otherwise(routing + F.col("residual")).alias("read"), line)
+    cost = ends.groupBy("doc_id", F.col("a.anc").alias("id")).agg(F.max(F.col("a.dist") * routing + F.col("read")).alias("cost"))
+    return up.join(cost, ["doc_id", "id"]).select("doc_id", F.col("id").alias("ord"), (F.size("up") + 1).alias("depth"), "leaf", F.col("reach").alias("subtree_end"), "pages", "residual", F.col("cost").cast("long").alias("cost"))
 
 
 def frontier(nodes: DataFrame, routing: int = 1) -> DataFrame:
-    """doc_id, ord, depth, pages, cost: where a search can end (roots have depth 1), and what it then has cost."""
-
-    def fold(rows):
-        tree = Tree(rows)
-        tree.measure(routing)
-        return [(rows[0].doc_id, o, d, n, d * routing + n) for o, d, n in tree.frontier()]
-
-    return by_group(given(nodes), ["doc_id"], ["ord"], fold, "doc_id long, ord int, depth long, pages long, cost long")
+    """doc_id, ord, depth, pages, cost: where a search can end (roots have depth 1), and what it then has cost: leaves, and inner nodes, one hop deeper, with what their children leave."""
+    c = node_costs(nodes, routing).where("leaf or residual > 0")
+    depth, pages = (F.col("depth") + F.when(F.col("leaf"), 0).otherwise(1)).cast("long"), F.when(F.col("leaf"), F.col("pages")).otherwise(F.col("residual")).cast("long")
+    return c.select("doc_id", "ord", depth.alias("depth"), pages.alias("pages"), (depth * routing + pages).alias("cost"))
 
 
 def search_complexity(nodes: DataFrame, pages: DataFrame, routing: int = 1) -> DataFrame:
