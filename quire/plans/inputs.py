@@ -146,6 +146,35 @@ def figure_columns(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(box(0, 0.0, 275.0), box(1, 275.0, 600.0))))
 
 
+def run_in_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of blocks of three lines of a document; the first line begins with three words as a numbered, capital, slanted, larger or bold heading, or as none."""
+    whole = F.split("text", "\n")
+    blocks = table(spark, d, "documents").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.size(whole) / 3).cast("int") - 1), lambda i: F.slice(whole, i * 3 + 1, 3))).alias("block", "three"))
+    words, k, b = F.split(F.col("three")[0], " "), F.col("doc_id") % 7, F.col("block")
+    three = F.array_join(F.slice(words, 1, 3), " ")
+    head = F.when(k == 0, F.concat(F.lit("2."), (b % 5 + 1).cast("string"), F.lit(" "), three, F.lit(" "))).when(k == 1, F.concat(F.upper(F.replace(three, F.lit("ß"), F.lit("s"))), F.lit(". "))).when(k == 2, F.concat(three, F.lit(". "))).when(k == 3, F.concat(three, F.lit(": "))).when(k == 4, F.lit("Abstract. ")).when(k == 6, F.concat(F.lit("Chapter "), b.cast("string"), F.lit(" "), three, F.lit(": "))).otherwise(F.concat(three, F.lit(" ")))
+    rest = F.array_join(F.slice(words, 4, F.greatest(F.size(words), F.lit(1))), " ")
+    span = lambda line, ix, text, first=False: F.struct(F.lit(line).alias("line"), F.lit(ix).alias("ix"), text.alias("text"), F.when(F.lit(first) & (k == 3), "h").otherwise("r").alias("font"), (F.lit(first) & k.isin(0, 1, 4, 6)).alias("bold"), (F.lit(first) & (k == 2)).alias("italic"), F.when(F.lit(first) & (k == 3), 12.0).otherwise(10.0).alias("size"))
+    rows = F.array(span(0, 0, head, True), span(0, 1, rest), *[F.when(F.size("three") > i, span(i, i + 1, F.get("three", F.lit(i)))) for i in (1, 2)])
+    out = blocks.select("doc_id", F.lit(1).alias("page"), "block", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("doc_id", "page", "block", "x.*").where("text <> ''")
+    top = F.lit(700.0) - 12 * F.col("line")
+    return out.select("*", F.lit(50.0).alias("left"), (F.lit(500.0) - F.col("doc_id") % 3 * 40 * F.col("line")).alias("right"), top.alias("top"), (top - 10).alias("bottom"))
+
+
+def run_in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, block, body, body_size, above_bottom, above_right, above_word of the blocks of run_in_spans."""
+    n = F.ceil(F.size(F.split("text", "\n")) / 3).cast("int")
+    b, doc = F.col("block"), F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("doc_id", F.lit(1).alias("page"), "block", (doc % 5 != 1).alias("body"), F.lit(10.0).alias("body_size"), F.when(b > 0, 701.0 + b % 4).alias("above_bottom"), F.when(b > 0, 300.0 + b % 3 * 100).alias("above_right"), F.when(b > 0, b % 2 == 0).alias("above_word"))
+
+
+def set_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """candidates of many headings a document, with keyword and font: the made ones of all orders, dealt to 1009 documents."""
+    of = F.col("doc_id") % 1009
+    c = candidates(spark, d).select("*", (F.col("kind").isin(5, 8) | (F.col("ord") % 3 == 0)).alias("keyword"), F.substring("style", 1, 2).alias("font"))
+    return c.select(of.alias("doc_id"), (F.col("doc_id") * 64 + F.col("ord")).alias("ord"), F.col("page"), "kind", "numbering", F.concat("title", F.lit(" "), F.col("doc_id").cast("string")).alias("title"), "keyword", "font", "style", "size", F.col("score").cast("double").alias("score"), "centred")
+
+
 #: Titles that reach every branch of the title rules.
 MIXED = ("Part IV-3a", "12", "Document  page 3", "XIV. Mix", "Growth $x_1$ of div 2", "mcmxc and iii", "Page layout rules")
 
@@ -178,6 +207,12 @@ SQL = {
     "column_lines": """column_lines AS (SELECT doc_id, page, ix, x AS "left", (x + CASE WHEN ix % 7 = 0 THEN 500.0 ELSE 150.0 + ix % 90 END)::DOUBLE AS "right", (b + CASE WHEN ix % 7 = 0 THEN 14 ELSE 10 END)::DOUBLE AS top, b AS bottom, CASE WHEN i % 11 = 0 THEN (i % 9 + 1) || '. ' || text WHEN i % 13 = 0 THEN '[' || i || ']' WHEN i % 17 = 0 THEN text || ' . . . . . .' ELSE text || ' running text of a line' END AS text, CASE WHEN ix % 7 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size
   FROM (SELECT *, ix % 60 AS i, (CASE WHEN ix % 7 = 0 THEN 40 WHEN ix % 2 = 0 THEN 40 + ix % 3 ELSE 320 END)::DOUBLE AS x, (760 - (ix % 60) // 2 * 24 + CASE WHEN ix % 5 = 0 THEN 3 ELSE 0 END)::DOUBLE AS b FROM spans)),
   column_pages AS (SELECT doc_id, page, 10.0::DOUBLE AS size, (14 + count(*) % 4)::DOUBLE AS overlap_gap, 5.0::DOUBLE AS char_width FROM spans GROUP BY doc_id, page)""",
+    "run_in_spans": """run_in0 AS (SELECT doc_id, unnest(range(0, (len(l) + 2) // 3))::INT AS block, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+  run_in1 AS (SELECT doc_id, block, l[block * 3 + 2] AS l1, l[block * 3 + 3] AS l2, string_split(l[block * 3 + 1], ' ') AS w, doc_id % 7 AS k FROM run_in0),
+  run_in2 AS (SELECT *, array_to_string(w[1:3], ' ') AS h FROM run_in1),
+  run_in3 AS (SELECT doc_id, block, k, 0 AS line, 0 AS ix, CASE k WHEN 0 THEN '2.' || (block % 5 + 1) || ' ' || h || ' ' WHEN 1 THEN upper(replace(h, 'ß', 's')) || '. ' WHEN 2 THEN h || '. ' WHEN 3 THEN h || ': ' WHEN 4 THEN 'Abstract. ' WHEN 6 THEN 'Chapter ' || block || ' ' || h || ': ' ELSE h || ' ' END AS text FROM run_in2
+    UNION ALL SELECT doc_id, block, k, 0, 1, array_to_string(w[4:], ' ') FROM run_in2 UNION ALL SELECT doc_id, block, k, 1, 2, l1 FROM run_in2 WHERE l1 IS NOT NULL UNION ALL SELECT doc_id, block, k, 2, 3, l2 FROM run_in2 WHERE l2 IS NOT NULL),
+  run_in_spans AS (SELECT *, CASE WHEN ix = 0 AND k = 3 THEN 'h' ELSE 'r' END AS font, ix = 0 AND k IN (0, 1, 4, 6) AS bold, ix = 0 AND k = 2 AS italic, CASE WHEN ix = 0 AND k = 3 THEN 12.0 ELSE 10.0 END::DOUBLE AS size, 50.0::DOUBLE AS "left", (500 - doc_id % 3 * 40 * line)::DOUBLE AS "right", (700 - 12 * line)::DOUBLE AS top, (690 - 12 * line)::DOUBLE AS bottom FROM run_in3 WHERE text <> '')""",
     "records": "records AS (SELECT o_orderkey::VARCHAR AS id, 'file-' || (o_custkey % 400) || '.pdf' AS name, o_orderdate AS created_at, o_orderkey % 37 + 1 AS page_num, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'processing' END AS status FROM orders)",
 }
 
