@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.plans.inputs import order_lines
-from quire.sources import nested
+from quire.plans.inputs import order_lines, spans, sql
+from quire.sources import datasource, nested
+from quire.sources.scratch import fresh_folder
 
 
 def stages(spark, d):
@@ -34,5 +35,18 @@ DIFFERENT = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey O
   UNION ALL SELECT l_orderkey, '$.blocks[' || i || '].mode', '"' || l_linestatus || '"', '"moved"', page, i::INT FROM kept WHERE k = 3
   UNION ALL SELECT l_orderkey, '$.blocks[' || i || '].flag', '"' || l_returnflag || '"', '<missing>', page, i::INT FROM kept WHERE k = 4"""
 
-QUERIES = {"stage_differences": stage_differences}
-ORACLES = {"stage_differences": DIFFERENT}
+def dumped_spans(spark, d):
+    """Spans of all pages dumped as JSON lines and read by the data source, from the second page on, in larger type."""
+    s = spans(spark, d)
+    span = F.struct("ix", F.struct(F.array("left", "right", "top", "bottom").alias("bbox"), "text", F.lit("f").alias("font_name"), F.col("size").alias("font_size"), "bold", F.lit(False).alias("italic"), "skew").alias("v"))
+    at = fresh_folder(spark, "dumps")
+    s.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["v"]).alias("spans")).select("page", "spans", "doc_id").write.json(at)
+    datasource.register(spark)
+    read = spark.read.format("span_dumps").load(at).where("page >= 2")
+    return read.where("font_size > 9").groupBy("page", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("left").alias("left"), F.max("top").alias("top"))
+
+
+DUMPED = sql("""SELECT page, text, count(*) AS n, sum("left") AS "left", max(top) AS top FROM spans WHERE page >= 2 AND size > 9 GROUP BY page, text""", "spans")
+
+QUERIES = {"stage_differences": stage_differences, "dumped_spans": dumped_spans}
+ORACLES = {"stage_differences": DIFFERENT, "dumped_spans": DUMPED}
