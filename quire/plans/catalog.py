@@ -796,8 +796,8 @@ def number_columns(spark, d):
     return screening.number_columns(li).select("doc_id", "first", "last", "length", "increasing")
 
 
-from quire.plans import figure_queries, gutter_queries, heading_queries, margin_queries, reply_queries, source_queries  # noqa: E402
+from quire.plans import figure_queries, glyph_queries, gutter_queries, heading_queries, margin_queries, reply_queries, source_queries  # noqa: E402
 
-for more in (figure_queries, gutter_queries, heading_queries, margin_queries, reply_queries, source_queries):
+for more in (figure_queries, glyph_queries, gutter_queries, heading_queries, margin_queries, reply_queries, source_queries):
     QUERIES.update(more.QUERIES)
     ORACLES.update(more.ORACLES)
