@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import scalars as S
 from quire.functions import text as T
 from quire.operators import figures
 
@@ -76,15 +77,49 @@ def captions(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("reading").alias("ln"), F.col("kind").alias("label"), F.substring("label", F.lit(2), F.length("label")).alias("number")).groupBy("doc_id", "label", "number").agg(F.min("ln").alias("ln"))
 
 
+#: Words before the number of a chapter, an appendix and a box. Own lists. Chinese numerals.
+CHAPTERS, APPENDICES, BOXED = "chapter|kapitel|chapitre|capítulo", "appendix|anhang|annexe|anexo", "box|kasten|encadré|recuadro"
+NUMERALS = "一二三四五六七八九十"
+
+
+def chinese_number(c):
+    """Value of a Chinese numeral up to 99, or null."""
+    tens, ones = F.regexp_extract(c, "^([一二三四五六七八九]?)十[一二三四五六七八九]?$", 1), F.regexp_extract(c, "([一二三四五六七八九])$", 1)
+    return F.when(c.rlike("^[一二三四五六七八九]$"), F.instr(F.lit(NUMERALS), c)).when(c.rlike("^[一二三四五六七八九]?十[一二三四五六七八九]?$"), 10 * digit_of(tens) + F.when(ones == "", 0).otherwise(F.instr(F.lit(NUMERALS), ones)))
+
+
+def digit_of(c):
+    return F.when(c == "", 1).otherwise(F.instr(F.lit(NUMERALS), c))
+
+
+def heading_label(c):
+    """struct(kind, numbers, title) of a heading with a label: 8 a chapter, 10 an appendix, 12 a box, 2 a roman numeral, 3 a Chinese one, 4 a letter, perhaps with a number below 20; null kind where there is none, or nothing but a label of the last three."""
+    ends = r"(?:[.．｡。:：)）、]|\s|$)\s*"
+    number = lambda x: F.coalesce(F.when(x.rlike("^[0-9]+$"), x.try_cast("int")), T.roman_value(x))
+    get = lambda p, k: F.regexp_extract(c, p, k)
+    chapter, han = rf"^\s*(?i:{CHAPTERS})\s+([0-9]+|(?i:[ivxlc]+)){ends}", r"^\s*第([0-9]+|[一二三四五六七八九十]+)[章节節篇]\s*"
+    appendix, box = rf"^\s*(?i:{APPENDICES}|附录|附錄)\s*([0-9]+|[IVX]+|[A-H]){ends}", rf"^\s*(?i:{BOXED})\s+([1-9][0-9]*){ends}"
+    roman, numeral, letter = r"^\s*([IVX]+)[.．｡。:)]\s*", rf"^\s*([{NUMERALS}])[、.．:：)）]\s*", r"^\s*([A-Ha-h])(?:\.([0-9]+)[.)]?(?=\s)|[.)])\s*"
+    found = lambda kind, p, numbers, bare: F.when(c.rlike(p) & (F.lit(bare) | (F.regexp_replace(c, p, "") != "")), F.struct(F.lit(kind).alias("kind"), numbers.alias("numbers"), F.regexp_replace(c, p, "").alias("title")))
+    one = lambda x: F.filter(F.array(x.cast("int")), lambda v: v.isNotNull())
+    second = get(letter, 2).try_cast("int")
+    letters = F.filter(F.array(S.letter_ordinal(get(letter, 1)).cast("int"), second), lambda v: v.isNotNull())
+    good = second.isNull() | ((second > 0) & (second < 20))
+    return F.coalesce(
+        found(8, chapter, one(number(get(chapter, 1))), True), found(8, han, one(F.coalesce(number(get(han, 1)), chinese_number(get(han, 1)))), True), found(10, appendix, one(F.coalesce(number(get(appendix, 1)), S.letter_ordinal(get(appendix, 1)))), True), found(12, box, one(number(get(box, 1))), True),
+        found(2, roman, one(T.roman_value(get(roman, 1))), False), found(3, numeral, one(chinese_number(get(numeral, 1))), False), F.when(good, found(4, letter, letters, False)),
+    )
+
+
 def headings(lines: DataFrame) -> DataFrame:
     """doc_id, page, ln, kind, numbering: heading candidates in order of detectors: keyword, chapter, numbered, roman, letter.
 
-    kind: 5 abstract, 7 references, 11 introduction, 8 chapter, 1 numbered, 2 roman, 4 letter.
+    kind: 5 abstract, 7 references, 11 introduction, 8 chapter, 1 numbered, 2 roman, 4 letter, 3 Chinese numeral, 10 appendix, 12 box.
     """
     text = F.col("text")
     key = T.normalized(F.regexp_replace(text, r"^\s*[0-9.]+\s+", ""))
     chapter = text.rlike(r"^\s*(?i)(?:chapter|kapitel|chapitre|capítulo)\s+(?:[0-9]+|[ivxlc]+)\b")
-    kind = F.when(key.isin(*ABSTRACT), 5).when(key.isin(*REFERENCES), 7).when(key.isin(*INTRODUCTION), 11).when(chapter, 8).when(T.numbering(text).isNotNull() & text.rlike(r"\p{L}"), 1).when(text.rlike(r"^\s*(?:[IVX]+)[.)]\s+\p{L}"), 2).when(text.rlike(r"^\s*[A-H][.)]\s+\p{L}"), 4)
+    kind = F.when(key.isin(*ABSTRACT), 5).when(key.isin(*REFERENCES), 7).when(key.isin(*INTRODUCTION), 11).when(chapter, 8).when(T.numbering(text).isNotNull() & text.rlike(r"\p{L}"), 1).when(text.rlike(r"^\s*(?:[IVX]+)[.)]\s+\p{L}"), 2).when(text.rlike(r"^\s*[A-H][.)]\s+\p{L}"), 4).otherwise(heading_label(text)["kind"])
     short = (F.length(text) <= 120) & ~text.rlike(r"[.;,]\s*$") & ~text.contains("|")
     return lines.where(short).select("doc_id", "page", "ln", kind.alias("kind"), T.numbering(text).alias("numbering")).where("kind is not null")
 

@@ -1,6 +1,8 @@
 """Run-in headings of made blocks."""
 
-from quire.operators import runin
+from pyspark.sql import functions as F
+
+from quire.operators import classify, runin
 
 SPAN = "doc_id long, page int, block int, line int, ix int, text string, font string, bold boolean, italic boolean, size double, left double, right double, top double, bottom double"
 BLOCK = "doc_id long, page int, block int, body boolean, body_size double, above_bottom double, above_right double, above_word boolean"
@@ -51,3 +53,11 @@ def test_one_line_one_style_and_nothing(spark):
     assert found(spark, bold("2.1 Aims ")[:1], [[("2.1 all in one style", "r", False, False)], [("as here", "r", False, False)]]) == {}
     empty = [spark.createDataFrame([], x) for x in (SPAN, BLOCK)]
     assert runin.run_in_headings(*empty).collect() == []
+
+
+def test_labels(spark):
+    given = {"Chapter IV: The way": (8, [4], "The way"), "第一章 总论": (8, [1], "总论"), "第二十三节 x": (8, [23], "x"), "Appendix A Data": (10, [1], "Data"), "附录二": None, "Box 3 Costs": (12, [3], "Costs"), "Box": None, "II. Sums": (2, [2], "Sums"), "II.": None, "十) x": (3, [10], "x"), "b) y": (4, [2], "y"), "A.3 z": (4, [1, 3], "z"), "A.20 z": None, "A word": None, "": None}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").orderBy("i").select(classify.heading_label(F.col("t")).alias("h")).collect()
+    assert [tuple(r["h"]) if r["h"] else None for r in rows] == list(given.values())
+    lines = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(("第一章 总论", "Appendix A Data", "Box 3 Costs", "plain words"))], "doc_id long, page int, ln int, text string")
+    assert {r["ln"]: r["kind"] for r in classify.headings(lines).collect()} == {0: 8, 1: 10, 2: 12}
