@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
+from quire.operators import trees
 from quire.operators.grouped import by_group
+from quire.sources.scratch import kept
 
 #: Font distance up to which styles are neighbours, pages in which a repeated signature is a duplicate, depth of a tree,
 #: and body text before a document's leading keywords.
@@ -246,16 +248,12 @@ def sections(outline: DataFrame, pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("ord")
     o = outline.where("trim(coalesce(title, '')) <> ''").join(pages.select("doc_id", "n_pages"), "doc_id")
     following = F.lead(F.when(F.col("at_top"), F.col("page") - 1).otherwise(F.col("page"))).over(w)
-    o = o.withColumn("end", F.greatest(F.col("page"), F.coalesce(following, F.col("n_pages")).cast("int")))
-
-    def fold(rows):
-        end, parent = {r.ord: r.end for r in rows}, {r.ord: r.parent_ord for r in rows}
-        for r in reversed(rows):
-            if parent[r.ord] in end:
-                end[parent[r.ord]] = max(end[parent[r.ord]], end[r.ord])
-        return [(r.doc_id, r.ord, r.parent_ord if r.parent_ord in end else None, r.level, f"{i:04d}", r.title.strip(), r.page, end[r.ord]) for i, r in enumerate(rows)]
-
-    return by_group(o.select("doc_id", "ord", "parent_ord", "level", "title", "page", "end"), ["doc_id"], ["ord"], fold, "doc_id long, ord int, parent_ord int, level int, node_id string, title string, start_page int, end_page int")
+    o = o.withColumn("end", F.greatest(F.col("page"), F.coalesce(following, F.col("n_pages")).cast("int"))).withColumn("n", F.row_number().over(w) - 1)
+    there = o.select("doc_id", F.col("ord").alias("parent_ord"), F.lit(True).alias("there"))
+    o = o.join(there, ["doc_id", "parent_ord"], "left").withColumn("parent_ord", F.when(F.col("there"), F.col("parent_ord")))
+    up = kept(trees.with_ancestors(kept(o.select("doc_id", F.col("ord").cast("int").alias("id"), F.col("parent_ord").cast("int").alias("parent"), "level", "title", "page", "end", "n")), []))
+    below = up.select("doc_id", "end", F.explode(F.concat(F.transform("up", lambda x: x["id"]), F.array("id"))).alias("id")).groupBy("doc_id", "id").agg(F.max("end").alias("end_page"))
+    return up.join(below, ["doc_id", "id"]).select("doc_id", F.col("id").alias("ord"), F.col("parent").alias("parent_ord"), "level", F.format_string("%04d", "n").alias("node_id"), F.trim("title").alias("title"), F.col("page").alias("start_page"), "end_page")
 
 
 def gates(outline: DataFrame, pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import classify, cliques, runin
+from quire.operators import assembly, classify, cliques, outline, runin
 from quire.plans import inputs
 from quire.plans.inputs import sql
 
@@ -69,5 +69,37 @@ def label_case(i: int) -> str:
 LABELLED = f""", told AS (SELECT doc_id, ln, regexp_replace(text, '^\s+', '') AS title, text, {label_case(0)} AS kind, {label_case(1)} AS numbers FROM lines)
   SELECT doc_id, ln, kind, numbers, md5(title) AS digest FROM told WHERE kind IS NOT NULL AND (kind NOT IN (2, 3, 4) OR title <> '')"""
 
-QUERIES = {"labelled_headings": labelled_headings, "run_in_headings": run_in_headings, "keyword_clique_members": keyword_clique_members}
-ORACLES = {"labelled_headings": sql(LABELLED, "lines"), "run_in_headings": sql(RUN_IN, "run_in_spans")}
+def made_outline(spark, d):
+    """The tree of valid bookmarks as an outline, every other heading at its page's top."""
+    n = inputs.doc_pages(spark, d)
+    o = outline.tree(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3).drop("n_pages"), n, deepest=3)
+    kind = F.element_at(F.array(*[F.lit(x) for x in (0, 1, 8, 9)]), (F.col("ord") % 4 + 1).cast("int"))
+    return o.select("doc_id", "ord", "parent_ord", "level", "title", F.col("start_page").alias("page"), ((F.col("ord") % 10) / 10).alias("y_frac"), kind.alias("kind"), F.col("parent_ord").isNull().alias("prominent"), (F.col("ord") % 2 == 0).alias("at_top"))
+
+
+MADE = """, made AS (SELECT doc_id, ord, parent_ord, level, title, start_page AS page, (ord % 10) / 10.0::DOUBLE AS y_frac, [0, 1, 8, 9][ord % 4 + 1] AS kind, parent_ord IS NULL AS prominent, ord % 2 = 0 AS at_top FROM nodes)"""
+
+
+def outline_sections(spark, d):
+    return assembly.sections(made_outline(spark, d), inputs.doc_pages(spark, d))
+
+
+SECTIONS = MADE + """, e AS (SELECT m.*, greatest(page, coalesce(lead(CASE WHEN at_top THEN page - 1 ELSE page END) OVER (PARTITION BY m.doc_id ORDER BY ord), n_pages)) AS "end", row_number() OVER (PARTITION BY m.doc_id ORDER BY ord) - 1 AS n FROM made m JOIN doc_pages USING (doc_id)),
+  up AS (SELECT doc_id, ord, ord AS anc FROM e UNION ALL SELECT u.doc_id, u.ord, e.parent_ord FROM up u JOIN e ON e.doc_id = u.doc_id AND e.ord = u.anc WHERE e.parent_ord IS NOT NULL)
+  SELECT e.doc_id, e.ord, e.parent_ord, e.level, printf('%04d', e.n) AS node_id, trim(e.title) AS title, e.page AS start_page, (SELECT max(k."end") FROM up u JOIN e k ON k.doc_id = u.doc_id AND k.ord = u.ord WHERE u.doc_id = e.doc_id AND u.anc = e.ord)::INT AS end_page FROM e"""
+
+
+def outline_gates(spark, d):
+    return assembly.gates(made_outline(spark, d), inputs.doc_pages(spark, d)).withColumn("longest_gap", F.round("longest_gap", 6))
+
+
+GATES = MADE + """, g AS (SELECT *, page + y_frac - lag(page + y_frac, 1, 0) OVER (PARTITION BY doc_id ORDER BY ord) AS gap FROM made),
+  t AS (SELECT doc_id, count(*) AS tops, coalesce(max(d), 0) AS widest FROM (SELECT doc_id, page - lag(page) OVER (PARTITION BY doc_id ORDER BY ord) AS d FROM made WHERE prominent) GROUP BY doc_id),
+  c AS (SELECT doc_id, count(*) AS chapters, max(page) - min(page) AS reach, coalesce(max(d), 0) AS longest FROM (SELECT *, lead(page) OVER (PARTITION BY doc_id ORDER BY ord) - page AS d FROM made WHERE kind IN (8, 9, 10)) GROUP BY doc_id),
+  a AS (SELECT doc_id, n_pages, max(gap) AS longest_gap, coalesce(any_value(tops), 0) AS tops, coalesce(any_value(widest), 0) AS widest, coalesce(any_value(chapters), 0) AS chapters, coalesce(any_value(reach), 0) AS reach, coalesce(any_value(longest), 0) AS longest FROM g JOIN doc_pages USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY doc_id, n_pages),
+  v AS (SELECT *, tops >= 3 AND (widest <= n_pages / 2 OR tops >= 5) AS valid, chapters >= 3 AND reach >= 0.7 * n_pages AND longest < 100 AS chaptered FROM a)
+  SELECT doc_id, tops, widest, valid, chapters, chaptered, round(longest_gap, 6) AS longest_gap, NOT (valid AND NOT chaptered) AND longest_gap <= 0.85 * n_pages AS kept FROM v"""
+
+TREE = ("bookmarks", "doc_pages", "valid", "nodes")
+QUERIES = {"outline_sections": outline_sections, "outline_gates": outline_gates, "labelled_headings": labelled_headings, "run_in_headings": run_in_headings, "keyword_clique_members": keyword_clique_members}
+ORACLES = {"outline_sections": sql(SECTIONS, *TREE), "outline_gates": sql(GATES, *TREE), "labelled_headings": sql(LABELLED, "lines"), "run_in_headings": sql(RUN_IN, "run_in_spans")}
