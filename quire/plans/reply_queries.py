@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import stats, store, triage
+from quire.operators import screening, stats, store, triage
 from quire.plans import inputs
 from quire.plans.inputs import table
 
@@ -80,5 +80,29 @@ MEDIANS = """WITH v AS (SELECT l_orderkey, l_quantity::DOUBLE AS q, ((l_partkey
   a AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (PARTITION BY l_orderkey) / 2 AS half, lag(q) OVER (PARTITION BY l_orderkey ORDER BY i) AS p FROM v)
   SELECT l_orderkey, coalesce(arg_min(CASE WHEN before = half AND p IS NOT NULL THEN (p + q) / 2 ELSE q END, i) FILTER (WHERE before = half OR before + w > half), max(q)) AS q FROM a GROUP BY l_orderkey"""
 
-QUERIES = {f.__name__: f for f in (token_tables, spotted_boxes, stored_names, document_names, zero_weight_medians)}
-ORACLES = {"token_tables": TABLES, "spotted_boxes": SPOTTED, "stored_names": NAMES, "zero_weight_medians": MEDIANS}
+def reader_spans(spark, d):
+    """Boxes of pages as a reader's lines in pixels, some without text or turned inside out, back to points."""
+    s = inputs.spans(spark, d)
+    ok = F.col("ix") % 9 != 0
+    lines = s.select("doc_id", "page", "ix", (F.col("left") * 2).alias("x0"), ((792 - F.col("top")) * 2).alias("y0"), F.when(ok, F.col("right") * 2).otherwise(F.col("left")).alias("x1"), ((792 - F.col("bottom")) * 2).alias("y1"), F.when(F.col("ix") % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "text")).alias("text"), (F.col("ix") % 100 / 100).alias("confidence"))
+    pages = s.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(1224.0).alias("width_px"), F.lit(1584.0).alias("height_px"))
+    out = triage.spans_of_lines(lines, pages)
+    return out.select("doc_id", "page", "ix", *[F.round(c, 4).alias(c) for c in ("left", "right", "top", "bottom", "size", "baseline")], "text", "confidence")
+
+
+READER = inputs.sql("""SELECT doc_id, page, ix, round("left", 4) AS "left", round("right", 4) AS "right", round(top, 4) AS top, round(bottom, 4) AS bottom, round(0.8 * (top - bottom), 4) AS size, round(bottom + 0.2 * (top - bottom), 4) AS baseline, text, ix % 100 / 100 AS confidence
+  FROM spans WHERE ix % 9 <> 0 AND ix % 11 <> 0""", "spans")
+
+
+def wide_blocks(spark, d):
+    """Boxes judged by the widths of their page, of their document and of the pages around."""
+    s = inputs.spans(spark, d).select("doc_id", "page", "ix", (F.col("right") - F.col("left") + F.col("ix") % 170).alias("width"))
+    pages = s.groupBy("doc_id", "page").agg(F.lit(400.0).alias("page_width"), F.median("width").alias("line_width")).withColumn("doc_line_width", F.lit(160.0))
+    return screening.too_wide(s, pages)
+
+
+WIDE = inputs.sql(""", w AS (SELECT doc_id, page, ix, "right" - "left" + ix % 170 AS width FROM spans), p AS (SELECT doc_id, page, median(width) AS m FROM w GROUP BY ALL)
+  SELECT doc_id, page, ix, width, width > 140 OR width > 112 OR (SELECT count(*) FROM p WHERE p.doc_id = w.doc_id AND abs(p.page - w.page) <= 1 AND w.width > 0.7 * p.m) >= 2 AS too_wide FROM w""", "spans")
+
+QUERIES = {f.__name__: f for f in (reader_spans, wide_blocks, token_tables, spotted_boxes, stored_names, document_names, zero_weight_medians)}
+ORACLES = {"reader_spans": READER, "wide_blocks": WIDE, "token_tables": TABLES, "spotted_boxes": SPOTTED, "stored_names": NAMES, "zero_weight_medians": MEDIANS}
