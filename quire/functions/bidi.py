@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 #: Unicode's bidirectional classes of the characters up to U+00FF and of the Hebrew and Arabic blocks; all others are L.
 #: B paragraph and G segment separators, P boundary neutrals, W white space, O other neutrals, T and S terminators and separators of
 #: numbers, C common separators, E European and N Arabic numbers, M marks, R Hebrew, A Arabic letters.
@@ -77,13 +79,13 @@ def turned(c, level):
 
 def reordered(c, vertical=None):
     """A line as it is read; lines without right-to-left script, and vertical ones, stay as they are. Of others < and > go."""
-    t = types(c)
-    rtl = F.regexp_count(t, F.lit("[RAN]"))
-    from_left = (rtl / F.length(c) < SHARE) & (F.length(c) > SHORT)
-    some = rtl > 0 if vertical is None else (rtl > 0) & ~F.coalesce(vertical, F.lit(False))
+    fit = c.rlike(r"[\x{590}-\x{8ac}]") if vertical is None else c.rlike(r"[\x{590}-\x{8ac}]") & ~F.coalesce(vertical, F.lit(False))
 
-    def of(base: str):
-        level = levels(resolved(t, base), base)
-        return F.when(level.contains("1"), turned(c, level)).otherwise(c)  # nothing turns where no level is odd
+    def line(t):
+        rtl = F.regexp_count(t, F.lit("[RAN]"))
+        from_left = (rtl / F.length(c) < SHARE) & (F.length(c) > SHORT)
+        # Nothing turns where no level is odd.
+        of = lambda base: let(levels(resolved(t, base), base), lambda level: F.when(level.contains("1"), turned(c, level)).otherwise(c))
+        return F.when(rtl > 0, F.translate(F.when(from_left, of("L")).otherwise(of("R")), "<>", "")).otherwise(c)
 
-    return F.when(some, F.translate(F.when(from_left, of("L")).otherwise(of("R")), "<>", "")).otherwise(c)
+    return F.when(fit, let(types(c), line)).otherwise(c)
