@@ -66,7 +66,7 @@ def label_case(i: int) -> str:
     return "CASE (doc_id + ln) % " + str(len(LABELS)) + "".join(f" WHEN {n} THEN {v[0] if i == 0 else repr('.'.join(map(str, v[1])))}" for n, v in enumerate(LABELS.values()) if v) + " END"
 
 
-LABELLED = f""", told AS (SELECT doc_id, ln, regexp_replace(text, '^\s+', '') AS title, text, {label_case(0)} AS kind, {label_case(1)} AS numbers FROM lines)
+LABELLED = rf""", told AS (SELECT doc_id, ln, regexp_replace(text, '^\s+', '') AS title, text, {label_case(0)} AS kind, {label_case(1)} AS numbers FROM lines)
   SELECT doc_id, ln, kind, numbers, md5(title) AS digest FROM told WHERE kind IS NOT NULL AND (kind NOT IN (2, 3, 4) OR title <> '')"""
 
 def made_outline(spark, d):
