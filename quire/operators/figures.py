@@ -6,8 +6,6 @@ headings), n_lines, skew, kind (0 for free text), body (whether a paragraph of i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +67,11 @@ def grown(heads: DataFrame, page_blocks: DataFrame, claimed: DataFrame, on_page:
     head, like a heading. The region reaches to that block's edge; where a block of another column ends it, to the next column that
     lies across; and at the page's end to its edge.
     """
-    o = heads.select("doc_id", "page", F.explode(F.array(F.lit(-1), F.lit(1))).alias("dir"), *[F.col(c).alias(f"o_{c}") for c in (*BOX, "reading", "column", "size")])
+    o = heads.select("doc_id", "page", F.explode(F.array(F.lit(-1), F.lit(1))).alias("dir"), *[f"page_{c}" for c in BOX], *[F.col(c).alias(f"o_{c}") for c in (*BOX, "reading", "column", "size")])
     held = claimed.select("doc_id", "page", "reading", F.lit(True).alias("claimed"))
     other = on_page.select("doc_id", "page", "reading", F.lit(True).alias("head"))
     b = page_blocks.join(held, ["doc_id", "page", "reading"], "left").join(other, ["doc_id", "page", "reading"], "left")
-    both = o.join(b, ["doc_id", "page"]).withColumn("far", (F.col("reading") - F.col("o_reading")) * F.col("dir")).where("far > 0")
+    both = o.drop(*[f"page_{c}" for c in BOX]).join(b, ["doc_id", "page"]).withColumn("far", (F.col("reading") - F.col("o_reading")) * F.col("dir")).where("far > 0")
     before = F.col("dir") < 0
     anchor = F.when(before, F.col("o_top")).otherwise(F.col("o_bottom"))
     size = F.least("body_size", "o_size")
@@ -91,7 +89,7 @@ def grown(heads: DataFrame, page_blocks: DataFrame, claimed: DataFrame, on_page:
     reached = o.join(stop, keys, "left")
     inside = both.join(stop, keys, "left").where(F.col("stop").isNull() | (F.col("far") < F.col("stop.far")))
     got = inside.groupBy(*keys).agg(*[_outer(c, c).alias(f"i_{c}") for c in BOX], F.collect_set("reading").alias("body"))
-    out = reached.join(got, keys, "left").join(page_blocks.groupBy("doc_id", "page").agg(*[F.first(f"page_{c}").alias(f"page_{c}") for c in BOX]), ["doc_id", "page"])
+    out = reached.join(got, keys, "left")
     out = out.withColumn("left", F.least("o_left", "i_left")).withColumn("right", F.greatest("o_right", "i_right")).withColumn("top", F.greatest(F.when(before, F.col("o_top")).otherwise(F.col("o_bottom")), "i_top")).withColumn("bottom", F.least(F.when(before, F.col("o_top")).otherwise(F.col("o_bottom")), "i_bottom"))
     cross = out.where("stop.why = 'column'").select(*keys, *BOX, F.col("stop.column").alias("at")).join(columns.select("doc_id", "page", F.col("column").alias("c"), *[F.col(x).alias(f"c_{x}") for x in BOX]), ["doc_id", "page"])
     cross = cross.where((F.col("c_right") >= F.col("left")) & (F.col("c_left") <= F.col("right")) & F.when(before, (F.col("c") < F.col("at")) & (F.col("c_bottom") >= F.col("top"))).otherwise((F.col("c") > F.col("at")) & (F.col("c_top") <= F.col("bottom"))))
@@ -103,9 +101,8 @@ def grown(heads: DataFrame, page_blocks: DataFrame, claimed: DataFrame, on_page:
     return out.select(*keys, "o_reading", *BOX, F.coalesce("body", F.expr("cast(array() as array<int>)")).alias("body"), F.col("stop.head").alias("next_head"), F.col("stop.top").alias("next_top"), F.col("stop.right").alias("next_right"))
 
 
-def drawn_in(found: DataFrame, page_blocks: DataFrame) -> DataFrame:
-    """The regions before a head with the blocks after it whose centres lie in them, each of which widens the region for the next: a fold over the page's blocks in order, in an array."""
-    rest = page_blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("reading", *BOX))).alias("all"))
+def drawn_in(found: DataFrame, in_order: DataFrame) -> DataFrame:
+    """The regions before a head with the blocks after it whose centres lie in them, each of which widens the region for the next: a fold over the page's blocks in order, in an array (in_order: doc_id, page, all)."""
     state = F.struct(*[F.col(c) for c in BOX], F.lit(True).alias("open"), F.expr("cast(array() as array<int>)").alias("more"))
 
     def step(acc, b):
@@ -114,7 +111,7 @@ def drawn_in(found: DataFrame, page_blocks: DataFrame) -> DataFrame:
         grow = [F.when(takes, (F.least if c in ("left", "bottom") else F.greatest)(acc[c], b[c])).otherwise(acc[c]).alias(c) for c in BOX]
         return F.struct(*grow, takes.alias("open"), F.when(takes, F.concat(acc["more"], F.array(b["reading"]))).otherwise(acc["more"]).alias("more"))
 
-    late = found.join(rest, ["doc_id", "page"]).withColumn("s", F.aggregate(F.filter("all", lambda b: (b["reading"] > F.col("o_reading")) & (F.col("dir") < 0)), state, step))
+    late = found.join(in_order, ["doc_id", "page"]).withColumn("s", F.aggregate(F.filter("all", lambda b: (b["reading"] > F.col("o_reading")) & (F.col("dir") < 0)), state, step))
     return late.withColumn("body", F.concat("body", "s.more")).select("doc_id", "page", "dir", "o_reading", *[F.col(f"s.{c}").alias(c) for c in BOX], "body", "next_head", "next_top", "next_right")
 
 
@@ -130,19 +127,17 @@ def caption_regions(blocks: DataFrame, pages: DataFrame, columns: DataFrame) ->
     w = Window.partitionBy("doc_id", "page").orderBy("reading")
     b = blocks.withColumn("prev_bottom", F.lag("bottom").over(w)).withColumn("prev_score", F.lag("score").over(w)).withColumn("next_top", F.lead("top").over(w)).withColumn("next_body", F.lead("body").over(w)).withColumn("next2_body", F.lead("body", 2).over(w)).join(of, ["doc_id", "page"])
     b = kept(b)
+    in_order = kept(b.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("reading", *BOX))).alias("all")))
     entries = kept(chosen_captions(captions(b), b).withColumn("nth", F.row_number().over(w)))
-    heads = entries.join(b.drop("kind"), ["doc_id", "page", "reading"])
-    spark = blocks.sparkSession
+    heads = kept(entries.join(b.drop("kind"), ["doc_id", "page", "reading"]))
+    spark, rounds = blocks.sparkSession, entries.agg(F.coalesce(F.max("nth"), F.lit(0))).first()[0]
     done = spark.createDataFrame([], "doc_id long, page int, reading int, kind int, label string, left double, right double, top double, bottom double, body array<int>, score double")
-    nth = 1
-    while True:
+    for nth in range(1, rounds + 1):
         full = done.groupBy("doc_id", "page").count().where(f"count >= {MOST}").select("doc_id", "page")
         now = kept(heads.where(F.col("nth") == nth).join(full, ["doc_id", "page"], "left_anti"))
-        if now.isEmpty() and entries.where(F.col("nth") > nth).isEmpty():
-            return done
         on = b.join(now.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
         taken = done.select("doc_id", "page", F.explode("body").alias("reading")).distinct()
-        found = drawn_in(grown(now, on, taken, entries, columns), on)
+        found = drawn_in(grown(now, on, taken, entries, columns), in_order)
         area = (F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))
         found = found.withColumn("area", area).where("area > 0 and right > left")
         prior = done.select("doc_id", "page", *[F.col(c).alias(f"p_{c}") for c in BOX])
@@ -155,4 +150,5 @@ def caption_regions(blocks: DataFrame, pages: DataFrame, columns: DataFrame) ->
         share = F.when(F.coalesce("next_head", F.lit(False)) & (F.col("next_top") < F.col("top")) & (F.col("next_right") > F.col("left")), share / 5).otherwise(share)
         score = F.when(F.col("kind") == 4, share * F.greatest(F.lit(0.1), 1 - F.coalesce("inner", F.lit(0.0)) / F.col("area"))).otherwise(share * (1 + F.coalesce("chars", F.lit(0))))
         best = found.withColumn("score", score).groupBy("doc_id", "page").agg(F.max(F.struct("score", "dir", F.col("o_reading").alias("reading"), "kind", "label", *BOX, F.array_sort("body").alias("body"))).alias("r")).select("doc_id", "page", "r.*")
-        done, nth = kept(reduce(DataFrame.unionByName, [done, best.select(*done.columns)])), nth + 1
+        done = kept(done.unionByName(best.select(*done.columns)))
+    return done
