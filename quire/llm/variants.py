@@ -156,8 +156,22 @@ def near_long_words(words: DataFrame) -> DataFrame:
     keys = arrow(words.select("id", "word"), keyed, "id long, key long")
     pairs = keys.join(keys.withColumnRenamed("id", "other"), "key").where("id <> other").select("id", "other").distinct()
     both = pairs.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n")), "other")
-    both = both.where(f"greatest(length(word), length(near)) > {LONG}").where(F.levenshtein("word", "near", 1) == 1)
-    return both.select("word", F.lit(1).cast("long").alias("n_near"), "near_n", "near")
+    both = both.where(f"greatest(length(word), length(near)) > {LONG}").select("word", "near", "near_n")
+
+    def verified(batches):
+        for b in batches:
+            yield b.filter(pa.array([one_edit(x.as_py(), y.as_py()) for x, y in zip(b.column(0), b.column(1))], pa.bool_()))
+
+    return arrow(both, verified, "word string, near string, near_n long").select("word", F.lit(1).cast("long").alias("n_near"), "near_n", "near")
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether two strings differ by one inserted, deleted or replaced letter: what follows their common beginning, found by halving, is compared."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return a != b and (a[low + 1 :] == b[low + 1 :] or a[low + 1 :] == b[low:] or a[low:] == b[low + 1 :])
 
 
 def batches_and_end(batches):
