@@ -163,7 +163,8 @@ def secret_spans(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
     gives an empty result; other columns are not read. Rows are taken one by one and nothing is shuffled.
     """
     found = find_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    count = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    of = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")  # noqa: E731  (a lambda of two names would get the index as its second)
+    count = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return found.select("doc_id", *count, F.sha2(told(F.col("_base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_random"))
 
 
