@@ -61,10 +61,9 @@ def objects_of_characters(chars: DataFrame, objects: DataFrame, tolerance: float
     return chars.select("doc_id", "page", "i").join(found.select("doc_id", "page", "i", F.col("o.k").alias("object")), ["doc_id", "page", "i"], "left")
 
 
-def paint_order(chars: DataFrame) -> DataFrame:
-    """doc_id, page, i, place: characters (doc_id, page, i, order of their object, generated) in the order they are painted: by object, then by i; generated white space stays behind the character before it, or comes first."""
+def paint_order(chars: DataFrame, key=None) -> DataFrame:
+    """doc_id, page, i, place: characters (doc_id, page, i, order of their object, generated) in the order they are painted: by object, then by i, or by another key (a column); generated white space stays behind the character before it, or comes first. Of equal keys generated characters follow the others."""
     w = Window.partitionBy("doc_id", "page").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(~F.col("generated"), F.struct("order", "i")), ignorenulls=True).over(w)
-    key = F.coalesce(last, F.struct(F.lit(-1).cast("long").alias("order"), F.lit(-1).cast("long").alias("i")))
-    by = Window.partitionBy("doc_id", "page").orderBy(F.col("key.order"), F.col("key.i"), "generated", "i")
+    key = F.last(F.when(~F.col("generated"), F.struct("order", "i") if key is None else key), ignorenulls=True).over(w)
+    by = Window.partitionBy("doc_id", "page").orderBy(F.col("key").asc_nulls_first(), "generated", "i")
     return chars.withColumn("key", key).select("doc_id", "page", "i", (F.row_number().over(by) - 1).alias("place"))
