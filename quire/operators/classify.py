@@ -111,8 +111,8 @@ def heading_label(c):
     )
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """doc_id, page, ln, kind, numbering: heading candidates in order of detectors: keyword, chapter, numbered, roman, letter.
+def headings(lines: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page, ln, kind, numbering, and the columns `more` of lines: heading candidates in order of detectors: keyword, chapter, numbered, roman, letter.
 
     kind: 5 abstract, 7 references, 11 introduction, 8 chapter, 1 numbered, 2 roman, 4 letter, 3 Chinese numeral, 10 appendix, 12 box.
     """
@@ -121,12 +121,12 @@ def headings(lines: DataFrame) -> DataFrame:
     chapter = text.rlike(r"^\s*(?i)(?:chapter|kapitel|chapitre|capítulo)\s+(?:[0-9]+|[ivxlc]+)\b")
     kind = F.when(key.isin(*ABSTRACT), 5).when(key.isin(*REFERENCES), 7).when(key.isin(*INTRODUCTION), 11).when(chapter, 8).when(T.numbering(text).isNotNull() & text.rlike(r"\p{L}"), 1).when(text.rlike(r"^\s*(?:[IVX]+)[.)]\s+\p{L}"), 2).when(text.rlike(r"^\s*[A-H][.)]\s+\p{L}"), 4).otherwise(heading_label(text)["kind"])
     short = (F.length(text) <= 120) & ~text.rlike(r"[.;,]\s*$") & ~text.contains("|")
-    return lines.where(short).select("doc_id", "page", "ln", kind.alias("kind"), T.numbering(text).alias("numbering")).where("kind is not null")
+    return lines.where(short).select("doc_id", "page", "ln", kind.alias("kind"), T.numbering(text).alias("numbering"), *more).where("kind is not null")
 
 
-def section_openers(found: DataFrame) -> DataFrame:
-    """The first heading candidate of each page."""
-    w = Window.partitionBy("doc_id", "page").orderBy("ln")
+def section_openers(found: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The first heading candidate of each page; of several with one ln the first by the columns `ties`."""
+    w = Window.partitionBy("doc_id", "page").orderBy("ln", *ties)
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -338,12 +338,12 @@ MADE = """, made AS (SELECT l_orderkey AS doc_id, l_linenumber AS ln, (l_linenum
   WHEN 4 THEN 'Introduction' WHEN 5 THEN 'IV. Methods' WHEN 6 THEN 'B) Notes' ELSE 'References' END AS text FROM (SELECT *, 'x' AS l_shipmode FROM lineitem))"""
 
 
-def made_lines(spark, d):
+def made_lines(spark, d, *more):
     """Lines of all heading and caption kinds, as the documents have hardly any."""
     li = table(spark, d, "lineitem")
     n, s = F.col("l_linenumber").cast("string"), F.col("l_suppkey")
     kinds = [F.concat(F.lit("Figure "), n, F.lit(": Flow")), F.concat(F.lit("Table "), (s % 3).cast("string"), F.lit(". Sums")), F.concat((F.col("l_linenumber") % 4 + 1).cast("string"), F.lit("."), (s % 5 + 1).cast("string"), F.lit(" Results of x")), F.concat(F.lit("Chapter "), n), F.lit("Introduction"), F.lit("IV. Methods"), F.lit("B) Notes"), F.lit("References")]
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ln"), (F.floor(F.col("l_linenumber") / 3) + 1).cast("int").alias("page"), F.element_at(F.array(*kinds), (F.col("l_partkey") % 8 + 1).cast("int")).alias("text"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ln"), (F.floor(F.col("l_linenumber") / 3) + 1).cast("int").alias("page"), F.element_at(F.array(*kinds), (F.col("l_partkey") % 8 + 1).cast("int")).alias("text"), *more)
 
 
 @query("WITH " + MADE[2:] + r""" SELECT doc_id, CASE w WHEN 'table' THEN 5 ELSE 4 END AS label, number, min(ln) AS ln FROM (SELECT doc_id, ln, lower(regexp_extract(text, '^(Figure|Table) ([0-9]+)', 1)) AS w, regexp_extract(text, '^(Figure|Table) ([0-9]+)', 2) AS number FROM made) WHERE w <> '' GROUP BY ALL""")
@@ -362,7 +362,10 @@ def heading_candidates(spark, d):
 
 @query(HEADS + " SELECT doc_id, page, ln, kind FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln) AS k FROM heads) WHERE k = 1")
 def section_openers(spark, d):
-    return classify.section_openers(classify.headings(made_lines(spark, d))).select("doc_id", "page", "ln", "kind")
+    """Line numbers repeat in an order; of lines with one number the first in the table opens, as where the SQL is run by one reader."""
+    ties = {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    found = classify.headings(made_lines(spark, d, *[c.alias(n) for n, c in ties.items()]), tuple(ties))
+    return classify.section_openers(found, tuple(ties)).select("doc_id", "page", "ln", "kind")
 
 
 @query(HEADS + " SELECT doc_id, split_part(numbering, '.', 1) AS parent, count(DISTINCT split_part(numbering, '.', 2)) AS siblings FROM heads WHERE numbering IS NOT NULL GROUP BY ALL")
