@@ -13,10 +13,12 @@ def is_page_spec(c):
 
 
 def page_spec_problem(c):
-    """Why a specification can't be expanded, or null: invalid, nonpositive, too_many (with all parts counted once)."""
+    """Why a specification can't be expanded, or null: invalid, nonpositive, too_many (with all parts counted once). Parts are counted in order of their first page, each from where those before it end; nothing is expanded."""
     parts = F.transform(F.split(c, ", *"), lambda p: F.struct(F.split_part(p, F.lit("-"), F.lit(1)).cast("long").alias("a"), F.when(p.contains("-"), F.split_part(p, F.lit("-"), F.lit(2))).otherwise(p).cast("long").alias("b")))
-    size = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["b"] - p["a"] + 1)
-    return F.when(~is_page_spec(c) | c.isNull(), "invalid").when(F.exists(parts, lambda p: p["a"] > p["b"]), "invalid").when(F.exists(parts, lambda p: p["a"] < 1), "nonpositive").when(size > MOST, F.when(F.size(expanded(c)) > MOST, "too_many"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    more = lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(p["a"] - 1, acc["end"]))).alias("n"), F.greatest(acc["end"], p["b"]).alias("end"))
+    size = F.aggregate(F.array_sort(parts), zero, more, lambda acc: acc["n"])
+    return F.when(~is_page_spec(c) | c.isNull(), "invalid").when(F.exists(parts, lambda p: p["a"] > p["b"]), "invalid").when(F.exists(parts, lambda p: p["a"] < 1), "nonpositive").when(size > MOST, "too_many")
 
 
 def expanded(c):

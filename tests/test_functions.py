@@ -120,3 +120,8 @@ def test_marks_go_in_every_language(spark, tmp_path):
     got = catalog.QUERIES["texts_without_marks"](spark, str(tmp_path)).collect()
     plain = {1: "uberfluß", 2: "naive", 3: "eleve", 4: "senor", 5: "zlutoucky", 6: None, None: "a"}
     assert {r["doc_id"]: r["digest"] for r in got} == {i: t and hashlib.md5(t.encode()).hexdigest() for i, t in plain.items()} and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("spec, problem", [("1-9000000000", "too_many"), ("1-10000, 3-7, 9-10000", None), ("5000-10001, 1-5000", "too_many"), ("2-10001, 2-9, 20000", "too_many"), ("7, 7, 1-9999", None)])
+def test_page_specs_are_counted_without_expanding(spark, spec, problem):
+    assert one(spark, P.page_spec_problem(F.col("s")), s=spec) == problem
