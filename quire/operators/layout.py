@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,26 +34,63 @@ def weight(text: str) -> float:
     return cased + 2.0 * (letters - cased) + 0.5 * (len(text) - letters)
 
 
-def caps(text: str) -> bool:
-    upper, letters = sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
-    return upper > max(0.75 * letters, letters - 4) and upper > max(3, len(text) / 3)
+def cased(text: str) -> tuple[int, int, int]:
+    """Capitals, letters and characters of a text."""
+    return sum(c.isupper() for c in text), sum(c.isalpha() for c in text), len(text)
+
+
+def caps(upper: int, letters: int, chars: int) -> bool:
+    return upper > max(0.75 * letters, letters - 4) and upper > max(3, chars / 3)
+
+
+class Sum:
+    """The sum of numbers added one by one, compensated in the way of Python's sum() of all of them at once."""
+
+    def __init__(self):
+        self.high = self.low = 0.0
+
+    def add(self, x: float):
+        t = self.high + x
+        self.low += (self.high - t) + x if abs(self.high) >= abs(x) else (x - t) + self.high
+        self.high = t
+
+    total = property(lambda self: self.high + self.low)
 
 
 class Line:
-    """Spans read as one, with the means of their properties by weight."""
+    """Spans read as one, with the means of their properties by weight, taken when asked for: a line may be joined to others many times before."""
 
     def __init__(self, spans):
         self.spans = list(spans)
         seen = [s for s in self.spans if s.text.strip()] or self.spans
+        self.seen = bool(seen[0].text.strip())
         self.left, self.right, self.top, self.bottom = min(s.left for s in seen), max(s.right for s in seen), max(s.top for s in seen), min(s.bottom for s in seen)
-        self.text = "".join(s.text for s in self.spans).strip()
-        ws = [weight(s.text.strip()) for s in self.spans]
-        mean = lambda f: sum(w * f(s) for w, s in zip(ws, self.spans)) / sum(ws) if sum(ws) > 0 else 0.0
-        self.size, self.bold, self.skew = mean(lambda s: s.size), mean(lambda s: float(s.bold)), mean(lambda s: s.skew)
+        self.raw = "".join(s.text for s in self.spans)
+        self.text = self.raw.strip()
         self.chars = sum(len(s.text.strip()) for s in self.spans)
         self.tallest = max(s.top - s.bottom for s in self.spans)
-        self.weight = sum(ws)
 
+    @classmethod
+    def joined(cls, a: Line, b: Line) -> Line:
+        """The line of a's spans and b's, from what is known of both."""
+        out = cls.__new__(cls)
+        out.spans, out.raw, out.seen = a.spans + b.spans, a.raw + b.raw, a.seen or b.seen
+        boxes = [a, b] if a.seen == b.seen else [a if a.seen else b]
+        out.left, out.right, out.top, out.bottom = min(x.left for x in boxes), max(x.right for x in boxes), max(x.top for x in boxes), min(x.bottom for x in boxes)
+        out.text, out.chars, out.tallest = out.raw.strip(), a.chars + b.chars, max(a.tallest, b.tallest)
+        return out
+
+    @cached_property
+    def weights(self) -> list[float]:
+        return [weight(s.text.strip()) for s in self.spans]
+
+    def mean(self, f) -> float:
+        return sum(w * f(s) for w, s in zip(self.weights, self.spans)) / self.weight if self.weight > 0 else 0.0
+
+    weight = cached_property(lambda self: sum(self.weights))
+    size = cached_property(lambda self: self.mean(lambda s: s.size))
+    bold = cached_property(lambda self: self.mean(lambda s: float(s.bold)))
+    skew = cached_property(lambda self: self.mean(lambda s: s.skew))
     middle = property(lambda self: (self.top + self.bottom) / 2)
     height = property(lambda self: self.top - self.bottom)
     width = property(lambda self: self.right - self.left)
@@ -90,7 +128,7 @@ def first_lines(spans, area: float) -> list[Line]:
     lines: list[Line] = []
     for s in kept:
         if lines and continues(lines[-1], s):
-            lines[-1] = Line([*lines[-1].spans, s])
+            lines[-1] = Line.joined(lines[-1], Line([s]))
         else:
             lines.append(Line([s]))
     return lines
@@ -160,7 +198,7 @@ def merged(lines: list[Line], near: float, columns=()) -> list[Line]:
         column = next(((lo, hi) for lo, hi in columns if lo <= other.left and other.right <= hi), None)
         if joins(other, line, column):
             first, second = (line, other) if stacked(other, line, body) and line.middle > other.middle else (other, line)
-            put(Line([*first.spans, *second.spans]))
+            put(Line.joined(first, second))
         else:
             done.append(other)
             put(line)
@@ -176,13 +214,28 @@ def numbered(lines: list[Line], left: float, width: float) -> list[Line]:
 
 
 class Block:
-    def __init__(self, lines):
-        self.lines = list(lines)
-        self.left, self.right, self.top, self.bottom = min(x.left for x in lines), max(x.right for x in lines), max(x.top for x in lines), min(x.bottom for x in lines)
-        total = sum(x.weight for x in lines) or 1.0
-        self.size, self.bold, self.skew = (sum(x.weight * getattr(x, k) for x in lines) / total for k in ("size", "bold", "skew"))
-        self.text = " ".join(x.text for x in lines if x.text)
+    """Lines read as one; a line is added without asking those before it again."""
 
+    def __init__(self, lines):
+        self.lines, self.case, self.end = [], (0, 0, 0), ""
+        self.left, self.right, self.top, self.bottom = float("inf"), float("-inf"), float("-inf"), float("inf")
+        self.weight, self.sums = Sum(), {k: Sum() for k in ("size", "bold", "skew")}
+        for x in lines:
+            self.add(x)
+
+    def add(self, x: Line):
+        self.left, self.right, self.top, self.bottom = min(self.left, x.left), max(self.right, x.right), max(self.top, x.top), min(self.bottom, x.bottom)
+        self.weight.add(x.weight)
+        for k, s in self.sums.items():
+            s.add(x.weight * getattr(x, k))
+        self.size, self.bold, self.skew = (s.total / (self.weight.total or 1.0) for s in self.sums.values())
+        if x.text:
+            upper, letters, chars = cased(x.text)
+            self.case = self.case[0] + upper, self.case[1] + letters, self.case[2] + chars + bool(self.end)
+            self.end = x.text[-1]
+        self.lines.append(x)
+
+    text = property(lambda self: " ".join(x.text for x in self.lines if x.text))
     width = property(lambda self: self.right - self.left)
 
 
@@ -201,12 +254,12 @@ def takes(block: Block, line: Line, nearest: Block) -> bool:
     if not centred and ((block.bottom - line.top > -1 and shift > 0.33 * block.width) or shift > 0.98 * block.width or (line.left + line.right) / 2 < block.left):
         return False
     pitch = (block.top - block.bottom) / len(block.lines)
-    flips = caps(block.text) != caps(line.text) and sum(c.isalpha() for c in line.text) >= 3
+    flips = caps(*block.case) != caps(*cased(line.text)) and sum(c.isalpha() for c in line.text) >= 3
     number = re.compile(r"(?:[0-9]{1,2}|[IVX]+|[A-H])[.)]\s")
     mine, theirs = bool(number.match(block.lines[0].text)), bool(number.match(line.text))
     factors = (
         (not weightier and not flips and (ratio <= 1.2 or abs(last.left - line.left) <= 0.1) and last.width > 0.9 * block.width, 1.3),
-        (left and line.width < 0.5 * block.width and line.text[-1:] in tuple(".?!") and block.text[-1:] not in tuple(".?!"), 1.3),
+        (left and line.width < 0.5 * block.width and line.text[-1:] in tuple(".?!") and block.end not in tuple(".?!"), 1.3),
         (left and right, 1.1),
         (mine and step <= -0.5, 0.5),
         ((mine or theirs) and weightier, 1 / 1.5),
@@ -238,7 +291,9 @@ def blocks(lines: list[Line]) -> list[Block]:
         into = next((b for b in over if takes(b, line, over[0])), None)
         open_blocks = [b for b in open_blocks if b not in over]
         done += [b for b in over if b is not into]
-        open_blocks.append(Block([*(into.lines if into else ()), line]))
+        if into:
+            into.add(line)
+        open_blocks.append(into or Block([line]))
     out = []
     for b in [*done, *open_blocks]:
         style = lambda x: (x.size, x.bold > 0.5, getattr(x.spans[0], "font", None))

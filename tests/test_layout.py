@@ -58,3 +58,22 @@ def test_no_span_is_lost(spark):
 def test_page_box(spark):
     box = lambda r: spark.range(1).select(layout.page_box(*[F.lit(float(x)) for x in (0, 600, 800, 0)], F.lit(r)).alias("b")).first()["b"]
     assert (box(90)["right"], box(270)["top"], box(180)["right"], box(0)["top"]) == (800.0, 600.0, 600.0, 800.0)
+
+
+def test_a_long_line_and_block_are_read_once(monkeypatch):
+    """A page of one row of many spans, and one of many lines of a block: what is asked of texts grows with the page, and sums are those of all at once."""
+    from collections import namedtuple
+
+    asked = []
+    plain = layout.weight
+    monkeypatch.setattr(layout, "weight", lambda text: asked.append(text) or plain(text))
+    span = namedtuple("Span", "ix left right top bottom text size bold skew")
+    row = [span(i, 4.0 * i, 4.0 * i + 3.9, 20.0, 10.0, f"w{i % 7}", 10 + i % 3 / 10, i % 2 == 0, i % 4 / 10) for i in range(500)]
+    (line,) = layout.merged([layout.Line([s]) for s in row], 0.75)
+    assert (line.size, line.bold, line.skew) == tuple(getattr(layout.Line(row), k) for k in ("size", "bold", "skew"))
+    assert line.text == "".join(s.text for s in row) and len(asked) <= 4 * len(row)
+    asked.clear()
+    lines = [layout.Line([span(i, 10.0, 200.0, 9000.0 - 12 * i, 8990.0 - 12 * i, "plain words here", 10.1 + i % 3 / 10, False, 0.1)]) for i in range(500)]
+    (block,) = layout.blocks(lines)
+    assert len(block.lines) == 500 and block.size == sum(x.weight * x.size for x in lines) / sum(x.weight for x in lines) and len(asked) <= 500
+    assert block.text == " ".join(["plain words here"] * 500) and block.case == layout.cased(block.text)
