@@ -49,7 +49,8 @@ def objects_of_characters(chars: DataFrame, objects: DataFrame, tolerance: float
 
     An object may have a character if it holds its place within the tolerance, and its rows, to the next whole points and REACH beyond, hold the
     character's. Of several the one nearest in drawn size is taken, or where the character has none in its own size (relative), or else the smallest; then
-    the smaller one, then the first. Characters meet the objects of their row of a grid alone, so no page is paired with itself.
+    the smaller one, then the first. Characters meet the objects of their row of a grid alone, so no page is paired with itself; a character has one row, so
+    those it meets are where it is, and nothing is dealt out again after the join.
     """
     low, high = F.floor("bottom") - REACH, F.ceil("top") + REACH
     cell = lambda c: F.floor(c / CELL).cast("long")
@@ -57,8 +58,10 @@ def objects_of_characters(chars: DataFrame, objects: DataFrame, tolerance: float
     c = chars.withColumn("row", F.bround("y")).withColumn("cell", cell(F.col("row")))
     inside = F.col("x").between(F.col("left") - tolerance, F.col("right") + tolerance) & F.col("y").between(F.col("bottom") - tolerance, F.col("top") + tolerance) & F.col("row").between(F.col("low"), F.col("high"))
     apart = F.when(F.col("drawn") > 0, F.abs(F.col("o_drawn") - F.col("drawn"))).when(F.col("size") > 0, F.abs(F.col("o_size") - F.col("size")) / F.greatest("size", F.lit(0.01))).otherwise(F.col("area"))
-    found = c.join(o, ["doc_id", "page", "cell"]).where(inside).groupBy("doc_id", "page", "i").agg(F.min(F.struct(apart.alias("apart"), "area", "k")).alias("o"))
-    return chars.select("doc_id", "page", "i").join(found.select("doc_id", "page", "i", F.col("o.k").alias("object")), ["doc_id", "page", "i"], "left")
+    o = o.withColumnsRenamed({x: f"o_{x}" for x in ("doc_id", "page", "cell")})
+    same = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page") == F.col("o_page")) & (F.col("cell") == F.col("o_cell"))
+    found = c.join(o, same & inside, "left").groupBy("doc_id", "page", "cell", "i").agg(F.min(F.when(F.col("k").isNotNull(), F.struct(apart.alias("apart"), "area", "k"))).alias("o"))
+    return found.select("doc_id", "page", "i", F.col("o.k").alias("object"))
 
 
 def paint_order(chars: DataFrame, key=None) -> DataFrame:

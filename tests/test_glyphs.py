@@ -32,3 +32,11 @@ def test_names_skew_and_view(spark):
     box = lambda v: F.lit(None).cast("array<double>") if v is None else F.array(*[F.lit(float(x)) for x in v])
     view = lambda m, c: spark.range(1).select(glyphs.view_box(box(m), box(c)).alias("v")).first()["v"]
     assert view(None, None) == [0, 0, 612, 792] and view([600, 800, 0, 0], [10, 20, 900, 700]) == [10, 20, 600, 700] and view([0, 0, 9, 9], [10, 10, 20, 20]) == [0, 0, 9, 9] and view([0, 0, 9, 9], [1, 1, 1, 5]) == [0, 0, 9, 9]
+
+
+def test_characters_are_dealt_out_once(spark):
+    """One exchange of the characters and one of the objects; nothing is dealt out again after the join."""
+    chars = spark.createDataFrame([(1, 1, 0, 10.0, 15.0, 11.0, 9.0)], CHAR)
+    objects = spark.createDataFrame([(1, 1, 0, 0.0, 20.0, 20.0, 10.0, 9.0, 9.0)], OBJECT)
+    plan = glyphs.objects_of_characters(chars, objects).hint("merge")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1
