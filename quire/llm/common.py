@@ -84,6 +84,17 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, total: int | None = No
     return df.orderBy(place).limit(rows) if sample.isEmpty() else sample
 
 
+def trimmed() -> None:
+    """Gives what this process has freed back to the system: executors count the memory of idle workers too."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def worker_state(key, build):
     """build()'s value, kept in this Python worker from one task to the next. A worker keeps one value: another key drops the last one first, so what a finished stage held goes when the next begins."""
     state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
@@ -91,6 +102,7 @@ def worker_state(key, build):
         state.pop("value", None)
         state["key"] = None
         gc.collect()
+        trimmed()
         state["value"], state["key"] = build(), key
     return state["value"]
 

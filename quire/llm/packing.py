@@ -16,27 +16,31 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 MERGED = 128
 
 
-def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None, most: int = 300_000):
+def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None, most: int = 100_000):
     """A function from a text to its ids as little-endian unsigned 32-bit bytes: those of the tokenizer in tokenizer_path.
 
     ranks_path holds the same vocabulary as ranks, from which the same ids come in a third of the time; a text with a special token
-    goes to the tokenizer itself. The pre-tokeniser never joins a visible character to a blank or line break that follows, so a text
+    goes to the tokenizer itself, which is made for the first such text. The pre-tokeniser never joins a visible character to a blank or line break that follows, so a text
     is cut there, and the ids of short pieces are kept (`most` of them at once, then the store starts afresh). A text in which white
     space precedes a blank or ends the text is encoded whole.
     """
     import base64
+    import json
     import re
     from array import array
+    from functools import cache
 
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+    path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+    whole = cache(lambda: Tokenizer.from_file(path))
+    with open(path, encoding="utf-8") as f:
+        special = re.compile("|".join(re.escape(x["content"]) for x in json.load(f)["added_tokens"]) or "(?!)")
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-    special = re.compile("|".join(re.escape(x.content) for x in tok.get_added_tokens_decoder().values()) or "(?!)")
     odd = re.compile(r"\s[ \n]|\s\Z")
     pieces = re.compile(r"[ \n]?[^\W_]+(?=[.,&%#$*!|;:? \n]|\Z)|[ \n]?[.,&%#$*!|;:?]+(?=[ \n]|\Z)|[ \n]?[^ \n]+").findall
 
@@ -58,7 +62,7 @@ def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None,
 
     def ids(text: str) -> bytes:
         if special.search(text):
-            return packed(tok.encode(text, add_special_tokens=False).ids)
+            return packed(whole().encode(text, add_special_tokens=False).ids)
         if odd.search(text):
             return packed(core.encode_ordinary(text))
         if len(kept) > most:

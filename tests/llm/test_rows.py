@@ -260,3 +260,23 @@ def test_secret_counts_are_by_kind(documents, spark):
     texts = [run, f"{run} {run} {run}", f"{key} {run}", f"token=hunter22 {run} api_key: hunter22 {key} {key}", f"password=abcdef secret=abcdef {run}", "token=a"]
     got = {r["doc_id"]: r for r in secrets.secret_spans(documents(list(enumerate(texts))), [0.0] * (len(secrets.ALPHABET) + 1) ** 2).collect()}
     assert [(got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) for i in range(len(texts))] == [(0, 0, 1), (0, 0, 3), (0, 1, 1), (2, 2, 1), (2, 0, 1), (0, 0, 0)]
+
+
+def test_packing_makes_no_tokenizer_for_texts_without_special_tokens(monkeypatch):
+    import tokenizers
+
+    from quire.llm import packing
+
+    made = []
+    kept = tokenizers.Tokenizer
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            made.append(path)
+            return kept.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    ids = packing.piecewise()
+    assert ids("plain words, and more") and not made
+    assert ids("a <|endoftext|> b") and ids("c <|endoftext|>") and len(made) == 1
