@@ -1,26 +1,31 @@
-"""Columns of a page from scored gutters: all regions of all pages are swept at once, each is cut at its best gap, and the parts are the next level's regions.
+"""Columns of a page from scored gutters: a page's region is swept, cut at its best gap, and so are the parts. What lines say is columns; a page is one group of arrays.
 
 direction 1 is a sweep along x, whose gaps part columns; 0 a sweep along y, whose gaps part rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions import scalars as S
-from quire.functions.text import let
-from quire.sources.scratch import kept
 
-REGION = ["doc_id", "page", "region"]
 INF = float("inf")
 
 
 def measured(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """lines (doc_id, page, ix, left, right, top, bottom, text, size) of some area, with what the sweep asks of them, the page's box and thresholds.
+    """lines (doc_id, page, ix, left, right, top, bottom, text, size) of some area, with what the sweep asks of them and the page's thresholds.
 
     pages: doc_id, page, size (median), overlap_gap (median), char_width (mean). A column's gap is a character wide at least, a row's
-    gap half the size, or more where lines stand far apart. A page is cut 2 log2(lines) levels deep at most.
+    gap half the size, or more where lines stand far apart.
     """
     t, n = F.col("text"), F.length("text")
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
@@ -28,172 +33,181 @@ def measured(lines: DataFrame, pages: DataFrame) -> DataFrame:
     out = lines.where((F.col("right") > F.col("left")) & (F.col("top") > F.col("bottom"))).withColumn("weight", letters + F.regexp_count(t, F.lit(r"\p{Lo}")) + 0.5 * (n - letters)).withColumn("chars", n)
     out = out.withColumn("kind", number["kind"]).withColumn("number", F.when(number["kind"] == 1, S.to_number(number["text"])))
     out = out.withColumn("mark", ((n <= 10) & (t.rlike(r"^\[.*\]$") | t.rlike(r"^[\p{Lu}\p{Lt}].*\.$"))).cast("int")).withColumn("leader", t.rlike(r"(?:\.\s*){5,}$").cast("int")).drop("text")
-    box = out.groupBy("doc_id", "page").agg(F.min("left").alias("x0"), F.max("right").alias("x1"), F.min("bottom").alias("y0"), F.max("top").alias("y1"), F.floor(2 * F.log2(F.count(F.lit(1)))).cast("int").alias("deepest"))
     size = F.col("page_size")
     row = F.greatest(0.5 * size, F.least(1.1 * (F.col("overlap_gap") - size), 3 * size))
-    of = pages.select("doc_id", "page", F.col("size").alias("page_size"), "overlap_gap", F.col("char_width").alias("column_gap")).join(box, ["doc_id", "page"]).withColumn("row_gap", row).drop("overlap_gap")
+    of = pages.select("doc_id", "page", F.col("size").alias("page_size"), "overlap_gap", F.col("char_width").alias("column_gap")).withColumn("row_gap", row).drop("overlap_gap")
     return out.join(of, ["doc_id", "page"])
 
 
-def events(lines: DataFrame) -> DataFrame:
-    """An event where a line begins and one where it ends, in both directions, with `active` (lines open after it), `nr` (from 0) and the place of the `next` one."""
-    ends = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(e).alias("ends"), F.col(c).alias("at"), (F.col(hi) - F.col(lo)).alias("span")) for d, lo, hi in ((1, "left", "right"), (0, "bottom", "top")) for e, c in ((0, lo), (1, hi))])
-    e = lines.withColumn("e", F.explode(ends)).select("*", "e.*").drop("e")
-    w = Window.partitionBy(*REGION, "direction").orderBy("at", "ends", "span", "ix")
-    return e.withColumn("active", F.sum(1 - 2 * F.col("ends")).over(w)).withColumn("nr", F.row_number().over(w) - 1).withColumn("next", F.lead("at").over(w))
-
-
-def gaps(swept: DataFrame) -> DataFrame:
-    """Stretches that no line of the region covers, wide enough, in regions large enough: direction, nr, start, end, gap, extent."""
-    tall, wide = F.col("top_") - F.col("bottom_"), F.col("right_") - F.col("left_")
-    across = F.col("direction") == 1
-    good = F.when(across, (tall >= 1.5 * F.col("page_size")) & (F.col("next") - F.col("at") >= F.col("column_gap"))).otherwise((wide >= (F.col("x1") - F.col("x0")) / 6) & (F.col("next") - F.col("at") >= F.col("row_gap")))
-    g = swept.where((F.col("active") <= 0) & F.col("next").isNotNull() & good)
-    return g.select(*REGION, "direction", "nr", F.col("at").alias("start"), F.col("next").alias("end"), (F.col("next") - F.col("at")).alias("gap"), F.when(across, tall).otherwise(wide).alias("extent"), F.when(across, F.col("column_gap")).otherwise(F.col("row_gap")).alias("least"))
-
-
-def beside(gap: DataFrame, swept: DataFrame, before: bool) -> DataFrame:
-    """What stands before (or after) each gap, no farther than it is wide: counts, weights, sizes and edges, in columns that begin with b_ (or a_)."""
-    p = "b" if before else "a"
-    line = swept.where(F.col("ends") == int(before)).select(*REGION, "direction", "at", "left", "right", "top", "bottom", "weight", "chars", "size", "kind", "number", "mark", "leader")
-    near = F.col("at").between(F.col("start") - F.col("gap"), F.col("start")) if before else F.col("at").between(F.col("end"), F.col("end") + F.col("gap"))
-    both = gap.select(*REGION, "direction", "nr", "start", "end", "gap").join(line, [*REGION, "direction"]).where(near)
-    edge = (F.col("start") - F.col("at") if before else F.col("at") - F.col("end")) < 1
-    lead, trail = F.when(F.col("direction") == 1, F.col("bottom")).otherwise(F.col("left")), F.when(F.col("direction") == 1, F.col("top")).otherwise(F.col("right"))
-    wide, one = F.col("right") - F.col("left"), F.col("kind") == 1
-    n = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
-    sums = {
-        "n": F.count(F.lit(1)), "wide": F.max(wide), "weight": F.sum("weight"), "sizes": F.collect_list(F.struct("size", "weight")), "edge": n(edge), "edge_wide": F.max(F.when(edge, wide)), "lead": F.min(lead), "trail": F.max(trail), "edge_lead": F.min(F.when(edge, lead)), "edge_trail": F.max(F.when(edge, trail)),
-        "numbered": n(one), "one_left": F.min(F.when(one & (F.col("number") == 1), F.col("left"))), "most": F.max(F.when(one, F.col("number"))), "numbered_top": F.max(F.when(one, F.col("top"))), "short": n((F.col("chars") <= 5) & (F.col("kind") != 0)), "marks": F.sum("mark"), "leaders": F.sum("leader"), "chars": F.max("chars"),
-    }
-    out = both.groupBy(*REGION, "direction", "nr").agg(*[v.alias(f"{p}_{k}") for k, v in sums.items()])
-    largest = out.withColumn(f"{p}_size", F.array_max(f"{p}_sizes")["size"])
-    return largest.withColumn(f"{p}_main", F.aggregate(F.filter(f"{p}_sizes", lambda x: x["size"] == F.col(f"{p}_size")), F.lit(0.0), lambda s, x: s + x["weight"])).drop(f"{p}_sizes")
+class Page:
+    """The measured lines of one page as arrays, its box and its thresholds; cut 2 log2(lines) levels deep at most."""
+
+    def __init__(self, got: pa.Table):
+        for c in ("left", "right", "top", "bottom", "size", "weight", "number"):
+            setattr(self, c, got[c].cast(pa.float64()).to_numpy())
+        for c in ("ix", "chars", "kind", "mark", "leader"):
+            setattr(self, c, got[c].to_numpy())
+        self.wide, self.one = self.right - self.left, self.kind == 1
+        self.page_size, self.column_gap, self.row_gap = (float(got[c][0].as_py()) for c in ("page_size", "column_gap", "row_gap"))
+        self.x0, self.x1, self.y0, self.y1 = (float(x) for x in (self.left.min(), self.right.max(), self.bottom.min(), self.top.max()))
+        self.deepest = math.floor(2 * math.log2(len(self.ix)))
+
+    def box(self) -> tuple[float, float, float, float]:
+        return self.x0, self.x1, self.y0, self.y1
+
+    def beside(self, near: np.ndarray, edge: np.ndarray, direction: int) -> SimpleNamespace:
+        """What stands on one side of a gap, no farther than it is wide: counts, weights, sizes and edges; `edge` marks what stands at it."""
+        lead, trail = (self.bottom, self.top) if direction else (self.left, self.right)
+        at, one = near[edge], near[self.one[near]]
+        numbers, size, weight = self.number[one], self.size[near], self.weight[near]
+        largest = size.max()
+        return SimpleNamespace(
+            n=len(near), wide=self.wide[near].max(), weight=weight.sum(), size=largest, main=weight[size == largest].sum(), edge=len(at), edge_wide=self.wide[at].max(), lead=lead[near].min(), trail=trail[near].max(), edge_lead=lead[at].min(), edge_trail=trail[at].max(),
+            numbered=len(one), one_left=min(self.left[one[numbers == 1]], default=None), most=np.nanmax(numbers, initial=0.0), numbered_top=max(self.top[one], default=0.0), short=np.count_nonzero((self.chars[near] <= 5) & (self.kind[near] != 0)), marks=self.mark[near].sum(), leaders=self.leader[near].sum(), chars=self.chars[near].max(),
+        )
+
+    def gaps(self, lines: np.ndarray, box: tuple) -> list[tuple]:
+        """(direction, nr, start, end, score) of the stretches that no line of the region covers, wide enough, in a region large enough, and that no rule forbids. nr is the place from 0 of the end before among all beginnings and ends."""
+        left, right, bottom, top = box
+        tall, wide, out = top - bottom, right - left, []
+        for direction, lo, hi, large, least, extent in ((1, self.left, self.right, tall >= 1.5 * self.page_size, self.column_gap, tall), (0, self.bottom, self.top, wide >= (self.x1 - self.x0) / 6, self.row_gap, wide)):
+            if not large:
+                continue
+            begin, end = lines[np.argsort(lo[lines])], lines[np.argsort(hi[lines])]
+            begins, ends, reach = lo[begin], hi[end], np.maximum.accumulate(hi[begin])
+            width = begins[1:] - reach[:-1]
+            for k in np.flatnonzero((width > 0) & (width >= least)):
+                s, e, gap = float(reach[k]), float(begins[k + 1]), float(width[k])
+                b0, b1, a0, a1 = np.searchsorted(ends, s - gap), np.searchsorted(ends, s, "right"), np.searchsorted(begins, e), np.searchsorted(begins, e + gap, "right")
+                b, a = self.beside(end[b0:b1], s - ends[b0:b1] < 1, direction), self.beside(begin[a0:a1], begins[a0:a1] - e < 1, direction)
+                g = SimpleNamespace(direction=direction, nr=2 * int(k) + 1, start=s, end=e, gap=gap, extent=extent, least=least, tall=tall, wide=wide, top=top)
+                if not self.vetoed(g, b, a):
+                    out.append((direction, g.nr, s, e, float(self.score(g, b, a))))
+        return out
+
+    def vetoed(self, g, b, a) -> bool:
+        """Whether a gap is none: numbers, marks or leaders before it; single lines or light texts at a page's side; lines of one large heading."""
+        if g.direction:
+            half, width = max(2.0, b.n / 2), self.x1 - self.x0
+            list_like = b.short >= b.n or b.short >= half or b.marks >= b.n or b.leaders >= half or b.chars <= 1
+            footnotes = g.top < self.y0 + 0.3 * (self.y1 - self.y0) and b.one_left is not None and a.most <= 4
+            light = b.weight <= LIGHT and a.weight <= LIGHT and (g.start < self.x0 + 0.2 * width or g.end > self.x0 + 0.8 * width)
+            return list_like or (b.edge <= 1 and a.edge <= 1 and not footnotes) or light
+        mid, size = (b.size + a.size) / 2, self.page_size
+        stands = lambda by: b.size >= size + by and a.size >= size + by
+        same = abs(b.size - a.size) < 0.1 and stands(0.5) and g.gap < max(1.3 * mid, 2 * g.least)
+        return b.main >= 0.8 * b.weight and a.main >= 0.8 * a.weight and (same or (stands(LARGE) and g.gap < max(1.5 * mid, 3 * g.least)))
+
+    def score(self, g, b, a) -> float:
+        """extent squared times gap, times factors for its direction."""
+        width, height, middle = self.x1 - self.x0, self.y1 - self.y0, (self.x0 + self.x1) / 2
+        if g.direction:
+            apart = a.most - a.numbered
+            steep = max(0.3, min(1.0, 1 / apart if apart else INF))
+            factors = [
+                min(b.edge, a.edge),
+                0.01 if b.weight <= SMALL and b.n <= 1 else 1.0,
+                steep * steep if a.numbered >= 3 and a.most >= 6 and a.numbered_top < g.top - 0.2 * g.tall else 1 + (g.tall / height) * (g.tall / height) if g.tall > height / 2 else 1.0,
+                max(1.0, 2 - abs(middle - (g.start + g.end) / 2) / width * 10),
+            ]
+        else:
+            low, high = min(b.lead, a.lead), max(b.trail, a.trail)
+            foot, head = g.start < self.y0 + 0.2 * height, g.end > self.y0 + 0.8 * height
+            note = lambda x: x.numbered >= 1 and x.edge_wide < width / 4
+            size = max(b.size, a.size)
+            factors = [
+                max(b.edge_wide, a.edge_wide) / g.wide * (max(b.wide, a.wide) / g.wide),
+                1 + min(middle - low, high - middle) / max(middle - low, high - middle) if low < middle < high else 1.0,
+                36.0 if (foot and note(b)) or (head and note(a)) else 4.0 if foot or head else 1.0,
+                100.0 if 2 * b.edge >= g.nr and b.size > a.size + 0.5 else 1.0,
+                (100.0 if b.one_left < middle else 1.0) if b.one_left is not None else 0.25 if b.numbered >= 2 or a.numbered >= 2 else 1.0,
+                g.gap / size if g.extent >= 0.99 * width and b.edge_lead < middle < b.edge_trail and b.size >= a.size + 0.5 and g.gap > size else 1.0,
+            ]
+        blank = 10.0 if b.weight < 1 or a.weight < 1 else 1.0
+        return max(0.0, g.extent * g.extent * g.gap * math.prod(factors, start=1.0) * blank)
+
+    def thin_places(self, lines: np.ndarray, box: tuple) -> list[float]:
+        """Where a region without gaps, nearly as wide as the page, has one or two places that at most two lines cross between stretches full of lines (else none).
+
+        Eight lines and weight 100 at once make a stretch full, and a place within a tenth of the page's width of the last one moves it.
+        What follows the last must have four lines and weight 50.
+        """
+        width = self.x1 - self.x0
+        if box[1] - box[0] < 0.8 * width:
+            return []
+        n, span, ix = len(lines), self.wide[lines], self.ix[lines]
+        at, ends = np.concatenate([self.left[lines], self.right[lines]]), np.repeat([0, 1], n)
+        order = np.lexsort((np.tile(ix, 2), np.tile(span, 2), ends, at))[:-1]
+        order = order[at[order] <= self.x0 + width * 5 / 6]
+        signs = 1 - 2 * ends[order]
+        weights = np.cumsum(signs * np.tile(self.weight[lines], 2)[order])
+        places, full, heavy = [], 0, 0.0
+        for x, end, active, weight in zip(at[order].tolist(), ends[order].tolist(), np.cumsum(signs).tolist(), weights.tolist()):
+            full, heavy = max(full, active), max(heavy, weight)
+            if end and active <= 2 and x >= self.x0 + width / 6:
+                if places and x < places[-1] + width / 10:
+                    places[-1] = x
+                elif full >= 8 and heavy >= 100:
+                    places.append(x)
+                full, heavy = 0, 0.0
+        return places if 1 <= len(places) <= 2 and full >= 4 and heavy >= 50 else []
+
+    def parts(self) -> list[np.ndarray]:
+        """The lines of each column, in reading order: a row's upper part and a column's left part come first; of equal scores the first gap cuts, columns before rows, then by place."""
+        done, todo = [], [(np.arange(len(self.ix)), self.box(), 0)]
+        while todo:
+            lines, box, depth = todo.pop()
+            cut = min(((-score, 1 - d, nr, s, e) for d, nr, s, e, score in self.gaps(lines, box)), default=None) if depth < self.deepest else None
+            if cut is None:
+                places = self.thin_places(lines, box) if depth < self.deepest else []
+                of = np.searchsorted(places, self.left[lines])
+                done += [part for k in range(len(places) + 1) if len(part := lines[of == k])]
+                continue
+            _, row, _, s, e = cut
+            first = self.top[lines] > s if row else self.left[lines] < e
+            for part, near in ((lines[~first], False), (lines[first], True)):
+                if row:
+                    to = self.left[part].min(), self.right[part].max(), e if near else box[2], box[3] if near else s
+                else:
+                    to = box[0] if near else e, s if near else box[1], self.bottom[part].min(), self.top[part].max()
+                todo.append((part, to, depth + 1))
+        return done
 
 
 #: Fixed values of the score: weights of small texts, sizes that stand out, and what raises a gap.
 LIGHT, SMALL, LARGE = 100.0, 50.0, 2.0
 
 
-def vetoed():
-    """Whether a gap is none: numbers, marks or leaders before it; single lines or light texts at a page's side; lines of one large heading."""
-    across, b, a = F.col("direction") == 1, lambda c: F.col(f"b_{c}"), lambda c: F.col(f"a_{c}")
-    half = F.greatest(F.lit(2.0), b("n") / 2)
-    list_like = across & ((b("short") >= b("n")) | (b("short") >= half) | (b("marks") >= b("n")) | (b("leaders") >= half) | (b("chars") <= 1))
-    footnotes = (F.col("top_") < F.col("y0") + 0.3 * (F.col("y1") - F.col("y0"))) & b("one_left").isNotNull() & (F.coalesce(a("most"), F.lit(0.0)) <= 4)
-    single = across & (b("edge") <= 1) & (a("edge") <= 1) & ~footnotes
-    width = F.col("x1") - F.col("x0")
-    light = across & (b("weight") <= LIGHT) & (a("weight") <= LIGHT) & ((F.col("start") < F.col("x0") + 0.2 * width) | (F.col("end") > F.col("x0") + 0.8 * width))
-    mid, size, least = (b("size") + a("size")) / 2, F.col("page_size"), F.col("least")
-    stands = lambda by: (b("size") >= size + by) & (a("size") >= size + by)
-    same = (F.abs(b("size") - a("size")) < 0.1) & stands(0.5) & (F.col("gap") < F.greatest(1.3 * mid, 2 * least))
-    title = ~across & (b("main") >= 0.8 * b("weight")) & (a("main") >= 0.8 * a("weight")) & (same | (stands(LARGE) & (F.col("gap") < F.greatest(1.5 * mid, 3 * least))))
-    return list_like | single | light | title
-
-
-def score():
-    """extent squared times gap, times factors for its direction."""
-    b, a = lambda c: F.col(f"b_{c}"), lambda c: F.col(f"a_{c}")
-    width, height, middle = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), (F.col("x0") + F.col("x1")) / 2
-    tall, wide = F.col("top_") - F.col("bottom_"), F.col("right_") - F.col("left_")
-    most = F.coalesce(a("most"), F.lit(0.0))
-    apart = most - a("numbered")
-    steep = F.greatest(F.lit(0.3), F.least(F.lit(1.0), F.when(apart != 0, 1 / apart).otherwise(F.lit(INF))))
-    column = [
-        F.least(b("edge"), a("edge")),
-        F.when((b("weight") <= SMALL) & (b("n") <= 1), 0.01).otherwise(1.0),
-        F.when((a("numbered") >= 3) & (most >= 6) & (F.coalesce(a("numbered_top"), F.lit(0.0)) < F.col("top_") - 0.2 * tall), steep * steep).when(tall > height / 2, 1 + (tall / height) * (tall / height)).otherwise(1.0),
-        F.greatest(F.lit(1.0), 2 - F.abs(middle - (F.col("start") + F.col("end")) / 2) / width * 10),
-    ]
-    low, high = F.least(b("lead"), a("lead")), F.greatest(b("trail"), a("trail"))
-    sides = (middle - low, high - middle)
-    foot, head = F.col("start") < F.col("y0") + 0.2 * height, F.col("end") > F.col("y0") + 0.8 * height
-    note = lambda c: (F.col(f"{c}_numbered") >= 1) & (F.coalesce(F.col(f"{c}_edge_wide"), F.lit(0.0)) < width / 4)
-    size = F.greatest(b("size"), a("size"))
-    row = [
-        F.greatest(F.coalesce(b("edge_wide"), F.lit(0.0)), F.coalesce(a("edge_wide"), F.lit(0.0))) / wide * (F.greatest(b("wide"), a("wide")) / wide),
-        F.when((low < middle) & (high > middle), 1 + F.least(*sides) / F.greatest(*sides)).otherwise(1.0),
-        F.when((foot & note("b")) | (head & note("a")), 36.0).when(foot | head, 4.0).otherwise(1.0),
-        F.when((2 * b("edge") >= F.col("nr")) & (b("size") > a("size") + 0.5), 100.0).otherwise(1.0),
-        F.when(b("one_left").isNotNull(), F.when(b("one_left") < middle, 100.0).otherwise(1.0)).when((b("numbered") >= 2) | (a("numbered") >= 2), 0.25).otherwise(1.0),
-        F.when((F.col("extent") >= 0.99 * width) & (b("edge_lead") < middle) & (b("edge_trail") > middle) & (b("size") >= a("size") + 0.5) & (F.col("gap") > size), F.col("gap") / size).otherwise(1.0),
-    ]
-
-    def product(factors):
-        out = F.lit(1.0)
-        for f in factors:
-            out = out * f
-        return out
-
-    blank = F.when((b("weight") < 1) | (a("weight") < 1), 10.0).otherwise(1.0)
-    return F.greatest(F.lit(0.0), F.col("extent") * F.col("extent") * F.col("gap") * F.when(F.col("direction") == 1, product(column)).otherwise(product(row)) * blank)
+def by_page(lines: DataFrame, pages: DataFrame, use: Callable, schema: str) -> DataFrame:
+    """use(page), as the columns of schema after doc_id and page, for each page of measured lines."""
+    struct = StructType.fromDDL(schema)
 
+    def run(got: pa.Table) -> pa.Table:
+        kind, columns = to_arrow_schema(struct), use(Page(got))
+        n = len(columns[0])
+        return pa.table([pa.array([got[c][0].as_py()] * n, kind.field(c).type) for c in ("doc_id", "page")] + [pa.array(x, f.type) for x, f in zip(columns, list(kind)[2:])], schema=kind)
 
-def scored_gaps(swept: DataFrame) -> DataFrame:
-    """The gaps of all regions that no rule forbids, with their scores."""
-    of = swept.groupBy(*REGION).agg(*[F.first(c).alias(c) for c in ("x0", "x1", "y0", "y1", "page_size", "left_", "right_", "top_", "bottom_")])
-    g = gaps(swept)
-    both = g.join(beside(g, swept, True), [*REGION, "direction", "nr"]).join(beside(g, swept, False), [*REGION, "direction", "nr"]).join(of, REGION)
-    return both.where(~vetoed()).select(*REGION, "direction", "nr", "start", "end", score().alias("score"))
+    return measured(lines, pages).groupBy("doc_id", "page").applyInArrow(run, schema)
 
 
-def whole_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """The lines, measured, in one region a page."""
-    return measured(lines, pages).withColumn("region", F.lit("")).withColumn("left_", F.col("x0")).withColumn("right_", F.col("x1")).withColumn("bottom_", F.col("y0")).withColumn("top_", F.col("y1"))
+def scored_gaps(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """The gaps of whole pages that no rule forbids, with their scores."""
 
+    def use(page: Page) -> list:
+        return list(zip(*page.gaps(np.arange(len(page.ix)), page.box()))) or [[]] * 5
 
-def thin_places(swept: DataFrame) -> DataFrame:
-    """Where a region without gaps, nearly as wide as the page, has one or two places that at most two lines cross between stretches full of lines: region, places (list of x).
-
-    One fold over a region's events in order, in an array: eight lines and weight 100 at once make a stretch full, and a place within
-    a tenth of the page's width of the last one moves it. What follows the last must have four lines and weight 50.
-    """
-    wide = F.col("x1") - F.col("x0")
-    of = swept.where((F.col("direction") == 1) & (F.col("right_") - F.col("left_") >= 0.8 * wide)).withColumn("last", F.max("nr").over(Window.partitionBy(*REGION)))
-    seen = of.where((F.col("nr") < F.col("last")) & (F.col("at") <= F.col("x0") + wide * 5 / 6)).groupBy(*REGION).agg(F.array_sort(F.collect_list(F.struct("nr", "at", "ends", "active", "weight"))).alias("events"), F.first("x0").alias("x0"), F.first(wide).alias("wide"))
-    zero = F.expr("struct(0.0D AS weight, 0L AS lines, 0.0D AS heavy, cast(array() AS array<double>) AS places)")
-
-    def step(acc, e):
-        weight = acc["weight"] + e["weight"] * (1 - 2 * e["ends"])
-        lines, heavy = F.greatest(acc["lines"], e["active"]), F.greatest(acc["heavy"], weight)
-        last = F.try_element_at(acc["places"], F.lit(-1))
-        place = (e["ends"] == 1) & (e["active"] <= 2) & (e["at"] >= F.col("x0") + F.col("wide") / 6)
-        moved = last.isNotNull() & (e["at"] < last + F.col("wide") / 10)
-        places = F.when(moved, F.concat(F.slice(acc["places"], 1, F.size(acc["places"]) - 1), F.array(e["at"]))).when((lines >= 8) & (heavy >= 100), F.concat(acc["places"], F.array(e["at"]))).otherwise(acc["places"])
-        return F.struct(weight.alias("weight"), F.when(place, 0).otherwise(lines).cast("long").alias("lines"), F.when(place, 0.0).otherwise(heavy).alias("heavy"), F.when(place, places).otherwise(acc["places"]).alias("places"))
-
-    out = seen.select(*REGION, F.aggregate("events", zero, step).alias("f")).select(*REGION, "f.*")
-    return out.where("size(places) BETWEEN 1 AND 2 AND lines >= 4 AND heavy >= 50").select(*REGION, "places")
+    return by_page(lines, pages, use, "doc_id long, page int, direction int, nr int, start double, end double, score double")
 
 
 def columns(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, page, ix, column (from 0, in reading order) for each line of some area.
 
-    A level sweeps all open regions of all pages together; each is cut at its best gap (of equal scores the first: columns before rows,
-    then by place). A row's upper part and a column's left part come first. Regions without a gap close; the widest of them are cut at
-    thin places. There are as many levels as the deepest page needs; each is kept, so plans do not grow.
+    A page is cut at its best gap, and each part again; regions without a gap close, and the widest of them are cut at thin places. Lines
+    are dealt out once, by page, however many levels a page has.
     """
-    done, open_, depth = None, kept(whole_pages(lines, pages)), 0
-    while not open_.isEmpty():
-        live = open_.where(F.col("deepest") > depth)
-        swept = kept(events(live))
-        best = scored_gaps(swept).groupBy(*REGION).agg(F.min(F.struct((-F.col("score")).alias("s"), (1 - F.col("direction")).alias("d"), "nr", "start", "end")).alias("cut"))
-        thin = thin_places(swept)
-        cut = kept(open_.join(best, REGION, "left").join(thin, REGION, "left"))
-        split = cut.where("cut is not null")
-        rows = F.col("cut.d") == 1
-        first = F.when(rows, F.col("top") > F.col("cut.start")).otherwise(F.col("left") < F.col("cut.end"))
-        split = split.withColumn("region", F.concat("region", F.when(first, "0").otherwise("1")))
-        part = Window.partitionBy(*REGION)
-        s, e = F.col("cut.start"), F.col("cut.end")
-        box = {
-            "left_": F.when(rows, F.min("left").over(part)).when(first, F.col("left_")).otherwise(e), "right_": F.when(rows, F.max("right").over(part)).when(first, s).otherwise(F.col("right_")),
-            "top_": F.when(~rows, F.max("top").over(part)).when(first, F.col("top_")).otherwise(s), "bottom_": F.when(~rows, F.min("bottom").over(part)).when(first, e).otherwise(F.col("bottom_")),
-        }
-        closed = cut.where("cut is null").withColumn("region", F.concat("region", F.when(F.col("places").isNotNull() & (F.col("deepest") > depth), F.size(F.filter("places", lambda p: F.col("left") > p)).cast("string")).otherwise("")))
-        closed = closed.select("doc_id", "page", "ix", "region")
-        done = closed if done is None else done.unionByName(closed)
-        open_, depth = kept(split.select(*[c for c in open_.columns if c not in box], *[v.alias(c) for c, v in box.items()])), depth + 1
-    if done is None:
-        return lines.sparkSession.createDataFrame([], "doc_id long, page int, ix long, column int")
-    return done.select("doc_id", "page", "ix", (F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("region")) - 1).cast("int").alias("column"))
+
+    def use(page: Page) -> list:
+        parts = page.parts()
+        return [page.ix[np.concatenate(parts)], np.repeat(np.arange(len(parts)), [len(x) for x in parts])]
+
+    return by_page(lines, pages, use, "doc_id long, page int, ix long, column int")

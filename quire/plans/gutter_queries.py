@@ -35,8 +35,7 @@ GUTTERS = rf""", m0 AS (SELECT *, length(text) AS chars, len(regexp_extract_all(
 
 
 def gutter_scores(spark, d):
-    lines = gutters.whole_pages(inputs.column_lines(spark, d), inputs.column_pages(spark, d))
-    return gutters.scored_gaps(gutters.events(lines)).select("doc_id", "page", "direction", "nr", F.round("score", 3).alias("score"))
+    return gutters.scored_gaps(inputs.column_lines(spark, d), inputs.column_pages(spark, d)).select("doc_id", "page", "direction", "nr", F.round("score", 3).alias("score"))
 
 
 def page_columns(spark, d):

@@ -155,3 +155,17 @@ def test_no_lines_and_one_line(spark):
     pages = spark.createDataFrame([(1, 1, 10.0, 12.0, 5.0)], PAGES)
     assert [tuple(r) for r in gutters.columns(one, pages).collect()] == [(1, 1, 0, 0)]
     assert gutters.columns(one.limit(0), pages).collect() == []
+
+
+def test_columns_deal_lines_out_once(spark):
+    """However many levels a page has, its columns start as few jobs as those of a page of one line."""
+    pages = spark.createDataFrame([(1, 1, 10.0, 12.0, 5.0)], PAGES)
+
+    def jobs(n):
+        rows = [(1, 1, i, 40.0 + 300 * (i % 2), 300.0 + 300 * (i % 2), 780.0 - 40 * (i // 2), 770.0 - 40 * (i // 2), "words of a line that runs on", 10.0) for i in range(n)]
+        spark.sparkContext.setJobGroup(group := f"columns of {n}", group)
+        got = gutters.columns(spark.createDataFrame(rows, LINES), pages).collect()
+        return max(x["column"] for x in got), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    one, many = jobs(1), jobs(24)
+    assert many[0] > 1 and many[1] <= one[1] + 2
