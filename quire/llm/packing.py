@@ -16,13 +16,16 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 MERGED = 128
 
 
-def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None, most: int = 100_000):
+#: Characters of white space in a row from which a text goes to the tokenizer: the regular expression of the ranks keeps a state for each.
+BLANKS = 4096
+
+
+def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None):
     """A function from a text to its ids as little-endian unsigned 32-bit bytes: those of the tokenizer in tokenizer_path.
 
-    ranks_path holds the same vocabulary as ranks, from which the same ids come in a third of the time; a text with a special token
-    goes to the tokenizer itself, which is made for the first such text. The pre-tokeniser never joins a visible character to a blank or line break that follows, so a text
-    is cut there, and the ids of short pieces are kept (`most` of them at once, then the store starts afresh). A text in which white
-    space precedes a blank or ends the text is encoded whole.
+    ranks_path holds the same vocabulary as ranks, from which the same ids come in a fraction of the time and without a store of
+    pieces: texts have too many different ones for a store of bounded size. A text with a special token, or with BLANKS characters of
+    white space in a row, goes to the tokenizer itself, which is made for the first such text.
     """
     import base64
     import json
@@ -38,11 +41,10 @@ def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None,
     whole = cache(lambda: Tokenizer.from_file(path))
     with open(path, encoding="utf-8") as f:
         special = re.compile("|".join(re.escape(x["content"]) for x in json.load(f)["added_tokens"]) or "(?!)")
+    blanks = re.compile(rf"\s{{{BLANKS}}}")
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-    odd = re.compile(r"\s[ \n]|\s\Z")
-    pieces = re.compile(r"[ \n]?[^\W_]+(?=[.,&%#$*!|;:? \n]|\Z)|[ \n]?[.,&%#$*!|;:?]+(?=[ \n]|\Z)|[ \n]?[^ \n]+").findall
 
     def packed(ids: list[int]) -> bytes:
         out = array("I", ids)
@@ -50,24 +52,10 @@ def piecewise(tokenizer_path: str | None = None, ranks_path: str | None = None,
             out.byteswap()
         return out.tobytes()
 
-    class Kept(dict):
-        def __missing__(self, piece: str) -> bytes:
-            word = piece[1:] if piece[0] == " " else piece
-            out = packed(core.encode_single_piece(piece.encode()) if word.isalpha() else core.encode_ordinary(piece))
-            if len(piece) <= 40:
-                self[piece] = out
-            return out
-
-    kept = Kept()
-
     def ids(text: str) -> bytes:
-        if special.search(text):
-            return packed(whole().encode(text, add_special_tokens=False).ids)
-        if odd.search(text):
-            return packed(core.encode_ordinary(text))
-        if len(kept) > most:
-            kept.clear()
-        return b"".join(map(kept.__getitem__, pieces(text)))
+        # A run of BLANKS characters reaches one of these places.
+        long = any(map(str.isspace, text[BLANKS - 1 :: BLANKS])) and blanks.search(text)
+        return packed(whole().encode(text, add_special_tokens=False).ids if long or special.search(text) else core.encode_ordinary(text))
 
     return ids
 

@@ -280,3 +280,14 @@ def test_packing_makes_no_tokenizer_for_texts_without_special_tokens(monkeypatch
     ids = packing.piecewise()
     assert ids("plain words, and more") and not made
     assert ids("a <|endoftext|> b") and ids("c <|endoftext|>") and len(made) == 1
+
+
+def test_packing_of_long_white_space_and_without_a_store_of_pieces():
+    import public_tokenizers
+    from array import array
+    from tokenizers import Tokenizer
+
+    tok, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.piecewise()
+    texts = [" " * 300_000 + "a", "x" + "\n" * 4095 + "y", "x" + "\t" * 4096, "a " * 9000, "a\u2003 b", " a", "", "it's 3,50 – é\r\n\r\n x  "]
+    assert [ids(t) for t in texts] == [array("I", tok.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert not [c for c in ids.__closure__ if isinstance(c.cell_contents, dict)]
