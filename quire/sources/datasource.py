@@ -46,15 +46,22 @@ class SpanReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(at, recursive=True))
         return sorted((f.path, f.size) for f in found if f.is_file and f.path.rsplit(".", 1)[-1] in ("json", "jsonl") and not f.base_name.startswith((".", "_")))
 
-    def opened(self, path: str) -> bytes:
+    def opened(self, path: str):
+        """The file as a binary stream; another reader may give its bytes."""
+        import io
+
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.root)
-        with store.open_input_stream(path) as f:
-            return f.read()
+        return io.BufferedReader(store.open_input_file(path), 1 << 20)
+
+    def pages(self, raw):
+        """Page objects of a dump (a stream or bytes): lines of pages, a list, or one object with them in `data`. What is no JSON is left out.
 
-    def pages(self, raw: bytes):
-        """Page objects of a dump: lines of pages, a list, or one object with them in `data`. What is no JSON is left out."""
+        Lines are read one at a time, and no more than one page is held. Only a file whose first line is the beginning of a list or an
+        object, and no value for itself, is read whole, as one value.
+        """
+        import io
         import json
 
         def told(text):
@@ -63,9 +70,35 @@ class SpanReader(DataSourceReader):
             except ValueError:
                 return None
 
-        whole = told(raw)
-        of = whole.get("data", [whole]) if isinstance(whole, dict) else whole if isinstance(whole, list) else [told(line) for line in raw.splitlines()]
-        return (p for p in of if isinstance(p, dict) and isinstance(p.get("spans"), list))
+        def within(whole):
+            return whole.get("data", [whole]) if isinstance(whole, dict) else whole if isinstance(whole, list) else []
+
+        def lines_of(stream):
+            stream.seek(0)
+            return (line for block in stream for line in block.splitlines() if line.strip(b" \t\r\n"))
+
+        def values(stream):
+            first = next(lines := lines_of(stream), b"")
+            value = told(first)
+            if value is None and first.lstrip(b" \t")[:1] in (b"[", b"{", b"\0", b"\xef", b"\xfe", b"\xff"):
+                stream.seek(0)
+                whole = told(stream.read())
+                if isinstance(whole, (dict, list)):
+                    yield from within(whole)
+                    return
+                next(lines := lines_of(stream))
+            second = next(lines, None)
+            if second is None:  # the file is this value
+                yield from within(value)
+                return
+            yield value
+            yield told(second)
+            yield from map(told, lines)
+
+        with io.BytesIO(raw) if isinstance(raw, bytes) else raw as stream:
+            for p in values(stream):
+                if isinstance(p, dict) and isinstance(p.get("spans"), list):
+                    yield p
 
     def partitions(self):
         parts, held, size = [], [], 0
@@ -84,6 +117,12 @@ class SpanReader(DataSourceReader):
         kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
         schema, rows = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in COLUMNS.split(", ")]), []
         number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+
+        def told():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows.clear()
+            return batch
+
         for path in partition.paths:
             for page in self.pages(self.opened(path)):
                 if not self.passes("page", page.get("page")):
@@ -91,11 +130,10 @@ class SpanReader(DataSourceReader):
                 for ix, s in enumerate(x for x in page["spans"] if isinstance(x, dict)):
                     box = [*(number(v) for v in (s.get("bbox") or [])), None, None, None, None][:4]
                     rows.append((path, page.get("page"), ix, *box, s.get("text"), s.get("font_name"), number(s.get("font_size")), bool(s.get("bold")), bool(s.get("italic")), number(s.get("skew"))))
-                if len(rows) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
+                    if len(rows) >= BATCH_ROWS:
+                        yield told()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield told()
 
 
 class SpanDumps(DataSource):

@@ -61,3 +61,38 @@ def test_another_reader(spark, dumps):
 def test_an_empty_folder(spark, tmp_path):
     datasource.register(spark)
     assert spark.read.format("span_dumps").load(f"file://{tmp_path}").count() == 0
+
+
+def test_lines_are_read_one_at_a_time(tmp_path):
+    """Of a file of lines no more than a few pages are held at once; a batch has no more rows than BATCH_ROWS."""
+    import tracemalloc
+
+    page = json.dumps({"page": 1, "spans": [{"bbox": [1, 2, 3, 4], "text": f"t{i}"} for i in range(500)]})
+    (tmp_path / "a.jsonl").write_text("\n".join([page] * 200))
+    (tmp_path / "b.jsonl").write_text(json.dumps({"page": 2, "spans": [{"text": "x"}] * (2 * datasource.BATCH_ROWS + 5)}))
+    reader = datasource.SpanReader({"path": f"file://{tmp_path}"})
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    sizes = [b.num_rows for b in reader.read(part)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 200 * 500 + 2 * datasource.BATCH_ROWS + 5 and max(sizes) == datasource.BATCH_ROWS
+    assert most < 30e6, most
+
+
+@pytest.mark.parametrize("text, pages", [
+    ('[\n{"page": 1, "spans": []},\n{"page": 2, "spans": []}\n]', [1, 2]),
+    ('{\n"data": [{"page": 3, "spans": []}]}\n', [3]),
+    ('\n \n{"data": [{"page": 4, "spans": []}]}\n\n', [4]),
+    ('{"page": 5, "spans\n{"page": 6, "spans": []}\n{"page": 7, "spans": []}', [6, 7]),
+    ('{"data": [{"page": 8, "spans": []}]}\n{"page": 9, "spans": []}', [9]),
+    ('null\n{"page": 10, "spans": []}\r{"page": 11, "spans": []}\r\n', [10, 11]),
+    ("no json\n[1]\n", []), ("", []), ("\n\n", []),
+])
+def test_kinds_of_files(tmp_path, text, pages):
+    (tmp_path / "a.json").write_bytes(text.encode())
+    (tmp_path / "b.json").write_bytes(text.encode("utf-16") if text.startswith(("[", "{\n")) else b"")
+    reader = datasource.SpanReader({"path": f"file://{tmp_path}"})
+    assert [p["page"] for p in reader.pages(reader.opened(f"{tmp_path}/a.json"))] == pages
+    assert [p["page"] for p in reader.pages(text.encode())] == pages
+    assert [p["page"] for p in reader.pages(reader.opened(f"{tmp_path}/b.json"))] == (pages if text.startswith(("[", "{\n")) else [])
