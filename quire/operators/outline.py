@@ -52,18 +52,19 @@ def tree(entries: DataFrame, pages: DataFrame, deepest: int = 10) -> DataFrame:
 
     The parent is the last entry before with a smaller level: the largest, over smaller levels, of their last positions, each a
     running maximum, so no self-join is needed. An entry ends where the next one of its level or above starts (shared), the last
-    one with the document.
+    one with the document. Entries that have n_pages already, in order, are neither joined nor sorted again.
     """
     w = Window.partitionBy("doc_id").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     # A running frame over the order turned round: each row is added once.
     after = Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    e = entries.join(pages, "doc_id")
+    e = entries if "n_pages" in entries.columns else entries.join(pages, "doc_id")
     last = [F.max(F.when(F.col("level") == k, F.col("ord"))).over(before) for k in range(1, deepest)]
     nxt = [F.min(F.when(F.col("level") == k, F.struct("ord", "page"))).over(after) for k in range(1, deepest + 1)]
     parent = F.coalesce(*[F.when(F.col("level") == k, F.greatest(*last[: k - 1], F.lit(None).cast("int"))) for k in range(2, deepest + 1)])
     follow = F.coalesce(*[F.when(F.col("level") == k, F.least(*nxt[:k], F.lit(None).cast("struct<ord:int,page:int>"))) for k in range(1, deepest + 1)])
-    out = e.withColumn("parent_ord", parent).withColumn("_f", follow).withColumn("_n", F.row_number().over(w) - 1)
+    # What is told in one order comes first: going back to it would sort the rows once more.
+    out = e.withColumn("parent_ord", parent).withColumn("_n", F.row_number().over(w) - 1).withColumn("_f", follow)
     out = out.select("doc_id", "ord", "parent_ord", "level", "title", F.col("page").alias("start_page"), F.greatest(F.col("page"), F.coalesce(F.col("_f.page"), F.col("n_pages"))).alias("end_page"), F.format_string("%04d", "_n").alias("node_id"))
     return out
 

@@ -29,7 +29,7 @@ def query(oracle=None):
 def nodes_of(spark, d):
     """The tree of valid bookmarks."""
     n = inputs.doc_pages(spark, d)
-    return outline.tree(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3).drop("n_pages"), n, deepest=3)
+    return outline.tree(outline.valid_bookmarks(inputs.bookmarks(spark, d), n, 3), n, deepest=3)
 
 
 def wanted_of(spark, d):

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -269,3 +270,15 @@ def test_scalars(spark):
     assert one(S.is_phrase(F.col("t"), p), t="Annex (A)") and not one(S.is_phrase(F.col("t"), p), t="tables") and one(S.starts_with_phrase(F.col("t"), p), t="Table 3") and one(S.earliest_phrase(F.col("t"), p), t="none") is None
     span = lambda t, a, b: F.struct(F.lit(t).alias("text"), F.lit(a).alias("top"), F.lit(b).alias("bottom"))
     assert one(S.raised_number(span("3", 12.0, 8.0), span("Note", 10.0, 2.0))) and not one(S.raised_number(span("x", 12.0, 8.0), span("Note", 10.0, 2.0)))
+
+
+def test_a_tree_sorts_its_entries_once_a_direction(spark):
+    """Entries that come with n_pages are not joined to it again, and nothing goes back to an order left before."""
+    rows = [(d, o, f"t{o}", 1 + (o * d) % 3, min(9, 1 + o)) for d in (1, 2) for o in range(6)]
+    e, pages = spark.createDataFrame(rows, "doc_id long, ord int, title string, level int, page int"), spark.createDataFrame([(1, 9), (2, 9)], "doc_id long, n_pages int")
+    with_pages = outline.valid_bookmarks(e, pages)
+    got = outline.tree(with_pages, pages)
+    assert sorted(got.collect()) == sorted(outline.tree(with_pages.drop("n_pages"), pages).collect()) and got.count() == 12
+    dealt = e.join(pages, "doc_id").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    plan = outline.tree(dealt, pages)._jdf.queryExecution().executedPlan().toString()
+    assert [len(re.findall(rf"Sort \[doc_id#\d+L ASC NULLS FIRST, ord#\d+ {way}", plan)) for way in ("ASC", "DESC")] == [1, 1]
