@@ -79,12 +79,15 @@ def placed_pages(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def smallest_containing(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each (doc_id, page) wanted, the node that holds it with the fewest pages, then the deepest, then the first.
 
-    Nodes are told by page, so the join is by document and page: a document of many pages is many keys, not one.
+    The wanted pages of a document meet its nodes as one array, so both are dealt out by document, as the tree is already, and only
+    pages inside a node become rows: a node of many pages is one row, whatever it spans.
     """
-    by_page = nodes.select("doc_id", "ord", "level", "start_page", "end_page", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    inside = wanted.join(by_page, ["doc_id", "page"])
+    pages = wanted.groupBy("doc_id").agg(F.collect_set("page").alias("_pages"))
+    within = F.filter("_pages", lambda p: p.between(F.col("start_page"), F.col("end_page")))
+    inside = nodes.join(pages, "doc_id").select("doc_id", "ord", "level", "start_page", "end_page", F.explode(within).alias("page"))
     key = F.struct((F.col("end_page") - F.col("start_page")).alias("a"), (-F.col("level")).alias("b"), F.col("ord").alias("c"))
-    return inside.groupBy("doc_id", "page").agg(F.min_by("ord", key).alias("ord"), F.min(F.col("end_page") - F.col("start_page") + 1).alias("n_pages"))
+    best = inside.groupBy("doc_id", "page").agg(F.min(key).alias("k"))
+    return best.select("doc_id", "page", F.col("k.c").alias("ord"), (F.col("k.a") + 1).alias("n_pages"))
 
 
 def outline_gate(nodes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -282,3 +282,16 @@ def test_a_tree_sorts_its_entries_once_a_direction(spark):
     dealt = e.join(pages, "doc_id").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
     plan = outline.tree(dealt, pages)._jdf.queryExecution().executedPlan().toString()
     assert [len(re.findall(rf"Sort \[doc_id#\d+L ASC NULLS FIRST, ord#\d+ {way}", plan)) for way in ("ASC", "DESC")] == [1, 1]
+
+
+def test_the_smallest_node_of_a_page_whatever_nodes_span(spark):
+    rows = [(d, o, 1 + o % 3, a, b) for d, o, p, t, a, b in random_trees(60, 8)] + [(900, 0, 1, 1, 2_147_483_640), (900, 1, 2, 7, 7), (900, 2, 2, 7, 7)]
+    nodes = spark.createDataFrame(rows, "doc_id long, ord int, level int, start_page int, end_page int")
+    asked = [(d, p) for d in range(60) for p in range(0, 22, 3)] + [(900, 7), (900, 2_000_000_000), (900, 7), (901, 1)]
+    want = set()
+    for d, p in asked:
+        held = min(((b - a, -level, o) for doc, o, level, a, b in rows if doc == d and a <= p <= b), default=None)
+        if held:
+            want.add((d, p, held[2], held[0] + 1))
+    got = outline.smallest_containing(nodes, spark.createDataFrame(asked, "doc_id long, page int")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
