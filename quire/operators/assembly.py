@@ -94,6 +94,23 @@ def nearby_duplicates(candidates: DataFrame, pages: int = NEARBY) -> DataFrame:
     return signed.withColumn("gap", F.col("page") - F.lag("page").over(w)).where(F.col("gap") < pages).select("doc_id", "ord")
 
 
+def without_duplicates(candidates: DataFrame, pages: int = NEARBY) -> DataFrame:
+    """candidates without nearby_duplicates, by windows of a document alone."""
+    w = Window.partitionBy("doc_id", S.heading_signature(F.col("kind"), F.col("numbering"), F.col("title"))).orderBy("ord")
+    again = F.coalesce((F.col("page") - F.lag("page").over(w) < pages) & F.col("doc_id").isNotNull() & F.col("ord").isNotNull(), F.lit(False))
+    marked = candidates.withColumn("_again", again).withColumn("_again", F.max("_again").over(Window.partitionBy("doc_id", "ord")))
+    return marked.where(~F.col("_again")).drop("_again")
+
+
+def with_clique(candidates: DataFrame, keywords=(5, 6, 7, 11)) -> DataFrame:
+    """candidates with `clique`, the style that keyword_clique says or null, by windows of a document alone."""
+    by, of = F.col("kind").isin(*keywords), Window.partitionBy("doc_id")
+    alike = Window.partitionBy("doc_id", "style")
+    counted = candidates.withColumn("_n", F.count(F.when(by, 1)).over(alike)).withColumn("_o", F.min(F.when(by, F.col("ord"))).over(alike))
+    told = counted.withColumn("_t", F.max_by(F.struct("style", "_n"), F.when(F.col("_n") > 0, F.struct("_n", -F.col("_o")))).over(of))
+    return told.withColumn("clique", F.when((F.col("_t._n") > 1) & F.col("doc_id").isNotNull(), F.col("_t.style"))).drop("_n", "_o", "_t")
+
+
 def recurring_styles(candidates: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, style, n, pages: styles that so many unnumbered candidates of a document share, over how many pages."""
     return candidates.where(F.size("numbering") == 0).groupBy("doc_id", "style").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("pages")).where(F.col("n") >= least)
@@ -203,40 +220,41 @@ def leading_keywords(rows, chosen: Chosen):
 
 
 COLUMNS = ("doc_id", "ord", "page", "y_frac", "kind", "numbering", "prominent", "title", "style", "size", "score", "caps", "centred", "italic", "bold", "at_top", "body")
-OUTLINE = "doc_id long, ord int, parent_ord int, level int, title string, page int, y_frac double, kind int, prominent boolean, at_top boolean"
+OUTLINE = "doc_id long, ord int, parent_ord int, level int, title string, page int, y_frac double, kind int, prominent boolean, at_top boolean, up array<int>"
 
 
 def assembled(candidates: DataFrame) -> DataFrame:
-    """doc_id, ord, parent_ord, level, title, page, y_frac, kind, prominent, at_top of the headings that an outline keeps.
+    """doc_id, ord, parent_ord, level, title, page, y_frac, kind, prominent, at_top, up of the headings that an outline keeps; up: the ords above it, down to its parent, from the last one under an untitled heading.
 
     Near duplicates go first. Then the candidates of a document are read in order: those that fit what was chosen before are added, and
     nest under the nearest open heading that is shallower, DEEPEST levels at most. An outline needs a prominent heading, or candidates
-    on more than one page; leading keywords stand at the top.
+    on more than one page; leading keywords stand at the top. What a candidate's document says of it is windows by document, so rows
+    are dealt out once; the outline is computed once for all that read it.
     """
-    c = candidates.select(*COLUMNS).join(nearby_duplicates(candidates), ["doc_id", "ord"], "left_anti")
-    c = c.join(keyword_clique(c).select("doc_id", F.col("style").alias("clique")), "doc_id", "left")
+    c = with_clique(without_duplicates(candidates.select(*COLUMNS)))
 
     def fold(rows):
         if not any(r.prominent for r in rows) and rows[-1].page <= rows[0].page:
             return []
-        chosen, path, kept = Chosen(rows), Path(), []
+        chosen, path, chosen_rows = Chosen(rows), Path(), []
         leading, read = leading_keywords(rows, chosen)
-        kept += [(r, None) for r in leading]
+        chosen_rows += [(r, None) for r in leading]
         for r in rows[read:]:
             if not chosen.rejects(r):
                 chosen.add(r)
                 parent = path.parent(r)
                 del path.open[DEEPEST - 1 :]
                 path.push(r)
-                kept.append((r, parent))
-        level, out = {}, []
-        for r, parent in kept:
+                chosen_rows.append((r, parent))
+        level, up, out = {}, {}, []
+        for r, parent in chosen_rows:
             level[r.ord] = 1 if parent is None else level[parent.ord] + 1
-            out.append((r.doc_id, r.ord, None if parent is None else parent.ord, level[r.ord], r.title, r.page, r.y_frac, r.kind, r.prominent, r.at_top))
+            up[r.ord] = [] if parent is None or not (parent.title or "").strip(" ") else [*up[parent.ord], parent.ord]
+            out.append((r.doc_id, r.ord, None if parent is None else parent.ord, level[r.ord], r.title, r.page, r.y_frac, r.kind, r.prominent, r.at_top, up[r.ord]))
         return out
 
     ints = c.withColumn("numbering", F.coalesce(F.col("numbering").cast("array<int>"), F.expr("cast(array() as array<int>)"))).withColumn("ord", F.col("ord").cast("int"))
-    return by_group(ranked(ints).withColumn("rank", F.array("rank.*")), ["doc_id"], ["ord"], fold, OUTLINE)
+    return kept(by_group(ranked(ints).withColumn("rank", F.array("rank.*")), ["doc_id"], ["ord"], fold, OUTLINE))
 
 
 def sections(outline: DataFrame, pages: DataFrame) -> DataFrame:
@@ -249,11 +267,15 @@ def sections(outline: DataFrame, pages: DataFrame) -> DataFrame:
     o = outline.where("trim(coalesce(title, '')) <> ''").join(pages.select("doc_id", "n_pages"), "doc_id")
     following = F.lead(F.when(F.col("at_top"), F.col("page") - 1).otherwise(F.col("page"))).over(w)
     o = o.withColumn("end", F.greatest(F.col("page"), F.coalesce(following, F.col("n_pages")).cast("int"))).withColumn("n", F.row_number().over(w) - 1)
-    there = o.select("doc_id", F.col("ord").alias("parent_ord"), F.lit(True).alias("there"))
-    o = o.join(there, ["doc_id", "parent_ord"], "left").withColumn("parent_ord", F.when(F.col("there"), F.col("parent_ord")))
-    up = kept(trees.with_ancestors(kept(o.select("doc_id", F.col("ord").cast("int").alias("id"), F.col("parent_ord").cast("int").alias("parent"), "level", "title", "page", "end", "n")), []))
-    below = up.select("doc_id", "end", F.explode(F.concat(F.transform("up", lambda x: x["id"]), F.array("id"))).alias("id")).groupBy("doc_id", "id").agg(F.max("end").alias("end_page"))
-    return up.join(below, ["doc_id", "id"]).select("doc_id", F.col("id").alias("ord"), F.col("parent").alias("parent_ord"), "level", F.format_string("%04d", "n").alias("node_id"), F.trim("title").alias("title"), F.col("page").alias("start_page"), "end_page")
+    if "up" in outline.columns:
+        o = o.select("doc_id", F.col("ord").alias("id"), F.when(F.size("up") > 0, F.col("parent_ord")).alias("parent"), "level", "title", "page", "end", "n", "up")
+    else:
+        there = o.select("doc_id", F.col("ord").alias("parent_ord"), F.lit(True).alias("there"))
+        o = o.join(there, ["doc_id", "parent_ord"], "left").withColumn("parent_ord", F.when(F.col("there"), F.col("parent_ord")))
+        o = kept(trees.with_ancestors(kept(o.select("doc_id", F.col("ord").cast("int").alias("id"), F.col("parent_ord").cast("int").alias("parent"), "level", "title", "page", "end", "n")), []))
+        o = o.withColumn("up", F.transform("up", lambda x: x["id"]))
+    below = o.withColumn("at", F.explode(F.concat("up", F.array("id")))).withColumn("end_page", F.max("end").over(Window.partitionBy("doc_id", "at"))).where("at = id")
+    return below.select("doc_id", F.col("id").alias("ord"), F.col("parent").alias("parent_ord"), "level", F.format_string("%04d", "n").alias("node_id"), F.trim("title").alias("title"), F.col("page").alias("start_page"), "end_page")
 
 
 def gates(outline: DataFrame, pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import scalars as S
 from quire.functions import text as T
 from quire.operators import assembly, bookmarks, merging, optimizer, outline, retrieval, triage
+from quire.operators.grouped import values
 
 NODES = "doc_id long, ord int, parent_ord int, title string, start_page int, end_page int"
 
@@ -195,6 +197,28 @@ def test_outline_of_numbered_chapters(spark):
     assert (g["tops"], g["valid"], g["chapters"], g["chaptered"], g["kept"]) == (3, False, 2, False, True)
 
 
+def test_an_outline_is_computed_once_and_read_without_rounds_of_joins(spark):
+    rows = [candidate(0, 1, 8, "Chapter 1", prominent=True, score=16.0), candidate(1, 2, 1, "  ", (1,)), candidate(2, 2, 1, "Scope", (1, 1)), candidate(3, 9, 1, "Terms", (1, 1, 1)), candidate(4, 9, 1, "Uses", (2,)), candidate(5, 5, 1, "Uses", (2,))]
+    rows += [(2, *r[1:]) for r in rows[2:]] + [(None, *r[1:]) for r in rows]
+    df = spark.createDataFrame(rows, KINDS)
+    out, pages = assembly.assembled(df), spark.createDataFrame([(1, 10), (2, 12)], "doc_id long, n_pages int")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan(assembly.gates(out, pages)) + plan(assembly.sections(out, pages))
+    assert sorted(assembly.sections(out, pages).collect()) == sorted(assembly.sections(out.drop("up"), pages).collect()) != []
+    kept = df.join(assembly.nearby_duplicates(df), ["doc_id", "ord"], "left_anti")
+    told = kept.join(assembly.keyword_clique(kept, (1, 8)).select("doc_id", F.col("style").alias("clique")), "doc_id", "left").select("doc_id", "ord", "clique")
+    fast = assembly.with_clique(assembly.without_duplicates(df), (1, 8)).select("doc_id", "ord", "clique")
+    assert sorted(map(str, fast.collect())) == sorted(map(str, told.collect()))
+
+
+def test_values_of_arrow_columns():
+    columns = [pa.array([1, None, 3]), pa.array([1.5, None, math.inf]), pa.array([True, None, False]), pa.array(["a", None, "é"]), pa.array([[1.0, None], None, []]), pa.array([["x"], [None], None]), pa.array([{"a": 1}, None, {"a": 2}]), pa.array([2**53 + 1, 2**62, None]), pa.array([1, 2, 3], pa.int32())]
+    for c in columns:
+        for part in (c, c.slice(1), c.slice(2, 1), c.slice(0, 0)):
+            got = values(part)
+            assert got == part.to_pylist() and [type(x) for x in got] == [type(x) for x in part.to_pylist()]
+
+
 def test_which_heading_is_shallower(spark):
     r = random.Random(4)
     rows = [candidate(i, 1, r.choice([0, 1, 2, 4, 5, 8]), "t", [1] * r.randint(0, 3), size=r.choice([10.0, 12.0]), score=r.choice([10.0, 11.0, 13.0]), caps=r.random() < 0.5, centred=r.random() < 0.5, italic=r.choice([0.0, 1.0]), bold=r.choice([0.0, 1.0]), style=r.choice("ab")) for i in range(150)]
