@@ -259,16 +259,19 @@ def table_rows_of_tokens(c):
     return F.filter(F.transform(F.split(c, "<nl>"), lambda row: F.transform(cells(row), text)), lambda row: F.size(row) > 0)
 
 
-def table_of_tokens(c):
-    """A reply of cell tokens as a Markdown table whose first row is the head, rows filled up to the widest; null where no cell has text."""
-    rows = table_rows_of_tokens(c)
-    wide = F.array_max(F.transform(rows, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), wide), "|"), F.lit("|"))
-    table = F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
+def table_of_rows(rows):
+    """Rows of a table (arrays of texts) as a Markdown table whose first row is the head, rows filled up to the widest; null where no cell has text. The widest is found once, whatever the number of rows."""
+    line = lambda r, wide: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
+    rule = lambda wide: F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), wide), "|"), F.lit("|"))
+    table = T.let(F.array_max(F.transform(rows, F.size)), lambda wide: F.array_join(F.concat(F.array(line(rows[0], wide), rule(wide)), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: line(r, wide))), "\n"))
     return F.when((F.size(rows) > 0) & F.exists(rows, lambda r: F.exists(r, lambda x: x != "")), table)
 
 
+def table_of_tokens(c):
+    """A reply of cell tokens, read once, as the Markdown table of its rows; null where no cell has text."""
+    return T.let(table_rows_of_tokens(c), table_of_rows)
+
+
 def spotted_lines(reply, width, height):
     """Lines of a spotting reply as structs text, left, top, right, bottom in pixels, or null where it has no location tokens.
 

@@ -13,8 +13,8 @@ from quire.plans.inputs import table
 def token_tables(spark, d):
     """Every text as a reply of cell tokens: commas merge cells, full stops leave one empty, lines are rows."""
     reply = F.concat(F.lit("<fcel>"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "\n", "<nl><fcel>"), ", ", "<lcel><fcel>"), r"\. ", "<ecel><ucel>lost<fcel>"))
-    rows = table(spark, d, "documents").select("doc_id", triage.table_rows_of_tokens(reply).alias("r"), F.md5(triage.table_of_tokens(reply)).alias("digest"))
-    return rows.select("doc_id", F.size("r").alias("n_rows"), F.array_max(F.transform("r", F.size)).alias("widest"), "digest")
+    told = T.let(triage.table_rows_of_tokens(reply), lambda r: F.struct(F.size(r).alias("n_rows"), F.array_max(F.transform(r, F.size)).alias("widest"), F.md5(triage.table_of_rows(r)).alias("digest")))
+    return table(spark, d, "documents").select("doc_id", F.inline(F.array(told)))
 
 
 TABLES = r"""WITH cells AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: list_transform(string_split('<fcel>' || replace(replace(x, ', ', '<lcel><fcel>'), '. ', '<ecel><ucel>lost<fcel>'), 'cel>'), lambda y: y)), lambda r: len(r) > 1) AS parts FROM documents),

@@ -70,3 +70,8 @@ def test_percentiles_with_weights_of_nothing(spark):
     cases = [([(1.0, 1.0), (3.0, 1.0)], 0.5, 2.0), ([(1.0, 1.0), (3.0, 1.0), (5.0, 2.0)], 0.5, 4.0), ([(1.0, 1.0), (3.0, 2.0)], 0.5, 3.0), ([(2.0, 0.0)], 0.5, 2.0), ([(1.0, 1.0), (2.0, 0.0), (3.0, 1.0)], 0.5, 1.5), ([(1.0, 0.0), (2.0, 0.0)], 0.5, 1.0), ([(1.0, 1.0), (4.0, 0.0)], 1.0, 2.5), ([(1.0, 2.0), (4.0, 1.0)], 1.0, 4.0)]
     for rows, share, want in cases:
         assert [x["v"] for x in stats.weighted_percentile(spark.createDataFrame([(1, *x) for x in rows], "k int, v double, w double"), ["k"], "v", "w", share).collect()] == [want], rows
+
+
+def test_a_reply_of_cell_tokens_is_read_once(spark):
+    assert str(triage.table_of_tokens(F.col("reply"))).count("<nl>") == 1
+    assert of(spark, triage.table_of_tokens, "<fcel>a<fcel>b<nl>" * 3_000 + "<fcel>c") == ["| a | b |\n| --- | --- |\n" + "| a | b |\n" * 2_999 + "| c |  |"]
