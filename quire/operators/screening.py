@@ -161,11 +161,12 @@ def neighbours(blocks: DataFrame, page_width: float) -> DataFrame:
     """doc_id, page, ix, above, below, body_above, body_below of blocks (doc_id, page, ix, left, right, top, bottom, body): the nearest block above and below that shares an x bucket, and the nearest body block.
 
     Buckets are five points wide, or a 300th of the page. A block is told by bucket, and in each bucket its neighbours are those before
-    and after it from the top down; so blocks are never paired. Where buckets differ, the nearest edge counts.
+    and after it from the top down; so blocks are never paired. Where buckets differ, the nearest edge counts. Blocks are dealt out
+    once, by page, before they are told by bucket.
     """
     step = max(5.0, page_width / 300)
     bucket = F.explode(F.sequence(F.floor(F.col("left") / step), F.floor(F.col("right") / step)))
-    b = blocks.select("doc_id", "page", "ix", "top", "bottom", "body", bucket.alias("x"))
+    b = blocks.select("doc_id", "page", "ix", "left", "right", "top", "bottom", "body").repartition("doc_id", "page").select("doc_id", "page", "ix", "top", "bottom", "body", bucket.alias("x"))
     down = Window.partitionBy("doc_id", "page", "x").orderBy(F.desc("top"), F.desc("bottom"), "ix")
     here, mark = F.struct("ix", "top", "bottom"), F.when(F.col("body"), F.struct("ix", "top", "bottom"))
     b = b.withColumn("a", F.lag(here).over(down)).withColumn("z", F.lead(here).over(down)).withColumn("ba", F.last(mark, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)))

@@ -60,3 +60,10 @@ def test_neighbours(spark):
     rows = [(1, 1, 0, 0.0, 100.0, 100.0, 90.0, False), (1, 1, 1, 0.0, 40.0, 80.0, 70.0, True), (1, 1, 2, 60.0, 100.0, 60.0, 50.0, False), (1, 1, 3, 0.0, 100.0, 40.0, 30.0, True), (1, 1, 4, 300.0, 310.0, 85.0, 80.0, False)]
     got = {r["ix"]: (r["above"], r["below"], r["body_above"], r["body_below"]) for r in screening.neighbours(spark.createDataFrame(rows, "doc_id long, page int, ix int, left double, right double, top double, bottom double, body boolean"), 600.0).collect()}
     assert got == {0: (None, 1, None, 1), 1: (0, 3, None, 3), 2: (0, 3, None, 3), 3: (2, None, 1, None), 4: (None, None, None, None)}
+
+
+def test_neighbours_deal_blocks_out_once_by_page(spark):
+    rows = [(1, 1, 1, 0.0, 10.0, 100.0, 90.0, True), (1, 1, 2, 0.0, 200.0, 50.0, 40.0, True)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, ix int, left double, right double, top double, bottom double, body boolean")
+    plan = screening.neighbours(df, 600.0).groupBy("doc_id", "page").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
