@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 #: Points that an object's rows reach beyond it; sides of a page that gives none.
 REACH, LETTER = 6, (0.0, 0.0, 612.0, 792.0)
 #: Points of a grid row.
@@ -38,10 +40,10 @@ def view_box(media, crop):
     """The visible part of a page as left, bottom, right, top: the crop box inside the media box; that alone where there is no crop box or nothing would be left, and a letter page where there is neither. Boxes (arrays) may name their corners in any order; without area they are none."""
     box = lambda v: F.array(F.least(v[0], v[2]), F.least(v[1], v[3]), F.greatest(v[0], v[2]), F.greatest(v[1], v[3]))
     good = lambda v: F.when((F.size(v) == 4) & (v[0] != v[2]) & (v[1] != v[3]), box(v))
+    both = lambda cut, whole: F.array(F.greatest(cut[0], whole[0]), F.greatest(cut[1], whole[1]), F.least(cut[2], whole[2]), F.least(cut[3], whole[3]))
+    inside = lambda cut, whole: let(both(cut, whole), lambda v: F.when((v[2] <= v[0]) | (v[3] <= v[1]), whole).otherwise(v))
     whole = F.coalesce(good(media), F.array(*[F.lit(x) for x in LETTER]))
-    cut = good(crop)
-    both = F.array(F.greatest(cut[0], whole[0]), F.greatest(cut[1], whole[1]), F.least(cut[2], whole[2]), F.least(cut[3], whole[3]))
-    return F.when(cut.isNull() | (both[2] <= both[0]) | (both[3] <= both[1]), whole).otherwise(both)
+    return let(whole, lambda w: let(good(crop), lambda cut: F.when(cut.isNull(), w).otherwise(inside(cut, w))))
 
 
 def objects_of_characters(chars: DataFrame, objects: DataFrame, tolerance: float = 2.0) -> DataFrame:

@@ -40,3 +40,7 @@ def test_characters_are_dealt_out_once(spark):
     objects = spark.createDataFrame([(1, 1, 0, 0.0, 20.0, 20.0, 10.0, 9.0, 9.0)], OBJECT)
     plan = glyphs.objects_of_characters(chars, objects).hint("merge")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_a_view_box_names_its_boxes_once(spark):
+    assert str(glyphs.view_box(F.col("mediabox"), F.col("cropbox"))).count("cropbox") < 20
