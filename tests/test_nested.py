@@ -66,3 +66,13 @@ def test_all_places_that_differ(spark):
     want |= {(500, "$", "{}", "<missing>", None, None), (503, "$[1]", "2", "3", None, None), (504, "$", "<missing>", "7", None, None)}
     got = {tuple(x) for x in nested.nested_difference(spark.createDataFrame(left, "id int, value string"), spark.createDataFrame(right, "id int, value string"), ["id"]).collect()}
     assert got == want and len(want) > 100
+
+
+def test_sides_meet_in_one_join_and_equal_parts_are_not_opened(spark, monkeypatch):
+    steps, real = [], nested.kept
+    monkeypatch.setattr(nested, "kept", lambda df: steps.append(df) or real(df))
+    rows = [(1, '{"page":3,"blocks":[{"a":1,"b":null},{"a":[1,2]}]}'), (2, "[1]")], [(1, '{"page":3,"blocks":[{"a":1},{"a":[1,5]}]}'), (2, "[1]")]
+    got = nested.nested_difference(*(spark.createDataFrame(r, "doc long, value string") for r in rows), ["doc"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "$.blocks[0].b", "null", "<missing>", 3, 0), (1, "$.blocks[1].a[1]", "2", "5", 3, 1)]
+    assert sum(x._jdf.queryExecution().optimizedPlan().toString().count("Join ") for x in steps) == 1
+    assert not [r for x in steps for r in x.select("doc").collect() if r["doc"] == 2]
