@@ -125,8 +125,8 @@ def headings(lines: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 def section_openers(found: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
-    """The first heading candidate of each page; of several with one ln the first by the columns `ties`."""
-    w = Window.partitionBy("doc_id", "page").orderBy("ln", *ties)
+    """The first heading candidate of each page, those without ln last; of several with one ln the first by the columns `ties`."""
+    w = Window.partitionBy("doc_id", "page").orderBy(F.asc_nulls_last("ln"), *ties)
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

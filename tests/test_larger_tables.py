@@ -25,3 +25,10 @@ def test_section_openers_of_several_files(spark, tmp_path):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet(['{at}/a.parquet', '{at}/b.parquet'])")
     want = sorted(con.sql(catalog.ORACLES["section_openers"]).fetchall())
     assert sorted(tuple(r) for r in catalog.QUERIES["section_openers"](spark, str(tmp_path)).collect()) == want
+
+
+def test_section_openers_of_odd_keys(spark, tmp_path):
+    """Lines without a number, and part keys that are missing or below 0, which are references by the SQL's last branch."""
+    odd = "CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN -l_partkey ELSE l_partkey END AS l_partkey, CASE WHEN l_partkey % 5 > 0 THEN l_linenumber END AS l_linenumber, CASE WHEN l_partkey % 11 > 0 THEN l_orderkey END AS l_orderkey"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({odd}) FROM ({LINEITEM})) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    assert problem(catalog.QUERIES["section_openers"](spark, str(tmp_path)), catalog.ORACLES["section_openers"], str(tmp_path)) == ""
