@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from quire.functions.text import let
 REACH, LETTER = 6, (0.0, 0.0, 612.0, 792.0)
 #: Points of a grid row.
 CELL = 16
+#: Characters of a strip of a page at least, and pairs of a character and an object looked at in one step.
+STRIP, PAIRS = 128, 1 << 18
 #: Names of one font, and what in a name makes it bold or italic.
 TIMES = ("timesnewroman", "times-new-roman", "timesroman", "times-roman", "timesnew", "times-new")
 BOLD, ITALIC, SUBSET = r"(?i)(bold|timesb)", r"(?i)(ital|it\z|i[1-9][0-9]*\z|obliq)", r"^[A-Z]{6}\+"
@@ -66,6 +70,91 @@ def objects_of_characters(chars: DataFrame, objects: DataFrame, tolerance: float
     return found.select("doc_id", "page", "i", F.col("o.k").alias("object"))
 
 
+def nearest_objects(c: dict, o: dict, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The place in o (arrays left, right, top, bottom, drawn, size, k of a page's objects) of the object of each character (arrays x, y, drawn, size), as objects_of_characters says, or -1, and how far apart they are.
+
+    Objects stand in order of area and k, so the first of those nearest is meant. Characters are taken by strips of the page and along each strip, and meet what reaches there, so memory is bounded whatever a page holds.
+    """
+    best, gap = np.full(len(c["x"]), -1), np.full(len(c["x"]), np.inf)
+    area = (o["right"] - o["left"]) * (o["top"] - o["bottom"])
+    rank = np.lexsort((o["k"], area))
+    left, right, bottom, top = o["left"][rank] - tolerance, o["right"][rank] + tolerance, o["bottom"][rank] - tolerance, o["top"][rank] + tolerance
+    low, high = np.floor(o["bottom"][rank]) - REACH, np.ceil(o["top"][rank]) + REACH
+    there = np.flatnonzero(~np.isnan(c["x"]) & ~np.isnan(c["y"]))
+    if not len(there) or not len(rank):
+        return best, gap
+    there = there[np.argsort(c["y"][there], kind="stable")]
+    tall = c["y"][there[-1]] - c["y"][there[0]]
+    for strip in np.array_split(there, max(1, int(min(len(there) // STRIP, 1 + 2 * tall // CELL)))):
+        strip = strip[np.argsort(c["x"][strip], kind="stable")]
+        y = c["y"][strip]
+        near = np.flatnonzero((bottom <= y.max()) & (top >= y.min()))
+        at = 0
+        while at < len(strip) and len(near):
+            some = strip[at : at + max(1, min(2 * STRIP, PAIRS // len(near)))]
+            at += len(some)
+            x, y = c["x"][some], c["y"][some]
+            m = near[(left[near] <= x[-1]) & (right[near] >= x[0])]
+            x_, y_ = x[:, None], y[:, None]
+            which, of = np.nonzero((x_ >= left[m]) & (x_ <= right[m]) & (y_ >= bottom[m]) & (y_ <= top[m]))
+            of, row = m[of], np.rint(y)[which]
+            held = (row >= low[of]) & (row <= high[of])
+            which, of = which[held], of[held]
+            if not len(which):
+                continue
+            drawn, size, place = c["drawn"][some][which], c["size"][some][which], rank[of]
+            apart = np.where(drawn > 0, np.abs(o["drawn"][place] - drawn), np.where(size > 0, np.abs(o["size"][place] - size) / np.maximum(size, 0.01), area[place]))
+            apart[np.isnan(apart)] = -np.inf
+            first = np.flatnonzero(np.diff(which, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(apart, first), np.diff(first, append=len(which)))
+            nearest = np.flatnonzero(apart == least)
+            one, at_first = np.unique(which[nearest], return_index=True)
+            best[some[one]], gap[some[one]] = place[nearest[at_first]], apart[nearest[at_first]]
+    return best, gap
+
+
+def objects_on_pages(objects: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """doc_id, page, i, object as objects_of_characters says, of objects (doc_id, page, k, left, right, top, bottom, drawn, size) each with some characters of its page (`chars`, structs of i, x, y, drawn, size).
+
+    Rows come dealt out by page and sorted by it. A task holds one page as arrays, so no character is dealt out and no pair becomes a row. A character's i is one row, whichever objects carry it.
+    """
+    boxes, marks = ("left", "right", "top", "bottom", "drawn", "size"), ("x", "y", "drawn", "size")
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        numbers = lambda a: a.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        chars = pa.concat_arrays([x.flatten() for x in t["chars"].chunks])
+        i, n = chars.field("i"), len(chars)
+        same = t["doc_id"][0].is_valid and t["page"][0].is_valid
+        o = {x: numbers(t[x].combine_chunks()) for x in boxes} | {"k": t["k"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)}
+        c = {x: numbers(chars.field(x)) for x in marks}
+        best, gap = nearest_objects(c, o, tolerance) if same else (np.full(n, -1), np.full(n, np.inf))
+        ids, none = i.fill_null(0).to_numpy(zero_copy_only=False), i.is_null().to_numpy(zero_copy_only=False)
+        area = (o["right"] - o["left"]) * (o["top"] - o["bottom"])
+        by = np.lexsort((o["k"][best], area[best], gap, best < 0, ids, none))
+        found = by[np.flatnonzero(np.append(True, (np.diff(ids[by]) != 0) | (np.diff(none[by].astype(int)) != 0))[:n])]
+        k = t["k"].combine_chunks().take(pa.array(best[found], mask=best[found] < 0))
+        one = lambda x, kind: pa.repeat(pa.scalar(t[x][0].as_py(), kind), len(found))
+        return pa.RecordBatch.from_arrays([one("doc_id", pa.int64()), one("page", pa.int32()), i.take(pa.array(found)), k], ["doc_id", "page", "i", "object"])
+
+    def run(batches):
+        page = []
+        for b in batches:
+            keys = [b["doc_id"], b["page"]]
+            now = [[x.fill_null(0).to_numpy(zero_copy_only=False), x.is_null().to_numpy(zero_copy_only=False)] for x in keys]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for pair in now for x in pair], axis=0)) + 1
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(b)]):
+                part = b.slice(start, end - start)
+                if page and any(page[-1][x][0] != part[x][0] for x in ("doc_id", "page")):
+                    yield told(pa.Table.from_batches(page))
+                    page = []
+                if len(part):
+                    page.append(part)
+        if page:
+            yield told(pa.Table.from_batches(page))
+
+    return objects.sortWithinPartitions("doc_id", "page").mapInArrow(run, "doc_id long, page int, i long, object long")
+
+
 def paint_order(chars: DataFrame, key=None) -> DataFrame:
     """doc_id, page, i, place: characters (doc_id, page, i, order of their object, generated) in the order they are painted: by object, then by i, or by another key (a column); generated white space stays behind the character before it, or comes first. Of equal keys generated characters follow the others."""
     w = Window.partitionBy("doc_id", "page").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

@@ -342,9 +342,9 @@ def made_lines(spark, d, *more):
     """Lines of all heading and caption kinds, as the documents have hardly any."""
     li = table(spark, d, "lineitem")
     n, s = F.col("l_linenumber").cast("string"), F.col("l_suppkey")
-    kinds = [F.concat(F.lit("Figure "), n, F.lit(": Flow")), F.concat(F.lit("Table "), (s % 3).cast("string"), F.lit(". Sums")), F.concat((F.col("l_linenumber") % 4 + 1).cast("string"), F.lit("."), (s % 5 + 1).cast("string"), F.lit(" Results of x")), F.concat(F.lit("Chapter "), n), F.lit("Introduction"), F.lit("IV. Methods"), F.lit("B) Notes")]
+    kinds = [F.concat(F.lit("Figure "), n, F.lit(": Flow")), F.concat(F.lit("Table "), (s % 3).cast("string"), F.lit(". Sums")), F.concat((F.col("l_linenumber") % 4 + 1).cast("string"), F.lit("."), (s % 5 + 1).cast("string"), F.lit(" Results of x")), F.concat(F.lit("Chapter "), n), F.lit("Introduction"), F.lit("IV. Methods"), F.lit("B) Notes"), F.lit("References")]
     k = F.col("l_partkey") % 8
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ln"), (F.floor(F.col("l_linenumber") / 3) + 1).cast("int").alias("page"), F.when(k.between(0, 6), F.get(F.array(*kinds), k.cast("int"))).otherwise("References").alias("text"), *more)
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ln"), (F.floor(F.col("l_linenumber") / 3) + 1).cast("int").alias("page"), F.element_at(F.array(*kinds), F.when(k.between(0, 6), k + 1).otherwise(8).cast("int")).alias("text"), *more)
 
 
 @query("WITH " + MADE[2:] + r""" SELECT doc_id, CASE w WHEN 'table' THEN 5 ELSE 4 END AS label, number, min(ln) AS ln FROM (SELECT doc_id, ln, lower(regexp_extract(text, '^(Figure|Table) ([0-9]+)', 1)) AS w, regexp_extract(text, '^(Figure|Table) ([0-9]+)', 2) AS number FROM made) WHERE w <> '' GROUP BY ALL""")

@@ -1,10 +1,12 @@
 """Characters and objects: given cases."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from quire.operators import glyphs
+from quire.plans import glyph_queries
 
 OBJECT = "doc_id long, page int, k int, left double, right double, top double, bottom double, drawn double, size double"
 CHAR = "doc_id long, page int, i long, x double, y double, drawn double, size double"
@@ -44,3 +46,28 @@ def test_characters_are_dealt_out_once(spark):
 
 def test_a_view_box_names_its_boxes_once(spark):
     assert str(glyphs.view_box(F.col("mediabox"), F.col("cropbox"))).count("cropbox") < 20
+
+
+def test_objects_on_pages(spark):
+    """Equal to the join, over pages of crowded boxes, with equal ones, missing numbers, an i on two objects and a page without a number."""
+    n = "doc_id long, page int, k long, left double, right double, top double, bottom double, drawn double, size double, chars array<struct<i:long,x:double,y:double,drawn:double,size:double>>"
+    r, rows = random.Random(5), []
+    for k in range(900):
+        left, bottom, size = float(r.randrange(60)), r.choice((-3.5, 0.0, 4.0, 4.25, 20.0)) + r.randrange(3), float(r.randrange(8, 12))
+        chars = [(k * 8 + j, left + j * 7.25, r.choice((bottom - 2, bottom + 2.5, bottom + 30, None)), r.choice((0.0, size, size + 1, None)), r.choice((0.0, size - 1, None))) for j in range(r.randrange(5))]
+        rows.append((1 + k % 2, r.choice((1, 2, 2, 2, None)), k, left, left + 20 if k % 9 else None, bottom + size, bottom, size * 1.1, size, chars if k % 7 else None))
+    rows.append((1, 2, 900, 0.0, 90.0, 30.0, -9.0, 9.0, 9.0, [(16, 30.0, 4.0, 9.0, 9.0), (None, 1.0, 1.0, 1.0, 1.0), (None, 30.0, 4.0, 0.0, 0.0)]))
+    objects = spark.createDataFrame(rows, n).repartition(2, "doc_id", "page")
+    chars = objects.select("doc_id", "page", F.inline("chars"))
+    joined = glyphs.objects_of_characters(chars.where("i <> 16 and page is not null"), objects.drop("chars")).collect()
+    told = [tuple(x) for x in glyphs.objects_on_pages(objects).collect()]
+    assert sorted(tuple(x) for x in joined) == sorted(x for x in told if x[2] not in (16, None) and x[1] is not None) and len({x[3] for x in told}) > 90
+    assert sorted(x[:3] for x in told if x[1] is not None and x[2] is not None) == sorted({(x[0], x[1], x[2]) for x in chars.where("page is not null and i is not null").collect()})
+    assert [x[3] for x in told if x[1] is None and x[3] is not None] == [] and sum(x[2] is None for x in told) == 1
+    assert [x for x in told if x[:3] == (1, 2, None)][0][3] is not None
+
+
+def test_character_objects_deal_out_spans_once(spark):
+    """One exchange, of spans; characters, six times as many, were dealt out beside them by row of a page, and each pair that may belong together was sorted."""
+    plan = glyph_queries.character_objects(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
