@@ -224,12 +224,17 @@ OUTLINE = "doc_id long, ord int, parent_ord int, level int, title string, page i
 
 
 def assembled(candidates: DataFrame) -> DataFrame:
+    """The outlines that `assembling` says, computed once for all that read them."""
+    return kept(assembling(candidates))
+
+
+def assembling(candidates: DataFrame) -> DataFrame:
     """doc_id, ord, parent_ord, level, title, page, y_frac, kind, prominent, at_top, up of the headings that an outline keeps; up: the ords above it, down to its parent, from the last one under an untitled heading.
 
     Near duplicates go first. Then the candidates of a document are read in order: those that fit what was chosen before are added, and
     nest under the nearest open heading that is shallower, DEEPEST levels at most. An outline needs a prominent heading, or candidates
     on more than one page; leading keywords stand at the top. What a candidate's document says of it is windows by document, so rows
-    are dealt out once; the outline is computed once for all that read it.
+    are dealt out once.
     """
     c = with_clique(without_duplicates(candidates.select(*COLUMNS)))
 
@@ -254,7 +259,7 @@ def assembled(candidates: DataFrame) -> DataFrame:
         return out
 
     ints = c.withColumn("numbering", F.coalesce(F.col("numbering").cast("array<int>"), F.expr("cast(array() as array<int>)"))).withColumn("ord", F.col("ord").cast("int"))
-    return kept(by_group(ranked(ints).withColumn("rank", F.array("rank.*")), ["doc_id"], ["ord"], fold, OUTLINE))
+    return by_group(ranked(ints).withColumn("rank", F.array("rank.*")), ["doc_id"], ["ord"], fold, OUTLINE)
 
 
 def sections(outline: DataFrame, pages: DataFrame) -> DataFrame:

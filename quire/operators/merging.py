@@ -1,15 +1,21 @@
 """Bookmarks and a detected tree made into one: bookmarks as the tree, as its chapters, or left out, by their tier.
 
-Everything is joins, windows and aggregates over the nodes of all documents. A node's ancestors are an array, found level by level.
+In `applied` everything is joins, windows and aggregates over the nodes of all documents. A node's ancestors are an array, found level by
+level. `of_outlines` is the same without texts, as one fold a document: what is read is dealt out once, and nothing is kept in between.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import outline
+from quire.operators.grouped import by_group
 from quire.operators.trees import with_ancestors
 from quire.sources.scratch import kept
 
@@ -142,3 +148,152 @@ def applied(detected: DataFrame, entries: DataFrame, pages: DataFrame, texts: Da
         inside = ordered(both).withColumn("chapter", F.col("path")[0]["id"])
         both = both.unionByName(lower_entries(few.join(hits, ["doc_id", "id"], "left"), chapters, inside).select(plain))
     return out.unionByName(finished(both, pages, "hybrid"))
+
+
+TREE = "doc_id long, ord int, parent_ord int, depth int, node_id string, title string, start_page int, end_page int, source string"
+
+
+class Node:
+    """A heading or bookmark (an odd id) of one document, under its parent."""
+
+    __slots__ = ("id", "parent", "title", "key", "start", "end", "level", "path", "ord", "target", "same", "last", "split", "moved")
+
+    def __init__(self, id, parent, title, key, start, level=0):
+        self.id, self.parent, self.title, self.key, self.start, self.end, self.level = id, parent, title, key, start, start, level
+
+
+def _alike(a: str, b: str | None) -> bool:
+    """alike, of texts."""
+    if not a or not b:
+        return False
+    possible = 2 * min(len(a), len(b)) >= LIKENESS * (len(a) + len(b))
+    return a.endswith(b) or b.endswith(a) or (possible and SequenceMatcher(None, a, b).ratio() >= LIKENESS)
+
+
+def _said(rows, n_pages) -> list[Node]:
+    """The valid bookmarks under one another, as outline.valid_bookmarks and outline.tree say."""
+    out, most, last, at = [], 1, [-1] * 15, {}
+    for r in rows:
+        if r.page is None or n_pages is None or not most <= r.page <= n_pages:
+            continue
+        most, depth, top = r.page, 1, -1
+        for k in range(1, min(r.level or 0, 15)):
+            if last[k] > top:
+                depth, top = depth + 1, last[k]
+        if 1 <= (r.level or 0) < 15:
+            last[r.level] = r.ord
+        above = max((x for k, x in at.items() if k < depth), key=lambda x: x.id, default=None) if depth <= 10 else None
+        out.append(Node(2 * r.ord + 1, above, r.title, r.key, r.page, depth))
+        if depth < 10:
+            at[depth] = out[-1]
+    return out
+
+
+def _tier(said: list[Node], marks: dict, n_pages) -> str:
+    """As outline.bookmark_tiers; marks: (generic, template) by id."""
+    n, by = len(said), Counter(marks[x.id][1] for x in said)
+    if n < 3:
+        return "ignore" if n else "none"
+    template, c = by.most_common(1)[0]  # of equally frequent ones the first
+    counters, unit = (template or "").count("#"), (template or "").replace("#", "")
+    listed = counters > 0 and 2 * c >= n and (counters >= 2 or unit not in outline.CONTENT_UNITS)
+    if 2 * sum(bool(marks[x.id][0]) for x in said) >= n or listed or 4 * len({x.key for x in said} - {None}) <= n:
+        return "ignore"
+    return "full" if max(x.level for x in said) >= 2 and n >= max(6, n_pages // 20) else "skeleton"
+
+
+def _without_labels(nodes: list[Node]) -> list[Node]:
+    often = Counter(x.key for x in nodes)
+    label = {x.id for x in nodes if (x.key and often[x.key] >= RECURS) or len(x.title) > LONGEST}
+    stay = [x for x in nodes if x.id not in label]
+    for x in stay:
+        while x.parent is not None and x.parent.id in label:
+            x.parent = x.parent.parent
+    return stay
+
+
+def _within_targets(nodes: list[Node], targets: list[Node], n_pages: int) -> list[Node]:
+    """As within_targets; nodes and targets in order of ids, parents before what is under them. `moved`: what is under the node is placed for itself."""
+    if not targets:
+        return []
+    starts = [t.start for t in targets]
+    for x in nodes:
+        i = bisect_right(starts, x.start)
+        x.target, x.last = targets[i - 1] if i else None, x.start
+        x.split = starts[i] if i < len(starts) else n_pages + 1  # the bound, until all below is known
+        x.same = x.target is not None and x.start == x.target.start and _alike(x.key, x.target.key)
+    for x in reversed(nodes):
+        x.split = x.last >= x.split
+        if x.parent is not None:
+            x.parent.last = max(x.parent.last, x.last)
+    out = []
+    for x in nodes:
+        alone = x.parent is None or x.parent.moved
+        x.moved = x.split or (x.same and alone)
+        if not (alone and x.same):
+            out.append(x)
+        if alone:
+            x.parent = x.target
+    return out
+
+
+def _finished(nodes: list[Node], n_pages: int) -> list[Node]:
+    """As finished: nodes, parents before what is under them, in pre-order with `ord` and `end`."""
+    for x in nodes:
+        x.path = [*(x.parent.path if x.parent is not None else ()), (x.start, 1 - x.id % 2, x.id)]
+    out = sorted(nodes, key=lambda x: x.path)
+    for i, x in enumerate(out):
+        x.ord, x.end = i, max(x.start, out[i + 1].start if i + 1 < len(out) else n_pages)
+    for x in reversed(out):
+        if x.parent is not None:
+            x.parent.end = max(x.parent.end, x.end)
+    return out
+
+
+def _detected(rows, n_pages) -> list[Node]:
+    """The sections of an outline, as assembly.sections says."""
+    out, at = [], {}
+    for i, r in enumerate(rows):
+        x = at[r.ord] = Node(2 * r.ord, at[r.parent_ord] if r.up else None, r.title, r.key, r.page)
+        after = rows[i + 1] if i + 1 < len(rows) else None
+        end = n_pages if after is None else after.page - 1 if after.at_top else after.page
+        x.end = x.start if end is None else max(x.start, end)
+        out.append(x)
+    for x in reversed(out):
+        if x.parent is not None:
+            x.parent.end = max(x.parent.end, x.end)
+    return out
+
+
+def _merged(rows) -> list[tuple]:
+    if rows[0].doc_id is None or rows[0].side:  # its pages are not known
+        return []
+    doc, n_pages = rows[0].doc_id, rows[0].n_pages
+    marked = [r for r in rows if r.side == 2]
+    said = _said(marked, n_pages)
+    tier = _tier(said, {2 * r.ord + 1: (r.generic, r.template) for r in marked}, n_pages)
+    nodes = _detected([r for r in rows if r.side == 1], n_pages)
+    if tier == "full":
+        source, out = "bookmarks", _finished(said + _within_targets(_without_labels(nodes), said, n_pages), n_pages)
+    elif tier == "skeleton":
+        chapters = [x for x in said if x.level == 1]
+        for x in chapters:
+            x.parent = None
+        source, out = "hybrid", _finished(chapters + _within_targets(nodes, chapters, n_pages), n_pages)
+    else:
+        for x in nodes:
+            x.ord, x.path = x.id // 2, [*(x.parent.path if x.parent is not None else ()), x.id]
+        source, out = "detected", nodes
+    return [(doc, x.ord, None if x.parent is None else x.parent.ord, len(x.path), f"{i:04d}", x.title, x.start, x.end, source) for i, x in enumerate(out)]
+
+
+def of_outlines(headings: DataFrame, entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """applied(sections(headings, pages), entries, pages) of an assembled outline (with `up`), as one fold a document.
+
+    What texts say of themselves is columns. Headings, entries and pages of a document meet in one exchange, and nothing is joined.
+    """
+    title = F.trim("title")
+    h = headings.select("doc_id", F.lit(1).alias("side"), "ord", title.alias("title"), F.coalesce(T.title_key(title), F.lit("")).alias("key"), F.col("page").cast("int").alias("page"), "parent_ord", "at_top", (F.size("up") > 0).alias("up")).where("title <> ''")
+    e = entries.select("doc_id", F.lit(2).alias("side"), F.col("ord").cast("int").alias("ord"), "title", T.title_key(F.col("title")).alias("key"), F.col("page").cast("int").alias("page"), F.col("level").cast("int").alias("level"), T.is_generic_title(F.col("title")).alias("generic"), T.title_template(F.col("title")).alias("template"))
+    p = pages.select("doc_id", F.lit(0).alias("side"), F.col("n_pages").cast("int").alias("n_pages"))
+    return by_group(p.unionByName(h, allowMissingColumns=True).unionByName(e, allowMissingColumns=True), ["doc_id"], ["side", "ord"], _merged, TREE)

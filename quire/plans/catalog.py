@@ -701,8 +701,7 @@ def detected_gates(spark, d):
 @query()
 def bookmarked_trees(spark, d):
     """Bookmarks merged into detected outlines, both made; placement depends on what was placed before; tested on made trees."""
-    n = inputs.doc_pages(spark, d)
-    return merging.applied(assembly.sections(assembly.assembled(inputs.candidates(spark, d)), n), inputs.made_bookmarks(spark, d), n)
+    return merging.of_outlines(assembly.assembling(inputs.candidates(spark, d)), inputs.made_bookmarks(spark, d), inputs.doc_pages(spark, d))
 
 
 # Structure retrieval
