@@ -116,7 +116,7 @@ def nearest_objects(c: dict, o: dict, tolerance: float) -> tuple[np.ndarray, np.
 def objects_on_pages(objects: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """doc_id, page, i, object as objects_of_characters says, of objects (doc_id, page, k, left, right, top, bottom, drawn, size) each with some characters of its page (`chars`, structs of i, x, y, drawn, size).
 
-    Rows come dealt out by page and sorted by it. A task holds one page as arrays, so no character is dealt out and no pair becomes a row. A character's i is one row, whichever objects carry it.
+    Rows come dealt out by page; those sorted by it are not sorted again. A task holds one page as arrays, so no character is dealt out and no pair becomes a row. A character's i is one row, whichever objects carry it.
     """
     boxes, marks = ("left", "right", "top", "bottom", "drawn", "size"), ("x", "y", "drawn", "size")
 

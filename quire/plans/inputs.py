@@ -26,11 +26,13 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(pages).alias("p", "markdown")).select("doc_id", (F.col("p") + 1).alias("page"), "markdown")
 
 
-def order_lines(spark: SparkSession, d: str, *by) -> DataFrame:
-    """lineitem with n, from 1 in each order: line numbers repeat. With columns `by`, which the order tells, rows are dealt out and sorted by them alone, once."""
-    w = Window.partitionBy(*by, "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+def order_lines(spark: SparkSession, d: str, by: dict | None = None) -> DataFrame:
+    """lineitem with n, from 1 in each order: line numbers repeat. With columns `by` (by name), which the order tells, rows are dealt out by them alone and sorted by them first, once."""
     li = table(spark, d, "lineitem")
-    return (li.repartition(*by) if by else li).withColumn("n", F.row_number().over(w))
+    if by:
+        li = li.repartition(*by.values()).withColumns(by)
+    w = Window.partitionBy(*(by or ()), "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return li.withColumn("n", F.row_number().over(w))
 
 
 def bookmarks(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +48,9 @@ def doc_pages(spark: SparkSession, d: str) -> DataFrame:
 def spans(spark: SparkSession, d: str, by_page: bool = False) -> DataFrame:
     """doc_id, page, ix, left, right, top, bottom, text, size, bold, skew: boxes made from the lines of orders. by_page: dealt out once, by page, and sorted by it."""
     doc, page = F.col("l_orderkey") % 997, (F.col("l_orderkey") % 5 + 1).cast("int")
-    li = order_lines(spark, d, doc, page) if by_page else order_lines(spark, d)
+    li = order_lines(spark, d)
+    if by_page:
+        li, doc, page = order_lines(spark, d, {"doc_id": doc, "page": page}), F.col("doc_id"), F.col("page")
     left, top = (F.col("l_quantity") * 10), (F.col("l_partkey") % 700).cast("double")
     return li.select(doc.alias("doc_id"), page.alias("page"), (F.col("l_orderkey") * 64 + F.col("n")).alias("ix"), left.alias("left"), (left + 40 + F.col("l_discount") * 100).alias("right"), (top + 8 + F.col("l_linenumber")).alias("top"), top.alias("bottom"), F.concat("l_returnflag", F.lit(" "), "l_linestatus", F.lit(" "), (F.col("l_suppkey") % 40).cast("string")).alias("text"), (F.col("l_linenumber") + 7).cast("double").alias("size"), (F.col("l_returnflag") == "A").alias("bold"), F.when(F.col("l_linenumber") == 7, 1.0).otherwise(0.0).alias("skew"))
 

@@ -68,6 +68,6 @@ def test_objects_on_pages(spark):
 
 
 def test_character_objects_deal_out_spans_once(spark):
-    """One exchange, of spans; characters, six times as many, were dealt out beside them by row of a page, and each pair that may belong together was sorted."""
+    """One exchange and one sort, of spans; characters, six times as many, were dealt out beside them by row of a page, and each pair that may belong together was sorted."""
     plan = glyph_queries.character_objects(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
